@@ -225,6 +225,6 @@ def with_views(body: str, *names: str) -> str:
     for n in names:
         need(n)
     head = ",\n".join(f"{n} AS ({SQL[n].strip()})" for n in order)
-    if body.lstrip().upper().startswith("WITH "):
+    if head and body.lstrip().upper().startswith("WITH "):
         return f"WITH {head},\n{body.lstrip()[5:]}"
     return f"WITH {head}\n{body.strip()}" if head else body.strip()

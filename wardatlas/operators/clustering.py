@@ -100,7 +100,7 @@ def cluster_scores(df: DataFrame, label: str, dims: int, features: str = "featur
         ratio = np.where(apart > 0, (scatter[:, None] + scatter[None]) / apart, 0.0)
     np.fill_diagonal(ratio, 0.0)
     return {"inertia": inertia,
-            "calinski_harabasz": between / (k - 1) / (inertia / (n - k)) if inertia > 0 else 1.0,
+            "calinski_harabasz": float(between / (k - 1) / (inertia / (n - k))) if inertia > 0 else 1.0,
             "davies_bouldin": float(ratio.max(axis=1).mean())}
 
 

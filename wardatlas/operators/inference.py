@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clip, is_finite, normalize_row, timestamp_text, to_count, to_number
+from ..functions.scalars import clip, is_finite, normalize_row, timestamp_text
 from ..tables import GROUP_VAP
 from .joins import has_more_rows, salted_join, small_side
 from .order_stats import distribution, ranked_values
@@ -19,19 +19,22 @@ GROUPS = ("WHITE_NH", "BLACK_NH", "HISP", "ASIAN_NH", "NATIVE_NH", "OTHER")
 def design(units: DataFrame, returns: DataFrame, election_id: str) -> DataFrame:
     """Valid binomial rows of one election with group shares that sum to one."""
     votes = returns.where(F.col("election_id") == election_id).select(
-        "vtd_geoid", to_number("votes_total").alias("_n"), to_number("votes_dem").alias("_y"))
-    rows = units.select("vtd_geoid", to_number("vap_total").alias("vap_total"),
-                        *[F.coalesce(to_number(c), F.lit(0.0)).alias(c) for c in GROUP_VAP]).join(votes, "vtd_geoid")
-    rows = rows.where((F.col("_n") > 0) & F.col("_y").isNotNull() & (F.col("vap_total") > 0)).select(
-        "vtd_geoid", to_count("_n").alias("votes_total"), to_count("_y").alias("votes_dem"),
-        *[(F.col(c) / F.col("vap_total")).alias(c) for c in GROUP_VAP])
-    rows = rows.where((F.col("votes_dem") >= 0) & (F.col("votes_dem") <= F.col("votes_total")))
-    out = rows.select("vtd_geoid", "votes_total", "votes_dem",
-                      *[e.alias(g) for e, g in zip(normalize_row(list(GROUP_VAP)), GROUPS)])
-    finite = is_finite(GROUPS[0])
-    for g in GROUPS[1:]:
-        finite = finite & is_finite(g)
-    return out.where(finite)
+        "vtd_geoid", *[F.col(c).try_cast("double").alias(c) for c in ("votes_total", "votes_dem")])
+    rows = units.select("vtd_geoid", *[F.col(c).try_cast("double").alias(c) for c in ("vap_total", *GROUP_VAP)]).join(
+        votes, "vtd_geoid")
+    n, y = F.rint("votes_total"), F.rint("votes_dem")
+    valid = is_finite("votes_total") & (F.col("votes_total") > 0) & is_finite("votes_dem") & (y >= 0) & (y <= n)
+    valid = valid & is_finite("vap_total") & (F.col("vap_total") > 0)
+    for c in GROUP_VAP:
+        valid = valid & (F.col(c).isNull() | is_finite(c))
+    # the counts are scaled by their own sum, so dividing them by vap_total first would change nothing
+    counts = [F.coalesce(c, F.lit(0.0)) for c in GROUP_VAP]
+    total = counts[0]
+    for c in counts[1:]:
+        total = total + c
+    return rows.where(valid).select(
+        "vtd_geoid", n.cast("bigint").alias("votes_total"), y.cast("bigint").alias("votes_dem"),
+        *[F.when(total > 0, c / total).otherwise(0.0).alias(g) for c, g in zip(counts, GROUPS)])
 
 
 def normal_equations(rows: DataFrame, groups=GROUPS) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 # Fixed value: rows of a dimension table that one executor holds with ease
 # (about 100 bytes each, so 100 MB).
 BROADCAST_ROWS = 1_000_000
@@ -31,20 +33,24 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], rows_per_task:
     map-side combining; there are at most rows/rows_per_task of them.  The
     left rows of a hot key take one of several salts by a hash of their
     content, the right rows of that key are repeated once per salt, and all
-    other keys keep salt 0.  The result equals the plain join.
+    other keys keep salt 0.  The result equals the plain join, and without a
+    hot key it is the plain join.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join does inner and left joins")
-    hot = (
+    hot = materialize(
         left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > rows_per_task)
         .select(*on, F.ceil(F.col("_rows") / F.lit(rows_per_task)).cast("int").alias("_salts"))
     )
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    hot = small_side(hot)
     salts = F.coalesce(F.col("_salts"), F.lit(1))
-    lefts = left.join(small_side(hot), on, "left").withColumn(
+    lefts = left.join(hot, on, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), salts).cast("int")
     ).drop("_salts")
-    rights = right.join(small_side(hot), on, "left").withColumn(
+    rights = right.join(hot, on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
     ).drop("_salts")
     return lefts.join(rights, [*on, "_salt"], how).drop("_salt")

@@ -106,12 +106,16 @@ def area_weights(overlay: DataFrame) -> DataFrame:
 
 def interpolate_counts(overlay: DataFrame, attrs: DataFrame, targets: DataFrame, source_id: str,
                        target_id: str, counts: list[str]) -> DataFrame:
-    """Source counts spread over targets by area weight, whole numbers, 0 where nothing falls."""
+    """Source counts spread over targets by area weight, whole numbers, 0 where nothing falls.
+
+    Sums are cut to nine digits before they are made whole, so a sum that is
+    just a half does not depend on the order the tasks added it in.
+    """
     weighted = area_weights(overlay).join(attrs.select(source_id, *counts), source_id, "left")
     sums = weighted.groupBy(target_id).agg(
         *[F.sum(F.coalesce(to_number(c), F.lit(0.0)) * F.col("w")).alias(c) for c in counts])
     return targets.join(sums, target_id, "left").select(
-        *targets.columns, *[F.rint(F.coalesce(F.col(c), F.lit(0.0))).cast("bigint").alias(c) for c in counts])
+        *targets.columns, *[F.rint(F.round(F.coalesce(F.col(c), F.lit(0.0)), 9)).cast("bigint").alias(c) for c in counts])
 
 
 def unit_demographics(blocks: DataFrame, pl: DataFrame, overlay: DataFrame, units: DataFrame, unit_id: str,

@@ -12,6 +12,7 @@ from ..operators import elections, overlay
 from ..operators.keyed import assert_none, assert_unique, checked_join
 from ..sources import writers
 from ..sources.readers import read_table
+from ..storage import materialize
 from ..tables import require_columns, standard_names
 
 # Names a column may carry, first match wins.
@@ -91,7 +92,7 @@ def assign_districts(units: DataFrame, districts: DataFrame, plan_id: str) -> Da
     if name is None:
         raise ValueError(f"no district id column; columns: {districts.columns}")
     named = districts.select(F.col(name).cast("string").alias("district_id"), "rings")
-    pairs = overlay.overlay_polygons(units, named, "vtd_geoid", "district_id")
+    pairs = materialize(overlay.overlay_polygons(units, named, "vtd_geoid", "district_id"))
     best = overlay.assign_by_area(units.select("vtd_geoid"), pairs, "vtd_geoid", "district_id")
     return best.select(F.lit(plan_id).alias("plan_id"), "vtd_geoid", "district_id")
 
@@ -100,7 +101,7 @@ def unit_population(units: DataFrame, blocks: DataFrame, pl: DataFrame, allow_to
     """Block counts spread over units by area."""
     blocks, pl = with_geoid20(blocks), with_geoid20(pl)
     total, groups = group_columns(pl, allow_total_only)
-    pairs = overlay.overlay_polygons(blocks, units, "geoid20", "vtd_geoid")
+    pairs = materialize(overlay.overlay_polygons(blocks, units, "geoid20", "vtd_geoid"))
     if pairs.isEmpty():
         raise ValueError("the overlay of blocks and units has no intersection")
     out = overlay.unit_demographics(blocks, pl, pairs, units, "vtd_geoid", total, groups)
