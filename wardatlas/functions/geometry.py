@@ -174,22 +174,20 @@ def enclosing_areas(px: pd.Series, py: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"hull_area": hull_area, "circle_area": circle_area})
 
 
-def _signed_intersection(ring: np.ndarray, tri: np.ndarray) -> np.ndarray:
-    """Signed area of one ring inside each of many counter-clockwise triangles.
+def _clipped_area(poly: np.ndarray, tri: np.ndarray) -> np.ndarray:
+    """Signed area of each ring inside its own counter-clockwise triangle.
 
     The ring is cut by the three sides in turn.  A point outside a side is
     moved onto the side's line; the runs along that line enclose nothing, so
     the signed area stays exact and no branch on topology is needed.
     """
-    poly = np.broadcast_to(ring[None, :, :], (len(tri), *ring.shape))
     for k in range(3):
         a, b = tri[:, k], tri[:, (k + 1) % 3]
         side = b - a
-        length = np.hypot(side[:, 0], side[:, 1])[:, None]
-        normal = np.stack([-side[:, 1], side[:, 0]], axis=1)[:, None, :] / length[..., None]
-        d = np.sum((poly - a[:, None, :]) * normal, axis=2)
+        normal = np.stack([-side[:, 1], side[:, 0]], axis=1) / np.hypot(side[:, 0], side[:, 1])[:, None]
+        d = np.einsum("nkc,nc->nk", poly - a[:, None, :], normal)
         nd, nxt = np.roll(d, -1, axis=1), np.roll(poly, -1, axis=1)
-        kept = poly - np.minimum(d, 0)[..., None] * normal
+        kept = poly - np.minimum(d, 0)[..., None] * normal[:, None, :]
         crosses = (d > 0) != (nd > 0)
         t = np.where(crosses, d / np.where(d == nd, 1.0, d - nd), 0.0)
         cross = np.where(crosses[..., None], poly + t[..., None] * (nxt - poly), kept)
@@ -198,40 +196,76 @@ def _signed_intersection(ring: np.ndarray, tri: np.ndarray) -> np.ndarray:
     return np.sum(poly[..., 0] * nxt[..., 1] - nxt[..., 0] * poly[..., 1], axis=1) / 2
 
 
-def _overlap_area(a_rings: list[np.ndarray], b_rings: list[np.ndarray]) -> float:
-    """Area shared by two polygons given as oriented open rings."""
-    origin = b_rings[0][0]
-    total = 0.0
-    for b in b_rings:
-        b = b - origin
-        tri = np.stack([np.broadcast_to(b[0], b[1:-1].shape), b[1:-1], b[2:]], axis=1)
-        turn = ((tri[:, 1, 0] - tri[:, 0, 0]) * (tri[:, 2, 1] - tri[:, 0, 1])
-                - (tri[:, 1, 1] - tri[:, 0, 1]) * (tri[:, 2, 0] - tri[:, 0, 0]))
-        keep = turn != 0
-        tri, sign = tri[keep], np.sign(turn[keep])
-        tri = np.where((sign < 0)[:, None, None], tri[:, ::-1], tri)
-        for a in a_rings:
-            ring = a - origin
-            step = max(1, 200_000 // (8 * len(ring)))
-            for i in range(0, len(tri), step):
-                total += float(np.sum(sign[i:i + step] * _signed_intersection(ring, tri[i:i + step])))
-    return max(total, 0.0)
+def _ranges(counts: np.ndarray) -> np.ndarray:
+    """0..n-1 for each n in turn."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _flat_rings(x: pd.Series, y: pd.Series, sizes: pd.Series):
+    """All points of a batch, and row, first point and open size of every ring worth measuring."""
+    pts = np.column_stack([np.concatenate([np.asarray(v, float) for v in x]), np.concatenate([np.asarray(v, float) for v in y])])
+    per_row = np.array([len(s) for s in sizes])
+    size = np.concatenate([np.asarray(s, int) for s in sizes])
+    row, start = np.repeat(np.arange(len(x)), per_row), np.cumsum(size) - size
+    keep = size >= 4
+    return pts, row[keep], start[keep], size[keep] - 1
 
 
 @F.pandas_udf(T.DoubleType())
 def overlap_area(ax: pd.Series, ay: pd.Series, an: pd.Series,
                  bx: pd.Series, by: pd.Series, bn: pd.Series) -> pd.Series:
-    """Shared area of two polygons per row, from flat coordinates and ring sizes."""
-    def rings(x, y, sizes):
-        pts, out, start = np.column_stack([x, y]).astype(float), [], 0
-        for n in sizes:
-            out.append(pts[start:start + n - 1])      # drop the closing point
-            start += n
-        return [r for r in out if len(r) >= 3]
-
-    return pd.Series([
-        _overlap_area(ra, rb) if (ra := rings(x1, y1, n1)) and (rb := rings(x2, y2, n2)) else 0.0
-        for x1, y1, n1, x2, y2, n2 in zip(ax, ay, an, bx, by, bn)], dtype="float64")
+    """Shared area of two polygons per row, from flat coordinates and ring sizes.
+
+    Each ring of b is a fan of signed triangles; each ring of a is clipped
+    against each triangle it can reach.  All clips of a batch run together,
+    rings of like length at a time.
+    """
+    # a slice of rows at a time keeps the triangle table small for long outlines
+    points = np.array([len(v) for v in bx])
+    part = np.cumsum(points) // 200_000
+    cols = (ax, ay, an, bx, by, bn)
+    done = [_overlap_slice(*[c[part == k] for c in cols]) for k in np.unique(part)]
+    return pd.Series(np.concatenate(done) if done else np.zeros(0))
+
+
+def _overlap_slice(ax, ay, an, bx, by, bn) -> np.ndarray:
+    total = np.zeros(len(ax))
+    apts, arow, astart, asize = _flat_rings(ax, ay, an)
+    bpts, brow, bstart, bsize = _flat_rings(bx, by, bn)
+    if not len(arow) or not len(brow):
+        return total
+    fans = bsize - 2
+    ring = np.repeat(np.arange(len(brow)), fans)
+    i = bstart[ring] + 1 + _ranges(fans)
+    tri = np.stack([bpts[bstart[ring]], bpts[i], bpts[i + 1]], axis=1)
+    e1, e2 = tri[:, 1] - tri[:, 0], tri[:, 2] - tri[:, 0]
+    turn = e1[:, 0] * e2[:, 1] - e1[:, 1] * e2[:, 0]
+    tri, sign, trow = tri[turn != 0], np.sign(turn[turn != 0]), brow[ring][turn != 0]
+    tri = np.where((sign < 0)[:, None, None], tri[:, ::-1], tri)
+
+    rings_in_row = np.bincount(arow, minlength=len(ax))
+    first_ring = np.cumsum(rings_in_row) - rings_in_row
+    t = np.repeat(np.arange(len(tri)), rings_in_row[trow])
+    r = first_ring[trow[t]] + _ranges(rings_in_row[trow])
+    ends = np.repeat(np.arange(len(arow)), asize)
+    at = astart[ends] + _ranges(asize)
+    cuts = np.cumsum(asize) - asize
+    low, high = np.minimum.reduceat(apts[at], cuts), np.maximum.reduceat(apts[at], cuts)
+    near = np.all((low[r] < tri.max(axis=1)[t]) & (high[r] > tri.min(axis=1)[t]), axis=1)
+    t, r = t[near], r[near]
+
+    padded = 1 << np.ceil(np.log2(asize[r])).astype(int) if len(r) else np.zeros(0, int)
+    for width in np.unique(padded):
+        ts, rs = t[padded == width], r[padded == width]
+        step = max(1, 250_000 // int(width))
+        for k in range(0, len(ts), step):
+            tk, rk = ts[k:k + step], rs[k:k + step]
+            # short rings repeat their last point, which adds nothing to an area
+            idx = astart[rk][:, None] + np.minimum(np.arange(width)[None], asize[rk][:, None] - 1)
+            origin = tri[tk, :1]
+            part = sign[tk] * _clipped_area(apts[idx] - origin, tri[tk] - origin)
+            total += np.bincount(trow[tk], part, minlength=len(total))
+    return np.maximum(total, 0.0)
 
 
 def box_overlap_area(a: str, b: str) -> Column:

@@ -67,7 +67,9 @@ def overlay_polygons(source: DataFrame, target: DataFrame, source_id: str, targe
     """Shared areas of polygons with holes and several parts.
 
     Only ids and boxes pass the cell join.  The coordinates are fetched for
-    the pairs that remain, and the exact area is taken in Arrow batches.
+    the pairs that remain, and the exact area is taken in Arrow batches.  The
+    pairs are dealt out evenly before that, so a target with many sources
+    does not keep one task busy.
     """
     s = source.select(source_id, F.col(source_rings).alias("_s_rings"))
     t = target.select(target_id, F.col(target_rings).alias("_t_rings"))
@@ -77,7 +79,9 @@ def overlay_polygons(source: DataFrame, target: DataFrame, source_id: str, targe
     flat = lambda r, p: [G.xs(r).alias(p + "x"), G.ys(r).alias(p + "y"), G.ring_sizes(r).alias(p + "n")]
     s_flat = s.select(source_id, G.area("_s_rings").alias("src_area"), *flat("_s_rings", "_s"))
     t_flat = t.select(target_id, *flat("_t_rings", "_t"))
-    return pairs.join(s_flat, source_id).join(t_flat, target_id).select(
+    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fetched = pairs.join(s_flat, source_id).join(t_flat, target_id).repartition(parts, source_id, target_id)
+    return fetched.select(
         source_id, target_id, "src_area",
         G.overlap_area("_sx", "_sy", "_sn", "_tx", "_ty", "_tn").alias("inter_area"),
     ).where(F.col("inter_area") > 0)

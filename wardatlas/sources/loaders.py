@@ -10,7 +10,7 @@ from ..operators.keyed import upsert
 from ..tables import GROUP_VAP, TABLES, VOTE_COLUMNS, conform, ensure_columns, require_columns
 from .readers import read_table
 
-# State of the reference study, used where a file names none.
+# Fixed value: state code used where a file names none.
 STATE_FIPS = "48"
 
 
