@@ -115,23 +115,27 @@ def distance_sums(df: DataFrame, key: str, labels: str, features: str = "feature
     """
     n = df.count()
     blocks = max(1, -(-n // block_rows))
-    rows = df.select(key, features, labels, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b"))
+    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("*", every.alias("_o")).groupBy("_b", "_o")
-    right = rows.withColumnRenamed("_b", "_r").select("*", every.alias("_l")).select(
-        F.col("_l").alias("_b"), F.col("_r").alias("_o"), features, labels).groupBy("_b", "_o")
+
+    def side(own: str, other: str) -> DataFrame:           # own names on either side of the cogroup
+        return df.select(F.col(key).alias("key"), F.col(features).alias("f"), F.col(labels).alias("l"),
+                         block.alias(own), every.alias(other))
+
+    left = side("b", "o").groupBy("b", "o")
+    right = side("o", "b").groupBy("b", "o")
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"key": [], "labeling": [], "cluster": [], "total": []})
-        x, y = np.array(a[features].tolist(), float), np.array(b[features].tolist(), float)
-        lab = np.array(b[labels].tolist())
+        x, y = np.array(a["f"].tolist(), float), np.array(b["f"].tolist(), float)
+        lab = np.array(b["l"].tolist())
         step, out = max(1, 4_000_000 // max(1, y.size)), []
         dist = np.concatenate([np.sqrt(((x[i:i + step, None] - y[None]) ** 2).sum(axis=2))
                                for i in range(0, len(x), step)])
         for j in range(lab.shape[1]):
             for c in np.unique(lab[:, j]):
-                out.append(pd.DataFrame({"key": a[key].to_numpy(), "labeling": j, "cluster": int(c),
+                out.append(pd.DataFrame({"key": a["key"].to_numpy(), "labeling": j, "cluster": int(c),
                                          "total": dist[:, lab[:, j] == c].sum(axis=1)}))
         return pd.concat(out)
 
