@@ -217,15 +217,15 @@ def m3f(spark, d):
 
 @case("m5_kmeans")
 def m5(spark, d):
-    """Cluster sizes of the best of three fits on the vectors."""
+    """Cluster sizes of the best of ten fits on the vectors."""
     v = V.vectors(spark, d)
-    return clustering.cluster_sizes(clustering.predict(v, clustering.fit_kmeans(v, 10, 42, 3)), "cluster")
+    return clustering.cluster_sizes(clustering.predict(v, clustering.fit_kmeans(v, 10, 42, 10)[0]), "cluster")
 
 
 @case("m6_k_search")
 def m6(spark, d):
     """Means per k over seeds, best k first."""
-    return r6(clustering.k_search_summary(clustering.k_search(V.vectors(spark, d), "vec_id", range(2, 6), range(2), restarts=1, dims=64)))
+    return r6(clustering.k_search_summary(clustering.k_search(V.vectors(spark, d), "vec_id", range(2, 13), range(10), restarts=3)))
 
 
 CENT = """cen AS (SELECT label, i, avg(x) AS m FROM pts GROUP BY 1,2)"""

@@ -8,10 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .joins import small_side
 from .moments import covariance
@@ -37,23 +36,143 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
-def fit_kmeans(df: DataFrame, k: int, seed: int = 42, restarts: int = 10, features: str = "features"):
-    """Best of several seeded fits by training cost."""
-    rows = df.select(array_to_vector(features).alias("_v")).persist()
+def seed_rows(df: DataFrame, features: str = "features", limit: int = 2000) -> np.ndarray:
+    """Up to about ``limit`` rows, chosen by a hash of their content, to start centres from.
+
+    They only place the first centres; every fit runs over all rows.
+    """
+    n, h = df.count(), F.xxhash64(features)
+    rows = df.select(features)
+    if n > limit:                                          # copies of one row fall together: one of them will do
+        rows = rows.where(F.pmod(h, F.lit(-(-n // limit))) == 0).distinct().orderBy(h).limit(4 * limit)
+    return np.array(sorted(r[0] for r in rows.collect()), float)
+
+
+def spread_centers(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """First centres far from one another: each is the best of a few drawn by squared distance."""
+    picks = [rows[rng.integers(len(rows))]]
+    near = ((rows - picks[0]) ** 2).sum(axis=1)
+    for _ in range(1, k):
+        total = near.sum()
+        weights = near / total if total > 0 else None
+        tries = rng.choice(len(rows), size=2 + int(np.log(k)), p=weights)
+        left = np.minimum(near[None], ((rows[None] - rows[tries][:, None]) ** 2).sum(axis=2))
+        best = int(np.argmin(left.sum(axis=1)))
+        picks.append(rows[tries[best]])
+        near = left[best]
+    return np.array(picks)
+
+
+def _nearest(x: np.ndarray, models: list[np.ndarray]):
+    """Labels and squared distances of rows under each model."""
+    for c in models:
+        d = (x ** 2).sum(axis=1)[:, None] - 2 * x @ c.T + (c ** 2).sum(axis=1)[None]
+        lab = d.argmin(axis=1)
+        yield lab, ((x - c[lab]) ** 2).sum(axis=1)
+
+
+def _cluster_sums(df: DataFrame, features: str, models: list[np.ndarray], means: list[np.ndarray] | None = None):
+    """Per model: cluster sizes, vector sums, squared distances to the centres, distances to ``means``.
+
+    One job serves all models.  A task adds its rows to one record per cluster
+    and model and hands over those records alone.
+    """
+    held = df.sparkSession.sparkContext.broadcast((models, means))
+    dims = models[0].shape[1]
+
+    def partial(batches):
+        ms, mu = held.value
+        size = [np.zeros(len(c)) for c in ms]
+        sums, within, apart = [np.zeros_like(c) for c in ms], [np.zeros(len(c)) for c in ms], [np.zeros(len(c)) for c in ms]
+        for pdf in batches:
+            x = np.array(pdf["f"].tolist(), float).reshape(len(pdf), -1)
+            for m, (lab, d2) in enumerate(_nearest(x, ms)):
+                k = len(ms[m])
+                size[m] += np.bincount(lab, minlength=k)
+                within[m] += np.bincount(lab, d2, minlength=k)
+                sums[m] += np.eye(k)[lab].T @ x
+                if mu is not None:
+                    apart[m] += np.bincount(lab, np.sqrt(((x - mu[m][lab]) ** 2).sum(axis=1)), minlength=k)
+        for m, c in enumerate(ms):
+            yield pd.DataFrame({"m": m, "c": np.arange(len(c)), "size": size[m], "within": within[m],
+                                "apart": apart[m], "s": list(sums[m])})
+
+    out = df.select(F.col(features).alias("f")).mapInPandas(
+        partial, "m int, c int, size double, within double, apart double, s array<double>")
+    rows = out.groupBy("m", "c").agg(
+        *[F.sum(v).alias(v) for v in ("size", "within", "apart")], F.array(*[F.sum(F.col("s")[i]) for i in range(dims)]).alias("s")).collect()
+    size, within, apart = [[np.zeros(len(c)) for c in models] for _ in range(3)]
+    sums = [np.zeros_like(c) for c in models]
+    for r in rows:                                         # one record per centre
+        size[r["m"]][r["c"]], within[r["m"]][r["c"]], apart[r["m"]][r["c"]] = r["size"], r["within"], r["apart"]
+        sums[r["m"]][r["c"]] = r["s"]
+    return size, sums, within, apart
+
+
+def lloyd(df: DataFrame, starts: list[np.ndarray], features: str = "features", max_iter: int = 300,
+          tol: float = 1e-4) -> list[tuple[np.ndarray, float]]:
+    """Run many k-means models together, one job per round; centres and inertia of each.
+
+    A model leaves the rounds once its centres move less than ``tol`` times
+    the mean variance of the features.  An empty cluster keeps its centre.
+    """
+    dims = starts[0].shape[1]
+    spread = df.agg(*[F.var_pop(F.col(features)[i]) for i in range(dims)]).first()
+    limit = tol * float(np.mean([v or 0.0 for v in spread]))
+    centers, inertia = [s.copy() for s in starts], [np.inf] * len(starts)
+    active = list(range(len(starts)))
+    for _ in range(max_iter):
+        size, sums, within, _ = _cluster_sums(df, features, [centers[i] for i in active])
+        still = []
+        for j, i in enumerate(active):
+            inertia[i] = float(within[j].sum())
+            moved = np.where(size[j][:, None] > 0, sums[j] / np.maximum(size[j], 1)[:, None], centers[i])
+            if ((moved - centers[i]) ** 2).sum() > limit:
+                still.append(i)
+            centers[i] = moved
+        active = still
+        if not active:
+            break
+    final = _cluster_sums(df, features, centers)[2]
+    return [(c, float(w.sum())) for c, w in zip(centers, final)]
+
+
+def fit_grid(df: DataFrame, grid: list[tuple[int, int]], restarts: int = 10, features: str = "features") -> list[tuple[np.ndarray, float]]:
+    """Best of the restarts for every (k, seed) of a grid, all fitted together."""
+    rows = seed_rows(df, features)
+    if not len(rows):
+        raise ValueError("no rows to cluster")
+    starts = [spread_centers(rows, k, np.random.default_rng((seed, r))) for k, seed in grid for r in range(restarts)]
+    fits = lloyd(df, starts, features)
+    return [min(fits[i * restarts:(i + 1) * restarts], key=lambda f: f[1]) for i in range(len(grid))]
+
+
+def fit_kmeans(df: DataFrame, k: int, seed: int = 42, restarts: int = 10, features: str = "features") -> tuple[np.ndarray, float]:
+    """Centres and inertia of the best restart."""
+    rows = df.select(features).persist()
     try:
         n = rows.count()
         if n <= k:
             raise ValueError(f"{n} rows are too few for k={k}")
-        fits = [KMeans(k=k, seed=seed + 7919 * r, featuresCol="_v", predictionCol="_c", maxIter=300, tol=1e-4).fit(rows)
-                for r in range(restarts)]
+        return fit_grid(rows, [(k, seed)], restarts, features)[0]
     finally:
         rows.unpersist()
-    return min(fits, key=lambda m: m.summary.trainingCost)
 
 
-def predict(df: DataFrame, model, name: str = "cluster", features: str = "features") -> DataFrame:
-    rows = df.withColumn("_v", array_to_vector(features))
-    return model.copy({model.featuresCol: "_v", model.predictionCol: name}).transform(rows).drop("_v")
+def predict_many(df: DataFrame, models: list[np.ndarray], name: str = "labels", features: str = "features") -> DataFrame:
+    """Nearest centre under each model as ``array<int>``."""
+    held = df.sparkSession.sparkContext.broadcast(models)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def nearest(f: pd.Series) -> pd.Series:
+        x = np.array(f.tolist(), float).reshape(len(f), -1)
+        return pd.Series(list(np.column_stack([lab for lab, _ in _nearest(x, held.value)]).astype(np.int32)))
+
+    return df.withColumn(name, nearest(features))
+
+
+def predict(df: DataFrame, centers: np.ndarray, name: str = "cluster", features: str = "features") -> DataFrame:
+    return predict_many(df, [centers], "_l", features).withColumn(name, F.col("_l")[0]).drop("_l")
 
 
 def cluster_centers(df: DataFrame, label: str, dims: int, features: str = "features") -> DataFrame:
@@ -82,28 +201,43 @@ def center_distances(df: DataFrame, label: str, dims: int, features: str = "feat
         "dist_to_centroid", F.sqrt(squared_distance(F.col(features), F.col("center")))).drop("center")
 
 
-def cluster_scores(df: DataFrame, label: str, dims: int, features: str = "features") -> dict[str, float]:
-    """Inertia, Calinski-Harabasz and Davies-Bouldin from per-cluster aggregates."""
-    rows = center_distances(df, label, dims, features).groupBy(label).agg(
-        F.count(F.lit(1)).alias("size"), F.sum(F.pow("dist_to_centroid", 2)).alias("within"),
-        F.avg("dist_to_centroid").alias("scatter"),
-        F.array(*[F.avg(F.col(features)[i]) for i in range(dims)]).alias("center")).collect()
-    size, within = np.array([r["size"] for r in rows], float), np.array([r["within"] for r in rows])
-    scatter, center = np.array([r["scatter"] for r in rows]), np.array([r["center"] for r in rows])
-    n, k = size.sum(), len(rows)
-    inertia = float(within.sum())
+def _scores(size: np.ndarray, center: np.ndarray, within: float, scatter: np.ndarray) -> dict[str, float]:
+    """Inertia, Calinski-Harabasz and Davies-Bouldin from sizes, means and mean distances."""
+    n, k = size.sum(), len(size)
     if k < 2 or n <= k:
-        return {"inertia": inertia, "calinski_harabasz": None, "davies_bouldin": None}
+        return {"inertia": within, "calinski_harabasz": None, "davies_bouldin": None}
     between = float(np.sum(size * np.sum((center - (size @ center) / n) ** 2, axis=1)))
     apart = np.sqrt(((center[:, None] - center[None]) ** 2).sum(axis=2))
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = np.where(apart > 0, (scatter[:, None] + scatter[None]) / apart, 0.0)
     np.fill_diagonal(ratio, 0.0)
-    return {"inertia": inertia,
-            "calinski_harabasz": float(between / (k - 1) / (inertia / (n - k))) if inertia > 0 else 1.0,
+    return {"inertia": within,
+            "calinski_harabasz": float(between / (k - 1) / (within / (n - k))) if within > 0 else 1.0,
             "davies_bouldin": float(ratio.max(axis=1).mean())}
 
 
+def cluster_scores(df: DataFrame, label: str, dims: int, features: str = "features") -> dict[str, float]:
+    """Inertia, Calinski-Harabasz and Davies-Bouldin of given labels from per-cluster aggregates."""
+    rows = center_distances(df, label, dims, features).groupBy(label).agg(
+        F.count(F.lit(1)).alias("size"), F.sum(F.pow("dist_to_centroid", 2)).alias("within"),
+        F.avg("dist_to_centroid").alias("scatter"),
+        F.array(*[F.avg(F.col(features)[i]) for i in range(dims)]).alias("center")).collect()
+    return _scores(np.array([r["size"] for r in rows], float), np.array([r["center"] for r in rows]),
+                   float(sum(r["within"] for r in rows)), np.array([r["scatter"] for r in rows]))
+
+
+def model_scores(df: DataFrame, models: list[np.ndarray], features: str = "features") -> list[dict[str, float]]:
+    """The same for many fitted models at once, in two jobs."""
+    size, sums, *_ = _cluster_sums(df, features, models)
+    means = [np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], c) for n, s, c in zip(size, sums, models)]
+    _, _, within, apart = _cluster_sums(df, features, models, means)
+    out = []
+    for n, mu, w, a in zip(size, means, within, apart):
+        used = n > 0
+        out.append(_scores(n[used], mu[used], float(w.sum()), a[used] / n[used]))
+    return out
+
+
 def distance_sums(df: DataFrame, key: str, labels: str, features: str = "features",
                   block_rows: int = 2048) -> DataFrame:
     """Sum of distances from each row to every cluster of each labeling.
@@ -185,29 +319,29 @@ def linear_silhouette(df: DataFrame, label: str, dims: int, features: str = "fea
         F.coalesce(F.try_divide(F.col("_b") - F.col("_a"), F.greatest("_a", "_b")), F.lit(0.0)))).drop("_a", "_b")
 
 
-def k_search(df: DataFrame, key: str, k_grid, seeds, restarts: int = 10, features: str = "features",
-             dims: int | None = None) -> DataFrame:
-    """One row per (k, seed): inertia, silhouette, Calinski-Harabasz, Davies-Bouldin."""
-    n, dims = df.count(), dims or len(df.select(features).first()[0])
-    if n < max(k_grid):
-        raise ValueError(f"{n} rows are fewer than the largest k {max(k_grid)}")
-    grid, labeled = [(k, s) for k in k_grid for s in seeds], df.select(key, features)
-    names = [f"_fit{i}" for i in range(len(grid))]
-    for (k, s), name in zip(grid, names):
-        labeled = predict(labeled, fit_kmeans(df, k, s, restarts, features), name, features)
-    labeled = labeled.select(key, features, *names, F.array(*names).alias("_labels")).persist()
+def k_search(df: DataFrame, key: str, k_grid, seeds, restarts: int = 10, features: str = "features") -> DataFrame:
+    """One row per (k, seed): inertia, silhouette, Calinski-Harabasz, Davies-Bouldin.
+
+    The whole grid is fitted, scored and judged together: the number of jobs
+    is that of one fit.
+    """
+    grid = [(k, s) for k in k_grid for s in seeds]
+    rows = df.select(key, features).persist()
     try:
-        sil = {r["labeling"]: r["s"] for r in silhouettes(labeled, key, "_labels", features)
+        n = rows.count()
+        if n < max(k_grid):
+            raise ValueError(f"{n} rows are fewer than the largest k {max(k_grid)}")
+        models = [c for c, _ in fit_grid(rows, grid, restarts, features)]
+        scores = model_scores(rows, models, features)
+        sil = {r["labeling"]: r["s"] for r in silhouettes(predict_many(rows, models, "labels", features), key, "labels", features)
                .groupBy("labeling").agg(F.avg("silhouette").alias("s")).collect()}
-        rows = []
-        for i, (k, s) in enumerate(grid):
-            sc = cluster_scores(labeled, names[i], dims, features)
-            rows.append((k, s, sc["inertia"], sil.get(i), sc["calinski_harabasz"], sc["davies_bouldin"], n, dims))
     finally:
-        labeled.unpersist()
+        rows.unpersist()
     return df.sparkSession.createDataFrame(
-        rows, "k int, random_state int, inertia double, silhouette double, calinski_harabasz double, "
-              "davies_bouldin double, n_samples bigint, n_features int")
+        [(k, s, sc["inertia"], sil.get(i), sc["calinski_harabasz"], sc["davies_bouldin"], n, models[i].shape[1])
+         for i, ((k, s), sc) in enumerate(zip(grid, scores))],
+        "k int, random_state int, inertia double, silhouette double, calinski_harabasz double, "
+        "davies_bouldin double, n_samples bigint, n_features int")
 
 
 def k_search_summary(fits: DataFrame) -> DataFrame:
