@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wardatlas.functions import geometry as G
 from wardatlas.operators import overlay
 from wardatlas.plans import build_inputs
+from wardatlas.storage import materialize
 
 from . import views as V
 from .registry import case, r6
@@ -137,7 +138,7 @@ def g8(spark, d):
     """Edges cut by each plan."""
     ids = V.unit(spark, d).select(F.col("vtdkey").alias("unit_idx"), "vtd_geoid")
     units = V.with_rings(V.unit_box(spark, d)).join(ids, "unit_idx").select("vtd_geoid", "rings")
-    return overlay.cut_edges(overlay.adjacency(units, "vtd_geoid"), V.plan_map(spark, d))
+    return overlay.cut_edges(materialize(overlay.adjacency(units, "vtd_geoid")), V.plan_map(spark, d))
 
 
 @case("g9_invalid_geometries", "SELECT p_partkey AS block_idx, CASE WHEN p_partkey % 7 = 0 THEN 'zero area' WHEN p_partkey % 7 = 1 THEN 'ring not closed' ELSE 'ring with fewer than 4 points' END AS reason FROM part WHERE p_partkey % 7 < 3")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wardatlas.functions import scalars as S
 from wardatlas.operators import elections, ensemble, keyed, opportunity, profile, rollup
-from wardatlas.operators.order_stats import distribution, ecdf_positions
+from wardatlas.operators.joins import salted_join, small_side
+from wardatlas.operators.order_stats import ecdf_positions
 from wardatlas.plans import build_inputs
 from wardatlas.sources import loaders, readers, writers
 from wardatlas.storage import scratch_path
@@ -429,7 +429,6 @@ def a15(spark, d):
 
 @case("j3_map_with_demographics", "SELECT plan_id, vtd_geoid, district_id, vap_total FROM fx_plan_map JOIN fx_unit USING (vtd_geoid)", ("fx_plan_map",))
 def j3(spark, d):
-    from wardatlas.operators.joins import small_side
     return V.plan_map(spark, d).join(small_side(V.unit(spark, d).select("vtd_geoid", "vap_total")), "vtd_geoid")
 
 
@@ -535,8 +534,7 @@ def a6p(spark, d):
 @case("a6_ensemble_distribution_share", f"SELECT ensemble_id, opp_def_id, 'mean_minority_share' AS metric_name, {DIST} FROM {J.format(m='mean_minority_share')} WHERE plan_type = 'ENSEMBLE' GROUP BY 1,2", ("fx_metrics",))
 def a6s(spark, d):
     """A continuous metric, through the range-cut ranking."""
-    from wardatlas.storage import materialize
-    return r6(ensemble.ensemble_distribution(materialize(_metrics(spark, d)), V.plan(spark, d), "mean_minority_share"))
+    return r6(ensemble.ensemble_distribution(_metrics(spark, d), V.plan(spark, d), "mean_minority_share"))
 
 
 @case("a7_ensemble_draws", f"SELECT ensemble_id, plan_id, opp_def_id, v AS metric_value FROM {J.format(m='n_opportunity_districts')} WHERE plan_type = 'ENSEMBLE'", ("fx_metrics",))
@@ -566,8 +564,7 @@ def a8(spark, d):
 
 @case("a9_plan_vs_ensemble_share", VERSUS.format(j=J.format(m="mean_minority_share"), m="mean_minority_share"), ("fx_metrics",))
 def a9(spark, d):
-    from wardatlas.storage import materialize
-    return r6(ensemble.plan_vs_ensemble(materialize(_metrics(spark, d)), V.plan(spark, d), "mean_minority_share"))
+    return r6(ensemble.plan_vs_ensemble(_metrics(spark, d), V.plan(spark, d), "mean_minority_share"))
 
 
 @case("j16_share_of_draws_at_most", """
@@ -577,7 +574,7 @@ def j16(spark, d):
     """Every event placed among all events of its type: as many targets as draws."""
     e = V.table(spark, d, "events").select("event_type", "event_id", "value")
     placed = ecdf_positions(e, e, ["event_type"], "value")
-    return r6(e.join(placed, ["event_type", "value"]).select(
+    return r6(salted_join(e, placed, ["event_type", "value"]).select(
         "event_type", "event_id", "value", (F.col("n_le") / F.col("n_draws")).alias("percentile")))
 
 

@@ -156,3 +156,20 @@ def test_invalid_reasons(spark):
                 [[(0, 0), (float("nan"), 0), (1, 1), (0, 0)]], CONCAVE)
     got = {r["id"]: r["reason"] for r in overlay.invalid_geometries(bad, "id").collect()}
     assert set(got) == {0, 1, 2, 3, 4} and got[2] == "ring not closed" and got[3] == "zero area"
+
+
+def test_boxes_of_very_different_sizes(spark):
+    rng = np.random.default_rng(8)
+
+    def layer(n, names):
+        size = 10.0 ** rng.uniform(-3, 2, n)
+        x, y = rng.random(n) * 60 - 30, rng.random(n) * 60 - 30
+        rows = [(i, float(a), float(b), float(a + c), float(b + c * r)) for i, (a, b, c, r) in enumerate(zip(x, y, size, rng.random(n)))]
+        return rows, spark.createDataFrame(rows, ", ".join([names[0] + " int"] + [f"{names[1]}{c} double" for c in ("x0", "y0", "x1", "y1")]))
+
+    a, s = layer(150, ("s", "s_"))
+    b, t = layer(150, ("t", "t_"))
+    got = sorted((r["s"], r["t"]) for r in overlay.candidate_pairs(s, t, rows_per_task=40).select("s", "t").collect())
+    want = sorted((p[0], q[0]) for p in a for q in b if max(p[1], q[1]) < min(p[3], q[3]) and max(p[2], q[2]) < min(p[4], q[4]))
+    assert got == want and len(want) > 100
+    assert overlay.candidate_pairs(s.where("false"), t).columns == [*s.columns, *t.columns]

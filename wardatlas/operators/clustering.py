@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .joins import small_side
+from .joins import sized_join, small_side
 from .moments import covariance
 
 
@@ -74,39 +74,34 @@ def _nearest(x: np.ndarray, models: list[np.ndarray]):
 def _cluster_sums(df: DataFrame, features: str, models: list[np.ndarray], means: list[np.ndarray] | None = None):
     """Per model: cluster sizes, vector sums, squared distances to the centres, distances to ``means``.
 
-    One job serves all models.  A task adds its rows to one record per cluster
-    and model and hands over those records alone.
+    One job serves all models.  A task adds its rows to one array that holds
+    these numbers for every cluster and hands over that alone.
     """
     held = df.sparkSession.sparkContext.broadcast((models, means))
-    dims = models[0].shape[1]
+    dims, edges = models[0].shape[1], np.cumsum([0, *[len(c) for c in models]])
+    total = int(edges[-1])
 
     def partial(batches):
         ms, mu = held.value
-        size = [np.zeros(len(c)) for c in ms]
-        sums, within, apart = [np.zeros_like(c) for c in ms], [np.zeros(len(c)) for c in ms], [np.zeros(len(c)) for c in ms]
+        acc = np.zeros((total, 3 + dims))
         for pdf in batches:
             x = np.array(pdf["f"].tolist(), float).reshape(len(pdf), -1)
             for m, (lab, d2) in enumerate(_nearest(x, ms)):
-                k = len(ms[m])
-                size[m] += np.bincount(lab, minlength=k)
-                within[m] += np.bincount(lab, d2, minlength=k)
-                sums[m] += np.eye(k)[lab].T @ x
+                k, part = len(ms[m]), acc[edges[m]:edges[m + 1]]
+                part[:, 0] += np.bincount(lab, minlength=k)
+                part[:, 1] += np.bincount(lab, d2, minlength=k)
                 if mu is not None:
-                    apart[m] += np.bincount(lab, np.sqrt(((x - mu[m][lab]) ** 2).sum(axis=1)), minlength=k)
-        for m, c in enumerate(ms):
-            yield pd.DataFrame({"m": m, "c": np.arange(len(c)), "size": size[m], "within": within[m],
-                                "apart": apart[m], "s": list(sums[m])})
-
-    out = df.select(F.col(features).alias("f")).mapInPandas(
-        partial, "m int, c int, size double, within double, apart double, s array<double>")
-    rows = out.groupBy("m", "c").agg(
-        *[F.sum(v).alias(v) for v in ("size", "within", "apart")], F.array(*[F.sum(F.col("s")[i]) for i in range(dims)]).alias("s")).collect()
-    size, within, apart = [[np.zeros(len(c)) for c in models] for _ in range(3)]
-    sums = [np.zeros_like(c) for c in models]
-    for r in rows:                                         # one record per centre
-        size[r["m"]][r["c"]], within[r["m"]][r["c"]], apart[r["m"]][r["c"]] = r["size"], r["within"], r["apart"]
-        sums[r["m"]][r["c"]] = r["s"]
-    return size, sums, within, apart
+                    part[:, 2] += np.bincount(lab, np.sqrt(((x - mu[m][lab]) ** 2).sum(axis=1)), minlength=k)
+                part[:, 3:] += np.eye(k)[lab].T @ x
+        yield pd.DataFrame({"at": np.arange(acc.size), "v": acc.ravel()})
+
+    got = df.select(F.col(features).alias("f")).mapInPandas(partial, "at int, v double").groupBy("at").agg(
+        F.sum("v").alias("v")).toPandas()                    # (3 + dims) numbers per centre
+    flat = np.zeros(total * (3 + dims))
+    flat[got["at"].to_numpy()] = got["v"].to_numpy()
+    per_model = np.split(flat.reshape(total, 3 + dims), edges[1:-1])
+    return ([p[:, 0] for p in per_model], [p[:, 3:] for p in per_model],
+            [p[:, 1] for p in per_model], [p[:, 2] for p in per_model])
 
 
 def lloyd(df: DataFrame, starts: list[np.ndarray], features: str = "features", max_iter: int = 300,
@@ -196,8 +191,8 @@ def centroid_profiles(df: DataFrame, label: str, cols: list[str]) -> DataFrame:
 
 def center_distances(df: DataFrame, label: str, dims: int, features: str = "features") -> DataFrame:
     """Rows with the distance to the centre of their cluster."""
-    centers = small_side(cluster_centers(df, label, dims, features).drop("size"))
-    return df.join(centers, label).withColumn(
+    centers = cluster_centers(df, label, dims, features).drop("size")
+    return sized_join(df, centers, [label]).withColumn(
         "dist_to_centroid", F.sqrt(squared_distance(F.col(features), F.col("center")))).drop("center")
 
 

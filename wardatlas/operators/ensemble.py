@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import small_side
+from ..storage import materialize
+from .joins import salted_join, small_side
 from .order_stats import distribution, ecdf_positions
 
 # Quantile columns of the distribution table.
@@ -80,6 +81,8 @@ def ensemble_distribution(metrics: DataFrame, plans: DataFrame, metric: str = "n
     ``by=()`` pools the definitions of an ensemble.
     """
     draws = ensemble_draws(metrics, plans, metric, ensemble_id)
+    if _spread(metric) == "quantile":                      # read twice: keep the roll-up behind it to one run
+        draws = materialize(draws)
     out = distribution(draws, ["ensemble_id", *by], "metric_value", QUANTILES, spread=_spread(metric))
     return out.select("ensemble_id", *by, F.lit(metric).alias("metric_name"), F.col("n").alias("n_plans"),
                       "mean", "sd", *QUANTILES, "min", "max")
@@ -87,16 +90,21 @@ def ensemble_distribution(metrics: DataFrame, plans: DataFrame, metric: str = "n
 
 def plan_vs_ensemble(metrics: DataFrame, plans: DataFrame, metric: str = "n_opportunity_districts",
                      ensemble_id: str | None = None, by: tuple[str, ...] = ("opp_def_id",)) -> DataFrame:
-    """Where each plan that is no ensemble plan falls among the plans of its ensemble."""
+    """Where each plan that is no ensemble plan falls among the plans of its ensemble.
+
+    The metric rows, one per plan and definition, are stored first: they are
+    read several times, and the roll-up behind them should run once.
+    """
     rows = metric_values(metrics, plans, metric)
     if ensemble_id is not None:
         rows = rows.where(F.col("ensemble_id") == ensemble_id)
+    rows = materialize(rows)
     targets = rows.where(F.col("plan_type") != "ENSEMBLE")
     draws = rows.where(F.col("plan_type") == "ENSEMBLE")
     keys = ["ensemble_id", *by]
     placed = ecdf_positions(targets, draws, keys, "metric_value", spread=_spread(metric))
     v, n = F.col("metric_value"), F.col("n_draws")
-    return targets.join(placed, [*keys, "metric_value"]).select(
+    return salted_join(targets, placed, [*keys, "metric_value"]).select(
         "plan_id", "plan_type", "ensemble_id", "opp_def_id", F.lit(metric).alias("metric_name"),
         v.alias("plan_value"), n, F.try_divide("n_le", n).alias("percentile"),
         F.when(F.col("draw_sd") > 0, (v - F.col("draw_mean")) / F.col("draw_sd")).alias("z_score"),

@@ -191,10 +191,9 @@ def _project_blocks(composition: DataFrame, draws: DataFrame, g: list[str], bloc
     dot = lambda d: sum((F.col(c) * d[i] for i, c in enumerate(g)), F.lit(0.0))
     p = met.select("plan_id", "district_id", F.explode(F.transform("ds", dot)).alias("p"))
     keys = ["plan_id", "district_id"]
-    won = p.groupBy(*keys).agg(F.avg(F.when(F.col("p") > 0.5, 1.0).otherwise(0.0)).alias("win"))
-    return distribution(p, keys, "p", {"q05": 0.05, "q95": 0.95}).join(won, keys).select(
-        *keys, "win", F.col("mean").alias("dem_share_pred_mean"), F.col("q05").alias("dem_share_pred_q05"),
-        F.col("q95").alias("dem_share_pred_q95"))
+    return distribution(p, keys, "p", {"q05": 0.05, "q95": 0.95}, above=0.5).select(
+        *keys, F.col("share_above").alias("win"), F.col("mean").alias("dem_share_pred_mean"),
+        F.col("q05").alias("dem_share_pred_q05"), F.col("q95").alias("dem_share_pred_q95"))
 
 
 def project_ensemble(demo: DataFrame, plans: DataFrame, draws: DataFrame, ei_run_id: str, ensemble_id: str,

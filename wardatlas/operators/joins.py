@@ -54,3 +54,10 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], rows_per_task:
         "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
     ).drop("_salts")
     return lefts.join(rights, [*on, "_salt"], how).drop("_salt")
+
+
+def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Broadcast the right side if its counted size allows, else join with hot left keys salted."""
+    if has_more_rows(right, BROADCAST_ROWS):
+        return salted_join(left, right, on, how=how)
+    return left.join(F.broadcast(right), on, how)

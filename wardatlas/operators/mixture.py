@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import small_side
+from .joins import sized_join
 
 
 def low_component_membership(df: DataFrame, value: str, seed: int = 42) -> DataFrame:
@@ -27,7 +27,7 @@ def membership_from_draws(z: DataFrame, means: DataFrame, unit: str, iteration:
     The low component is named per iteration, so label switching cancels.
     """
     low = means.select(iteration, F.when(F.col("mu_1") < F.col("mu_2"), 1).otherwise(0).alias("_low"))
-    out = z.join(small_side(low), iteration).groupBy(unit).agg(
+    out = sized_join(z, low, [iteration]).groupBy(unit).agg(
         F.avg(F.when(F.col("component") == F.col("_low"), 1.0).otherwise(0.0)).alias("post_prob"))
     return flag(out)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .joins import small_side
+from .joins import sized_join
 
 # The standard definitions, a share of at least one half.
 STANDARD_DEFINITIONS = (
@@ -39,8 +39,8 @@ def district_opportunity(demo: DataFrame, opp_def: DataFrame) -> DataFrame:
         F.explode(F.array(*[F.struct(F.lit(c).alias("group_share_col"), F.col(c).alias("opp_value"))
                             for c in shares])).alias("s"),
     ).select("plan_id", "district_id", "share_minority_vap", "s.*")
-    # definitions are user configuration: a few rows, counted before they are broadcast
-    out = tall.join(small_side(opp_def.select("opp_def_id", "group_share_col", "threshold")), "group_share_col")
+    # four share names serve as keys, so a definition table too large to broadcast meets them salted
+    out = sized_join(tall, opp_def.select("opp_def_id", "group_share_col", "threshold"), ["group_share_col"])
     return out.select(
         "plan_id", "district_id", "opp_def_id", "opp_value",
         F.coalesce(F.col("opp_value") >= F.col("threshold"), F.lit(False)).alias("is_opportunity"),

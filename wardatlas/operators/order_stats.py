@@ -104,14 +104,21 @@ def _value_at(position: Column, value: str) -> Column:
 
 
 def distribution(df: DataFrame, by: list[str], value: str, probs: dict[str, float], *,
-                 spread: str = "quantile") -> DataFrame:
-    """Count, mean, sample sd, min, max and interpolated quantiles per group, all exact."""
+                 spread: str = "quantile", above: float | None = None) -> DataFrame:
+    """Count, mean, sample sd, min, max and interpolated quantiles per group, all exact.
+
+    ``above`` adds the share of values greater than it as ``share_above``.
+    With the default spread the input is read twice; hand in a stored table
+    where it is dear to compute.
+    """
     ranked = ranked_values(df, by, value, spread=spread).withColumn("_v", F.col(value).cast("double"))
     aggs = [
         F.max("n").alias("n"), F.max("mean").alias("mean"),
         F.sum(F.col("cnt") * F.pow(F.col("_v") - F.col("mean"), 2)).alias("_ss"),
         F.min("_v").alias("min"), F.max("_v").alias("max"),
     ]
+    if above is not None:
+        aggs.append(F.sum(F.when(F.col("_v") > above, F.col("cnt")).otherwise(0)).alias("_above"))
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("n") - 1)
         aggs += [_value_at(F.floor(pos), "_v").alias(f"_lo_{name}"),
@@ -119,6 +126,8 @@ def distribution(df: DataFrame, by: list[str], value: str, probs: dict[str, floa
     g = ranked.groupBy(*by).agg(*aggs)
     cols = [F.col("n").cast("bigint").alias("n"), "mean",
             F.when(F.col("n") > 1, F.sqrt(F.col("_ss") / (F.col("n") - 1))).alias("sd"), "min", "max"]
+    if above is not None:
+        cols.append((F.col("_above") / F.col("n")).alias("share_above"))
     for name, p in probs.items():
         frac = F.lit(float(p)) * (F.col("n") - 1)
         frac = frac - F.floor(frac)

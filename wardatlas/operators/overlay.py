@@ -16,37 +16,61 @@ def _with_box(df: DataFrame, rings: str, prefix: str) -> DataFrame:
     return df.withColumns(dict(zip(names, G.bounds(rings))))
 
 
-def cell_size(df: DataFrame, prefix: str) -> float:
-    """Mean box extent of a layer: a box then touches a few cells only."""
-    w = F.col(f"{prefix}x1") - F.col(f"{prefix}x0")
-    h = F.col(f"{prefix}y1") - F.col(f"{prefix}y0")
-    size = df.agg(F.greatest(F.avg(w), F.avg(h))).first()[0]
-    return float(size) if size and size > 0 else 1.0
+def _level(prefix: str):
+    """Power of two that just holds the longer side of a box."""
+    return F.ceil(F.log2(F.greatest(F.col(f"{prefix}x1") - F.col(f"{prefix}x0"),
+                                    F.col(f"{prefix}y1") - F.col(f"{prefix}y0")))).cast("int")
 
 
-def _cells(df: DataFrame, prefix: str, size: float) -> DataFrame:
+def _levels(df: DataFrame) -> list[int]:
+    return sorted(df.agg(F.collect_set("_own").alias("l")).first()["l"])      # binary exponents: a few dozen
+
+
+def _cells(df: DataFrame, prefix: str) -> DataFrame:
+    """Grid cells of size 2^_at that a box touches: at most four, as the box is no larger than a cell."""
+    size = F.pow(F.lit(2.0), F.col("_at"))
+
     def run(low: str, high: str):
         return F.sequence(F.floor(F.col(low) / size).cast("bigint"), F.floor(F.col(high) / size).cast("bigint"))
 
     return df.withColumn("_cx", F.explode(run(f"{prefix}x0", f"{prefix}x1"))).withColumn(
-        "_cy", F.explode(run(f"{prefix}y0", f"{prefix}y1")))
+        "_cy", F.explode(run(f"{prefix}y0", f"{prefix}y1"))).drop("_own")
 
 
-def candidate_pairs(source: DataFrame, target: DataFrame, size: float | None = None,
-                    rows_per_task: int = 200_000) -> DataFrame:
+def candidate_pairs(source: DataFrame, target: DataFrame, rows_per_task: int = 200_000) -> DataFrame:
     """Pairs whose boxes (``s_x0``.. and ``t_x0``..) share an area.
 
-    Boxes meet on the grid cells they touch; a crowded cell is salted.  A pair
-    that shares several cells is kept only in the cell of the lower left
-    corner of the shared box, so no distinct is needed.
+    Every box has its own grid, the one whose cells just hold it.  Two boxes
+    meet on the grid of the larger one, where that one lies in at most four
+    cells and, in a layer that does not overlap itself, next to few others.
+    So a crowded district of small boxes never meets itself as all pairs,
+    however sizes mix.  Cells with many of the smaller boxes are salted.  A
+    pair is kept only in the cell of the lower left corner of the shared box,
+    so no distinct is needed.
     """
-    size = size or cell_size(target, "t_")
-    pairs = salted_join(_cells(source, "s_", size), _cells(target, "t_", size), ["_cx", "_cy"], rows_per_task)
+    s = source.withColumn("_own", _level("s_")).where("_own is not null")      # a box without extent has no level
+    t = target.withColumn("_own", _level("t_")).where("_own is not null")
+    s_levels, t_levels = _levels(s), _levels(t)
     low_x, low_y = F.greatest("s_x0", "t_x0"), F.greatest("s_y0", "t_y0")
-    return pairs.where(
-        (low_x < F.least("s_x1", "t_x1")) & (low_y < F.least("s_y1", "t_y1"))
-        & (F.floor(low_x / size) == F.col("_cx")) & (F.floor(low_y / size) == F.col("_cy"))
-    ).drop("_cx", "_cy")
+    size = F.pow(F.lit(2.0), F.col("_at"))
+
+    def meet(small: DataFrame, p: str, large: DataFrame, q: str, levels: list[int], strictly: bool) -> DataFrame:
+        reach = F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: (v > F.col("_own")) if strictly else (v >= F.col("_own")))
+        left = _cells(small.withColumn("_at", F.explode(reach)), p)
+        right = _cells(large.withColumn("_at", F.col("_own")), q)
+        return salted_join(left, right, ["_at", "_cx", "_cy"], rows_per_task).where(
+            (low_x < F.least("s_x1", "t_x1")) & (low_y < F.least("s_y1", "t_y1"))
+            & (F.floor(low_x / size) == F.col("_cx")) & (F.floor(low_y / size) == F.col("_cy"))
+        ).select(*source.columns, *target.columns)
+
+    if not s_levels or not t_levels:
+        return source.where("false").withColumns({c: F.lit(None).cast(k) for c, k in target.dtypes})
+    parts = []
+    if s_levels[0] <= t_levels[-1]:                        # target at least as large
+        parts.append(meet(s, "s_", t, "t_", t_levels, False))
+    if t_levels[0] < s_levels[-1]:                         # source larger
+        parts.append(meet(t, "t_", s, "s_", s_levels, True))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def overlay_boxes(source: DataFrame, target: DataFrame, source_id: str, target_id: str) -> DataFrame:
@@ -166,16 +190,16 @@ def adjacency(units: DataFrame, unit_id: str, rings: str = "rings", tolerance: f
 def cut_edges(edges: DataFrame, plan_map: DataFrame) -> DataFrame:
     """Edges whose two units lie in different districts, per plan.
 
-    Each assignment row meets the edges at its unit (the edge list is
-    broadcast when its counted size allows), and the two ends of an edge meet
-    again in one grouping that combines before the shuffle.
+    An assignment row meets the edges that start at its unit (the edge list
+    is broadcast when its counted size allows) and then the row of the unit at
+    the other end, on plan and unit, so no key gathers a plan.
     """
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("vtd_geoid"), "src", "dst")
-    touched = plan_map.select("plan_id", "vtd_geoid", "district_id").join(small_side(ends), "vtd_geoid")
-    per_edge = touched.groupBy("plan_id", "src", "dst").agg(
-        F.count(F.lit(1)).alias("n_ends"), (F.min("district_id") != F.max("district_id")).alias("cut"))
-    return per_edge.where("n_ends = 2").groupBy("plan_id").agg(
-        F.count(F.lit(1)).alias("n_edges"), F.count_if("cut").alias("n_cut_edges"))
+    m = plan_map.select("plan_id", "vtd_geoid", "district_id")
+    start = m.withColumnsRenamed({"vtd_geoid": "src", "district_id": "_from"})
+    end = m.withColumnsRenamed({"vtd_geoid": "dst", "district_id": "_to"})
+    reached = start.join(small_side(edges.select("src", "dst")), "src").join(end, ["plan_id", "dst"])
+    return reached.groupBy("plan_id").agg(
+        F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("_from") != F.col("_to")).alias("n_cut_edges"))
 
 
 def compactness(units: DataFrame, unit_id: str, rings: str = "rings") -> DataFrame:

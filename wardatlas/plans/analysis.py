@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import ensemble, inference, opportunity, rollup
 from ..sources import loaders, writers
+from ..storage import materialize
 
 STAGES = ("schema", "load", "sanity", "aggregates", "metrics", "ensemble", "ei", "export")
 
@@ -96,7 +97,7 @@ def ei(spark: SparkSession, cfg: AnalysisConfig, t: Tables) -> Tables:
     n = rows.count()
     if n == 0:
         raise ValueError("no valid rows remain for the inference")
-    draws = inference.support_draws(rows, cfg.replicates)
+    draws = materialize(inference.support_draws(rows, cfg.replicates))
     return {"ei_run": inference.ei_run(spark, cfg.ei_run_id, eid, election, n),
             "ei_posterior_group": inference.group_posterior(draws, cfg.ei_run_id),
             "ei_posterior_district": inference.project_ensemble(
