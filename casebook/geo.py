@@ -53,6 +53,18 @@ def g1c(spark, d):
     return r6(pairs.where("inter_area > 1e-9"))
 
 
+TILTED_AREA = "abs(0.0*0.1-1.5*0.0 + 1.5*1.3-1.4*0.1 + 1.4*0.8-0.7*1.3 + 0.7*1.2-0.1*0.8 + 0.1*0.0-0.0*1.2)/2 - 0.2*0.2"
+
+
+@case("g1_pieces_add_up", f"SELECT block_idx, round({TILTED_AREA},6) AS covered FROM fx_block_box WHERE x0 + 1.5e0 <= 40 AND y0 + 1.3e0 <= (SELECT max(y0) FROM fx_unit_box)", ("fx_block_box", "fx_unit_box"))
+def g1s(spark, d):
+    """Concave polygons with a hole, inside the covered region, cut by the units: the pieces make up the whole."""
+    top = V.unit_box(spark, d).agg(F.max("y0")).first()[0]
+    blocks = V.block_box(spark, d).where((F.col("x0") + 1.5 <= 40) & (F.col("y0") + 1.3 <= top))
+    pairs = overlay.overlay_polygons(_tilted(blocks, "block_idx"), V.with_rings(V.unit_box(spark, d)), "block_idx", "unit_idx")
+    return r6(pairs.groupBy("block_idx").agg(F.sum("inter_area").alias("covered")))
+
+
 BEST = """SELECT block_idx, unit_idx FROM (SELECT block_idx, unit_idx, row_number() OVER (PARTITION BY block_idx ORDER BY round(inter_area,9) DESC, unit_idx) AS rn
  FROM fx_overlay WHERE inter_area > 1e-9) t WHERE rn = 1"""
 
@@ -71,6 +83,14 @@ def g2(spark, d):
     return overlay.assign_by_area(V.block_box(spark, d).select("block_idx"), pairs, "block_idx", "unit_idx")
 
 
+@case("j11_labels_after_overlay", f"SELECT block_idx, vtd_geoid FROM fx_block_box LEFT JOIN ({BEST}) b USING (block_idx) LEFT JOIN fx_unit ON vtdkey = unit_idx", ("fx_overlay", "fx_unit"))
+def j11(spark, d):
+    """Text ids looked up for the assigned units; blocks without a unit keep NULL."""
+    pairs = _boxes(spark, d).withColumn("inter_area", F.round("inter_area", 9))
+    best = overlay.assign_by_area(V.block_box(spark, d).select("block_idx"), pairs, "block_idx", "unit_idx")
+    return best.join(V.unit(spark, d).select(F.col("vtdkey").alias("unit_idx"), "vtd_geoid"), "unit_idx", "left").select("block_idx", "vtd_geoid")
+
+
 POP = """SELECT u.unit_idx, cast(round_even(coalesce(t.p,0),0) AS bigint) AS pop FROM fx_unit_box u LEFT JOIN
  (SELECT unit_idx, round(sum(pop * least(greatest(inter_area/src_area,0e0),1e0)),9) AS p FROM fx_overlay GROUP BY 1) t USING (unit_idx)"""
 

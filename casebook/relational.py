@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wardatlas.functions import scalars as S
 from wardatlas.operators import elections, ensemble, keyed, opportunity, profile, rollup
 from wardatlas.operators.joins import salted_join, small_side
-from wardatlas.operators.order_stats import ecdf_positions
+from wardatlas.operators.order_stats import ecdf_positions, row_index
 from wardatlas.plans import build_inputs
 from wardatlas.sources import loaders, readers, writers
 from wardatlas.storage import scratch_path
@@ -258,7 +258,7 @@ def p20(spark, d):
     return profile.party_labels(V.features(spark, d).withColumn("rep_share", F.lit(2.0)), "district_id").select("district_id", "party")
 
 
-@case("p20_tied_party_label")
+@case("p20_tied_party_label", "SELECT 1 AS party, count(*)//2 AS n FROM customer UNION ALL SELECT 0, count(*) - count(*)//2 FROM customer")
 def p20t(spark, d):
     """All shares equal: the upper half of the rows by a hash of the key."""
     rows = V.features(spark, d).withColumns({"dem_share": F.lit(0.4), "rep_share": F.lit(0.6)})
@@ -354,6 +354,49 @@ def f8(spark, d):
     return r6(V.vectors(spark, d).select("vec_id", F.aggregate(f, F.lit(0.0), lambda s, v: s + v).alias("total"), dot.alias("norm2")))
 
 
+@case("f5_conditionals_and_nulls", "SELECT vtd_geoid, coalesce(votes_total, 0) AS votes, CASE WHEN votes_total IS NULL THEN 'none' WHEN dem_share > 0.4e0 THEN 'dem' ELSE 'other' END AS lean FROM fx_unit_returns", ("fx_unit_returns",))
+def f5(spark, d):
+    return V.unit_returns(spark, d).select(
+        "vtd_geoid", F.coalesce("votes_total", F.lit(0)).alias("votes"),
+        F.when(F.col("votes_total").isNull(), "none").when(F.col("dem_share") > 0.4, "dem").otherwise("other").alias("lean"))
+
+
+@case("f6_casts", "SELECT o_orderkey, cast(floor(o_totalprice) AS bigint) AS whole, cast(o_custkey AS double) AS cust, cast(o_orderkey AS varchar) AS key FROM orders")
+def f6(spark, d):
+    return V.table(spark, d, "orders").select("o_orderkey", F.floor("o_totalprice").cast("bigint").alias("whole"),
+                                              F.col("o_custkey").cast("double").alias("cust"), F.col("o_orderkey").cast("string").alias("key"))
+
+
+@case("w2_row_index", "SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) - 1 AS row_index FROM events")
+def w2(spark, d):
+    """Rows numbered in key order by the distributed ranking."""
+    return row_index(V.table(spark, d, "events").select("event_id", "user_id"), "event_id")
+
+
+@case("x6_load_returns", """SELECT 'E1' AS election_id, vtd_geoid, votes_total, votes_dem, votes_rep, cast(0 AS bigint) AS votes_other,
+ round(CASE WHEN votes_total > 0 THEN votes_dem/cast(votes_total AS double) END,6) AS dem_share FROM fx_unit_returns""", ("fx_unit_returns",))
+def x6r(spark, d):
+    """Returns loader on text votes without the other-party column."""
+    text = V.unit_returns(spark, d).select("election_id", "vtd_geoid", *[F.col(c).cast("string").alias(c) for c in ("votes_total", "votes_dem", "votes_rep")])
+    return r6(loaders.load_election_returns(spark, text))
+
+
+@case("x6_load_plans", "SELECT plan_id, plan_type, '2024' AS cycle, 'CONGRESS' AS chamber, ensemble_id, cast(NULL AS varchar) AS generator, cast(NULL AS bigint) AS seed, cast(NULL AS varchar) AS constraints_json, cast(NULL AS varchar) AS created_at FROM fx_plan WHERE plan_id IN (SELECT plan_id FROM fx_plan_map)", ("fx_plan_map",))
+def x6p(spark, d):
+    """Plan loader for the plans that hold assignments."""
+    used = V.plan_map(spark, d).select("plan_id").distinct()
+    p = V.plan(spark, d).join(used, "plan_id", "left_semi").select(
+        "plan_id", "plan_type", F.lit("2024").alias("cycle"), F.lit("CONGRESS").alias("chamber"), "ensemble_id")
+    return loaders.load_plan(spark, p)
+
+
+@case("x6_load_plan_map", "SELECT plan_id, vtd_geoid, CASE WHEN plan_id = 'P003' THEN '1' ELSE district_id END AS district_id FROM fx_plan_map", ("fx_plan_map",))
+def x6m(spark, d):
+    """Assignments upserted over stored ones."""
+    m = V.plan_map(spark, d)
+    return loaders.load_plan_map(spark, m.where("plan_id = 'P003'").withColumn("district_id", F.lit("1")), base=m)
+
+
 # ---- returns -------------------------------------------------------------------------------
 
 @case("a1_votes_tall_to_wide", "SELECT vtdkey, dem_votes, rep_votes, third_party_votes, total_votes FROM fx_wide", ("fx_wide",))

@@ -107,6 +107,14 @@ def j20(spark, d):
     return r6(inference.project_draws(comp, V.support_draws(spark, d, G), draw_limit=0))
 
 
+@case("f9_group_shares", f"SELECT plan_id, district_id, round(s0,6) AS white, round(s1,6) AS black, round(s2,6) AS hisp, round(s3,6) AS other FROM ({COMP}) c", ("fx_demo",))
+def f9(spark, d):
+    """Groups mapped to their share columns and scaled to sum one."""
+    c = inference.district_composition(_demo(spark, d))
+    return r6(c.select("plan_id", "district_id", F.col("WHITE_NH").alias("white"), F.col("BLACK_NH").alias("black"),
+                       F.col("HISP").alias("hisp"), F.col("OTHER").alias("other")))
+
+
 @case("m24_complement", PROJ.format(win=f"1e0-{WIN}"), ("fx_demo", "fx_support"))
 def m24(spark, d):
     return r6(inference.project_draws(inference.district_composition(_demo(spark, d)), V.support_draws(spark, d, G), dem_is_minority_preferred=False))
@@ -344,6 +352,16 @@ def m12o(spark, d):
     return r6(spark.createDataFrame([(float(b[1]), float(b[0]))], "slope double, intercept double"))
 
 
+@case("m12_one_feature_penalties", """
+SELECT family, round(CASE family WHEN 'ridge' THEN sxy/(sxx+3e0) WHEN 'lasso' THEN sign(sxy)*greatest(abs(sxy)/n-0.001e0,0)/(sxx/n) ELSE sign(sxy)*greatest(abs(sxy)/n-0.0005e0,0)/(sxx/n+0.0005e0) END,6)+0e0 AS slope
+FROM (SELECT regr_sxx(dem_share,pct_black) AS sxx, regr_sxy(dem_share,pct_black) AS sxy, count(*) AS n FROM fx_features) t JOIN (VALUES ('ridge'),('lasso'),('elasticnet')) v(family) ON true""", ("fx_features",))
+def m12p(spark, d):
+    """Penalised slopes on one feature have closed forms."""
+    g = regression.grams(V.features(spark, d).withColumn("_one", F.lit(1.0)), ["_one", "pct_black", "dem_share"])[0]
+    fits = [("ridge", 3.0, 1.0), ("lasso", 0.001, 1.0), ("elasticnet", 0.001, 0.5)]
+    return spark.createDataFrame([(f, float(round(regression.penalised(g, f, a, r)[1], 6)) + 0.0) for f, a, r in fits], "family string, slope double")
+
+
 @case("m10_design_columns", """
 SELECT district_id, CASE WHEN majority = 'pct_hispanic' THEN 1e0 ELSE 0e0 END AS h, CASE WHEN majority = 'pct_white' THEN 1e0 ELSE 0e0 END AS w, round(pct_black*pct_black,6) AS b2, round(pct_black*pct_asian,6) AS ba, round(pct_asian*pct_asian,6) AS a2
 FROM (SELECT *, CASE greatest(pct_white,pct_hispanic) WHEN pct_white THEN 'pct_white' ELSE 'pct_hispanic' END AS majority FROM fx_features) t""", ("fx_features",))

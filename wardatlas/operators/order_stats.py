@@ -161,3 +161,10 @@ def ecdf_positions(targets: DataFrame, draws: DataFrame, by: list[str], value: s
         F.col("mean").alias("draw_mean"))
     return places.join(spread_of, by).withColumn(
         "draw_sd", F.when(F.col("n_draws") > 1, F.sqrt(F.col("_ss") / (F.col("n_draws") - 1)))).drop("_ss")
+
+
+def row_index(df: DataFrame, key: str, name: str = "row_index") -> DataFrame:
+    """Number rows 0, 1, 2 ... in the order of a unique numeric key, without sorting in one task."""
+    rest = [c for c in df.columns if c != key]
+    ranked = ranked_values(df, [], key, carry=[F.first(c).alias(c) for c in rest])
+    return ranked.select(*df.columns, F.col("below").alias(name))
