@@ -76,7 +76,7 @@ def s6(spark, d):
     return r6(readers.auto_numeric(text))
 
 
-@case("s7_typed_and_text_views", "SELECT count(*) AS n, sum(n_nationkey) AS total, max(length(cast(n_nationkey AS varchar))) AS widest FROM nation, customer WHERE c_nationkey = n_nationkey")
+@case("s7_typed_and_text_views", "SELECT count(*) AS n, cast(sum(n_nationkey) AS bigint) AS total, max(length(cast(n_nationkey AS varchar))) AS widest FROM nation, customer WHERE c_nationkey = n_nationkey")
 def s7(spark, d):
     """Two views on one CSV: inferred types and all text."""
     path = scratch_path(spark, "nation")

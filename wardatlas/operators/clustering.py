@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import materialize
 from .joins import sized_join, small_side
 from .moments import covariance
 
@@ -191,7 +192,7 @@ def centroid_profiles(df: DataFrame, label: str, cols: list[str]) -> DataFrame:
 
 def center_distances(df: DataFrame, label: str, dims: int, features: str = "features") -> DataFrame:
     """Rows with the distance to the centre of their cluster."""
-    centers = cluster_centers(df, label, dims, features).drop("size")
+    centers = materialize(cluster_centers(df, label, dims, features).drop("size"))
     return sized_join(df, centers, [label]).withColumn(
         "dist_to_centroid", F.sqrt(squared_distance(F.col(features), F.col("center")))).drop("center")
 

@@ -16,13 +16,24 @@ def has_more_rows(df: DataFrame, limit: int) -> bool:
     return df.select(F.lit(1)).limit(limit + 1).count() > limit
 
 
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table may be broadcast.
+
+    Spark's own size estimate settles the clear cases (4 bytes per allowed
+    row, far below what the row limit admits); otherwise the rows are counted
+    up to the limit.
+    """
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return estimate <= 4 * max_rows or not has_more_rows(df, max_rows)
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a dimension table once its row count is known to fit.
+    """Broadcast a dimension table once its size is known to fit.
 
     A larger one is returned as it is: Spark then takes a shuffled join, with
     adaptive skew handling.
     """
-    return df if has_more_rows(df, max_rows) else F.broadcast(df)
+    return F.broadcast(df) if fits(df, max_rows) else df
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], rows_per_task: int = 200_000,
@@ -57,7 +68,7 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], rows_per_task:
 
 
 def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Broadcast the right side if its counted size allows, else join with hot left keys salted."""
-    if has_more_rows(right, BROADCAST_ROWS):
-        return salted_join(left, right, on, how=how)
-    return left.join(F.broadcast(right), on, how)
+    """Broadcast the right side if its size allows, else join with hot left keys salted."""
+    if fits(right):
+        return left.join(F.broadcast(right), on, how)
+    return salted_join(left, right, on, how=how)
