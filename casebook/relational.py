@@ -265,6 +265,14 @@ def p20t(spark, d):
     return profile.party_labels(rows, "district_id").groupBy("party").agg(F.count(F.lit(1)).alias("n"))
 
 
+@case("w7_median_split", "SELECT 1 AS party, count(*)//2 AS n, cast(0 AS bigint) AS n_low FROM events UNION ALL SELECT 0, count(*) - count(*)//2, count(*) FILTER (value < 5) FROM events")
+def w7(spark, d):
+    """More than half the rows share the largest value: the upper half is taken among them by a hash of the key."""
+    e = V.table(spark, d, "events").select("event_id", "value", (F.least("value", F.lit(5.0)) / 100).alias("dem_share"), F.lit(0.9).alias("rep_share"))
+    return profile.party_labels(e, "event_id").groupBy("party").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") < 5).alias("n_low"))
+
+
 @case("p21_percent_scale", "SELECT district_id, round(pct_white*100e0,6) AS pct_white, round(pct_black*100e0,6) AS pct_black FROM fx_features", ("fx_features",))
 def p21(spark, d):
     return r6(profile.to_percent(V.features(spark, d).select("district_id", "pct_white", "pct_black"), ["pct_white", "pct_black"]))
@@ -496,7 +504,7 @@ def j12(spark, d):
 
 @case("j13_key_overlap", """
 SELECT l.k AS left_key, r.k AS right_key, count(DISTINCT l.n) AS n_ids, count(DISTINCT r.n) AS n_matched, round(count(DISTINCT r.n)/cast(count(DISTINCT l.n) AS double),6) AS overlap
-FROM (SELECT DISTINCT 's_suppkey' AS k, s_suppkey % 100 AS n FROM supplier UNION SELECT DISTINCT 's_nationkey', s_nationkey FROM supplier) l
+FROM (SELECT DISTINCT 's_suppkey' AS k, s_suppkey AS n FROM supplier UNION SELECT DISTINCT 's_nationkey', s_nationkey FROM supplier) l
 CROSS JOIN (SELECT DISTINCT 'c_nationkey' AS k FROM customer) k2
 LEFT JOIN (SELECT DISTINCT 'c_nationkey' AS k, c_nationkey AS n FROM customer) r0 ON r0.k = k2.k AND r0.n = l.n
 CROSS JOIN LATERAL (SELECT k2.k AS k, r0.n AS n) r GROUP BY 1,2""")

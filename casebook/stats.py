@@ -77,6 +77,16 @@ def m22(spark, d):
     return r6(inference.support_draws(_design(spark, d), replicates=200))
 
 
+@case("m22_two_group_support", """
+WITH x AS (""" + V_DESIGN + """), s AS (SELECT sum(votes_total*"WHITE_NH"*"WHITE_NH") AS a, sum(votes_total*"WHITE_NH"*(1-"WHITE_NH")) AS b, sum(votes_total*(1-"WHITE_NH")*(1-"WHITE_NH")) AS c,
+ sum(votes_dem*"WHITE_NH") AS u, sum(votes_dem*(1-"WHITE_NH")) AS v FROM x)
+SELECT round(least(greatest((c*u-b*v)/(a*c-b*b),0e0),1e0),6) AS "WHITE_NH", round(least(greatest((a*v-b*u)/(a*c-b*b),0e0),1e0),6) AS "REST" FROM s""", ("fx_unit_returns",))
+def m22t(spark, d):
+    """The estimate for two groups has a closed form."""
+    rows = _design(spark, d).withColumn("REST", 1 - F.col("WHITE_NH"))
+    return r6(inference.support_draws(rows, 10, groups=("WHITE_NH", "REST")).where("draw_id = 0").drop("draw_id"))
+
+
 @case("m22_group_posterior")
 def m22g(spark, d):
     from wardatlas.storage import materialize

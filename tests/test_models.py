@@ -244,6 +244,9 @@ def test_projection_both_ways_equal_numpy(spark):
         p = sup @ v
         want = ((p > 0.5).mean(), p.mean(), np.quantile(p, 0.05), np.quantile(p, 0.95))
         assert held[k] == pytest.approx(want) and blocks[k] == pytest.approx(want)
+    empty = spark.createDataFrame([("p", "void", None, None, None, None)], demo.schema)
+    both = I.district_composition(demo.unionAll(empty))
+    assert key(I.project_draws(both, draws))["void"] == key(I.project_draws(both, draws, draw_limit=10))["void"] == (0.0, None, None, None)
     flipped = key(I.project_draws(comp, draws, dem_is_minority_preferred=False))
     assert all(flipped[k][0] == pytest.approx(1 - held[k][0]) for k in held)
     split = I.district_composition(demo, residual_split=True).first()

@@ -45,6 +45,9 @@ def test_detect_join_key_order(spark):
     with pytest.raises(KeyError):
         keyed.detect_join_key(left, right, ["name"], ["geoid"])
     assert keyed.find_district_column(right, ["geoid"], 1, 38) == "geoid"
+    whole = spark.createDataFrame([(4801,), (4802,)], "geoid int")            # numbers are compared whole
+    with pytest.raises(KeyError):
+        keyed.detect_join_key(left, whole, ["district"], ["geoid"])
 
 
 def test_offices(spark):
@@ -70,6 +73,8 @@ def test_wide_returns_and_keys(spark):
         E.clean_returns(wide.drop("total_votes"))
     with pytest.raises(ValueError):
         E.unit_key(spark.range(1).toDF("a"))
+    mixed = spark.createDataFrame([("x", " 9 ", "3", "4", "7")], "vtdkey string, cntyvtd string, dem_votes string, rep_votes string, total_votes string")
+    assert E.unit_key(mixed)[1] == "cntyvtd" and rows(E.clean_returns(mixed)) == [(None, "9", 3, 4, 0, 7)]
     both = spark.createDataFrame([("1", " 3 ")], "vtdkeyvalue string, cntyvtd string")
     assert E.unit_key(both)[1] == "vtdkey" and E.unit_key(both, "cntyvtd")[1] == "cntyvtd"
 

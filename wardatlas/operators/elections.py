@@ -33,12 +33,16 @@ def one_office(df: DataFrame, office: str | None = None) -> DataFrame:
 
 
 def unit_key(df: DataFrame, prefer: str = "vtdkey") -> tuple[DataFrame, str]:
-    """Add the key the returns are keyed by and say which one it is."""
+    """Add the key the returns are keyed by and say which one it is.
+
+    ``vtdkeyvalue`` when it is preferred, else ``cntyvtd``, else whichever
+    numeric key there is.
+    """
     numeric = next((c for c in ("vtdkeyvalue", "vtdkey") if c in df.columns), None)
-    if numeric and (prefer == "vtdkey" or "cntyvtd" not in df.columns):
-        return df.withColumn("vtdkey", to_number(numeric).cast("bigint")), "vtdkey"
-    if "cntyvtd" in df.columns:
+    if "cntyvtd" in df.columns and not (prefer == "vtdkey" and numeric == "vtdkeyvalue"):
         return df.withColumn("cntyvtd", F.trim(F.col("cntyvtd").cast("string"))), "cntyvtd"
+    if numeric:
+        return df.withColumn("vtdkey", to_number(numeric).cast("bigint")), "vtdkey"
     raise ValueError("returns need vtdkeyvalue, vtdkey or cntyvtd")
 
 
@@ -76,8 +80,8 @@ def clean_returns(df: DataFrame, office: str | None = None, prefer: str = "vtdke
         return votes_by_party(df, key)
     require_columns(df, ("dem_votes", "rep_votes", "total_votes"), "wide election returns")
     df = ensure_columns(df, {"third_party_votes": 0})
-    keys = [k for k in ("vtdkey", "cntyvtd") if k in df.columns]
-    return df.select(*keys, *[F.coalesce(to_number(c).cast("bigint"), F.lit(0)).alias(c) for c in WIDE_VOTES])
+    keys = {"vtdkey": to_number("vtdkey").cast("bigint"), "cntyvtd": F.trim(F.col("cntyvtd").cast("string"))}
+    return df.select(*[e.alias(k) for k, e in keys.items() if k in df.columns], *[F.coalesce(to_number(c).cast("bigint"), F.lit(0)).alias(c) for c in WIDE_VOTES])
 
 
 def sum_by_key(df: DataFrame, key: str = "vtdkey") -> DataFrame:

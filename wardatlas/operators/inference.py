@@ -178,7 +178,9 @@ def _project_held(composition: DataFrame, draws: DataFrame, g: list[str]) -> Dat
                     "win": (p > 0.5).mean(axis=1), "dem_share_pred_mean": p.mean(axis=1),
                     "dem_share_pred_q05": q[0], "dem_share_pred_q95": q[1]})
 
-    return composition.mapInPandas(run, "plan_id string, district_id string, win double, dem_share_pred_mean double, "
+    # little data, much work per row: keep it on as many tasks as a shuffle has
+    parts = int(composition.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return composition.repartition(parts, "plan_id", "district_id").mapInPandas(run, "plan_id string, district_id string, win double, dem_share_pred_mean double, "
                                         "dem_share_pred_q05 double, dem_share_pred_q95 double")
 
 
@@ -191,8 +193,10 @@ def _project_blocks(composition: DataFrame, draws: DataFrame, g: list[str], bloc
     dot = lambda d: sum((F.col(c) * d[i] for i, c in enumerate(g)), F.lit(0.0))
     p = met.select("plan_id", "district_id", F.explode(F.transform("ds", dot)).alias("p"))
     keys = ["plan_id", "district_id"]
-    return distribution(p, keys, "p", {"q05": 0.05, "q95": 0.95}, above=0.5).select(
-        *keys, F.col("share_above").alias("win"), F.col("mean").alias("dem_share_pred_mean"),
+    spread = distribution(p, keys, "p", {"q05": 0.05, "q95": 0.95}, above=0.5)
+    # a district without people has no shares: it stays, with NULL predictions
+    return composition.select(*keys).join(spread, keys, "left").select(
+        *keys, F.coalesce("share_above", F.lit(0.0)).alias("win"), F.col("mean").alias("dem_share_pred_mean"),
         F.col("q05").alias("dem_share_pred_q05"), F.col("q95").alias("dem_share_pred_q95"))
 
 

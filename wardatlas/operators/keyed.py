@@ -110,10 +110,15 @@ def key_overlap(left: DataFrame, right: DataFrame, left_keys: list[str], right_k
 
     The candidates are column names, a handful; each side is read once.
     """
+    def number(df: DataFrame, key: str) -> Column:
+        """Whole numbers as they are, text by the digits it ends with."""
+        if dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint"):
+            return F.col(key).cast("bigint")
+        return F.coalesce(district_number(key).cast("bigint"), F.col(key).cast("string").try_cast("bigint"))
+
     def numbers(df: DataFrame, keys: list[str], name: str) -> DataFrame:
         pairs = F.explode(F.array(*[
-            F.struct(F.lit(i).alias("pos"), F.lit(k).alias(name),
-                     F.coalesce(district_number(k), F.col(k).cast("string").try_cast("int")).alias("num"))
+            F.struct(F.lit(i).alias("pos"), F.lit(k).alias(name), number(df, k).alias("num"))
             for i, k in enumerate(keys)]))
         return df.select(pairs.alias("p")).select("p.*").where("num is not null").distinct()
 
