@@ -74,7 +74,7 @@ def m22n(spark, d):
 @case("m22_support_draws")
 def m22(spark, d):
     """Bootstrap draws of group support; draw 0 is the estimate."""
-    return r6(inference.support_draws(_design(spark, d), replicates=200))
+    return r6(inference.support_draws(_design(spark, d)))
 
 
 @case("m22_two_group_support", """
@@ -90,7 +90,7 @@ def m22t(spark, d):
 @case("m22_group_posterior")
 def m22g(spark, d):
     from wardatlas.storage import materialize
-    return r6(inference.group_posterior(materialize(inference.support_draws(_design(spark, d), replicates=200)), "RUN1"))
+    return r6(inference.group_posterior(materialize(inference.support_draws(_design(spark, d))), "RUN1"))
 
 
 COMP = """SELECT plan_id, district_id, w/s AS s0, b/s AS s1, h/s AS s2, r/s AS s3 FROM (SELECT plan_id, district_id, share_white_vap AS w, share_black_vap AS b, share_hisp_vap AS h,
@@ -243,7 +243,7 @@ def m5(spark, d):
 @case("m6_k_search")
 def m6(spark, d):
     """Means per k over seeds, best k first."""
-    return r6(clustering.k_search_summary(clustering.k_search(V.vectors(spark, d), "vec_id", range(2, 13), range(10), restarts=3)))
+    return r6(clustering.k_search_summary(clustering.k_search(V.vectors(spark, d), "vec_id", range(2, 13), range(10))))
 
 
 CENT = """cen AS (SELECT label, i, avg(x) AS m FROM pts GROUP BY 1,2)"""

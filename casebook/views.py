@@ -15,7 +15,6 @@ from wardatlas.operators.opportunity import definitions
 
 DEFS = (("BVAP", "BLACK", "share_black_vap", 0.185), ("HVAP", "HISP", "share_hisp_vap", 0.3),
         ("MINVAP", "MINORITY", "share_minority_vap", 0.562))
-N_PLANS = 25
 METRICS = ["polsby_popper", "schwartzberg", "convex_hull_ratio", "reock"]
 RACE = ["pct_white", "pct_black", "pct_asian", "pct_hispanic"]
 
@@ -54,10 +53,11 @@ def plan(spark, d) -> DataFrame:
         F.when(n % 2 == 0, "ENS_A").otherwise("ENS_B").alias("ensemble_id"))
 
 
-def plan_map(spark, d, plans: int = N_PLANS) -> DataFrame:
-    """Every unit in every plan: the plan number is exploded on the unit, then looked up."""
-    u = unit(spark, d).select("vtd_geoid", "vtdkey", "county_fips", F.explode(
-        F.sequence(F.lit(0), F.lit(plans - 1))).alias("plan_no"))
+def plan_map(spark, d) -> DataFrame:
+    """Every unit in every plan of ``nation``: each unit carries the plan numbers and unfolds them."""
+    numbers = table(spark, d, "nation").agg(F.sort_array(F.collect_set("n_nationkey")).alias("plans"))    # one row
+    u = unit(spark, d).select("vtd_geoid", "vtdkey", "county_fips").join(F.broadcast(numbers)).select(
+        "vtd_geoid", "vtdkey", "county_fips", F.explode("plans").alias("plan_no"))
     district = 1 + ((F.col("vtdkey") % 97) * (F.col("plan_no") + 1) + F.col("county_fips").cast("int")) % 37
     return u.select(F.concat(F.lit("P"), zfill("plan_no", 3)).alias("plan_id"), "vtd_geoid",
                     district.cast("string").alias("district_id"))

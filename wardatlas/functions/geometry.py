@@ -81,11 +81,36 @@ def orient_polygon(rings: Column) -> Column:
     return F.transform(rings, turn)
 
 
+def wound(rings) -> Column:
+    """Rings with outer ones counter-clockwise, whatever way a whole outline was drawn.
+
+    An outline whose signed total is negative is drawn the other way round, as
+    some formats have it: all its rings are reversed.  Holes must run against
+    their shell; see ``invalid_reason``.
+    """
+    r = _col(rings)
+    total = F.aggregate(F.transform(r, ring_signed_area), F.lit(0.0), lambda s, v: s + v)
+    return F.when(total < 0, F.transform(r, lambda q: F.reverse(q))).otherwise(r)
+
+
 def _finite_points(rings: Column) -> Column:
     ok = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
     return F.forall(F.flatten(rings), lambda p: ok(p["x"]) & ok(p["y"]))
 
 
+def _inner_like_shell(rings: Column) -> Column:
+    """Is there a ring whose box lies strictly inside that of another ring with the same winding?"""
+    box = lambda r: F.struct(
+        F.array_min(F.transform(r, lambda p: p["x"])).alias("x0"), F.array_min(F.transform(r, lambda p: p["y"])).alias("y0"),
+        F.array_max(F.transform(r, lambda p: p["x"])).alias("x1"), F.array_max(F.transform(r, lambda p: p["y"])).alias("y1"),
+        (ring_signed_area(r) > 0).alias("left"))
+    boxes = F.transform(rings, box)
+    inside = lambda a, b: ((a["x0"] > b["x0"]) & (a["y0"] > b["y0"]) & (a["x1"] < b["x1"]) & (a["y1"] < b["y1"]) & (a["left"] == b["left"]))
+    # an island in a hole is wound like the outermost shell; it lies inside an even number of rings
+    around = lambda a: F.size(F.filter(boxes, lambda b: (a["x0"] > b["x0"]) & (a["y0"] > b["y0"]) & (a["x1"] < b["x1"]) & (a["y1"] < b["y1"])))
+    return F.exists(boxes, lambda a: (around(a) % 2 == 1) & F.exists(boxes, lambda b: inside(a, b) & (around(b) % 2 == 0)))
+
+
 def invalid_reason(rings) -> Column:
     """Why a polygon cannot be measured, or NULL when it can."""
     r = _col(rings)
@@ -95,6 +120,7 @@ def invalid_reason(rings) -> Column:
         .when(F.exists(r, lambda q: F.size(q) < 4), "ring with fewer than 4 points")
         .when(F.exists(r, lambda q: q[0] != F.element_at(q, -1)), "ring not closed")
         .when(area(r) == 0, "zero area")
+        .when(_inner_like_shell(r), "hole wound like its shell")
     )
 
 
@@ -153,13 +179,15 @@ def _circle_radius(hull: np.ndarray) -> float:
         return 0.0
     pick = [hull[0], hull[np.argmax(np.hypot(*(hull - hull[0]).T))]]
     mid, r = through(pick)
-    for _ in range(8 * len(hull)):
+    while True:                                             # the radius grows in every round, over finitely many supports
         far = np.hypot(*(hull - mid).T)
         worst = int(np.argmax(far))
         if far[worst] <= r * (1 + 1e-12) + 1e-15:
-            break
-        mid, r, pick = smallest([*pick, hull[worst]])
-    return r
+            return r
+        grown = smallest([*pick, hull[worst]])
+        if grown[0] is None or grown[1] <= r:               # rounding stands in the way: the farthest point bounds the circle
+            return float(far[worst])
+        mid, r, pick = grown
 
 
 @F.pandas_udf(T.StructType([T.StructField("hull_area", T.DoubleType()), T.StructField("circle_area", T.DoubleType())]))
@@ -216,7 +244,8 @@ def overlap_area(ax: pd.Series, ay: pd.Series, an: pd.Series,
                  bx: pd.Series, by: pd.Series, bn: pd.Series) -> pd.Series:
     """Shared area of two polygons per row, from flat coordinates and ring sizes.
 
-    Each ring of b is a fan of signed triangles; each ring of a is clipped
+    Outer rings run counter-clockwise and holes clockwise (``wound`` sees to
+    it).  Each ring of b is a fan of signed triangles; each ring of a is clipped
     against each triangle it can reach.  All clips of a batch run together,
     rings of like length at a time.
     """
@@ -265,7 +294,7 @@ def _overlap_slice(ax, ay, an, bx, by, bn) -> np.ndarray:
             origin = tri[tk, :1]
             part = sign[tk] * _clipped_area(apts[idx] - origin, tri[tk] - origin)
             total += np.bincount(trow[tk], part, minlength=len(total))
-    return np.maximum(total, 0.0)
+    return total
 
 
 def box_overlap_area(a: str, b: str) -> Column:

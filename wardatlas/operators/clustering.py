@@ -37,28 +37,85 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
-def seed_rows(df: DataFrame, features: str = "features", limit: int = 2000) -> np.ndarray:
-    """Up to about ``limit`` rows, chosen by a hash of their content, to start centres from.
-
-    They only place the first centres; every fit runs over all rows.
+def _dims(df: DataFrame, features: str) -> int:
+    """Length of the feature arrays; they must be equally long and hold finite numbers only."""
+    f = F.col(features)
+    bad = f.isNull() | F.exists(f, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    n, missing, low, high = df.agg(F.count(F.lit(1)), F.count_if(bad), F.min(F.size(f)), F.max(F.size(f))).first()
+    if not n:
+        raise ValueError("no rows to cluster")
+    if missing or low != high:
+        shown = [r[0] for r in df.where(bad | (F.size(f) != high)).select(features).limit(3).collect()]
+        raise ValueError(f"features: {missing} of {n} rows are NULL or hold a NULL, NaN or infinite value, "
+                         f"or lengths differ ({low} to {high}), for example {shown}")
+    return high
+
+
+def _hash_uniform(h: np.ndarray, salt: int) -> np.ndarray:
+    """A number in 0..1 per row and salt, fixed by the row's hash."""
+    z = h.astype(np.int64).view(np.uint64) ^ (np.uint64(salt + 1) * np.uint64(0xD1342543DE82EF95))
+    z = (z ^ (z >> np.uint64(32))) * np.uint64(0xDABA0B6EB09322E3)
+    z = (z ^ (z >> np.uint64(32))) * np.uint64(0xDABA0B6EB09322E3)
+    return ((z ^ (z >> np.uint64(32))) >> np.uint64(11)).astype(float) / float(1 << 53)
+
+
+def seed_rows(df: DataFrame, k: int, features: str = "features", rounds: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate centres and their weights by oversampling over all rows (k-means||).
+
+    The first candidate is the row with the lowest hash.  In each round every
+    row joins with a chance in proportion to its squared distance from the
+    candidates so far, about 2k rows a round; the chances come from hashes of
+    the rows, so a repeated task chooses the same.  At last each candidate is
+    weighted by the rows nearest to it.  What comes to the driver is about
+    2k * rounds rows.
     """
-    n, h = df.count(), F.xxhash64(features)
-    rows = df.select(features)
-    if n > limit:                                          # copies of one row fall together: one of them will do
-        rows = rows.where(F.pmod(h, F.lit(-(-n // limit))) == 0).distinct().orderBy(h).limit(4 * limit)
-    return np.array(sorted(r[0] for r in rows.collect()), float)
+    rows = df.select(F.col(features).alias("f"), F.xxhash64(features).alias("h"))
+    sc = df.sparkSession.sparkContext
+    found = np.array([rows.orderBy("h").limit(1).first()["f"]], float)
+
+    def near(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return next(_nearest(x, [c]))[1]
+
+    def over(fn, schema: str) -> DataFrame:
+        return rows.mapInPandas(fn, schema)
+
+    for i in range(rounds):
+        held = sc.broadcast(found)
+
+        def cost(batches, held=held):
+            total = 0.0
+            for pdf in batches:
+                total += float(near(np.array(pdf["f"].tolist(), float), held.value).sum())
+            yield pd.DataFrame({"v": [total]})
+
+        total = over(cost, "v double").agg(F.sum("v")).first()[0] or 0.0
+        if total <= 0:                                     # every distinct row is a candidate
+            break
+
+        def draw(batches, held=held, total=total, i=i):
+            for pdf in batches:
+                x = np.array(pdf["f"].tolist(), float)
+                take = _hash_uniform(pdf["h"].to_numpy(), i) * total < 2 * k * near(x, held.value)
+                yield pd.DataFrame({"f": pd.Series(list(x[take]), dtype=object)})
+
+        more = [r[0] for r in over(draw, "f array<double>").distinct().collect()]     # about 2k rows
+        if more:
+            found = np.concatenate([found, np.array(sorted(more), float)])
+    sizes, *_ = _cluster_sums(df, features, [found])
+    used = sizes[0] > 0
+    return found[used], sizes[0][used]
 
 
-def spread_centers(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """First centres far from one another: each is the best of a few drawn by squared distance."""
-    picks = [rows[rng.integers(len(rows))]]
+def spread_centers(rows: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """First centres far from one another: each is the best of a few candidates drawn by weighted squared distance."""
+    picks = [rows[rng.choice(len(rows), p=weights / weights.sum())]]
     near = ((rows - picks[0]) ** 2).sum(axis=1)
     for _ in range(1, k):
-        total = near.sum()
-        weights = near / total if total > 0 else None
-        tries = rng.choice(len(rows), size=2 + int(np.log(k)), p=weights)
+        chance = weights * near
+        total = chance.sum()
+        tries = rng.choice(len(rows), size=2 + int(np.log(k)), p=chance / total if total > 0 else weights / weights.sum())
         left = np.minimum(near[None], ((rows[None] - rows[tries][:, None]) ** 2).sum(axis=2))
-        best = int(np.argmin(left.sum(axis=1)))
+        best = int(np.argmin(left @ weights))
         picks.append(rows[tries[best]])
         near = left[best]
     return np.array(picks)
@@ -87,6 +144,8 @@ def _cluster_sums(df: DataFrame, features: str, models: list[np.ndarray], means:
         acc = np.zeros((total, 3 + dims))
         for pdf in batches:
             x = np.array(pdf["f"].tolist(), float).reshape(len(pdf), -1)
+            if not np.isfinite(x).all():
+                raise ValueError("a feature is NULL, NaN or infinite")
             for m, (lab, d2) in enumerate(_nearest(x, ms)):
                 k, part = len(ms[m]), acc[edges[m]:edges[m + 1]]
                 part[:, 0] += np.bincount(lab, minlength=k)
@@ -111,6 +170,7 @@ def lloyd(df: DataFrame, starts: list[np.ndarray], features: str = "features", m
 
     A model leaves the rounds once its centres move less than ``tol`` times
     the mean variance of the features.  An empty cluster keeps its centre.
+    Models that still move after ``max_iter`` rounds are an error.
     """
     dims = starts[0].shape[1]
     spread = df.agg(*[F.var_pop(F.col(features)[i]) for i in range(dims)]).first()
@@ -129,16 +189,17 @@ def lloyd(df: DataFrame, starts: list[np.ndarray], features: str = "features", m
         active = still
         if not active:
             break
+    if active:
+        raise ValueError(f"{len(active)} of {len(starts)} fits still move after {max_iter} rounds")
     final = _cluster_sums(df, features, centers)[2]
     return [(c, float(w.sum())) for c, w in zip(centers, final)]
 
 
 def fit_grid(df: DataFrame, grid: list[tuple[int, int]], restarts: int = 10, features: str = "features") -> list[tuple[np.ndarray, float]]:
     """Best of the restarts for every (k, seed) of a grid, all fitted together."""
-    rows = seed_rows(df, features)
-    if not len(rows):
-        raise ValueError("no rows to cluster")
-    starts = [spread_centers(rows, k, np.random.default_rng((seed, r))) for k, seed in grid for r in range(restarts)]
+    _dims(df, features)
+    rows, weights = seed_rows(df, max(k for k, _ in grid), features)
+    starts = [spread_centers(rows, weights, k, np.random.default_rng((seed, r))) for k, seed in grid for r in range(restarts)]
     fits = lloyd(df, starts, features)
     return [min(fits[i * restarts:(i + 1) * restarts], key=lambda f: f[1]) for i in range(len(grid))]
 
@@ -162,6 +223,8 @@ def predict_many(df: DataFrame, models: list[np.ndarray], name: str = "labels",
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def nearest(f: pd.Series) -> pd.Series:
         x = np.array(f.tolist(), float).reshape(len(f), -1)
+        if not np.isfinite(x).all():
+            raise ValueError("a feature is NULL, NaN or infinite")
         return pd.Series(list(np.column_stack([lab for lab, _ in _nearest(x, held.value)]).astype(np.int32)))
 
     return df.withColumn(name, nearest(features))
@@ -315,12 +378,68 @@ def linear_silhouette(df: DataFrame, label: str, dims: int, features: str = "fea
         F.coalesce(F.try_divide(F.col("_b") - F.col("_a"), F.greatest("_a", "_b")), F.lit(0.0)))).drop("_a", "_b")
 
 
-def k_search(df: DataFrame, key: str, k_grid, seeds, restarts: int = 10, features: str = "features") -> DataFrame:
+def model_silhouettes(df: DataFrame, models: list[np.ndarray], features: str = "features") -> list[float | None]:
+    """Mean squared-distance silhouette of every model's labels, all models in two passes over the rows.
+
+    The mean squared distance from a row to a cluster follows from the
+    cluster's size, mean vector and mean squared norm.
+    """
+    size, sums, *_ = _cluster_sums(df, features, models)
+    means = [np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], c) for n, s, c in zip(size, sums, models)]
+    held = df.sparkSession.sparkContext.broadcast((models, size, means))
+
+    def norms(batches):
+        ms, n, _ = held.value
+        acc = [np.zeros(len(c)) for c in ms]
+        for pdf in batches:
+            x = np.array(pdf["f"].tolist(), float)
+            for m, (lab, _) in enumerate(_nearest(x, ms)):
+                acc[m] += np.bincount(lab, (x ** 2).sum(axis=1), minlength=len(ms[m]))
+        yield pd.DataFrame({"m": np.repeat(np.arange(len(ms)), [len(a) for a in acc]),
+                            "c": np.concatenate([np.arange(len(a)) for a in acc]), "v": np.concatenate(acc)})
+
+    rows = df.select(F.col(features).alias("f"))
+    total = [np.zeros(len(c)) for c in models]
+    for r in rows.mapInPandas(norms, "m int, c int, v double").groupBy("m", "c").agg(F.sum("v").alias("v")).collect():
+        total[r["m"]][r["c"]] = r["v"]                      # one number per centre
+    held_norms = df.sparkSession.sparkContext.broadcast([t / np.maximum(n, 1) for t, n in zip(total, size)])
+
+    def score(batches):
+        ms, n, mu = held.value
+        acc = np.zeros(len(ms))
+        for pdf in batches:
+            x = np.array(pdf["f"].tolist(), float)
+            own_norm = (x ** 2).sum(axis=1)
+            for m, (lab, _) in enumerate(_nearest(x, ms)):
+                d = np.maximum(own_norm[:, None] + held_norms.value[m][None] - 2 * x @ mu[m].T, 0)
+                d[:, n[m] == 0] = np.inf
+                at = np.arange(len(x))
+                size_own = n[m][lab]
+                a = d[at, lab] * size_own / np.maximum(size_own - 1, 1)
+                d[at, lab] = np.inf
+                b = d.min(axis=1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s = np.where((size_own > 1) & np.isfinite(b) & (np.maximum(a, b) > 0), (b - a) / np.maximum(a, b), 0.0)
+                acc[m] += s.sum()
+        yield pd.DataFrame({"m": np.arange(len(ms)), "v": acc})
+
+    out: list[float | None] = [None] * len(models)
+    for r in rows.mapInPandas(score, "m int, v double").groupBy("m").agg(F.sum("v").alias("v")).collect():
+        used = int((size[r["m"]] > 0).sum())
+        out[r["m"]] = float(r["v"] / size[r["m"]].sum()) if used > 1 else None
+    return out
+
+
+def k_search(df: DataFrame, key: str, k_grid, seeds, restarts: int = 10, features: str = "features",
+             silhouette: str = "squared") -> DataFrame:
     """One row per (k, seed): inertia, silhouette, Calinski-Harabasz, Davies-Bouldin.
 
     The whole grid is fitted, scored and judged together: the number of jobs
-    is that of one fit.
+    is that of one fit.  ``silhouette="squared"`` scores by squared distances
+    in time linear in the rows; ``"euclidean"`` needs all distances.
     """
+    if silhouette not in ("squared", "euclidean"):
+        raise ValueError("silhouette is 'squared' or 'euclidean'")
     grid = [(k, s) for k in k_grid for s in seeds]
     rows = df.select(key, features).persist()
     try:
@@ -329,8 +448,11 @@ def k_search(df: DataFrame, key: str, k_grid, seeds, restarts: int = 10, feature
             raise ValueError(f"{n} rows are fewer than the largest k {max(k_grid)}")
         models = [c for c, _ in fit_grid(rows, grid, restarts, features)]
         scores = model_scores(rows, models, features)
-        sil = {r["labeling"]: r["s"] for r in silhouettes(predict_many(rows, models, "labels", features), key, "labels", features)
-               .groupBy("labeling").agg(F.avg("silhouette").alias("s")).collect()}
+        if silhouette == "squared":
+            sil = dict(enumerate(model_silhouettes(rows, models, features)))
+        else:
+            sil = {r["labeling"]: r["s"] for r in silhouettes(predict_many(rows, models, "labels", features), key, "labels", features)
+                   .groupBy("labeling").agg(F.avg("silhouette").alias("s")).collect()}
     finally:
         rows.unpersist()
     return df.sparkSession.createDataFrame(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clip, is_finite, normalize_row, timestamp_text
 from ..tables import GROUP_VAP
 from .joins import has_more_rows, salted_join, small_side
+from .moments import require_finite
 from .order_stats import distribution, ranked_values
 
 # Population groups, in the order of GROUP_VAP.
@@ -82,6 +83,10 @@ def support_draws(rows: DataFrame, replicates: int = 1000, seed: int = 0, groups
         acc = np.zeros((replicates + 1, width))
         for pdf in batches:
             x, n = pdf[g].to_numpy(float), pdf["votes_total"].to_numpy(float)
+            bad = ~(np.isfinite(x).all(axis=1) & np.isfinite(n) & (n > 0) & np.isfinite(pdf["votes_dem"].to_numpy(float)))
+            if bad.any():                                   # a partial sum with NaN would be lost without a trace
+                raise ValueError(f"support draws: {int(bad.sum())} rows have a NULL, NaN or infinite value, "
+                                 f"for example {pdf[bad].head(3).to_dict('records')}")
             y = pdf["votes_dem"].to_numpy(float) / n
             terms = np.column_stack([n * x[:, i] * x[:, j] for i, j in upper] + [n * x[:, i] * y for i in range(p)])
             step = max(1, 2_000_000 // (replicates + 1))
@@ -150,8 +155,10 @@ def project_draws(composition: DataFrame, draws: DataFrame, groups=GROUPS,
     The draw matrix is counted first.  Within ``draw_limit`` every task holds
     it and multiplies its districts against it a slice at a time, so nothing
     is shuffled.  Beyond, draws and districts meet block by block and the
-    quantiles come from the distributed ranking; both ways are exact.
+    quantiles come from the distributed ranking; both ways are exact.  A draw
+    with a NULL, NaN or infinite support is an error in either.
     """
+    require_finite(draws, list(groups), "draws")
     if has_more_rows(draws, draw_limit):
         out = _project_blocks(composition, draws, list(groups))
     else:

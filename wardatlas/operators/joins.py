@@ -7,24 +7,42 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 
-# Fixed value: rows of a dimension table that one executor holds with ease
-# (about 100 bytes each, so 100 MB).
+# Rows and bytes of a dimension table that one executor holds with ease.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 100_000_000
 
 
 def has_more_rows(df: DataFrame, limit: int) -> bool:
     return df.select(F.lit(1)).limit(limit + 1).count() > limit
 
 
+def _row_bytes(df: DataFrame) -> int | None:
+    """Bytes a row of fixed-width columns takes; None if a column's width depends on its values."""
+    width = 8
+    for f in df.schema.fields:
+        if f.dataType.typeName() not in ("byte", "short", "integer", "long", "float", "double", "boolean", "date", "timestamp"):
+            return None
+        width += 8
+    return width
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table may be broadcast.
+    """Whether a table may be broadcast: at most ``max_rows`` rows and BROADCAST_BYTES bytes.
 
     Spark's own size estimate settles the clear cases (4 bytes per allowed
-    row, far below what the row limit admits); otherwise the rows are counted
-    up to the limit.
+    row, far below what the limits admit); otherwise the rows are counted up
+    to the limit.  Texts and arrays are measured on the counted rows.
     """
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return estimate <= 4 * max_rows or not has_more_rows(df, max_rows)
+    if estimate <= 4 * max_rows:
+        return True
+    width = _row_bytes(df)
+    if width is not None:
+        return not has_more_rows(df, min(max_rows, BROADCAST_BYTES // width))
+    head = df.limit(max_rows + 1)
+    text = F.coalesce(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))), F.lit(2))
+    n, size = head.agg(F.count(F.lit(1)), F.sum(text.cast("bigint"))).first()
+    return n <= max_rows and (size or 0) <= BROADCAST_BYTES
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -40,8 +40,8 @@ def ranked_values(df: DataFrame, by: list[str], value: str, *, spread: str = "qu
     spread='hash'      ``range_on`` is a ``uniform_hash``: even cuts, no pass;
     spread='few'       the group has few distinct values by its nature (a count
                        of districts), so no cut is needed.
-    ``mean`` of the group is added for numeric values.  Rows with a NULL value
-    or a NULL group key are left out.  ``carry`` adds aggregates per value.
+    ``mean`` of the group is added for numeric values.  Rows with a NULL or NaN
+    value or a NULL group key are left out.  ``carry`` adds aggregates per value.
     """
     keys = list(by) or [_ALL]
     src = df if by else df.withColumn(_ALL, F.lit(0))
@@ -50,6 +50,8 @@ def ranked_values(df: DataFrame, by: list[str], value: str, *, spread: str = "qu
         src = src.where(F.col(k).isNotNull())
     range_on = range_on or value
     numeric = dict(df.dtypes)[value] in ("int", "bigint", "double", "float", "smallint", "tinyint")
+    if dict(df.dtypes)[value] in ("double", "float"):     # NaN is a missing number here
+        src = src.where(~F.isnan(value))
 
     ranges = _range_count(df)
     extra = [] if range_on == value else [F.first(range_on).alias(range_on)]
@@ -164,7 +166,14 @@ def ecdf_positions(targets: DataFrame, draws: DataFrame, by: list[str], value: s
 
 
 def row_index(df: DataFrame, key: str, name: str = "row_index") -> DataFrame:
-    """Number rows 0, 1, 2 ... in the order of a unique numeric key, without sorting in one task."""
+    """Number rows 0, 1, 2 ... in the order of a unique numeric key, without sorting in one task.
+
+    A key that is NULL or occurs twice is an error.
+    """
     rest = [c for c in df.columns if c != key]
+    missing = df.where(F.col(key).isNull()).count()
+    if missing:
+        raise ValueError(f"{missing} rows have no {key}")
     ranked = ranked_values(df, [], key, carry=[F.first(c).alias(c) for c in rest])
-    return ranked.select(*df.columns, F.col("below").alias(name))
+    once = F.when(F.col("cnt") > 1, F.raise_error(F.concat(F.lit(f"{key} occurs twice: "), F.col(key).cast("string"))).cast("bigint"))
+    return ranked.select(*df.columns, once.otherwise(F.col("below")).alias(name))

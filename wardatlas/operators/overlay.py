@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.scalars import residual_count, to_number
+from ..storage import materialize
 from .joins import salted_join, small_side
 from .keyed import assert_unique
 
+PAIRS_PER_TASK = 20_000                                  # Fixed value: outlines of one id that a task fetches
+
 
 def _with_box(df: DataFrame, rings: str, prefix: str) -> DataFrame:
     names = [prefix + n for n in ("x0", "y0", "x1", "y1")]
@@ -88,26 +91,27 @@ def overlay_boxes(source: DataFrame, target: DataFrame, source_id: str, target_i
 
 def overlay_polygons(source: DataFrame, target: DataFrame, source_id: str, target_id: str,
                      source_rings: str = "rings", target_rings: str = "rings") -> DataFrame:
-    """Shared areas of polygons with holes and several parts.
+    """Shared areas of polygons with holes and several parts, drawn either way round.
 
     Only ids and boxes pass the cell join.  The coordinates are fetched for
-    the pairs that remain, and the exact area is taken in Arrow batches.  The
-    pairs are dealt out evenly before that, so a target with many sources
-    does not keep one task busy.
+    the pairs that remain (a target with very many sources is split), the
+    pairs are dealt out evenly, and each is clipped once, in Arrow batches.
     """
-    s = source.select(source_id, F.col(source_rings).alias("_s_rings"))
-    t = target.select(target_id, F.col(target_rings).alias("_t_rings"))
-    s_box = _with_box(s, "_s_rings", "s_").drop("_s_rings")
-    t_box = _with_box(t, "_t_rings", "t_").drop("_t_rings")
-    pairs = candidate_pairs(s_box, t_box).select(source_id, target_id)
+    s = source.select(source_id, G.wound(source_rings).alias("_s_rings"))
+    t = target.select(target_id, G.wound(target_rings).alias("_t_rings"))
+    s_box = materialize(_with_box(s, "_s_rings", "s_").drop("_s_rings"))
+    t_box = materialize(_with_box(t, "_t_rings", "t_").drop("_t_rings"))
+    pairs = materialize(candidate_pairs(s_box, t_box).select(source_id, target_id))
     flat = lambda r, p: [G.xs(r).alias(p + "x"), G.ys(r).alias(p + "y"), G.ring_sizes(r).alias(p + "n")]
     s_flat = s.select(source_id, G.area("_s_rings").alias("src_area"), *flat("_s_rings", "_s"))
     t_flat = t.select(target_id, *flat("_t_rings", "_t"))
     parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fetched = pairs.join(s_flat, source_id).join(t_flat, target_id).repartition(parts, source_id, target_id)
-    return fetched.select(
+    met = salted_join(salted_join(pairs, t_flat, [target_id], PAIRS_PER_TASK), s_flat, [source_id], PAIRS_PER_TASK)
+    dealt = met.repartition(parts, source_id, target_id)
+    shared = G.overlap_area.asNondeterministic()            # so that the filter stays above the even deal
+    return dealt.select(
         source_id, target_id, "src_area",
-        G.overlap_area("_sx", "_sy", "_sn", "_tx", "_ty", "_tn").alias("inter_area"),
+        shared("_sx", "_sy", "_sn", "_tx", "_ty", "_tn").alias("inter_area"),
     ).where(F.col("inter_area") > 0)
 
 
@@ -161,9 +165,9 @@ def unit_demographics(blocks: DataFrame, pl: DataFrame, overlay: DataFrame, unit
 
 
 def ring_segments(units: DataFrame, unit_id: str, rings: str = "rings", tolerance: float | None = None) -> DataFrame:
-    """Directed boundary segments; with a tolerance the corners snap to that grid."""
+    """Directed boundary segments, interiors to their left; with a tolerance the corners snap to that grid."""
     at = (lambda c: F.round(c / F.lit(tolerance)) * F.lit(tolerance)) if tolerance else (lambda c: c)
-    ring = units.select(unit_id, F.explode(rings).alias("r"))
+    ring = units.select(unit_id, F.explode(G.wound(rings)).alias("r"))
     n = F.size("r") - 1
     seg = ring.select(unit_id, F.explode(F.zip_with(
         F.slice("r", F.lit(1), n), F.slice("r", F.lit(2), n),
@@ -172,19 +176,51 @@ def ring_segments(units: DataFrame, unit_id: str, rings: str = "rings", toleranc
     return seg.select(unit_id, *[at(F.col(f"s.{c}")).alias(c) for c in ("xa", "ya", "xb", "yb")])
 
 
-def adjacency(units: DataFrame, unit_id: str, rings: str = "rings", tolerance: float | None = None) -> DataFrame:
-    """Neighbouring units (``src < dst``) with the length of their shared boundary.
+def adjacency(units: DataFrame, unit_id: str, rings: str = "rings", tolerance: float | None = None,
+              digits: int = 9) -> DataFrame:
+    """Neighbouring units (``src < dst``) with the length of their shared boundary, also where only parts of segments meet.
 
-    Interiors lie left of a segment, so the neighbour runs along the same
-    segment the other way: the join is segment to reversed segment, one to one
-    on a clean coverage, and units on the same side never meet.
+    Interiors lie left of a segment, so a neighbour runs along the same line
+    the other way.  A segment is held as its line (direction and offset, to
+    ``digits`` digits) and an interval on it; opposite intervals that overlap
+    are a shared border.  Each interval is cut by a grid on the line, as coarse
+    as the interval is long, so only nearby segments meet and no line is one key.
     """
     seg = ring_segments(units, unit_id, rings, tolerance)
-    back = seg.select(F.col(unit_id).alias("dst"), F.col("xb").alias("xa"), F.col("yb").alias("ya"),
-                      F.col("xa").alias("xb"), F.col("ya").alias("yb"))
-    pairs = seg.withColumnRenamed(unit_id, "src").join(back, ["xa", "ya", "xb", "yb"]).where("src < dst")
-    length = F.sqrt(F.pow(F.col("xb") - F.col("xa"), 2) + F.pow(F.col("yb") - F.col("ya"), 2))
-    return pairs.groupBy("src", "dst").agg(F.sum(length).alias("shared_length"))
+    dx, dy = F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya")
+    length = F.sqrt(dx * dx + dy * dy)
+    # one direction for both ways along a line: to the right, or up
+    way = F.when((dx > 0) | ((dx == 0) & (dy > 0)), F.lit(1.0)).otherwise(F.lit(-1.0))
+    seg = seg.where(length > 0).withColumns({"_ux": dx / length * way, "_uy": dy / length * way, "_way": way})
+    along = lambda x, y: F.col("_ux") * F.col(x) + F.col("_uy") * F.col(y)
+    zero = lambda c: F.round(c, digits) + F.lit(0.0)  # noqa: E731  no -0.0 in a key
+    lined = seg.select(unit_id, "_way", zero(F.col("_ux")).alias("_kx"), zero(F.col("_uy")).alias("_ky"),
+                       zero(F.col("_ux") * F.col("ya") - F.col("_uy") * F.col("xa")).alias("_off"),
+                       F.least(along("xa", "ya"), along("xb", "yb")).alias("_lo"),
+                       F.greatest(along("xa", "ya"), along("xb", "yb")).alias("_hi"))
+    lined = materialize(lined.withColumn("_own", F.ceil(F.log2(F.col("_hi") - F.col("_lo"))).cast("int")))
+    levels = _levels(lined)
+    if not levels:
+        return lined.select(F.col(unit_id).alias("src"), F.col(unit_id).alias("dst"), F.lit(0.0).alias("shared_length"))
+    size = F.pow(F.lit(2.0), F.col("_at"))
+
+    def cells(df: DataFrame) -> DataFrame:
+        return df.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") / size).cast("bigint"), F.floor(F.col("_hi") / size).cast("bigint"))))
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        return df.select("_kx", "_ky", "_off", "_at", "_cell", *[F.col(c).alias(p + c) for c in (unit_id, "_way", "_lo", "_hi", "_own")])
+
+    # a segment meets the others on its own grid and on the coarser ones that are in use; the pair counts on the coarser grid of the two
+    every = lined.withColumn("_at", F.explode(F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v >= F.col("_own"))))
+    own = side(cells(lined.withColumn("_at", F.col("_own"))), "b")
+    low, high = F.greatest("a_lo", "b_lo"), F.least("a_hi", "b_hi")
+    pairs = (salted_join(side(cells(every), "a"), own, ["_kx", "_ky", "_off", "_at", "_cell"])
+             .where((F.col("a_way") != F.col("b_way")) & (F.col("a" + unit_id) != F.col("b" + unit_id)) & (low < high)
+                    & (F.floor(low / size) == F.col("_cell"))
+                    # equal grids: the pair comes from both sides, so it counts once
+                    & ((F.col("a_own") < F.col("b_own")) | (F.col("a" + unit_id) < F.col("b" + unit_id)))))
+    return pairs.select(F.least("a" + unit_id, "b" + unit_id).alias("src"), F.greatest("a" + unit_id, "b" + unit_id).alias("dst"),
+                        (high - low).alias("_len")).where(F.col("_len") > 10.0 ** -digits).groupBy("src", "dst").agg(F.sum("_len").alias("shared_length"))
 
 
 def cut_edges(edges: DataFrame, plan_map: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import to_number
-from .joins import salted_join
+from .joins import sized_join
 from .order_stats import distribution, ranked_values, uniform_hash
 
 
@@ -40,7 +40,7 @@ def schema_listing(df: DataFrame) -> DataFrame:
 
 
 def pearson(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Correlation of every column pair, in one aggregation."""
+    """Correlation of every column pair over the rows where both are present, in one aggregation."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     row = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     cells = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"{i}").alias("corr"))
@@ -51,19 +51,45 @@ def pearson(df: DataFrame, cols: list[str]) -> DataFrame:
 def average_ranks(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """Average rank of every value within its column; ties share the mean of their ranks.
 
-    All columns are ranked together, and a value many rows share is salted
-    when the ranks go back to the rows.  Rows with a NULL in any of the
-    columns take no part.
+    All columns are ranked together.  A missing value has no rank and does
+    not touch the ranks of the other columns.
     """
-    tall = _tall(df.dropna(subset=cols), cols, "double", [key])
+    tall = _tall(df, cols, "double", [key])
     ranks = ranked_values(tall, ["column"], "value").select(
         "column", "value", (F.col("below") + (F.col("cnt") + 1) / 2).alias("rank"))
-    back = salted_join(tall, ranks, ["column", "value"])
+    back = sized_join(tall, ranks, ["column", "value"], "left")
     return back.groupBy(key).agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c) for c in cols])
 
 
 def spearman(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    return pearson(average_ranks(df, key, cols), cols)
+    """Rank correlation of every column pair, each over the rows where both values are present.
+
+    Complete columns are ranked once.  Pairs with a missing value have ranks of
+    their own, taken within the rows that count for the pair.
+    """
+    ok = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    gaps = df.agg(*[F.count_if(~ok(c)).alias(f"{i}") for i, c in enumerate(cols)]).first()
+    whole = [c for i, c in enumerate(cols) if not gaps[i]]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    parts = []
+    if len(whole) > 1:
+        parts.append(pearson(average_ranks(df, key, whole), whole))
+    broken = [(a, b) for a, b in pairs if not (a in whole and b in whole)]
+    if broken:
+        both = F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(side).alias("side"), F.when(ok(a) & ok(b), F.col(c).cast("double")).alias("value"))
+                                   for i, (a, b) in enumerate(broken) for side, c in ((0, a), (1, b))]))
+        tall = df.select(key, both.alias("_p")).select(key, "_p.*").where("value is not null")
+        ranks = ranked_values(tall, ["pair", "side"], "value").select(
+            "pair", "side", "value", (F.col("below") + (F.col("cnt") + 1) / 2).alias("rank"))
+        back = sized_join(tall, ranks, ["pair", "side", "value"]).groupBy(key, "pair").agg(
+            F.max(F.when(F.col("side") == 0, F.col("rank"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("rank"))).alias("y"))
+        names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in broken])
+        parts.append(back.groupBy("pair").agg(F.corr("x", "y").alias("corr")).select(
+            names[F.col("pair")]["a"].alias("col_a"), names[F.col("pair")]["b"].alias("col_b"), "corr"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def value_scale(df: DataFrame, cols: list[str]) -> str:

@@ -136,8 +136,8 @@ def descend(a: np.ndarray, b: np.ndarray, l1: np.ndarray, l2: np.ndarray, tol: f
             w[:, j] = new
             r -= cols[:, j] * change[:, None]
         if moved <= tol * float(np.max(np.abs(w), initial=0.0)):
-            break
-    return w
+            return w
+    raise ValueError("a penalised fit did not converge in 10,000 rounds")
 
 
 def penalised_stack(grams_: list[np.ndarray], family: str, alphas: np.ndarray, ratios: np.ndarray,
@@ -258,6 +258,17 @@ def _curve(counts: np.ndarray) -> np.ndarray:
     return np.mean(parts, axis=0)
 
 
+MAX_LEVELS = 1000                                      # Fixed value: the product matrix has its square
+
+
+def category_levels(df: DataFrame, category: str) -> list:
+    """The values of a category column, in order; more than MAX_LEVELS are an error, as each becomes a design column."""
+    found = df.select(category).where(F.col(category).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
+    if len(found) > MAX_LEVELS:
+        raise ValueError(f"{category} has more than {MAX_LEVELS} values; it is no category")
+    return sorted(r[0] for r in found)
+
+
 def search(df: DataFrame, key: str, label: str, numeric: list[str], category: str | None = None,
            folds: int = 5, seed: int = 42, candidates=CANDIDATES) -> tuple[list[dict], Fit, dict]:
     """Cross-validate the candidates and refit the first best one on all rows.
@@ -265,8 +276,7 @@ def search(df: DataFrame, key: str, label: str, numeric: list[str], category: st
     Returns the fold scores per candidate, the winning fit and its tuned
     threshold.
     """
-    levels = [] if category is None else sorted(
-        r[0] for r in df.select(category).where(F.col(category).isNotNull()).distinct().collect())
+    levels = [] if category is None else category_levels(df, category)
     basis = Basis(list(numeric), category, levels)
     cols = basis.columns()
     rows = df.select(*[e.alias(n) for n, e in cols.items()], F.col(label).cast("double").alias("_y"),

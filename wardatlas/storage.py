@@ -11,14 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of its own only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; in local mode one of the session's own where that is unset.
+
+    On a cluster a folder of one machine would split the data, so an unset name is an error there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     in_use = spark.sparkContext._jsc.sc().getCheckpointDir()
     if in_use.isDefined():
         return in_use.get()
-    return tempfile.mkdtemp(prefix="wardatlas-")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = getattr(spark.sparkContext, "_wardatlas_folder", None)
+    if own is None:
+        own = spark.sparkContext._wardatlas_folder = tempfile.mkdtemp(prefix="wardatlas-")
+    return own
 
 
 def materialize(df: DataFrame) -> DataFrame:
