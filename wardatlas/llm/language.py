@@ -55,7 +55,8 @@ def _codes(text: str) -> np.ndarray:
     points = np.where(letter, points, 32)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    return np.concatenate(([32], points[keep], [32])).astype(np.uint32)
+    kept = points[keep]
+    return np.concatenate(([32], kept, [32] if kept[-1] != 32 else [])).astype(np.uint32)
 
 
 def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -49,7 +49,7 @@ def _luhn(digits: Column) -> Column:
 def _valid(kind: str, match: Column) -> Column:
     digits = F.regexp_replace(match, "[^0-9]", "")
     if kind == "ip":
-        small = lambda part: (F.length(F.ltrim(F.lit("0"), part)) <= 3) & (F.right(part, F.lit(3)).cast("int") <= 255)
+        small = lambda part: (F.length(F.ltrim(part, F.lit("0"))) <= 3) & (F.right(part, F.lit(3)).cast("int") <= 255)
         return F.forall(F.split(match, "\\."), small)
     if kind == "card":
         return F.length(digits).between(12, 19) & _luhn(digits)
