@@ -8,8 +8,9 @@ suffix: a passage of `min_words` words always holds a retained one. About one po
 2. The others are extended. Every window of `min_words` words belongs to the one retained suffix it was chosen for, so all
    windows that a match could cover around that suffix, left and right, lie in one group. The windows of a group are
    sorted and compared with their neighbours; equal ones are a match, and runs of them are its extent, word by word.
-3. Suffixes whose group exceeds `GROUP` rows, as common passages give, are not gathered: their windows are counted in a
-   partial aggregation and joined back.
+3. Suffixes whose group exceeds `GROUP` rows, as common passages give, are not gathered. Those with equal windows are
+   summed to one context first; the windows of the contexts, not of the rows, are grouped and compared, and what repeats
+   goes back to the rows through their context.
 4. Extents of a document are united into maximal spans.
 
 The result is exact: a word is in a span if and only if it lies in a window of `min_words` words that occurs at two places (in
@@ -112,6 +113,25 @@ def _windows(length: int, gram: int):
     return rows
 
 
+def _runs(table: pa.Table, row: np.ndarray, pos: np.ndarray, repeated: np.ndarray, surplus: np.ndarray, length: int) -> pa.RecordBatch:
+    """Runs of consecutive flagged windows of each row as spans of words."""
+    out = {"row": [], "start": [], "end": [], "surplus": []}
+    for kind, flag in ((False, repeated), (True, surplus)):
+        on = np.flatnonzero(flag)
+        if len(on):
+            cut = np.concatenate(([True], (pos[on][1:] != pos[on][:-1] + 1) | (row[on][1:] != row[on][:-1])))
+            stop = np.append(np.flatnonzero(cut)[1:] - 1, len(on) - 1)
+            out["row"].append(row[on[cut]])
+            out["start"].append(pos[on[cut]])
+            out["end"].append(pos[on[stop]] + length)
+            out["surplus"].append(np.full(len(stop), kind))
+    flat = {k: np.concatenate(v) if v else np.zeros(0, dtype=bool if k == "surplus" else np.int64) for k, v in out.items()}
+    take = pa.array(flat["row"])
+    column = lambda name: table.column(name).combine_chunks().take(take)
+    return pa.RecordBatch.from_pydict({"rid": column("rid"), "doc": column("doc"), "start": pa.array(flat["start"]),
+                                       "end": pa.array(flat["end"]), "surplus": pa.array(flat["surplus"])})
+
+
 def _neighbours(length: int):
     """Sort the windows of whole groups (rows come sorted by key), compare neighbours, emit runs of equal ones."""
     def runs(table: pa.Table) -> pa.RecordBatch:
@@ -134,20 +154,7 @@ def _neighbours(length: int):
         head = np.concatenate(([True], ~same))
         head_of = by[start][group]
         surplus[by] = repeated[by] & ~head & ~((rid[by] == rid[head_of]) & (pos[by] == pos[head_of]))
-        out = {"row": [], "start": [], "end": [], "surplus": []}
-        for kind, flag in ((False, repeated), (True, surplus)):
-            on = np.flatnonzero(flag)
-            if len(on):
-                cut = np.concatenate(([True], (on[1:] != on[:-1] + 1) | (row[on][1:] != row[on][:-1])))
-                begin = on[cut]
-                stop = on[np.append(np.flatnonzero(cut)[1:] - 1, len(on) - 1)]
-                out["row"].append(row[begin]); out["start"].append(pos[begin])  # noqa: E702
-                out["end"].append(pos[stop] + length); out["surplus"].append(np.full(len(begin), kind))  # noqa: E702
-        flat = {k: np.concatenate(v) if v else np.zeros(0, dtype=bool if k == "surplus" else np.int64) for k, v in out.items()}
-        take = pa.array(flat["row"])
-        return pa.RecordBatch.from_pydict({
-            "rid": table.column("rid").combine_chunks().take(take), "doc": table.column("doc").combine_chunks().take(take),
-            "start": pa.array(flat["start"]), "end": pa.array(flat["end"]), "surplus": pa.array(flat["surplus"])})
+        return _runs(table, row, pos, repeated, surplus, length)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -188,6 +195,31 @@ def _unite():
     return merge
 
 
+def _through_contexts(rows: DataFrame, length: int, schema: str) -> DataFrame:
+    """Spans of suffixes that occur very often (step 3 of the module text)."""
+    place = lambda pos: F.struct("ord", "rid", pos.alias("pos"))
+    rows = rows.withColumn("context", F.xxhash64("key", "windows"))
+    contexts = rows.groupBy("context").agg(F.first("windows").alias("windows"), F.min(place(F.col("first"))).alias("lo"), F.max(place(F.col("first"))).alias("hi"))
+    each = stored(contexts.select("context", "lo", "hi", F.posexplode("windows").alias("i", "window")), "contexts")
+    moved = lambda p: F.struct(F.col(p)["ord"].alias("ord"), F.col(p)["rid"].alias("rid"), (F.col(p)["pos"] + F.col("i")).alias("pos"))
+    repeated = (each.groupBy("window").agg(F.min(moved("lo")).alias("keep"), F.max(moved("hi")).alias("last"))
+                .where("keep <> last").select("window", "keep"))
+    flags = each.join(repeated, "window").groupBy("context").agg(F.sort_array(F.collect_list(F.struct("i", "keep"))).alias("flags"))
+
+    def spans(batch: pa.RecordBatch) -> Iterator[dict]:
+        lists = batch.column("flags")
+        sizes = np.diff(np.asarray(lists.offsets))
+        row, flat = np.repeat(np.arange(len(sizes)), sizes), lists.flatten()
+        keep = flat.field("keep")
+        col = lambda name: np.asarray(batch.column(name))[row]
+        pos = col("first") + np.asarray(flat.field("i"))
+        kept = (np.asarray(keep.field("ord")) == col("ord")) & (np.asarray(keep.field("rid")) == col("rid")) & (np.asarray(keep.field("pos")) == pos)
+        found = _runs(pa.Table.from_batches([batch]), row, pos, np.ones(len(row), dtype=bool), ~kept, length)
+        yield {name: found.column(name) for name in found.schema.names}
+
+    return map_arrow(rows.select("context", "rid", "doc", "ord", "first").join(flags, "context"), spans, schema)
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 50, gram: int = GRAM) -> DataFrame:
     """One row per document with a repeated passage: (doc, rid, repeats, surplus), arrays of (start, end) in words."""
     if not 0 < gram <= min_words:
@@ -205,13 +237,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                                f"key bigint, rid bigint, doc {kind}, ord bigint, first bigint, hot boolean, windows array<bigint>"), "windows")
     schema = f"rid bigint, doc {kind}, start bigint, end bigint, surplus boolean"
     few = (windows.where("not hot").drop("hot").repartition("key").sortWithinPartitions("key").mapInArrow(_neighbours(min_words), schema))
-    each = (windows.where("hot").select("rid", "doc", "ord", "first", F.posexplode("windows").alias("i", "window"))
-            .select("rid", "doc", "ord", "window", (F.col("first") + F.col("i")).alias("pos")))
-    place = F.struct("ord", "rid", "pos")
-    many = (each.groupBy("window").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("window", "lo"))
-    met = each.join(many, "window").select("rid", "doc", F.col("pos").alias("start"), (F.col("pos") + min_words).alias("end"),
-                                           F.explode(F.expr("if(ord = lo.ord and rid = lo.rid and pos = lo.pos, array(false), array(false, true))")).alias("surplus"))
-    spans = few.union(met.select("rid", "doc", "start", "end", "surplus"))
+    spans_of_hot = _through_contexts(windows.where("hot"), min_words, schema)
+    spans = few.union(spans_of_hot)
     grouped = spans.groupBy("rid", "doc").agg(F.collect_set(F.struct("start", "end", "surplus")).alias("spans"))
     span = "array<struct<start:bigint,end:bigint>>"
     return map_arrow(grouped, _unite(), f"doc {kind}, rid bigint, repeats {span}, surplus {span}")
