@@ -103,15 +103,13 @@ def s8(spark, d):
 def s9(spark, d):
     """Many CSV files in one folder; contest and year come from the file names."""
     base = scratch_path(spark, "corpus")
-    rows = V.returns_tall(spark, d)
-    names = [r[0] for r in rows.select("office").distinct().collect()]
+    rows = V.returns_tall(spark, d).select("office", "vtdkeyvalue", "party", "votes")
+    rows.write.partitionBy("office").option("header", True).csv(base)           # one write, a folder per contest
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for name in names:
-        part = f"{base}/{name}"
-        rows.where(F.col("office") == name).select("vtdkeyvalue", "party", "votes").coalesce(1).write.option("header", True).csv(part)
-        fs = jvm.Path(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for i, f in enumerate(fs.globStatus(jvm.Path(part + "/part-*.csv"))):
-            fs.rename(f.getPath(), jvm.Path(f"{base}/2024_{name}_Election_Returns.csv"))
+    fs = jvm.Path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.globStatus(jvm.Path(base + "/office=*")):
+        name = f.getPath().getName().removeprefix("office=")
+        fs.rename(f.getPath(), jvm.Path(f"{base}/2024_{name}_Election_Returns.csv"))
     df = readers.read_returns_corpus(spark, base)
     return df.groupBy("contest", "year").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("votes").cast("bigint")).alias("votes"))
 

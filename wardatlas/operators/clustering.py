@@ -53,7 +53,7 @@ def _dims(df: DataFrame, features: str) -> int:
 
 def _hash_uniform(h: np.ndarray, salt: int) -> np.ndarray:
     """A number in 0..1 per row and salt, fixed by the row's hash."""
-    z = h.astype(np.int64).view(np.uint64) ^ (np.uint64(salt + 1) * np.uint64(0xD1342543DE82EF95))
+    z = h.astype(np.int64).view(np.uint64) ^ np.uint64((salt + 1) * 0xD1342543DE82EF95 % (1 << 64))
     z = (z ^ (z >> np.uint64(32))) * np.uint64(0xDABA0B6EB09322E3)
     z = (z ^ (z >> np.uint64(32))) * np.uint64(0xDABA0B6EB09322E3)
     return ((z ^ (z >> np.uint64(32))) >> np.uint64(11)).astype(float) / float(1 << 53)

@@ -11,7 +11,7 @@ from ..functions.scalars import to_number, vtd_geoid, zfill
 from ..operators import elections, overlay
 from ..operators.keyed import assert_none, assert_unique, checked_join
 from ..sources import writers
-from ..sources.readers import read_table
+from ..sources.readers import decode_geometry, read_table
 from ..storage import materialize
 from ..tables import require_columns, standard_names
 
@@ -42,6 +42,7 @@ class InputConfig:
     election_office: str
     election_stage: str
     office_filter: str | None = None
+    allow_total_only: bool = False                      # block attributes may lack the population groups
 
 
 def first_present(df: DataFrame, names) -> str | None:
@@ -111,13 +112,13 @@ def unit_population(units: DataFrame, blocks: DataFrame, pl: DataFrame, allow_to
 def build_inputs(spark: SparkSession, cfg: InputConfig) -> dict[str, DataFrame]:
     """All processed tables; written below ``processed_dir`` when one is given."""
     def raw(source) -> DataFrame:
-        return standard_names(source if isinstance(source, DataFrame) else read_table(spark, source))
+        return decode_geometry(standard_names(source if isinstance(source, DataFrame) else read_table(spark, source)))
 
     units = with_unit_keys(raw(cfg.vtds))
     wide = elections.clean_returns(raw(cfg.elections), cfg.office_filter)
     if "vtdkey" not in wide.columns:
         raise ValueError("the election file has no vtdkey")
-    geo = unit_population(units, raw(cfg.census_blocks), raw(cfg.pl94))
+    geo = unit_population(units, raw(cfg.census_blocks), raw(cfg.pl94), cfg.allow_total_only)
     tables = {
         "election_returns_vtd": elections.returns_by_unit(units, wide, cfg.election_id),
         "plan_district_vtd": assign_districts(units, raw(cfg.districts), cfg.plan_id),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import TABLES
+from .readers import wkb_from_rings
 
 # Result tables an export offers, in order.
 EXPORTED = ("district_demo_vap", "district_returns", "district_opportunity", "plan_metrics", "ensemble_distribution",
@@ -29,11 +30,14 @@ def write_plan_map(df: DataFrame, path: str, mode: str = "append") -> str:
 
 
 def write_geo(df: DataFrame, path: str, required: tuple[str, ...] = ("rings", "vap_total")) -> str:
-    """Units with geometry and population; a unit without either is an error."""
+    """Units with geometry and population; a unit without either is an error.
+
+    Beside ``rings`` the table holds the outline as WKB in ``geometry``, which other tools read.
+    """
     missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required]).first().asDict()
     if any(missing.values()):
         raise ValueError(f"units without a value: {missing}")
-    return write_parquet(df, path)
+    return write_parquet(df.withColumn("geometry", wkb_from_rings("rings")), path)
 
 
 def export_table(df: DataFrame, name: str, out_dir: str, fmt: str = "parquet") -> str:
