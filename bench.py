@@ -20,7 +20,8 @@ HEADLINE = [
     "g2_assign_by_area", "g3_interpolated_counts", "g7_adjacency", "g8_cut_edges", "m21_inference_design", "m22_support_draws",
     "m23_projected_draws", "a21_posterior_summary", "a22_split_rhat", "a18_pearson", "a19_spearman", "p24_describe",
     "m5_kmeans", "m7_cluster_scores", "m7_linear_silhouette", "m7_euclidean_silhouette", "m13_cross_validation",
-    "m14_best_threshold", "m19_influence",
+    "m14_best_threshold", "m19_influence", "m6_k_search", "m16_coefficients", "m20_mixture_membership", "j20_draws_by_blocks",
+    "x1_input_build", "x2_staged_analysis",
 ]
 
 

@@ -25,6 +25,15 @@ def _polygons(spark, d):
     return pairs.where("inter_area > 1e-9")
 
 
+def _clockwise(df):
+    """The outlines drawn the other way round."""
+    return V.with_rings(df).withColumn("rings", F.transform("rings", lambda r: F.reverse(r)))
+
+
+def _polygons_rounded(spark, d):
+    return _polygons(spark, d).withColumn("inter_area", F.round("inter_area", 9))
+
+
 def _tilted(df, key):
     """Box to a concave five-corner polygon with a square hole, by plain arithmetic."""
     x, y = F.col("x0"), F.col("y0")
@@ -46,6 +55,13 @@ def g1p(spark, d):
     return r6(_polygons(spark, d))
 
 
+@case("g1_overlay_clockwise", OVER, ("fx_overlay",))
+def g1w(spark, d):
+    """Blocks drawn clockwise over units drawn counter-clockwise."""
+    pairs = overlay.overlay_polygons(_clockwise(V.block_box(spark, d)), V.with_rings(V.unit_box(spark, d)), "block_idx", "unit_idx")
+    return r6(pairs.where("inter_area > 1e-9"))
+
+
 @case("g1_overlay_concave_with_holes")
 def g1c(spark, d):
     """Concave polygons with holes over boxes; checked against a closed form in the tests."""
@@ -83,6 +99,12 @@ def g2(spark, d):
     return overlay.assign_by_area(V.block_box(spark, d).select("block_idx"), pairs, "block_idx", "unit_idx")
 
 
+@case("g2_assign_by_polygon_area", f"SELECT block_idx, unit_idx FROM fx_block_box LEFT JOIN ({BEST}) b USING (block_idx)", ("fx_overlay",))
+def g2p(spark, d):
+    """The same through the general polygon overlay."""
+    return overlay.assign_by_area(V.block_box(spark, d).select("block_idx"), _polygons_rounded(spark, d), "block_idx", "unit_idx").select("block_idx", "unit_idx")
+
+
 @case("j11_labels_after_overlay", f"SELECT block_idx, vtd_geoid FROM fx_block_box LEFT JOIN ({BEST}) b USING (block_idx) LEFT JOIN fx_unit ON vtdkey = unit_idx", ("fx_overlay", "fx_unit"))
 def j11(spark, d):
     """Text ids looked up for the assigned units; blocks without a unit keep NULL."""
@@ -102,6 +124,12 @@ def g3(spark, d):
                                       "block_idx", "unit_idx", ["pop"])
 
 
+@case("g3_interpolated_counts_of_polygons", POP, ("fx_overlay",))
+def g3p(spark, d):
+    """The same through the general polygon overlay."""
+    return overlay.interpolate_counts(_polygons(spark, d), V.block_box(spark, d), V.unit_box(spark, d).select("unit_idx"), "block_idx", "unit_idx", ["pop"])
+
+
 @case("a12_weighted_sums", "SELECT unit_idx, round(sum(pop * least(greatest(inter_area/src_area,0e0),1e0)),6) AS pop FROM fx_overlay WHERE inter_area > 1e-9 GROUP BY 1", ("fx_overlay",))
 def a12(spark, d):
     rows = overlay.area_weights(_boxes(spark, d)).join(V.block_box(spark, d).select("block_idx", "pop"), "block_idx")
@@ -120,6 +148,23 @@ def j18(spark, d):
     return r6(overlay.overlay_boxes(u, dist, "unit_idx", "district_idx").drop("src_area"))
 
 
+@case("j18_unit_polygons_in_districts", """
+SELECT unit_idx, cast(3*floor(y0/25)+floor(x0/14) AS bigint) AS district_idx, round(1e0,6) AS inter_area FROM fx_unit_box
+ WHERE floor(x0/14) = floor((x0+1-1e-9)/14) AND floor(y0/25) = floor((y0+1-1e-9)/25)""", ("fx_unit_box",))
+def j18p(spark, d):
+    """The same with outlines, the districts drawn clockwise."""
+    u = V.unit_box(spark, d)
+    x, y = F.floor(F.col("x0") / 14), F.floor(F.col("y0") / 25)
+    dist = u.select((3 * y + x).alias("district_idx"), (x * 14.0).alias("x0"), (y * 25.0).alias("y0")).distinct()
+    dist = dist.withColumns({"x1": F.col("x0") + 14.0, "y1": F.col("y0") + 25.0})
+    return r6(overlay.overlay_polygons(V.with_rings(u), _clockwise(dist), "unit_idx", "district_idx").drop("src_area"))
+
+
+@case("j19_block_polygons_in_units", "SELECT unit_idx, count(*) AS n_blocks, round(sum(inter_area),6) AS covered FROM fx_overlay WHERE inter_area > 1e-9 GROUP BY 1", ("fx_overlay",))
+def j19p(spark, d):
+    return r6(_polygons(spark, d).groupBy("unit_idx").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("inter_area").alias("covered")))
+
+
 @case("j19_blocks_in_units", "SELECT unit_idx, count(*) AS n_blocks, round(sum(inter_area),6) AS covered FROM fx_overlay WHERE inter_area > 1e-9 GROUP BY 1", ("fx_overlay",))
 def j19(spark, d):
     return r6(_boxes(spark, d).groupBy("unit_idx").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("inter_area").alias("covered")))
@@ -150,6 +195,18 @@ def g7(spark, d):
     return r6(overlay.adjacency(V.with_rings(V.unit_box(spark, d)), "unit_idx"))
 
 
+@case("g7_adjacency_of_split_borders", """
+WITH b AS (SELECT unit_idx, x0, y0 + 0.5e0 * (cast(x0 AS bigint) % 2) AS y0 FROM fx_unit_box)
+SELECT least(a.unit_idx, c.unit_idx) AS src, greatest(a.unit_idx, c.unit_idx) AS dst,
+ round(CASE WHEN c.x0 = a.x0 THEN 1e0 ELSE least(a.y0, c.y0) + 1 - greatest(a.y0, c.y0) END,6) AS shared_length
+FROM b a JOIN b c ON (c.x0 = a.x0 AND c.y0 = a.y0 + 1) OR (c.x0 = a.x0 + 1 AND abs(c.y0 - a.y0) < 1)""", ("fx_unit_box",))
+def g7s(spark, d):
+    """Every second column moved up by half a unit: borders meet in part only."""
+    up = 0.5 * (F.col("x0").cast("bigint") % 2)
+    units = V.unit_box(spark, d).withColumns({"y0": F.col("y0") + up, "y1": F.col("y1") + up})
+    return r6(overlay.adjacency(_clockwise(units), "unit_idx"))
+
+
 @case("g8_cut_edges", """
 SELECT a.plan_id, count(*) AS n_edges, count(*) FILTER (a.district_id <> b.district_id) AS n_cut_edges
 FROM fx_edges e JOIN fx_unit ua ON ua.vtdkey = e.src JOIN fx_unit ub ON ub.vtdkey = e.dst

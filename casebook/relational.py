@@ -746,6 +746,26 @@ def a23(spark, d):
 def x2(spark, d):
     """Load, sanity, aggregates, metrics and ensemble stages, each stored in a shared work folder."""
     from wardatlas.plans import analysis
+    cfg, t = _analysis(spark, d), {}
+    for stage in ("schema", "load", "sanity", "aggregates", "metrics", "ensemble"):
+        t = analysis.run(spark, cfg, stage, t)
+    return r6(t["plan_vs_ensemble"])
+
+
+@case("x2_exported", VERSUS.format(j=J.format(m="n_opportunity_districts").replace(") j", " WHERE ensemble_id = 'ENS_A') j"), m="n_opportunity_districts"), ("fx_metrics",))
+def x2e(spark, d):
+    """All stages, with inference and export; the result is read back from the export folder."""
+    from wardatlas.plans import analysis
+    cfg = _analysis(spark, d, ei_election_id="E1", out_dir=scratch_path(spark, "exported"))
+    t = analysis.run(spark, cfg, "all")
+    if t["ei_posterior_district"].isEmpty():
+        raise ValueError("the inference stage gave no districts")
+    return r6(spark.read.parquet(f"{cfg.out_dir}/plan_vs_ensemble.parquet"))
+
+
+def _analysis(spark, d, **more):
+    """The study's tables as one analysis, with a work folder of its own."""
+    from wardatlas.plans import analysis
     none = F.lit(None).cast("string")
     p = V.plan(spark, d).select("plan_id", "plan_type", none.alias("cycle"), none.alias("chamber"), "ensemble_id")
     elections_meta = writers.election_row(spark, "E1", 2024, "1-URGENT", "GENERAL")
@@ -754,8 +774,5 @@ def x2(spark, d):
     cfg = analysis.AnalysisConfig(
         geo_vtd=V.unit(spark, d).drop("vtdkey"), elections=elections_meta, returns=V.unit_returns(spark, d),
         plans=p.where("plan_type = 'ENACTED'"), plan_map=m.where(is_enacted), ensemble_plans=p.where("plan_type = 'ENSEMBLE'"),
-        ensemble_plan_map=m.where(~is_enacted), ensemble_id="ENS_A", work_dir=scratch_path(spark, "analysis"), definitions=V.DEFS)
-    t: dict = {}
-    for stage in ("schema", "load", "sanity", "aggregates", "metrics", "ensemble"):
-        t = analysis.run(spark, cfg, stage, t)
-    return r6(t["plan_vs_ensemble"])
+        ensemble_plan_map=m.where(~is_enacted), ensemble_id="ENS_A", work_dir=scratch_path(spark, "analysis"), definitions=V.DEFS, **more)
+    return cfg

@@ -9,6 +9,8 @@ from wardatlas.operators.order_stats import ranked_values
 from wardatlas.functions.scalars import normalize_row
 from wardatlas.tables import GROUP_VAP
 
+from wardatlas.storage import materialize
+
 from . import views as V
 from .registry import case, r6
 
@@ -93,6 +95,14 @@ def m22g(spark, d):
     return r6(inference.group_posterior(materialize(inference.support_draws(_design(spark, d))), "RUN1"))
 
 
+@case("m22_posterior_of_given_draws", "WITH t AS (" + " UNION ALL ".join(f"SELECT '{g}' AS group_id, coalesce(max(CASE WHEN g = {i} THEN support END), 0.5e0) AS v FROM fx_support GROUP BY draw_id" for i, g in enumerate(G)) + """)
+SELECT 'RUN1' AS ei_run_id, group_id, 'support_dem' AS param_name, round(avg(v),6) AS mean, round(stddev_samp(v),6) AS sd, round(quantile_cont(v,0.05),6) AS q05,
+ round(quantile_cont(v,0.5),6) AS q50, round(quantile_cont(v,0.95),6) AS q95 FROM t GROUP BY group_id""", ("fx_support",))
+def m22p(spark, d):
+    """The posterior table of draws that both sides know."""
+    return r6(inference.group_posterior(V.support_draws(spark, d, G), "RUN1"))
+
+
 COMP = """SELECT plan_id, district_id, w/s AS s0, b/s AS s1, h/s AS s2, r/s AS s3 FROM (SELECT plan_id, district_id, share_white_vap AS w, share_black_vap AS b, share_hisp_vap AS h,
  least(greatest(share_minority_vap-share_black_vap-share_hisp_vap,0e0),1e0) AS r, share_white_vap+share_black_vap+share_hisp_vap+3*least(greatest(share_minority_vap-share_black_vap-share_hisp_vap,0e0),1e0) AS s FROM fx_demo) t"""
 DRAWS = "SELECT draw_id, " + ", ".join(f"max(CASE WHEN g = {i} THEN support END) AS d{i}" for i in range(6)) + " FROM fx_support GROUP BY draw_id"
@@ -246,6 +256,33 @@ def m6(spark, d):
     return r6(clustering.k_search_summary(clustering.k_search(V.vectors(spark, d), "vec_id", range(2, 13), range(10))))
 
 
+def _apart(spark, d):
+    """Vectors moved so far by label that the labels are the best clustering; the moves leave distances inside a label alone."""
+    far = F.transform("features", lambda x, i: F.when(i == F.col("label"), x + F.lit(1e6)).otherwise(x))
+    return V.vectors(spark, d).withColumn("features", far)
+
+
+@case("m5_kmeans_of_known_clusters", "SELECT label AS low, label AS high, count(*) AS size FROM embeddings GROUP BY label")
+def m5k(spark, d):
+    """The fit on vectors far apart by label finds the labels."""
+    v = materialize(_apart(spark, d))
+    k = v.select("label").distinct().count()
+    found = clustering.predict(v, clustering.fit_kmeans(v, k, 42, 10)[0])
+    return found.groupBy("cluster").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).drop("cluster")
+
+
+@case("m6_k_search_of_known_clusters", """
+WITH pts AS (SELECT vec_id, label, unnest(range(1,65)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings), cen AS (SELECT label, i, avg(x) AS m FROM pts GROUP BY 1,2)
+SELECT cast(count(DISTINCT label) AS int) AS best_k, round(sum((x-m)*(x-m))/1000,3) AS thousand_inertia FROM pts JOIN cen USING (label, i)""")
+def m6k(spark, d):
+    """The search over k around the number of labels ends at that number, with the labels' own inertia."""
+    v = materialize(_apart(spark, d))
+    k = v.select("label").distinct().count()
+    fits = clustering.k_search(v, "vec_id", range(max(2, k - 2), k + 2), (0, 1))
+    best = clustering.best_k(clustering.k_search_summary(fits))
+    return fits.where(F.col("k") == best).agg(F.max("k").alias("best_k"), F.round(F.avg("inertia") / 1000, 3).alias("thousand_inertia"))
+
+
 CENT = """cen AS (SELECT label, i, avg(x) AS m FROM pts GROUP BY 1,2)"""
 PTS = "pts AS (SELECT vec_id, label, unnest(range(1,65)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings)"
 DIST2 = "d2 AS (SELECT vec_id, label, sum((x-m)*(x-m)) AS d2 FROM pts JOIN cen USING (label, i) GROUP BY 1,2)"
@@ -476,6 +513,13 @@ def m20(spark, d):
     return r6(out)
 
 
+@case("m20_two_groups_apart", "SELECT district_id, CASE WHEN district_id % 2 = 0 THEN 1 ELSE 0 END AS low_cluster FROM fx_features", ("fx_features",))
+def m20t(spark, d):
+    """Two groups far apart: the fitted mixture puts each district in its own."""
+    f = V.features(spark, d).select("district_id", (F.col("reock") + 100 * (F.col("district_id").cast("bigint") % 2)).alias("x"))
+    return mixture.low_component_membership(f, "x").select("district_id", "low_cluster")
+
+
 @case("m20_membership_from_draws", """
 SELECT user_id, round(avg(CASE WHEN z = low THEN 1e0 ELSE 0e0 END),6) AS post_prob, CASE WHEN avg(CASE WHEN z = low THEN 1e0 ELSE 0e0 END) >= 0.5e0 THEN 1 ELSE 0 END AS low_cluster
 FROM (SELECT user_id, CASE WHEN event_type IN ('view','click') THEN 1 ELSE 0 END AS z, CASE WHEN value < 12e0 THEN 1 ELSE 0 END AS low FROM events) t GROUP BY 1""")
