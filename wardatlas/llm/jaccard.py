@@ -8,11 +8,16 @@ they share one of the first size - ceil(size * num / den) + 1 shingles of each (
 2. Only those first shingles enter the product. The order is by hash with the most frequent ones last, so common phrases
    hardly ever make columns. It steers cost alone: any order gives the same links.
 3. Columns of up to `BLOCK` classes are multiplied in full and the products of a pair are summed. A pair whose sum, plus
-   what the rest of the sets could add, is below the overlap bound is discarded; the others are compared on whole sets.
-4. A larger column is not multiplied in full. Some of its classes, the pivots, are compared with all others; a class
-   that links with a pivot is settled, the rest give the next pivots, eight times as many, until all are settled. What
-   is left are pairs settled to different pivots and not yet in one component. Jaccard distance is a metric, so only
-   pairs (x, y) with d(p, y) <= d(p, x) + bound are compared, for x linked to p.
+   what the rest of the sets could add, is below the overlap bound is discarded. Then the shingles of all classes in
+   question are counted: one that no other of them has is in no overlap, so the overlap of two classes is at most the
+   smaller number of shared shingles, and pairs below the bound by that leave too. The others are compared on whole sets,
+   in two turns: first each class with its hub (the smallest partner) and with the partner of the largest sum, then the
+   pairs that these links have not brought into one component.
+4. A larger column is not multiplied in full. Its pivot, the class in most large columns, is compared with all others.
+   Then only pairs from different components are left, and of those one class is outside the column's largest component.
+   Such outside classes are pivots in turn, a few of each column first, then many, against the classes of other
+   components. Jaccard distance is a metric and both distances to the first pivot are known: where they differ by more
+   than the bound, a pair cannot link.
 5. Components of the links give each document the smallest id it reaches. Every link that joins two components is found;
    links inside a component that is already known may stay uncompared.
 
@@ -31,9 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .frames import components, map_arrow, signed, stored, texts
+from .frames import components, map_arrow, signed, small_side, stored, texts
 
-BLOCK = 16                      # classes in a column that are multiplied in full
+BLOCK = 64                      # classes in a column that are multiplied in full
 FREQUENT = 1 << 18              # entries in the broadcast list of frequent shingles (2 MB); only order, never results
 _KEY = "wardatlas row key"
 _CHUNK = 1 << 20                # shingles counted together when frequent ones are looked for
@@ -125,6 +130,15 @@ def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         yield from words.shingles(hashes, bounds, width)
 
 
+def _all_shingles(width: int):
+    def rows(batch: pa.RecordBatch) -> Iterator[dict]:
+        classes = np.asarray(batch.column("c"))
+        for lo, hi, hashes, bounds in words.word_slices(batch.column("text")):
+            found = list(words.shingles(hashes, bounds, width))
+            yield {"s": pa.array(signed(np.concatenate(found))), "c": pa.array(np.repeat(classes[lo:hi], [len(x) for x in found]))}
+    return rows
+
+
 class _Join:
     """The steps of one join, over (doc, rid, text) rows."""
 
@@ -157,49 +171,70 @@ class _Join:
         with_more = (summed.join(wide.select(F.col("c").alias("a"), F.col("more").alias("ma")), "a", "left")
                      .join(wide.select(F.col("c").alias("b"), F.col("more").alias("mb")), "b", "left"))
         more = F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
-        return with_more.where(F.col("sum") + more + rest >= self.need("na", "nb")).select("a", "b", "na", "nb")
+        return with_more.where(F.col("sum") + more + rest >= self.need("na", "nb")).select("a", "b", "na", "nb", "sum")
 
-    def compare(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def compare(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """Exact overlap of each pair, from the two whole texts."""
-        left = sets.select(F.col("c").alias("a"), F.col("text").alias("left"))
-        right = sets.select(F.col("c").alias("b"), F.col("text").alias("right"))
+        keys = stored(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct(), "keys")
+        asked = sets.join(small_side(keys, 16), "c", "left_semi")
+        left = asked.select(F.col("c").alias("a"), F.col("text").alias("left"))
+        right = asked.select(F.col("c").alias("b"), F.col("text").alias("right"))
         full = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "left", "right")
-        return map_arrow(full, _overlaps(self.width), "a bigint, b bigint, na bigint, nb bigint, both bigint")
+        return stored(map_arrow(full, _overlaps(self.width), "a bigint, b bigint, na bigint, nb bigint, both bigint"), name)
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        return pairs.where(F.col("both") >= self.need("na", "nb"))
-
-    def pivot_links(self, wide: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-        """All links that columns of more than BLOCK classes add to the components (step 4 of the module text)."""
-        spark, open_cells, per_column, compared = wide.sparkSession, wide, 1, None
-        while not open_cells.isEmpty():
-            pivots = (open_cells.groupBy("g", F.pmod(F.xxhash64("c"), F.lit(per_column)).alias("slot"))
-                      .agg(F.min(F.struct("c", "n")).alias("p")).select("g", F.col("p.c").alias("b"), F.col("p.n").alias("nb")))
-            pivots = stored(pivots, "pivots")
-            pairs = (wide.select("g", F.col("c").alias("a"), F.col("n").alias("na")).join(pivots, "g")
-                     .where((F.col("a") != F.col("b")) & self.sized("na", "nb")).select("a", "b", "na", "nb").distinct())
-            if compared is not None:
-                pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-            done = self.compare(pairs, sets)
-            compared = stored(done if compared is None else compared.union(done), "compared")
-            settled = (pivots.join(self.linked(compared).select("a", "b"), "b").select("g", F.col("a").alias("c"))
-                       .union(pivots.select("g", F.col("b").alias("c"))).distinct())
-            open_cells = stored(open_cells.join(settled, ["g", "c"], "left_anti"), "open")
-            per_column *= 8
-        if compared is None:
-            return links
-        links = stored(links.union(self.linked(compared).select("a", "b")), "links")
-        roots = components(links) if not links.isEmpty() else spark.createDataFrame([], "v bigint, root bigint")
+        return pairs.where(F.col("both") >= self.need("na", "nb")).select("a", "b")
+
+    @staticmethod
+    def first_turn(pairs: DataFrame) -> DataFrame:
+        """Of each class the pair with its smallest partner, and the one with the largest sum; b is the partner."""
+        ends = pairs.union(pairs.select("b", "a", "nb", "na", "sum"))
+        best = ends.groupBy("a", "na").agg(F.min(F.struct("b", "nb")).alias("hub"), F.max(F.struct("sum", "b", "nb")).alias("near"))
+        return best.select("a", "na", F.explode(F.array(F.col("hub"), F.struct("near.b", "near.nb"))).alias("p")).select(
+            "a", F.col("p.b").alias("b"), "na", F.col("p.nb").alias("nb"))
+
+    def apart(self, pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """The pairs whose classes are not known to be in one component."""
+        side = lambda key: roots.select(F.col("v").alias(key), F.col("root").alias(f"r{key}"))
+        return (pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+                .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).drop("ra", "rb"))
+
+    def wide_links(self, wide: DataFrame, measured: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+        """(v, root) after all links that columns of more than BLOCK classes add (step 4 of the module text); `wide` has each
+        column's pivot, `measured` the compared pairs (a, pivot)."""
+        limit = 1 - self.num / self.den + 1e-9
         distance = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-        limit = 1 - self.num / self.den
-        near = compared.withColumn("d", distance).where(F.col("d") <= 2 * limit + 1e-9)
-        root = lambda key, name: roots.select(F.col("v").alias(key), F.col("root").alias(name))
-        x = self.linked(near).select("b", F.col("a").alias("x"), F.col("na").alias("nx"), F.col("d").alias("dx")).join(root("x", "rx"), "x")
-        y = near.select("b", F.col("a").alias("y"), F.col("na").alias("ny"), F.col("d").alias("dy")).join(root("y", "ry"), "y", "left")
-        left = (x.join(y, "b").where((F.coalesce("ry", "y") != F.col("rx")) & (F.col("dy") <= F.col("dx") + limit + 1e-9))
-                .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
-                        F.expr("if(x < y, nx, ny)").alias("na"), F.expr("if(x < y, ny, nx)").alias("nb")).distinct())
-        return links.union(self.linked(self.compare(left.where(self.sized("na", "nb")), sets)).select("a", "b"))
+        known = measured.select(F.col("a").alias("c"), F.col("b").alias("pivot"), distance.alias("d"))
+        cells = stored(wide.join(known, ["c", "pivot"], "left")
+                       .select("g", "c", "n", "e", F.when(F.col("c") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d")), "wide")
+        columns = stored(cells.groupBy("c").agg(F.sort_array(F.collect_list("g")).alias("gs")), "columns of classes")
+        asked, per_column = columns.select("c").where("false"), 8
+        while True:
+            roots = components(links)
+            placed = stored(cells.join(columns, "c").join(roots.withColumnRenamed("v", "c"), "c", "left")
+                            .select("g", "c", "n", "e", "d", "gs", F.coalesce("root", "c").alias("root")), "placed")
+            main = placed.groupBy("g", "root").agg(F.count("*").alias("size")).groupBy("g").agg(F.max(F.struct("size", "root")).alias("m"))
+            outside = placed.select("g", "c", "root").join(main, "g").where("root <> m.root").join(asked, "c", "left_anti")
+            slot = F.pmod(F.xxhash64("c"), F.lit(per_column))
+            pivots = stored(outside.groupBy("g", slot).agg(F.min("c").alias("c")).select("c").distinct(), "pivots")
+            if pivots.isEmpty():
+                return roots
+            b = placed.join(pivots, "c").withColumnsRenamed({"c": "b", "n": "nb", "e": "eb", "d": "db", "gs": "hs", "root": "rb"})
+            near = F.abs(F.coalesce("d", "db") - F.coalesce("db", "d")) <= limit       # an unknown distance rules nothing out
+            once = F.col("g") == F.array_min(F.array_intersect("gs", "hs"))             # in the first column that both are in
+            pairs = (placed.withColumnsRenamed({"c": "a", "n": "na"}).join(b, "g")
+                     .where((F.col("root") != F.col("rb")) & self.sized("na", "nb") & (F.least("e", "eb") >= self.need("na", "nb"))
+                            & F.coalesce(near, F.lit(True)) & once).select("a", "b", "na", "nb"))
+            found = self.linked(self.compare(pairs, sets, "compared"))
+            links = stored(links.union(found), "links")
+            asked = stored(asked.union(pivots), "asked")
+            per_column *= 64
+
+    def with_shared(self, sets: DataFrame) -> DataFrame:
+        """(c, e): of each class the number of shingles that another class in question has too."""
+        own = (map_arrow(sets, _all_shingles(self.width), "s bigint, c bigint")
+               .groupBy("s").agg(F.count("*").alias("k"), F.min("c").alias("c")).where("k = 1").groupBy("c").agg(F.count("*").alias("own")))
+        return sets.select("c", "n").join(own, "c", "left").select("c", (F.col("n") - F.coalesce("own", F.lit(0))).alias("e"))
 
     def roots(self) -> DataFrame:
         """(v, root) of the classes that have links."""
@@ -207,10 +242,28 @@ class _Join:
         pairs = stored(self.candidates(cells), "pairs")
         wide = cells.where(F.col("wide") > BLOCK).select("g", "c", "n")
         keys = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).union(wide.select("c")).distinct()
-        first = self.members.join(keys, "c").groupBy("c").agg(F.min("rid").alias("rid"))
-        sets = stored(self.docs.join(first, "rid").select("rid", "c", "text").dropDuplicates(["rid", "c"]).select("c", "text"), "sets")
-        links = stored(self.linked(self.compare(pairs, sets)).select("a", "b"), "links")
-        return components(self.pivot_links(wide, sets, links))
+        member = self.members.join(keys, "c").groupBy("c").agg(F.min("rid").alias("rid"), F.min("n").alias("n"))
+        sets = stored(self.docs.join(member, "rid").select("rid", "c", "n", "text").dropDuplicates(["rid", "c"]).select("c", "n", "text"), "sets")
+        shared = stored(self.with_shared(sets), "shared")
+        bound = lambda key: shared.select(F.col("c").alias(key), F.col("e").alias(f"e{key}"))
+        pairs = stored(pairs.join(bound("a"), "a").join(bound("b"), "b").where(F.least("ea", "eb") >= self.need("na", "nb")).drop("ea", "eb"), "pairs")
+        wide = wide.join(shared, "c").where(F.col("e") * self.den >= F.col("n") * self.num)
+        often = wide.groupBy("c").agg(F.count("*").alias("often"))
+        pivot = wide.join(often, "c").groupBy("g").agg(F.max(F.struct("often", "c", "n", "e")).alias("p"))
+        wide = stored(wide.join(pivot, "g").select("g", "c", "n", "e", F.col("p.c").alias("pivot"), F.col("p.n").alias("np"), F.col("p.e").alias("ep")), "pivoted")
+        hubs = wide.where((F.col("c") != F.col("pivot")) & self.sized("n", "np") & (F.least("e", "ep") >= self.need("n", "np"))).select(
+            F.col("c").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("na"), F.col("np").alias("nb"))
+        turn = self.first_turn(pairs)
+        swap = F.col("a") > F.col("b")
+        turn = turn.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"),
+                           F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"))
+        first = stored(turn.union(hubs).distinct(), "first")
+        measured = self.compare(first, sets, "measured")
+        links = stored(self.linked(measured), "links")
+        seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rest = self.apart(pairs.drop("sum").join(seen, ["a", "b"], "left_anti"), components(links))
+        links = stored(links.union(self.linked(self.compare(rest, sets, "rest"))), "links")
+        return self.wide_links(wide, measured, links, sets)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5,
