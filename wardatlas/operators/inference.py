@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, is_finite, normalize_row, timestamp_text
+from ..storage import materialize
 from ..tables import GROUP_VAP
-from .joins import has_more_rows, salted_join, small_side
+from .joins import has_more_rows, small_side
 from .moments import require_finite
 from .order_stats import distribution, ranked_values
 
@@ -191,20 +192,90 @@ def _project_held(composition: DataFrame, draws: DataFrame, g: list[str]) -> Dat
                                         "dem_share_pred_q05 double, dem_share_pred_q95 double")
 
 
+_RANGES = 512                                            # Fixed value: ranges a district's draws are counted in
+
+
 def _project_blocks(composition: DataFrame, draws: DataFrame, g: list[str], block_rows: int = 4096) -> DataFrame:
-    blocks = max(1, -(-draws.count() // block_rows))
-    packed = draws.select(F.pmod(F.xxhash64("draw_id"), F.lit(blocks)).cast("int").alias("_b"),
-                          F.array(*[F.col(c) for c in g]).alias("d")).groupBy("_b").agg(F.collect_list("d").alias("ds"))
-    every = composition.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = salted_join(every, packed, ["_b"])
-    dot = lambda d: sum((F.col(c) * d[i] for i, c in enumerate(g)), F.lit(0.0))
-    p = met.select("plan_id", "district_id", F.explode(F.transform("ds", dot)).alias("p"))
+    """The same for more draws than a task holds: blocks of draws meet blocks of districts, by hash of the keys.
+
+    Values never leave their task as rows.  A first pass takes range, sum and
+    wins of every district, a second counts values in equal ranges of it, and a
+    third hands over only the values of the ranges that hold a wanted rank.
+    What is shuffled grows with districts x ranges, and with draws only through
+    the two or three ranges that are looked into.
+    """
     keys = ["plan_id", "district_id"]
-    spread = distribution(p, keys, "p", {"q05": 0.05, "q95": 0.95}, above=0.5)
-    # a district without people has no shares: it stays, with NULL predictions
+    blocks, chunks = (max(1, -(-df.count() // block_rows)) for df in (draws, composition))
+    kinds = ", ".join(f"{k} {dict(composition.dtypes)[k]}" for k in keys)
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    part = draws.select(F.pmod(F.xxhash64("draw_id"), F.lit(blocks)).cast("int").alias("_b"), every(chunks, "_c"), *g)
+
+    def over(rows: DataFrame, each, schema: str) -> DataFrame:
+        """``each`` turns one district's values of one block into a frame without keys."""
+        names = [c.strip().split(" ")[0] for c in f"{kinds}, {schema}".split(",")]
+
+        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            m, made = right.sort_values(g)[g].to_numpy(float).T, []
+            if m.shape[1]:
+                for row in left.itertuples(index=False):
+                    p = np.zeros(m.shape[1])
+                    for i, c in enumerate(g):               # one order of additions, whatever the batch
+                        p += getattr(row, c) * m[i]
+                    found = each(row, p)
+                    for k in keys:
+                        found.insert(0, k, getattr(row, k))
+                    made.append(found)
+            return pd.concat(made)[names] if made else pd.DataFrame({n: [] for n in names})
+
+        mine = rows.select("*", F.pmod(F.xxhash64(*keys), F.lit(chunks)).cast("int").alias("_c"), every(blocks, "_b"))
+        return mine.groupBy("_b", "_c").cogroup(part.groupBy("_b", "_c")).applyInPandas(run, f"{kinds}, {schema}")
+
+    def extent(row, p):
+        return pd.DataFrame({"lo": [p.min()], "hi": [p.max()], "total": [p.sum()], "above": [int((p > 0.5).sum())], "n": [len(p)]})
+
+    def place(row, p):
+        wide = row.hi - row.lo
+        return np.minimum((p - row.lo) / wide * _RANGES, _RANGES - 1).astype(int) if wide > 0 else np.zeros(len(p), int)
+
+    def counts(row, p):
+        n = np.bincount(place(row, p), minlength=_RANGES)
+        return pd.DataFrame({"r": np.flatnonzero(n), "cnt": n[n > 0]})
+
+    def wanted(row, p):
+        value, cnt = np.unique(p[np.isin(place(row, p), row.wanted)], return_counts=True)
+        return pd.DataFrame({"value": value, "cnt": cnt}) if len(value) else pd.DataFrame({"value": np.zeros(0), "cnt": np.zeros(0, int)})
+
+    whole = F.lit(True)
+    for c in g:
+        whole = whole & is_finite(c)
+    rows = composition.where(whole)                         # a district without people has no shares
+    spans = materialize(over(rows, extent, "lo double, hi double, total double, above bigint, n bigint").groupBy(*keys).agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("total").alias("total"), F.sum("above").alias("above"), F.sum("n").alias("n")))
+    sized = materialize(rows.join(spans, keys))
+    ranges = over(sized, counts, "r int, cnt bigint").groupBy(*keys, "r").agg(F.sum("cnt").alias("cnt"))
+    w = Window.partitionBy(*keys).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)          # at most _RANGES rows
+    probs = {"q05": 0.05, "q95": 0.95}
+    at = {f"{side}_{q}": f(F.lit(v) * (F.col("n") - 1)) for q, v in probs.items() for side, f in (("lo", F.floor), ("hi", F.ceil))}
+    below = ranges.withColumn("below", F.coalesce(F.sum("cnt").over(w), F.lit(0))).join(spans.select(*keys, "n"), keys)
+    hit = F.lit(False)
+    for pos in at.values():
+        hit = hit | ((F.col("below") <= pos) & (pos < F.col("below") + F.col("cnt")))
+    looked = materialize(below.where(hit))
+    chosen = looked.groupBy(*keys).agg(F.sort_array(F.collect_set("r")).alias("wanted"))
+    values = over(sized.join(chosen, keys), wanted, "value double, cnt bigint").groupBy(*keys, "value").agg(F.sum("cnt").alias("cnt"))
+    first = spans.select(*keys, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    r = F.when(F.col("_hi") > F.col("_lo"), F.least((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _RANGES, F.lit(_RANGES - 1.0)).cast("int")).otherwise(0)
+    inside = Window.partitionBy(*keys, "r").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = values.join(first, keys).withColumn("r", r).join(looked.select(*keys, "r", "below", "n"), [*keys, "r"]).withColumn(
+        "below", F.col("below") + F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
+    picks = ranked.groupBy(*keys).agg(*[F.max(F.when((F.col("below") <= pos) & (pos < F.col("below") + F.col("cnt")), F.col("value"))).alias(name)
+                                        for name, pos in at.items()])
+    out = [((F.col(f"lo_{q}") + (F.col(f"hi_{q}") - F.col(f"lo_{q}")) * (F.lit(v) * (F.col("n") - 1) - F.floor(F.lit(v) * (F.col("n") - 1)))))
+           .alias(f"dem_share_pred_{q}") for q, v in probs.items()]
+    spread = spans.join(picks, keys).select(*keys, (F.col("above") / F.col("n")).alias("win"), (F.col("total") / F.col("n")).alias("dem_share_pred_mean"), *out)
+    # a district without people stays, with NULL predictions
     return composition.select(*keys).join(spread, keys, "left").select(
-        *keys, F.coalesce("share_above", F.lit(0.0)).alias("win"), F.col("mean").alias("dem_share_pred_mean"),
-        F.col("q05").alias("dem_share_pred_q05"), F.col("q95").alias("dem_share_pred_q95"))
+        *keys, F.coalesce("win", F.lit(0.0)).alias("win"), "dem_share_pred_mean", "dem_share_pred_q05", "dem_share_pred_q95")
 
 
 def project_ensemble(demo: DataFrame, plans: DataFrame, draws: DataFrame, ei_run_id: str, ensemble_id: str,
