@@ -53,11 +53,15 @@ def plan(spark, d) -> DataFrame:
         F.when(n % 2 == 0, "ENS_A").otherwise("ENS_B").alias("ensemble_id"))
 
 
+MAX_PLANS = 10_000                                       # plan numbers that fit into one literal array
+
+
 def plan_map(spark, d) -> DataFrame:
-    """Every unit in every plan of ``nation``: each unit carries the plan numbers and unfolds them."""
-    numbers = table(spark, d, "nation").agg(F.sort_array(F.collect_set("n_nationkey")).alias("plans"))    # one row
-    u = unit(spark, d).select("vtd_geoid", "vtdkey", "county_fips").join(F.broadcast(numbers)).select(
-        "vtd_geoid", "vtdkey", "county_fips", F.explode("plans").alias("plan_no"))
+    """Every unit in every plan of ``nation``: the plan numbers are unfolded on each unit."""
+    plans = [r[0] for r in table(spark, d, "nation").select("n_nationkey").distinct().orderBy("n_nationkey").limit(MAX_PLANS + 1).collect()]
+    if len(plans) > MAX_PLANS:
+        raise ValueError(f"more than {MAX_PLANS} plans")
+    u = unit(spark, d).select("vtd_geoid", "vtdkey", "county_fips", F.explode(F.array(*[F.lit(n) for n in plans])).alias("plan_no"))
     district = 1 + ((F.col("vtdkey") % 97) * (F.col("plan_no") + 1) + F.col("county_fips").cast("int")) % 37
     return u.select(F.concat(F.lit("P"), zfill("plan_no", 3)).alias("plan_id"), "vtd_geoid",
                     district.cast("string").alias("district_id"))

@@ -87,4 +87,4 @@ def test_query_equals_its_sql(spark, data, name):
 def test_every_query_but_the_random_ones_has_a_twin():
     import __spark_entry__ as E
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert len(E.queries()) - len(E.oracle_sql()) <= 12
+    assert len(QUERIES) - len(ORACLES) <= 11             # the corpus queries are held against brute force in their own tests
