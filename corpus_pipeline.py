@@ -9,38 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardatlas.llm import bpe, decontaminate, jaccard, lines, quality, queries
-from wardatlas.llm.frames import stored
-from wardatlas.storage import ship_package
+from wardatlas.llm.frames import prepare, stored
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from labels that are not held out."""
-    ship_package(spark)
+    prepare(spark)
     return quality.keep_good(docs, quality.learn(queries.labelled(docs, queries.table(spark, sf_dir, "labels"))))
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand on over a twentieth of their source's pages; n_chars follows the text."""
-    ship_package(spark)
+    prepare(spark)
     cut = lines.drop_boilerplate(docs)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 of 5-word shingles."""
-    ship_package(spark)
+    prepare(spark)
     return jaccard.keep_one(docs, width=5, num=4, den=5)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    ship_package(spark)
+    prepare(spark)
     return decontaminate.drop_contaminated(docs, queries.table(spark, sf_dir, "benchmark"), width=5, num=4, den=5)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts of the documents, with digests of the ids and of what they decode to."""
-    ship_package(spark)
+    prepare(spark)
     tokens, pattern = queries.vocabulary()
     return bpe.round_trip(docs, tokens, pattern).withColumnRenamed("doc", "doc_id")
 

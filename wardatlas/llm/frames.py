@@ -6,13 +6,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from wardatlas.storage import scratch_path
+from wardatlas.storage import scratch_path, ship_package
 
 BROADCAST_BYTES = 32 << 20
+ARROW_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and keep the Arrow batches of whole texts small: what a task holds follows them."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -7,10 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardatlas.storage import ship_package
-
 from . import bpe, decontaminate, html, jaccard, language, lines, pii, quality, suffixes, topk
-from .frames import small_side
+from .frames import prepare, small_side
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,7 +18,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 def query(name: str, sql: str | None = None):
     def add(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
 
         run.__name__, run.__doc__ = name, fn.__doc__

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 _BASE = 0x9E6C63D0676A9A99              # odd, so that it has an inverse modulo 2^64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = np.uint64(0xD1342543DE82EF95)
