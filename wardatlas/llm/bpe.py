@@ -230,7 +230,7 @@ class Decoder:
         if not self.waiting:
             ids = list(ids)
             parts = [self.plain[i] for i in ids]
-            if None not in parts and all(self.starts_clean(i) for i, p in zip(ids, parts) if p[:1] == "�"):
+            if None not in parts:                               # every token begins and ends between characters
                 return "".join(parts)
         out = []
         for i in ids:
@@ -243,9 +243,6 @@ class Decoder:
             out.append(text)
         return "".join(out)
 
-    def starts_clean(self, token: int) -> bool:
-        return self.tokens[token][:3] == b"\xef\xbf\xbd"
-
     def finish(self) -> str:
         rest, self.waiting = self.waiting, b""
         return "�" if rest else ""

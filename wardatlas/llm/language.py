@@ -10,7 +10,7 @@ Learning is one pass with one partial sum per task and language; prediction one
 x `DIMENSION` numbers. A task works on `_CHARS` characters at a time and at most `_RUNS` different runs, whatever the texts.
 
 Defined results: a null text or one without a letter is "und" with score 0; texts without a label take no part in learning;
-with no labelled text at all everything is "und"; equal cosines go to the name that sorts first; every row gives one row.
+with no labelled text at all everything is "und"; more than `LANGUAGES` different labels are an error; equal cosines go to the name that sorts first; every row gives one row.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ RUN = 3
 _CHARS = 1 << 18
 _RUNS = 1 << 12
 _UNIT = 1000
+LANGUAGES = 1000                # labels at most; their prototypes are broadcast
 
 
 @lru_cache(maxsize=1)
@@ -118,6 +119,9 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", d
     """Prototype of each language, from all rows with a text and a label."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
 
+    if labelled.select(lang_col).where(F.col(lang_col).isNotNull()).distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} different languages")
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:

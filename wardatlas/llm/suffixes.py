@@ -250,7 +250,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = (repeated_passages(docs, id_col, text_col, min_words=min_words, gram=gram).where("size(surplus) > 0")
              .select(F.col("rid").alias(_KEY), F.col("surplus").alias(_CUTS)))
     pieces = F.split(F.trim(F.regexp_replace(text_col, "[\\x20\\x09-\\x0D]+", " ")), " ")
-    kept = F.array_join(F.filter(pieces, lambda w, i: ~F.exists(F.col(_CUTS), lambda c: (i >= c["start"]) & (i < c["end"]))), " ")
+    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(_CUTS, lambda c: c["end"]))        # spans are in order and apart
+    starts = F.concat(F.transform(_CUTS, lambda c: c["start"]), F.array(F.size(pieces).cast("bigint")))
+    kept = F.array_join(F.flatten(F.zip_with(ends, starts, lambda e, s: F.slice(pieces, (e + 1).cast("int"), (s - e).cast("int")))), " ")
     keyed = docs.withColumn(_KEY, F.xxhash64(F.col(id_col), F.col(text_col))).join(found, _KEY, "left")
     return keyed.withColumn(text_col, F.when(F.col(_CUTS).isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)
 
