@@ -175,6 +175,7 @@ class _Join:
 
     def compare(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """Exact overlap of each pair, from the two whole texts."""
+        pairs = stored(pairs, "pairs")
         keys = stored(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct(), "keys")
         asked = sets.join(small_side(keys, 16), "c", "left_semi")
         left = asked.select(F.col("c").alias("a"), F.col("text").alias("left"))
