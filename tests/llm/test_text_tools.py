@@ -89,6 +89,30 @@ def test_main_text():
     assert html.main_text("<article><p>x" + "<div>" * 3000 + "deep") == "x deep"
 
 
+LONG = "A long paragraph with many words, and no links at all in it, of the text of the page."
+
+
+def test_marks_do_not_replace_the_ratio():
+    text = "".join(f"<div>{i} {LONG}</div>" for i in range(8))
+    want = " ".join(f"{i} {LONG}" for i in range(8))
+    card = "<article><h3><a href=x>Other</a></h3><p>Short</p></article>"
+    filler = "<div><a href=a>one</a> <a href=b>two</a></div>" * 3
+    assert html.main_text(text + filler + card) == html.main_text(card + filler + text) == want
+    assert html.main_text(f"<div>by</div><article><h1>T</h1>{text}<p>End</p></article><div>more</div>") == f"T {want} End"
+
+
+def test_ratio_agrees_with_the_marks(data):
+    import pyarrow.parquet as pq
+    pages = pq.read_table(f"{data}/pages.parquet").column("html").to_pylist()
+    kept = whole = same = 0
+    for page in pages:
+        plain = re.sub(r"(?i)</?(article|main)\b[^>]*>", lambda m: "</div>" if m.group().startswith("</") else "<div>", page)
+        a, b = html.main_text(page), html.main_text(plain)
+        assert set(b.split()) <= set(a.split())
+        kept, whole, same = kept + len(b), whole + len(a), same + (a == b)
+    assert kept >= 0.97 * whole and same > len(pages) / 2
+
+
 def test_smoothing_keeps_a_constant():
     assert np.allclose(html.smoothed(np.full(7, 3.0), 1.0), 3.0)
 

@@ -6,9 +6,10 @@ layout; of each block the parser counts code points, tags, and those inside link
 ratios, form content regions, and so do blocks between two of them.
 
 Markup that names its role is followed first: text in navigation, headers, footers, asides, forms, scripts, styles and the like, hidden
-text, and elements whose class, id or role names an advert, menu, notice, sidebar or comment never counts. If the page marks its content
-(article, main, role=main), the blocks inside it are the content region whatever their ratio, as are all its headings and short
-paragraphs; the ratio decides on pages without such marks.
+text, and elements whose class, id or role names an advert, menu, notice, sidebar or comment never counts. The ratio decides on every page.
+Marks of content (article, main, role=main) scale the smoothed ratios: those of marked blocks by the share of the page's text that is
+marked, the others by the rest. Where half of the text or more is marked, the threshold bounds the ratios of marked blocks from below, so
+that headings and short paragraphs of an article stay; a teaser or card that is marked beside plain text has no such bound.
 
 Defined results: a null or empty page, or one without content, gives an empty text; broken and unclosed markup is read as the parser
 reads it; every row gives one row; a page is held by one task.
@@ -158,15 +159,24 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return full(ratios) / full(np.ones(len(ratios)))
 
 
+def held(blocks: list[Block]) -> float:
+    """Share of the text outside links, or of all text if there is no other, that stands in marked blocks."""
+    sizes = np.array([max(0, len(b.text) - b.linked) for b in blocks])
+    if not sizes.sum():
+        sizes = np.array([len(b.text) for b in blocks])
+    return float(sizes[[b.marked for b in blocks]].sum() / sizes.sum())
+
+
 def content(blocks: list[Block], sigma: float = 1.0, share: float = 0.5) -> list[str]:
     """Texts of the blocks in content regions, in page order."""
-    if any(b.marked for b in blocks):
-        return [b.text for b in blocks if b.marked]
     if not blocks:
         return []
-    ratios = smoothed(np.array([b.ratio for b in blocks]), sigma)
+    marked, holds = np.array([b.marked for b in blocks]), held(blocks)
+    ratios = smoothed(np.array([b.ratio for b in blocks]), sigma) * np.where(marked, holds, 1 - holds)
     over = ratios >= min(share * ratios.std(), ratios.max()) if len(blocks) > 1 else np.ones(1, dtype=bool)
     over &= np.array([b.linked * 2 <= len(b.text) for b in blocks])
+    if holds >= 0.5:
+        over |= marked                                          # the bound: never under the threshold
     return [b.text for b, on in zip(blocks, over) if on]
 
 
