@@ -101,6 +101,16 @@ def test_marks_do_not_replace_the_ratio():
     assert html.main_text(f"<div>by</div><article><h1>T</h1>{text}<p>End</p></article><div>more</div>") == f"T {want} End"
 
 
+@pytest.mark.parametrize("n", [1, 6, 9, 40])
+def test_regions_are_filled(n):
+    long, menu = [f"<p>{i} {LONG * 2}</p>" for i in range(8)], "<ul>" + "<li><a href=m>Menu</a></li>" * 6 + "</ul>"
+    bare = lambda parts: " ".join(re.sub("<[^>]*>", " ", " ".join(parts)).split())
+    for between in (["<h2>Steps</h2>", "<ul>", *[f"<li>item {i}</li>" for i in range(n)], "</ul>"], [f"<p>Short {i}.</p>" for i in range(n)],
+                    ["<ul>", *[f"<li><a href=r{i}>source {i}</a></li>" for i in range(n)], "</ul>"]):
+        article = ["<h1>Title</h1>", *long[:4], *between, "<h2>More</h2>", *long[4:]]
+        assert html.main_text(menu + "".join(article) + menu) == bare(article)
+
+
 def test_ratio_agrees_with_the_marks(data):
     import pyarrow.parquet as pq
     pages = pq.read_table(f"{data}/pages.parquet").column("html").to_pylist()

@@ -3,13 +3,14 @@
 The page streams through the standard library's parser. Text gathers in blocks, which end at tags that begin or end a block of
 layout; of each block the parser counts code points, tags, and those inside links. A block's text-to-tag ratio is its code points outside links over its tags
 (at least one). The ratios are smoothed along the page by a Gaussian. Blocks over a threshold, a share of the standard deviation of the smoothed
-ratios, form content regions, and so do blocks between two of them.
+ratios, form content regions if they are not mostly links, and so do all blocks between two of them, short ones and links too.
 
 Markup that names its role is followed first: text in navigation, headers, footers, asides, forms, scripts, styles and the like, hidden
 text, and elements whose class, id or role names an advert, menu, notice, sidebar or comment never counts. The ratio decides on every page.
 Marks of content (article, main, role=main) scale the smoothed ratios: those of marked blocks by the share of the page's text that is
 marked, the others by the rest. Where half of the text or more is marked, the threshold bounds the ratios of marked blocks from below, so
-that headings and short paragraphs of an article stay; a teaser or card that is marked beside plain text has no such bound.
+that headings and short paragraphs of an article stay; a teaser or card that is marked beside plain text has no such bound. Regions are filled
+with blocks of the side, marked or not, that holds the most text: the others stand apart from it by the page's own word.
 
 Defined results: a null or empty page, or one without content, gives an empty text; broken and unclosed markup is read as the parser
 reads it; every row gives one row; a page is held by one task.
@@ -175,8 +176,12 @@ def content(blocks: list[Block], sigma: float = 1.0, share: float = 0.5) -> list
     ratios = smoothed(np.array([b.ratio for b in blocks]), sigma) * np.where(marked, holds, 1 - holds)
     over = ratios >= min(share * ratios.std(), ratios.max()) if len(blocks) > 1 else np.ones(1, dtype=bool)
     over &= np.array([b.linked * 2 <= len(b.text) for b in blocks])
+    most = marked if holds >= 0.5 else ~marked
     if holds >= 0.5:
         over |= marked                                          # the bound: never under the threshold
+    found = np.flatnonzero(over & most)
+    if len(found):
+        over[found[0]:found[-1]] |= most[found[0]:found[-1]]
     return [b.text for b, on in zip(blocks, over) if on]
 
 
