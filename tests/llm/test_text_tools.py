@@ -111,6 +111,30 @@ def test_regions_are_filled(n):
         assert html.main_text(menu + "".join(article) + menu) == bare(article)
 
 
+@pytest.mark.parametrize("around", [*[f"<div class='{c}'>" for c in ("content-area no-sidebar", "has-sidebar", "with-sidebar wide", "sidebar", "side", "header", "share", "related",
+                                                                     "search", "tags", "legal", "page-header", "comments-open", "newsletter")], "<form>", "<div role=form>", "<form><div id=sidebar><div class=search>"])
+def test_names_and_forms_around_the_article(around):
+    end = "</form>" if "<form" in around else "</div>"
+    body = f"<h1>Title</h1><p>{LONG}</p><div class=ad>Buy</div><form>Send</form><p>{LONG}</p>"
+    beside = "<div class=sidebar><p>Side</p></div><section class=comments><article><p>Nice</p></article><article><p>Good</p></article></section>"
+    for kind in ("article", "main"):
+        page = f"<body><div>Site</div>{around}<{kind}>{body}</{kind}>{beside}{end}{beside}</body>"
+        assert html.main_text(page) == f"Title {LONG} {LONG}"
+    if "newsletter" not in around:
+        assert html.main_text(f"{around}<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>{end}{beside}") == f"Title {LONG} {LONG}"
+
+
+def test_names_and_forms_beside_the_article():
+    text = f"<p>{LONG}</p>" * 2
+    for kind in ("<div class=related>", "<form>", "<div class='left sidebar'>", "<div id=comments>"):
+        end = "</form>" if "form" in kind else "</div>"
+        for card in ("Small text", "<article>Small card</article>"):
+            assert html.main_text(f"<article>{text}</article>{kind}{card}{end}") == f"{LONG} {LONG}"
+    talk = f"<div id=comments>{('<article><p>' + LONG * 3 + '</p></article>') * 2}</div>"
+    assert html.main_text(f"<article>{text}</article>{talk}") == html.main_text(f"<div>{text}</div>{talk}") == f"{LONG} {LONG}"
+    assert html.main_text("<div class=sidebar>" * 20000 + "x") == "x"
+
+
 def test_ratio_agrees_with_the_marks(data):
     import pyarrow.parquet as pq
     pages = pq.read_table(f"{data}/pages.parquet").column("html").to_pylist()

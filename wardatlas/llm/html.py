@@ -5,8 +5,10 @@ layout; of each block the parser counts code points, tags, and those inside link
 (at least one). The ratios are smoothed along the page by a Gaussian. Blocks over a threshold, a share of the standard deviation of the smoothed
 ratios, form content regions if they are not mostly links, and so do all blocks between two of them, short ones and links too.
 
-Markup that names its role is followed first: text in navigation, headers, footers, asides, forms, scripts, styles and the like, hidden
-text, and elements whose class, id or role names an advert, menu, notice, sidebar or comment never counts. The ratio decides on every page.
+Markup that names its role is followed first: text in navigation, headers, footers, asides, scripts, styles and the like, and hidden text
+never counts. Forms and elements whose class or id names an advert, menu, notice, sidebar or comment do not count either, unless they hold
+most of the page's text or the page's only article (see `Reader._needs`); compounds that speak of the layout, as no-sidebar or page-header,
+are no such names. The ratio decides on every page.
 Marks of content (article, main, role=main) scale the smoothed ratios: those of marked blocks by the share of the page's text that is
 marked, the others by the rest. Where half of the text or more is marked, the threshold bounds the ratios of marked blocks from below, so
 that headings and short paragraphs of an article stay; a teaser or card that is marked beside plain text has no such bound. Regions are filled
@@ -21,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +36,10 @@ from .frames import with_column
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label",
           "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-APART = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "script", "style", "noscript", "template", "iframe", "object", "svg", "math",
+APART = {"nav", "header", "footer", "aside", "menu", "dialog", "script", "style", "noscript", "template", "iframe", "object", "svg", "math",
          "canvas", "button", "select", "textarea", "datalist", "head", "title", "video", "audio", "map", "noframes", "applet"}
 CONTENT = {"article", "main"}
-ROLES_APART = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog", "status", "toolbar"}
+ROLES_APART = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "alertdialog", "status", "toolbar"}
 #: Words in a class or id that name something other than the article.
 NAMES_APART = {"ad", "ads", "advert", "adverts", "advertisement", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation",
                "menu", "menubar", "breadcrumb", "breadcrumbs", "sidebar", "side", "rail", "widget", "widgets", "footer", "foot", "header", "masthead", "topbar",
@@ -45,7 +48,16 @@ NAMES_APART = {"ad", "ads", "advert", "adverts", "advertisement", "adsense", "sp
                "pagination", "pager", "toolbar", "skip", "copyright", "legal", "disclaimer", "search", "tags"}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1",
              "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "table", "ul"}
-_WORD = re.compile(r"[A-Za-z]+")
+#: Names of text of its own kind beside an article; the others may also name the element around the article.
+NAMES_BESIDE = {"ad", "ads", "advert", "adverts", "advertisement", "adsense", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr",
+                "popup", "newsletter", "subscribe", "subscription", "signup", "comment", "comments", "disqus", "respond", "reply", "replies", "recommended",
+                "recommendations"}
+#: Compounds that say how a page is laid out: no-sidebar, sidebar-layout, page-header.
+_LAYOUT_BEFORE = {"no", "non", "has", "have", "with", "without"}
+_LAYOUT_AFTER = {"layout", "open", "closed", "enabled", "disabled"}
+_HEADED = {"page", "article", "post", "entry", "content", "story", "section"}
+_UNMARKED, _SHUT = -1, 1 << 60
+_WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
@@ -60,45 +72,63 @@ class Block:
         return max(0, len(self.text) - self.linked) / max(1, self.tags)
 
 
-def _apart(tag: str, attrs: list[tuple[str, str | None]], inside_content: bool) -> bool:
+def _names(value: str) -> set[str]:
+    """Words of a class or id that name something other than the article, without those that speak of the layout."""
+    found = set()
+    for token in value.split():
+        words = _WORD.findall(token)
+        for i, word in enumerate(words):
+            before, after = words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""
+            if word in NAMES_APART and before not in _LAYOUT_BEFORE and after not in _LAYOUT_AFTER and not (word == "header" and before in _HEADED):
+                found.add(word)
+    return found
+
+
+def _apart(tag: str, attrs: list[tuple[str, str | None]], inside_content: bool) -> tuple[bool, bool, bool]:
+    """(never counts, is apart by its name or as a form, is beside the article by its name)."""
     if tag == "header" and inside_content:
         pass                                                    # an article's own header holds its title
     elif tag in APART:
-        return True
+        return True, False, False
+    form, names = tag == "form", set()
     for name, value in attrs:
         value = (value or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, False, False
         if name == "role" and value in ROLES_APART:
-            return True
+            return True, False, False
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name in ("class", "id") and tag not in CONTENT and tag not in ("html", "body") and NAMES_APART.intersection(_WORD.findall(value)):
-            return True
-    return False
+            return True, False, False
+        form = form or name == "role" and value == "form"
+        if name in ("class", "id") and tag not in CONTENT and tag not in ("html", "body"):
+            names |= _names(value)
+    return False, form or bool(names), bool(names & NAMES_BESIDE)
 
 
 class Reader(HTMLParser):
-    """Turns parser events into blocks. A stack of open elements says what the text at hand belongs to."""
+    """Turns parser events into blocks. A stack of open elements says what the text at hand belongs to.
+
+    An element that is apart by its name or as a form opens a zone. Zone 0 is the page; whether the text of another counts is known at
+    the end of the page, when the sizes of all are. A mark is an open article, main or the like, known by the zone it stands in.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []            # (tag, inside something apart, inside marked content)
-        self.blocks: list[Block] = []
-        self.parts: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.open: list[tuple[str, bool, int, int]] = []        # (tag, inside something that never counts, zone, mark)
+        self.zones: list[tuple[int, int, bool, bool]] = [(0, 0, False, False)]      # (parent, depth, beside, inside marked content)
+        self.marks: list[int] = []                              # zone of each mark
+        self.raw: list[tuple[list[tuple[str, bool, int, int]], int]] = []           # (pieces of text, tags) of each block
+        self.parts: list[tuple[str, bool, int, int]] = []       # (text, inside a link, zone, mark)
+        self.tags = self.links = 0
 
-    def _state(self) -> tuple[bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False)
+    def _state(self) -> tuple[bool, int, int]:
+        return self.open[-1][1:] if self.open else (False, 0, _UNMARKED)
 
     def _end_block(self) -> None:
-        if self.parts:
-            text = _SPACE.sub(" ", "".join(self.parts)).strip()
-            if text:
-                self.blocks.append(Block(text, self.tags, self.linked, self._state()[1]))
-                self.tags = 0
-            self.parts.clear()
-        self.linked = 0
+        if any(not x[0].isspace() for x in self.parts):
+            self.raw.append((self.parts, self.tags))
+            self.tags = 0
+        self.parts = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -112,9 +142,16 @@ class Reader(HTMLParser):
             self._close(tag, {"table", "tr"} - {tag})
         if tag in VOID:
             return
-        apart, marked = self._state()
-        marks = tag in CONTENT or any(k == "role" and v == "main" or k == "itemprop" and v == "articleBody" for k, v in attrs)
-        self.open.append((tag, apart or _apart(tag, attrs, marked), (marked or marks) and not apart))
+        never, zone, mark = self._state()
+        if not never:
+            never, apart, beside = _apart(tag, attrs, mark != _UNMARKED)
+            if apart and not never:
+                self.zones.append((zone, self.zones[zone][1] + 1, beside, mark != _UNMARKED))
+                zone = len(self.zones) - 1
+            if tag in CONTENT or any(k == "role" and v == "main" or k == "itemprop" and v == "articleBody" for k, v in attrs):
+                self.marks.append(zone)
+                mark = len(self.marks) - 1
+        self.open.append((tag, never, zone, mark))
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -141,15 +178,65 @@ class Reader(HTMLParser):
             self._close(tag, CONTENT | {"body", "table"} if tag in INLINE or tag == "p" else {"body"} - {tag})
 
     def handle_data(self, data: str) -> None:
-        if not self._state()[0]:
-            self.parts.append(data)
-            if self.links:
-                self.linked += len(data)
+        never, zone, mark = self._state()
+        if not never:
+            self.parts.append((data, self.links > 0, zone, mark))
+
+    def _needs(self) -> list[int]:
+        """For each zone the depth of zone in which a mark must stand for marked text in the zone to count; 0 if all of it counts.
+
+        Zones are judged from the outer to the inner. All of a zone counts if it holds most of the page's text, and is inside marked
+        content, holds marked content or the page has none that counts. Otherwise only the marked content in it counts, if the page has
+        no other that counts. What is beside an article by its name, as comments, speaks for no zone around it, and counts only where
+        nothing marked does and it holds one mark, with most of the page's text in it.
+        """
+        n = len(self.zones)
+        text, under, tops = [0] * n, [0] * n, [-1] * n           # code points; those with a mark from the zone; deepest mark of the zone's own
+        holders: list[set[int]] = [set() for _ in range(n)]      # marks with text that stand in the zone itself
+        for parts, _ in self.raw:
+            for data, linked, zone, mark in parts:
+                size = 0 if linked else len(data.strip())
+                text[zone] += size
+                if mark != _UNMARKED and size:
+                    under[self.marks[mark]] += size
+                    holders[self.marks[mark]].add(mark)
+                    tops[zone] = max(tops[zone], self.zones[self.marks[mark]][1])
+        count = [len(x) for x in holders]
+        for zone in range(n - 1, 0, -1):                         # a zone follows its parent
+            parent = self.zones[zone][0]
+            text[parent] += text[zone]
+            if not self.zones[zone][2]:
+                under[parent] += under[zone]
+                count[parent] += count[zone]
+        need, seen = [0] * n, tops[0] >= 0
+        for depth, level in groupby(sorted(range(1, n), key=lambda z: self.zones[z][1]), key=lambda z: self.zones[z][1]):
+            level = list(level)
+            for zone in level:
+                parent, _, beside, inside = self.zones[zone]
+                most = 2 * text[zone] > text[0]
+                if need[parent] == _SHUT:
+                    need[zone] = _SHUT
+                elif beside:
+                    need[zone] = depth if count[zone] == 1 and 2 * under[zone] > text[0] and not seen else _SHUT
+                elif most and (under[zone] or inside or not seen):
+                    need[zone] = need[parent]
+                else:
+                    need[zone] = depth if under[zone] and not seen else _SHUT
+            seen = seen or any(tops[z] >= need[z] for z in level)
+        return need
 
     def finish(self) -> list[Block]:
         self.close()
         self._end_block()
-        return self.blocks
+        need, blocks, tags = self._needs(), [], 0
+        for parts, own in self.raw:
+            kept = [x for x in parts if (self.zones[self.marks[x[3]]][1] if x[3] != _UNMARKED else 0 if not need[x[2]] else -1) >= need[x[2]]]
+            text = _SPACE.sub(" ", "".join(x[0] for x in kept)).strip()
+            tags += own
+            if text:
+                blocks.append(Block(text, tags, sum(len(x[0]) for x in kept if x[1]), any(x[3] != _UNMARKED for x in kept)))
+                tags = 0
+        return blocks
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
