@@ -219,6 +219,19 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert got[200] == [("ident", "AB-12345x")] and got[201] == [] and all(not got[i] for i, *_ in rows[:n])
 
 
+def test_long_identifiers_are_whole(spark):
+    rows = [(i, f"my account 41111111111111{k:02d} ends", None, None, None) for i, k in enumerate(range(100)) if luhn(f"41111111111111{k:02d}")]
+    keys = ["AB-12345x", "k" * 63 + "1", "k" * 64 + "1", "k" * 300 + "7" + "m" * 300, "eyJhbGciOi." + "Ab9_Cd-" .replace("_", "/") * 40 + "Z.x", "a1" * 50000, "ab-" * 40 + "c5", "x/" * 30000 + "y9"]
+    none = ["k" * 65, "ab-" * 40 + "c", "a1-b", "x/" * 30000 + "y", "a" + "-" * 80]
+    rows += [(200 + i, f"see my account {k}. here", None, None, None) for i, k in enumerate(keys)]
+    rows += [(300 + i, f"see my account {k} 2nd", None, None, None) for i, k in enumerate(none)]
+    rows += [(400, "my account foo-12345-ab\u00e9 x", None, None, None), (401, "my account ab\u00e9-123456", None, None, None)]
+    got = {r["doc"]: [(s["start"], s["value"]) for s in r["more"]] for r in pii.find(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, k in enumerate(keys):
+        assert got[200 + i] == [(15, k)], k[:80]
+    assert all(not got[300 + i] for i in range(len(none))) and got[400] == [(11, "foo-12345")] and got[401] == []
+
+
 def test_pii_of_awkward_rows(spark):
     df = awkward(spark, [(None, "a@b.co", None, None, None), (7, "+1 (974) 555-3436", None, None, None), (7, "+1 (974) 555-3436", None, None, None)])
     got = sorted(((r["doc"], pii_text(r["base"])) for r in pii.find(df).collect()), key=str)

@@ -2,7 +2,7 @@
 
 Base spans come from fixed patterns (e-mail, IP, card, phone) and their checks. They are the seeds of the bootstrap: the two
 words left of an entity are a lexical pattern, and pattern and entity an edge of a bipartite graph. The graph also holds the
-identifier-like tokens (letters and digits, at least six characters, with a digit) with their patterns. Each round scores
+identifier-like tokens (letters and digits, at least six characters, however long, with a digit) with their patterns. Each round scores
 
     pattern  = sum of its instances' scores / number of its instances, if that sum is at least `support`
     instance = 1 for a seed, else 1 - product over its patterns of (1 - pattern)
@@ -33,7 +33,9 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-IDENT = r"(?<![\p{L}0-9])(?=[A-Za-z._/-]{0,63}[0-9])[A-Za-z0-9][A-Za-z0-9._/-]{4,62}[A-Za-z0-9](?![\p{L}0-9])"
+# A candidate token: a short one is looked for as such, a run of over 64 characters is taken whole and checked afterwards.
+IDENT = (r"(?<![\p{L}0-9])(?=(?=[A-Za-z._/-]{0,63}[0-9])[A-Za-z0-9][A-Za-z0-9._/-]{4,62}[A-Za-z0-9](?![\p{L}0-9])|[A-Za-z0-9._/-]{65})"
+         r"[A-Za-z0-9]++(?![\p{L}0-9])(?:[._/-]++[A-Za-z0-9]++(?![\p{L}0-9]))*+")
 _BLOCK = 256                    # matches whose positions are summed in one array
 
 
@@ -55,6 +57,8 @@ def _valid(kind: str, match: Column) -> Column:
         return F.length(digits).between(12, 19) & _luhn(digits)
     if kind == "phone":
         return F.length(digits).between(9, 15)
+    if kind == "ident":
+        return (F.length(match) >= 6) & (F.length(digits) > 0)
     return F.lit(True)
 
 
@@ -106,7 +110,8 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rank = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
     keyed = F.transform(F.concat(*has.values()), lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"),
                                                                      s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), s["left"].alias("left")))
-    return digit.select("doc", "rid", F.sort_array(keyed).alias("base"), _found(F.col("text"), "ident", IDENT, F.col("digit")).alias("tokens"))
+    tokens = F.filter(_found(F.col("text"), "ident", IDENT, F.col("digit")), lambda s: _valid("ident", s["value"]))
+    return digit.select("doc", "rid", F.sort_array(keyed).alias("base"), tokens.alias("tokens"))
 
 
 def confident_patterns(found: DataFrame, support: float, confidence: float, rounds: int) -> DataFrame:
