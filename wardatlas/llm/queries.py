@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, jaccard, language, lines, pii, quality, suffixes, topk
+from wardatlas.storage import scratch_path
+
+from . import bpe, counts, decontaminate, html, jaccard, language, lines, merkle, pii, quality, runs, suffixes, topk
 from .frames import prepare, small_side
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +175,88 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of each query vector."""
     return topk.top_k_of_table(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.expr("id % 50 = 0"), scale=256.0, k=5)
+
+
+# In the twins: CRC-32 of the decimal id, by the table of its polynomial.
+_CRC = """crc AS (SELECT d.*, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda s, c: xor(t[xor(s, c) % 256 + 1], s >> 8)), 4294967295) AS h FROM documents d,
+    (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t))"""
+
+
+@query("op11_periodic_runs", f"""
+WITH {_CRC},
+given AS (SELECT doc_id, h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS o FROM crc),
+cut AS (SELECT doc_id, o, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(o) > 0 THEN (h // 10) % len(o) END AS a FROM given),
+tails AS (SELECT *, 1 + (len(o) - a) // (3 + g % 8) AS p FROM cut),
+texts AS (SELECT doc_id, CASE WHEN a IS NULL THEN o ELSE list_transform(range(len(o)), lambda i: o[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) END AS w FROM tails),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM texts),
+fours AS (SELECT doc_id, i, len(w) AS n, array_to_string(w[i + 1:i + 4], ' ') AS four FROM (SELECT doc_id, w, unnest(range(len(w) - 3)) AS i FROM texts WHERE len(w) > 3)),
+equal AS (SELECT x.doc_id, y.i - x.i AS p, x.i FROM fours x JOIN fours y ON x.doc_id = y.doc_id AND x.four = y.four AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+marked AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS stretch FROM equal),
+stretches AS (SELECT doc_id, p, min(i) AS s, count(*) + 3 + p AS len FROM marked GROUP BY doc_id, p, stretch HAVING count(*) + 3 + p >= greatest(6, 4 * p)),
+runs AS (SELECT doc_id, s, len, min(p) AS p FROM stretches GROUP BY doc_id, s, len),
+best AS (SELECT doc_id, count(*) AS n, arg_min({{'s': s, 'len': len, 'p': p}}, {{'l': -len, 's': s, 'p': p}}) AS b, string_agg(s || ',' || len || ',' || p || chr(10), '' ORDER BY s, p) AS listed FROM runs GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(s + p, s + len)) AS i FROM runs),
+kept AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS text FROM words w LEFT JOIN dropped d ON d.doc_id = w.doc_id AND d.i = w.i WHERE d.i IS NULL GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_runs, b.s AS start, b.len AS length, b.p AS period, 1000 * b.len // b.p AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN best USING (doc_id) LEFT JOIN kept k ON k.doc_id = d.doc_id""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words that repeat with a period, per document with planted tails, and the text without repeats."""
+    docs = runs.with_planted_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = runs.periodic_runs(docs, min_length=6, min_exponent=4)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    row = found.select("doc", "runs", "collapsed", best.alias("b"), F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("").alias("listed"))
+    length, period = F.col("b.length"), -F.col("b.col3")
+    return row.select(F.col("doc").alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"), (-F.col("b.col2")).alias("start"), length.alias("length"),
+                      period.alias("period"), F.floor(length * 1000 / period).cast("bigint").alias("exponent_milli"),
+                      F.sha2(F.col("listed").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+@query("op12_merkle_manifest", f"""
+WITH RECURSIVE {_CRC},
+leaves AS (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, CASE WHEN h % 7 = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS shown FROM crc),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+low AS (SELECT lang, 0 AS k, i, n, leaf AS d FROM placed
+    UNION ALL SELECT lang, k + 1, i // 2, any_value(n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY lang, k, i // 2),
+tops AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n, d FROM low WHERE n = 1),
+high AS (SELECT 0 AS k, i, n, d FROM tops
+    UNION ALL SELECT k + 1, i // 2, any_value(n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY k, i // 2),
+walk AS (SELECT doc_id, leaf, lang, 0 AS k, i, n, shown AS d, '' AS proof FROM placed
+    UNION ALL SELECT doc_id, leaf, w.lang, w.k + 1, w.i // 2, (w.n + 1) // 2,
+        sha256(CASE WHEN w.i % 2 = 1 THEN s.d || w.d ELSE w.d || coalesce(s.d, '') END), proof || coalesce(s.d, '')
+    FROM walk w LEFT JOIN low s ON s.lang IS NOT DISTINCT FROM w.lang AND s.k = w.k AND s.i = xor(w.i, 1) WHERE w.n > 1),
+climb AS (SELECT doc_id, leaf, w.lang, t.d AS subroot, 0 AS k, t.i, t.n, w.d, proof FROM walk w JOIN tops t ON t.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+    UNION ALL SELECT doc_id, leaf, w.lang, subroot, w.k + 1, w.i // 2, (w.n + 1) // 2,
+        sha256(CASE WHEN w.i % 2 = 1 THEN s.d || w.d ELSE w.d || coalesce(s.d, '') END), proof || coalesce(s.d, '')
+    FROM climb w LEFT JOIN high s ON s.k = w.k AND s.i = xor(w.i, 1) WHERE w.n > 1)
+SELECT doc_id, leaf, subroot, r.d AS root, sha256(proof) AS proof_sha256, c.d AS folded_root, c.d = r.d AS verified
+FROM climb c, (SELECT d FROM high WHERE n = 1) r WHERE c.n = 1""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document; the rows that the contract tampers with fail their check."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = merkle.digest([F.col(c).cast("decimal(20,0)") + 1 if c == "n_chars" else F.col(c) for c in fields])
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = merkle.manifest(docs, fields, "lang", "doc_id", F.when(tampered, changed))
+    return found.select(F.col("doc").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.col("siblings").cast("binary"), 256).alias("proof_sha256"),
+                        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document; a cache of its own, so that a run does not depend on earlier ones."""
+    import public_tokenizers
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = counts.token_counts(table(spark, sf_dir, "documents"), scratch_path(spark, "token cache"), counts.file_version(path),
+                                lambda: counts.library_encoder(path))
+    return found.select(F.col("doc").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
