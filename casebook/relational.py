@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardatlas.functions import scalars as S
-from wardatlas.operators import elections, ensemble, keyed, opportunity, profile, rollup
+from wardatlas.operators import chain, elections, ensemble, keyed, opportunity, profile, rollup
 from wardatlas.operators.joins import salted_join, small_side
 from wardatlas.operators.order_stats import ecdf_positions, row_index
 from wardatlas.plans import build_inputs
@@ -703,6 +703,71 @@ def u4(spark, d):
     return keyed.upsert(base, new, ["vtd_geoid"])
 
 
+@case("u4_bucketed_upsert", """
+SELECT vtd_geoid, CASE WHEN vap_total >= 150 THEN cast(-1 AS bigint) ELSE vap_total END AS vap_total FROM fx_unit
+UNION ALL SELECT concat('49', substr(vtd_geoid, 3)), vap_total FROM fx_unit WHERE vap_total < 60""", ("fx_unit",))
+def u4b(spark, d):
+    """Changed and new units upserted into a stored table, bucket by bucket."""
+    base = V.unit(spark, d).select("vtd_geoid", "vap_total")
+    path = keyed.write_buckets(base, scratch_path(spark, "units"), ["vtd_geoid"], 16)
+    keyed.upsert_buckets(path, base.where("vap_total >= 150").withColumn("vap_total", F.lit(-1).cast("bigint")))
+    keyed.upsert_buckets(path, base.where("vap_total < 60").withColumn("vtd_geoid", F.concat(F.lit("49"), F.substring("vtd_geoid", 3, 100))))
+    return keyed.read_buckets(spark, path)
+
+
+# ---- a chain of plans as runs --------------------------------------------------------------------
+
+def _runs(spark, d):
+    path = chain.write_runs(chain.to_runs(V.chain_map(spark, d)), scratch_path(spark, "runs"))
+    return chain.read_runs(spark, path)
+
+
+@case("s13_plan_runs", """
+SELECT vtd_geoid, district_id, min(plan_no) AS first_plan, max(plan_no) AS last_plan FROM
+ (SELECT *, plan_no - row_number() OVER (PARTITION BY vtd_geoid, district_id ORDER BY plan_no) AS g FROM fx_chain) t GROUP BY vtd_geoid, district_id, g""", ("fx_chain",))
+def s13r(spark, d):
+    """A chain written and read back as runs."""
+    return _runs(spark, d)
+
+
+@case("p1_runs_of_some_plans", "SELECT plan_no, vtd_geoid, district_id FROM fx_chain WHERE plan_no BETWEEN 100 AND 109", ("fx_chain",))
+def p1r(spark, d):
+    """Ten plans of the chain, long again."""
+    path = chain.write_runs(chain.to_runs(V.chain_map(spark, d)), scratch_path(spark, "runs"))
+    return chain.each_plan(chain.read_runs(spark, path, (100, 109)))
+
+
+@case("a3_chain_demo_vap", """
+SELECT plan_no, district_id, cast(sum(vap_total) AS bigint) AS vap_total, cast(sum(vap_nh_black) AS bigint) AS vap_nh_black, cast(sum(vap_hisp) AS bigint) AS vap_hisp,
+ round(1e0-sum(vap_nh_white)/cast(sum(vap_total) AS double),6) AS share_minority_vap FROM fx_chain JOIN fx_unit USING (vtd_geoid) GROUP BY 1,2""", ("fx_chain", "fx_unit"))
+def a3r(spark, d):
+    """Demographics of every district of every plan of the chain, from the ends of runs."""
+    out = chain.each_plan(chain.district_demo_vap(_runs(spark, d), V.unit(spark, d)))
+    return r6(out.select("plan_no", "district_id", "vap_total", "vap_nh_black", "vap_hisp", "share_minority_vap"))
+
+
+@case("a4_chain_returns", RETURNS_SQL.replace("plan_id", "plan_no").replace("fx_plan_map", "fx_chain"), ("fx_chain", "fx_unit_returns"))
+def a4r(spark, d):
+    """Votes of every district of the chain; NULL where no unit of a district has any."""
+    return r6(chain.each_plan(chain.district_returns(_runs(spark, d), V.unit_returns(spark, d))))
+
+
+@case("a15_chain_deviation", """
+SELECT plan_no, count(*) AS n_districts, cast(sum(p) AS bigint) AS total_pop, round(avg(p),6) AS ideal_pop, round(max(abs(p-m)/m),6) AS max_dev,
+ round(CASE WHEN max(abs(p-m)/m) > 0.01e0 THEN max(abs(p-m)/m)+1e-6 ELSE 0.01e0 END,6) AS epsilon_used
+FROM (SELECT plan_no, p, avg(p) OVER (PARTITION BY plan_no) AS m FROM (SELECT plan_no, district_id, sum(vap_total) AS p FROM fx_chain JOIN fx_unit USING (vtd_geoid) GROUP BY 1,2) t) u
+GROUP BY plan_no""", ("fx_chain", "fx_unit"))
+def a15r(spark, d):
+    """Population deviation of every plan of the chain."""
+    return r6(chain.population_deviation(_runs(spark, d), V.unit(spark, d)))
+
+
+@case("a10_chain_unit_counts", "SELECT plan_no, count(*) AS n_vtd FROM fx_chain GROUP BY 1", ("fx_chain",))
+def a10r(spark, d):
+    """Units per plan of the chain."""
+    return chain.each_plan(chain.units_per_plan(_runs(spark, d)))
+
+
 @case("u5_replace_where", "SELECT plan_id, n_opportunity_districts AS n FROM fx_metrics WHERE opp_def_id <> 'BVAP' UNION ALL SELECT plan_id, cast(0 AS bigint) FROM fx_metrics WHERE opp_def_id = 'BVAP'", ("fx_metrics",))
 def u5(spark, d):
     m = _metrics(spark, d).select("plan_id", "opp_def_id", F.col("n_opportunity_districts").alias("n"))

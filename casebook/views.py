@@ -6,7 +6,7 @@ names match the functions here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardatlas.functions.geometry import box_rings
@@ -67,6 +67,18 @@ def plan_map(spark, d) -> DataFrame:
                     district.cast("string").alias("district_id"))
 
 
+CHAIN = 450                                              # plans of the chain
+
+
+def chain_map(spark, d) -> DataFrame:
+    """A chain of plans, long: a unit moves on by seven districts in each plan that an order of its customer names."""
+    flips = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("vtdkey"), (F.col("o_orderkey") % CHAIN).alias("plan_no")).agg(F.count(F.lit(1)).alias("n"))
+    every = unit(spark, d).select("vtd_geoid", "vtdkey", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(CHAIN - 1).cast("bigint"))).alias("plan_no"))
+    so_far = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("vtdkey").orderBy("plan_no"))
+    return every.join(flips, ["vtdkey", "plan_no"], "left").select(
+        "vtd_geoid", "plan_no", (1 + (F.col("vtdkey") + 7 * so_far) % 37).cast("string").alias("district_id"))
+
+
 def opp_def(spark, d=None) -> DataFrame:
     return definitions(spark, DEFS)
 
@@ -150,6 +162,10 @@ SELECT concat('P', lpad(cast(n_nationkey AS varchar),3,'0')) AS plan_id, n_natio
     "fx_plan_map": """
 SELECT p.plan_id, u.vtd_geoid, cast(1 + ((u.vtdkey % 97) * (p.plan_no + 1) + cast(u.county_fips AS int)) % 37 AS varchar) AS district_id
 FROM fx_unit u CROSS JOIN fx_plan p""",
+    "fx_chain": """
+SELECT u.vtd_geoid, p AS plan_no, cast(1 + (u.vtdkey + 7*sum(coalesce(n,0)) OVER (PARTITION BY u.vtdkey ORDER BY p)) % 37 AS varchar) AS district_id
+FROM fx_unit u CROSS JOIN (SELECT unnest(range(450)) AS p) r
+LEFT JOIN (SELECT o_custkey, o_orderkey % 450 AS plan_no, count(*) AS n FROM orders GROUP BY 1,2) f ON f.o_custkey = u.vtdkey AND f.plan_no = p""",
     "fx_opp_def": """
 SELECT * FROM (VALUES ('BVAP','share_black_vap',0.185e0),('HVAP','share_hisp_vap',0.3e0),('MINVAP','share_minority_vap',0.562e0))
  AS t(opp_def_id, group_share_col, threshold)""",
@@ -210,7 +226,7 @@ SELECT a.unit_idx AS src, b.unit_idx AS dst, 1e0 AS shared_length FROM fx_unit_b
 }
 
 NEEDS = {
-    "fx_plan_map": ("fx_unit", "fx_plan"), "fx_wide": ("fx_returns_tall",), "fx_unit_returns": ("fx_unit", "fx_wide"),
+    "fx_plan_map": ("fx_unit", "fx_plan"), "fx_chain": ("fx_unit",), "fx_wide": ("fx_returns_tall",), "fx_unit_returns": ("fx_unit", "fx_wide"),
     "fx_features": ("fx_unit_returns",), "fx_demo": ("fx_plan_map",), "fx_opp": ("fx_demo", "fx_opp_def"),
     "fx_metrics": ("fx_opp",), "fx_overlay": ("fx_block_box", "fx_unit_box"), "fx_edges": ("fx_unit_box",),
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import district_number
+from ..storage import materialize
 from .joins import small_side
 
 
@@ -47,6 +48,49 @@ def upsert(base: DataFrame | None, new: DataFrame, keys: list[str], check: bool
     return kept.unionByName(new.select(*base.columns))
 
 
+def _bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def write_buckets(df: DataFrame, path: str, keys: list[str], buckets: int = 256) -> str:
+    """A keyed table as parquet in folders by a hash of its key, the form that ``upsert_buckets`` changes in place.
+
+    The number of buckets and the key stand beside the data.  A bucket is what an upsert rewrites at least, so there
+    should be many more of them than a batch touches.
+    """
+    assert_unique(df, keys, "keyed table")
+    _bucketed(df, keys, buckets).repartition(buckets, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
+    df.sparkSession.createDataFrame([(buckets, list(keys))], "buckets int, keys array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/_layout")
+    return path
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("_bucket")
+
+
+def upsert_buckets(path: str, new: DataFrame, check: bool = True) -> list[int]:
+    """Rows of a batch into a stored keyed table; only the buckets that hold one of its keys are read and rewritten.
+
+    Returns these buckets.  A key twice in the batch is an error.  The new buckets are complete in the shared folder
+    before the old ones are replaced, one folder each.
+    """
+    spark = new.sparkSession
+    layout = spark.read.schema("buckets int, keys array<string>").json(f"{path}/_layout").first()
+    keys = list(layout["keys"])
+    if check:
+        assert_keys(new, keys, "upsert batch")
+    stored = spark.read.parquet(path)
+    batch = materialize(_bucketed(new.select(*[c for c in stored.columns if c != "_bucket"]), keys, layout["buckets"]))
+    touched = sorted(r[0] for r in batch.select("_bucket").distinct().collect())                # at most the number of buckets
+    if not touched:
+        return []
+    held = stored.where(F.col("_bucket").isin(touched))
+    merged = held.join(batch.select("_bucket", *keys), ["_bucket", *keys], "left_anti").select(*stored.columns).unionByName(batch.select(*stored.columns))
+    whole = materialize(merged.repartition(len(touched), "_bucket"))                            # before its own source is replaced
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+    return touched
+
+
 def replace_where(base: DataFrame, new: DataFrame, condition: Column) -> DataFrame:
     """Delete the rows that meet the condition, then add the new ones."""
     return base.where(~F.coalesce(condition, F.lit(False))).unionByName(new.select(*base.columns))

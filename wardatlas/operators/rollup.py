@@ -80,12 +80,17 @@ def population_deviation(plan_map: DataFrame, units: DataFrame, pop: str = "vap_
     by_district = plan_map.select("plan_id", "district_id", "vtd_geoid").join(
         small_side(units.select("vtd_geoid", pop)), "vtd_geoid"
     ).groupBy("plan_id", "district_id").agg(F.sum(pop).alias("pop"))
+    return deviation_of(by_district, "plan_id", epsilon)
+
+
+def deviation_of(by_district: DataFrame, plan: str, epsilon: float = 0.01) -> DataFrame:
+    """The same from the population ``pop`` of every district of every plan."""
     # |p - ideal| is largest at the smallest or the largest district
-    per_plan = by_district.groupBy("plan_id").agg(
+    per_plan = by_district.groupBy(plan).agg(
         F.count(F.lit(1)).alias("n_districts"), F.sum("pop").alias("total_pop"),
         F.min("pop").alias("_low"), F.max("pop").alias("_high"))
     ideal = F.col("total_pop") / F.col("n_districts")
     return per_plan.select(
-        "plan_id", "n_districts", "total_pop", ideal.alias("ideal_pop"),
+        plan, "n_districts", "total_pop", ideal.alias("ideal_pop"),
         F.when(ideal > 0, F.greatest(F.col("_high") - ideal, ideal - F.col("_low")) / ideal).alias("max_dev"),
     ).withColumn("epsilon_used", F.when(F.col("max_dev") > epsilon, F.col("max_dev") + 1e-6).otherwise(F.lit(epsilon)))
