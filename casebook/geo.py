@@ -207,6 +207,33 @@ def g7s(spark, d):
     return r6(overlay.adjacency(_clockwise(units), "unit_idx"))
 
 
+# Units turned by the angle of (3, 4, 5), stretched to 500 and moved to where projected maps lie; every corner is shifted on its own
+# by up to 0.02 each way, and a tolerance of 0.2 stands for a survey's.
+def _digitised(df):
+    k = F.col("unit_idx")
+
+    def corner(x, y, n):
+        shift = lambda a, b: ((k * a + n * b) % 41 - 20).cast("double") / 1000.0
+        return F.struct((1.0e6 + 100.0 * (3.0 * F.col(x) - 4.0 * F.col(y)) + shift(7, 13)).alias("x"),
+                        (7.0e6 + 100.0 * (4.0 * F.col(x) + 3.0 * F.col(y)) + shift(11, 17)).alias("y"))
+
+    ring = F.array(corner("x0", "y0", 0), corner("x1", "y0", 1), corner("x1", "y1", 2), corner("x0", "y1", 3), corner("x0", "y0", 0))
+    return df.select("unit_idx", F.array(ring).alias("rings"))
+
+
+@case("g7_adjacency_of_digitised_borders", """
+WITH b AS (SELECT unit_idx, x0, y0 + 0.5e0 * (cast(x0 AS bigint) % 2) AS y0 FROM fx_unit_box)
+SELECT least(a.unit_idx, c.unit_idx) AS src, greatest(a.unit_idx, c.unit_idx) AS dst,
+ cast(round(CASE WHEN c.x0 = a.x0 THEN 500e0 ELSE 500e0 * (least(a.y0, c.y0) + 1 - greatest(a.y0, c.y0)) END) AS bigint) AS shared_length
+FROM b a JOIN b c ON (c.x0 = a.x0 AND c.y0 = a.y0 + 1) OR (c.x0 = a.x0 + 1 AND abs(c.y0 - a.y0) < 1)""", ("fx_unit_box",))
+def g7d(spark, d):
+    """Slanted borders that meet in part, at projected coordinates, no corner exactly where its neighbour has it."""
+    up = 0.5 * (F.col("x0").cast("bigint") % 2)
+    units = V.unit_box(spark, d).withColumns({"y0": F.col("y0") + up, "y1": F.col("y1") + up})
+    found = overlay.adjacency(_digitised(units), "unit_idx", tolerance=0.2)
+    return found.withColumn("shared_length", F.round("shared_length").cast("bigint"))
+
+
 @case("g8_cut_edges", """
 SELECT a.plan_id, count(*) AS n_edges, count(*) FILTER (a.district_id <> b.district_id) AS n_cut_edges
 FROM fx_edges e JOIN fx_unit ua ON ua.vtdkey = e.src JOIN fx_unit ub ON ub.vtdkey = e.dst

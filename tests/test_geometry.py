@@ -72,6 +72,62 @@ def test_random_polygon_overlaps(spark):
             assert got.get((i, j), 0.0) == pytest.approx((ia[i] & ib[j]).mean() * 81, abs=0.03)
 
 
+def coast(n, cx, cy, seed, size=3.0):
+    """A closed outline of n points around a centre, smooth in the large and rough in the small."""
+    rng = np.random.default_rng(seed)
+    a = np.sort(rng.random(n)) * 2 * np.pi
+    r = size * (1 + 0.3 * np.sin(5 * a) + 0.1 * np.sin(31 * a) + 0.002 * rng.random(n))
+    p = np.column_stack([cx + r * np.cos(a), cy + r * np.sin(a)])
+    return np.vstack([p, p[:1]])
+
+
+def as_ring(p):
+    return [{"x": float(x), "y": float(y)} for x, y in p]
+
+
+def signed_area(r):
+    n = np.roll(r, -1, axis=0)
+    return float(np.sum(r[:, 0] * n[:, 1] - n[:, 0] * r[:, 1])) / 2
+
+
+def test_pieces_are_small_and_add_up():
+    outer, hole = coast(20_000, 0, 0, 1)[:-1], coast(3_000, 0.2, 0.1, 2, 0.5)[:-1][::-1]
+    pieces = G.cut_rings([outer, hole], 128)
+    assert max(sum(map(len, p)) for p in pieces) <= 128
+    assert sum(signed_area(r) for p in pieces for r in p) == pytest.approx(signed_area(outer) + signed_area(hole), rel=1e-12)
+    boxes = [(np.concatenate(p).min(axis=0), np.concatenate(p).max(axis=0)) for p in pieces]
+    shared = sum(float(np.prod(np.maximum(0, np.minimum(b[1], d[1]) - np.maximum(b[0], d[0])))) for i, b in enumerate(boxes) for d in boxes[:i])
+    assert shared < 1e-9                                                # boxes do not overlap either
+    comb = np.array([(x, y) for i in range(300) for x, y in ((0, 2 * i), (100, 2 * i), (100, 2 * i + 1), (0, 2 * i + 1))], float)
+    comb = np.vstack([comb, [(-1, 2 * 299 + 1), (-1, 0)]])
+    cut = G.cut_rings([comb], 64)
+    assert sum(signed_area(r) for p in cut for r in p) == pytest.approx(signed_area(comb), rel=1e-12) and max(sum(map(len, p)) for p in cut) <= 64
+    same = np.array([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)] * 100)         # a ring wound many times over has no line that halves it
+    assert sum(signed_area(r) for p in G.cut_rings([same], 16) for r in p) == pytest.approx(50.0)
+
+
+def test_cut_overlay_equals_the_whole(spark):
+    """Large outlines on both sides, with holes: the same areas whatever the size of the pieces."""
+    a = [[as_ring(coast(700, 4 * (i % 3), 4 * (i // 3), i)), as_ring(coast(300, 4 * (i % 3), 4 * (i // 3), 50 + i, 0.6)[::-1])] for i in range(6)]
+    b = [[as_ring(coast(900, 3 * i, 2, 100 + i))] for i in range(4)]
+    df = lambda rows, k: spark.createDataFrame(list(enumerate(rows)), f"{k} int, rings {RINGS}")
+    got = [{(r["s"], r["t"]): (r["src_area"], r["inter_area"]) for r in overlay.overlay_polygons(df(a, "s"), df(b, "t"), "s", "t", max_points=n).where("inter_area > 1e-9").collect()}
+           for n in (10_000, 100)]
+    assert set(got[0]) == set(got[1]) and len(got[0]) > 8
+    assert all(got[1][k] == pytest.approx(v, rel=1e-9) for k, v in got[0].items())
+
+
+def test_target_of_many_points(spark):
+    """Boxes over one outline of 100,000 points: inside ones are whole, and all together make up the outline."""
+    p = coast(100_000, 0, 0, 7)
+    target = spark.createDataFrame([(1, [as_ring(p)])], f"t int, rings {RINGS}")
+    boxes = spark.range(400).select(F.col("id").alias("s"), (F.col("id") % 20 * 0.5 - 5).alias("x0"), (F.floor(F.col("id") / 20) * 0.5 - 5).alias("y0"))
+    source = boxes.select("s", G.box_rings("x0", "y0", F.col("x0") + 0.5, F.col("y0") + 0.5).alias("rings"))
+    got = {r["s"]: r["inter_area"] for r in overlay.overlay_polygons(source, target, "s", "t").collect()}
+    assert sum(got.values()) == pytest.approx(signed_area(p[:-1]), rel=1e-9)
+    assert sum(abs(v - 0.25) < 1e-12 for v in got.values()) > 60 and max(got.values()) <= 0.25 + 1e-12
+
+
 def test_stacked_copies_on_one_cell(spark):
     """A third of all sources on one spot: salted, whole, and each pair once."""
     s = spark.range(300).select(F.col("id").alias("s"), F.when(F.col("id") < 100, 0.25).otherwise(F.col("id") * 1.0).alias("x0"), F.lit(0.25).alias("y0"))
@@ -128,6 +184,43 @@ def test_adjacency_is_by_side_only(spark):
     assert overlay.adjacency(loose, "id").count() == 0 and overlay.adjacency(loose, "id", tolerance=1e-3).count() == 1
 
 
+def turned(x, y, angle=0.7, at=(1e6, 7e6)):
+    return float(at[0] + x * np.cos(angle) - y * np.sin(angle)), float(at[1] + x * np.sin(angle) + y * np.cos(angle))
+
+
+@pytest.mark.parametrize("at", [(0.0, 0.0), (1e6, 7e6), (-3e7, 2e5)])
+@pytest.mark.parametrize("tolerance", [None, 1e-3, 0.5])
+def test_slanted_borders_at_projected_coordinates(spark, at, tolerance):
+    """A row of units of 1000 above, units of random widths below: every border meets in part; corners moved by a quarter of the tolerance."""
+    rng = np.random.default_rng(3)
+    upper = [(i, 1000.0 * i, 1000.0 * (i + 1), 0.0, 800.0) for i in range(20)]
+    cuts = np.concatenate(([0.0], np.sort(rng.random(30) * 20_000), [20_000.0]))
+    lower = [(100 + i, a, b, -500.0, 0.0) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    move = (tolerance or 0.0) / 4
+    wiggle = lambda p: tuple(float(v + move / np.sqrt(2) * rng.uniform(-1, 1)) for v in p)
+    rows = [(i, [[dict(zip("xy", p)) for p in (lambda c: [*c, c[0]])([wiggle(turned(x, y, 0.7, at)) for x, y in ((a, lo), (b, lo), (b, hi), (a, hi))])]])
+            for i, a, b, lo, hi in upper + lower]
+    want = {(i, i + 1): 800.0 for i in range(19)} | {(100 + i, 101 + i): 500.0 for i in range(30)}
+    want |= {(i, j): min(b, d) - max(a, c) for i, a, b, *_ in upper for j, c, d, *_ in lower if min(b, d) - max(a, c) > 1.0}
+    got = {(r["src"], r["dst"]): r["shared_length"] for r in overlay.adjacency(spark.createDataFrame(rows, f"id int, rings {RINGS}"), "id", tolerance=tolerance).collect()}
+    assert set(want) <= set(got) and all(abs(got[k] - v) <= max(tolerance or 0, 1e-6) for k, v in want.items())
+    assert all(v <= 1.0 + (tolerance or 0) for k, v in got.items() if k not in want)
+
+
+def test_long_border_against_many_short_ones(spark):
+    """One unit of 4,000 along many of 4 to 9: all parts found, each once, and units that cross or only touch do not count."""
+    edges, x = [], 0.0
+    while x < 4000:
+        edges.append((x, min(4000.0, x + 4 + len(edges) % 6)))
+        x = edges[-1][1]
+    ring = lambda *c: [[dict(zip("xy", turned(*p))) for p in (*c, c[0])]]
+    rows = [(0, ring((0, 0), (4000, 0), (4000, 900), (0, 900)))] + [(k + 1, ring((a, -3), (b, -3), (b, 0), (a, 0))) for k, (a, b) in enumerate(edges)]
+    rows += [(9000, ring((4000, 900), (4100, 900), (4100, 1000), (4000, 1000))), (9001, ring((-50, 450), (-50, 300), (0, 450)))]
+    got = {(r["src"], r["dst"]): r["shared_length"] for r in overlay.adjacency(spark.createDataFrame(rows, f"id int, rings {RINGS}"), "id").collect()}
+    want = {(0, k + 1): b - a for k, (a, b) in enumerate(edges)} | {(k, k + 1): 3.0 for k in range(1, len(edges))}
+    assert set(got) == set(want) and all(abs(got[k] - v) < 1e-6 for k, v in want.items())
+
+
 def test_cut_edges_skip_units_outside_a_plan(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
     m = spark.createDataFrame([("p", "a", "1"), ("p", "b", "2"), ("p", "c", "2"), ("q", "a", "1"), ("q", "b", "1")], "plan_id string, vtd_geoid string, district_id string")

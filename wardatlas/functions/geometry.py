@@ -297,6 +297,46 @@ def _overlap_slice(ax, ay, an, bx, by, bn) -> np.ndarray:
     return total
 
 
+def _beside(ring: np.ndarray, axis: int, at: float, sign: int) -> np.ndarray:
+    """The part of an open ring on one side of an axis-parallel line, in the same order.
+
+    Runs on the other side shrink to the line between their crossings.  They enclose nothing, so signed areas stay whole.
+    """
+    d = sign * (at - ring[:, axis])
+    nd, nxt = np.roll(d, -1), np.roll(ring, -1, axis=0)
+    crosses = (d > 0) != (nd > 0)
+    cross = ring + (np.where(crosses, d / np.where(d == nd, 1.0, d - nd), 0.0))[:, None] * (nxt - ring)
+    cross[:, axis] = at
+    return np.stack([ring, cross], axis=1).reshape(-1, 2)[np.stack([d > 0, crosses], axis=1).ravel()]
+
+
+def cut_rings(rings: list[np.ndarray], max_points: int) -> list[list[np.ndarray]]:
+    """Open rings cut into pieces of at most ``max_points`` points, by lines through the middle point of the longer side.
+
+    Where a line would not halve the points (an outline that crosses it all the time), the other side is tried; a piece
+    that neither helps stays as it is.
+    """
+    done, open_ = [], [rings]
+    while open_:
+        piece = open_.pop()
+        points = np.concatenate(piece)
+        if len(points) <= max_points:
+            done.append(piece)
+            continue
+        extent = points.max(axis=0) - points.min(axis=0)
+        for axis in (int(extent[1] > extent[0]), int(extent[1] <= extent[0])):
+            at = float(np.median(points[:, axis]))
+            if not points[:, axis].min() < at < points[:, axis].max():
+                at = float(points[:, axis].min() + extent[axis] / 2)
+            halves = [[part for part in (_beside(r, axis, at, sign) for r in piece) if len(part) > 2] for sign in (1, -1)]
+            if max(sum(map(len, h)) for h in halves) <= 0.8 * len(points):
+                open_ += [h for h in halves if h]
+                break
+        else:
+            done.append(piece)
+    return done
+
+
 def box_overlap_area(a: str, b: str) -> Column:
     """Shared area of two bounding boxes held in columns ``<a>x0`` .. ``<b>y1``."""
     w = F.least(F.col(f"{a}x1"), F.col(f"{b}x1")) - F.greatest(F.col(f"{a}x0"), F.col(f"{b}x0"))

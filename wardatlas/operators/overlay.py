@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.scalars import residual_count, to_number
 from ..storage import materialize
-from .joins import salted_join, small_side
+from .joins import fits, salted_join, small_side
 from .keyed import assert_unique
 
-PAIRS_PER_TASK = 20_000                                  # Fixed value: outlines of one id that a task fetches
+# Pairs of one piece that a task fetches; points of a piece; pieces of a layer that may be broadcast.
+PAIRS_PER_TASK = 20_000
+PIECE_POINTS = 128
+PIECES_HELD = 50_000
 
 
 def _with_box(df: DataFrame, rings: str, prefix: str) -> DataFrame:
@@ -89,30 +96,70 @@ def overlay_boxes(source: DataFrame, target: DataFrame, source_id: str, target_i
     ).where(F.col("inter_area") > 0)
 
 
+def _flat(df: DataFrame, key: str, rings: str, p: str) -> DataFrame:
+    """Id, area, flat coordinates and piece number 0 of every outline, interiors to the left."""
+    r = df.select(key, G.wound(rings).alias("_r"))
+    return r.select(key, F.lit(0).alias(p + "piece"), G.area("_r").alias(p + "area"), G.xs("_r").alias(p + "x"),
+                    G.ys("_r").alias(p + "y"), G.ring_sizes("_r").alias(p + "n"))
+
+
+def outline_pieces(flat: DataFrame, p: str, max_points: int = PIECE_POINTS) -> tuple[DataFrame, bool]:
+    """The outlines with those of more than ``max_points`` points cut into pieces, and whether there were any.
+
+    Pieces are cut once, one outline at a time, by lines that halve its points, until each is small; the inside of a
+    large outline becomes plain boxes.  They do not overlap, and their signed areas add up to the whole.
+    """
+    flat = materialize(flat)
+    large = flat.where(F.size(p + "x") > max_points)
+    if large.isEmpty():
+        return flat, False
+
+    def cut(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                x, y, n = (np.asarray(row[p + c]) for c in "xyn")
+                ends = np.cumsum(n)
+                rings = [np.column_stack([x[e - k:e - 1], y[e - k:e - 1]]) for e, k in zip(ends, n) if k > 3]
+                pieces = G.cut_rings(rings, max_points)
+                closed = [[np.vstack([r, r[:1]]) for r in piece] for piece in pieces]
+                yield pd.DataFrame({**{c: [row[c]] * len(pieces) for c in pdf.columns}, p + "piece": range(len(pieces)),
+                                    p + "x": [np.concatenate(c)[:, 0] for c in closed], p + "y": [np.concatenate(c)[:, 1] for c in closed],
+                                    p + "n": [[len(r) for r in c] for c in closed]})
+
+    parts = int(flat.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = large.repartition(parts, F.xxhash64(p + "x", p + "y"))
+    return materialize(flat.where(~(F.size(p + "x") > max_points)).unionByName(dealt.mapInPandas(cut, flat.schema))), True
+
+
 def overlay_polygons(source: DataFrame, target: DataFrame, source_id: str, target_id: str,
-                     source_rings: str = "rings", target_rings: str = "rings") -> DataFrame:
+                     source_rings: str = "rings", target_rings: str = "rings", max_points: int = PIECE_POINTS) -> DataFrame:
     """Shared areas of polygons with holes and several parts, drawn either way round.
 
-    Only ids and boxes pass the cell join.  The coordinates are fetched for
-    the pairs that remain (a target with very many sources is split), the
-    pairs are dealt out evenly, and each is clipped once, in Arrow batches.
+    Outlines are cut into pieces of at most ``max_points`` points first, so no pair carries a whole coastline.  Only ids
+    and boxes of pieces pass the cell join.  The coordinates are fetched for the pairs that remain, which are dealt out
+    evenly, each is clipped once, in Arrow batches, and the pieces of a pair are summed.
     """
-    s = source.select(source_id, G.wound(source_rings).alias("_s_rings"))
-    t = target.select(target_id, G.wound(target_rings).alias("_t_rings"))
-    s_box = materialize(_with_box(s, "_s_rings", "s_").drop("_s_rings"))
-    t_box = materialize(_with_box(t, "_t_rings", "t_").drop("_t_rings"))
-    pairs = materialize(candidate_pairs(s_box, t_box).select(source_id, target_id))
-    flat = lambda r, p: [G.xs(r).alias(p + "x"), G.ys(r).alias(p + "y"), G.ring_sizes(r).alias(p + "n")]
-    s_flat = s.select(source_id, G.area("_s_rings").alias("src_area"), *flat("_s_rings", "_s"))
-    t_flat = t.select(target_id, *flat("_t_rings", "_t"))
+    s, s_cut = outline_pieces(_flat(source, source_id, source_rings, "_s"), "_s", max_points)
+    t, t_cut = outline_pieces(_flat(target, target_id, target_rings, "_t"), "_t", max_points)
+
+    def boxes(df: DataFrame, key: str, p: str, q: str) -> DataFrame:
+        ends = [F.array_min(p + "x"), F.array_min(p + "y"), F.array_max(p + "x"), F.array_max(p + "y")]
+        return df.select(key, p + "piece", *[c.alias(q + n) for c, n in zip(ends, ("x0", "y0", "x1", "y1"))])
+
+    on_s, on_t = [source_id, "_spiece"], [target_id, "_tpiece"]
+    pairs = materialize(candidate_pairs(boxes(s, source_id, "_s", "s_"), boxes(t, target_id, "_t", "t_")).select(*on_s, *on_t))
     parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = salted_join(salted_join(pairs, t_flat, [target_id], PAIRS_PER_TASK), s_flat, [source_id], PAIRS_PER_TASK)
-    dealt = met.repartition(parts, source_id, target_id)
+    t = t.drop("_tarea")
+    if fits(s, PIECES_HELD) and fits(t, PIECES_HELD):
+        met = pairs.repartition(parts, *on_s, *on_t).join(F.broadcast(t), on_t).join(F.broadcast(s), on_s)
+    else:
+        met = (salted_join(salted_join(pairs, t, on_t, PAIRS_PER_TASK), s, on_s, PAIRS_PER_TASK)
+               .repartition(parts, *on_s, *on_t))
     shared = G.overlap_area.asNondeterministic()            # so that the filter stays above the even deal
-    return dealt.select(
-        source_id, target_id, "src_area",
-        shared("_sx", "_sy", "_sn", "_tx", "_ty", "_tn").alias("inter_area"),
-    ).where(F.col("inter_area") > 0)
+    clipped = met.select(source_id, target_id, F.col("_sarea").alias("src_area"), shared("_sx", "_sy", "_sn", "_tx", "_ty", "_tn").alias("inter_area"))
+    if s_cut or t_cut:
+        clipped = clipped.groupBy(source_id, target_id, "src_area").agg(F.sum("inter_area").alias("inter_area"))
+    return clipped.where(F.col("inter_area") > 0)
 
 
 def largest_overlap(overlay: DataFrame, source_id: str, target_id: str) -> DataFrame:
@@ -164,63 +211,88 @@ def unit_demographics(blocks: DataFrame, pl: DataFrame, overlay: DataFrame, unit
     return named.select(unit_id, "vap_total", *known).withColumn("vap_other", residual_count("vap_total", known))
 
 
-def ring_segments(units: DataFrame, unit_id: str, rings: str = "rings", tolerance: float | None = None) -> DataFrame:
-    """Directed boundary segments, interiors to their left; with a tolerance the corners snap to that grid."""
-    at = (lambda c: F.round(c / F.lit(tolerance)) * F.lit(tolerance)) if tolerance else (lambda c: c)
+def ring_segments(units: DataFrame, unit_id: str, rings: str = "rings") -> DataFrame:
+    """Directed boundary segments, interiors to their left."""
     ring = units.select(unit_id, F.explode(G.wound(rings)).alias("r"))
     n = F.size("r") - 1
     seg = ring.select(unit_id, F.explode(F.zip_with(
         F.slice("r", F.lit(1), n), F.slice("r", F.lit(2), n),
         lambda p, q: F.struct(p["x"].alias("xa"), p["y"].alias("ya"), q["x"].alias("xb"), q["y"].alias("yb")))
     ).alias("s"))
-    return seg.select(unit_id, *[at(F.col(f"s.{c}")).alias(c) for c in ("xa", "ya", "xb", "yb")])
+    return seg.select(unit_id, "s.*")
+
+
+PIECES = 4                                               # Fixed value: pieces that a segment is cut into on its own grid
+
+
+def _along_cells(seg: DataFrame, reach: float) -> DataFrame:
+    """Cells of the grid ``_at`` that lie within two reaches of a segment, each once.
+
+    A cell is a quarter of 2^_at wide, and the segment is no longer than 2^_at: its pieces, one cell long at most,
+    have boxes of a few cells each, however the segment lies.
+    """
+    size = F.pow(F.lit(2.0), F.col("_at")) / PIECES
+    n = F.ceil(F.col("_len") / size).cast("int")
+
+    def cells(low, high):
+        return F.sequence(F.floor((low - 2 * reach) / size).cast("bigint"), F.floor((high + 2 * reach) / size).cast("bigint"))
+
+    def piece(i):
+        at = lambda c, k: F.col(c + "a") + (F.col(c + "b") - F.col(c + "a")) * k / n
+        ends = [(F.least(at(c, i), at(c, i + 1)), F.greatest(at(c, i), at(c, i + 1))) for c in ("x", "y")]
+        return F.flatten(F.transform(cells(*ends[0]), lambda cx: F.transform(cells(*ends[1]), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+
+    near = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), piece)))
+    return seg.withColumn("_c", F.explode(near)).withColumns({"_cx": F.col("_c.cx"), "_cy": F.col("_c.cy")}).drop("_c")
 
 
 def adjacency(units: DataFrame, unit_id: str, rings: str = "rings", tolerance: float | None = None,
               digits: int = 9) -> DataFrame:
     """Neighbouring units (``src < dst``) with the length of their shared boundary, also where only parts of segments meet.
 
-    Interiors lie left of a segment, so a neighbour runs along the same line
-    the other way.  A segment is held as its line (direction and offset, to
-    ``digits`` digits) and an interval on it; opposite intervals that overlap
-    are a shared border.  Each interval is cut by a grid on the line, as coarse
-    as the interval is long, so only nearby segments meet and no line is one key.
-    """
-    seg = ring_segments(units, unit_id, rings, tolerance)
-    dx, dy = F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya")
-    length = F.sqrt(dx * dx + dy * dy)
-    # one direction for both ways along a line: to the right, or up
-    way = F.when((dx > 0) | ((dx == 0) & (dy > 0)), F.lit(1.0)).otherwise(F.lit(-1.0))
-    seg = seg.where(length > 0).withColumns({"_ux": dx / length * way, "_uy": dy / length * way, "_way": way})
-    along = lambda x, y: F.col("_ux") * F.col(x) + F.col("_uy") * F.col(y)
-    zero = lambda c: F.round(c, digits) + F.lit(0.0)  # noqa: E731  no -0.0 in a key
-    lined = seg.select(unit_id, "_way", zero(F.col("_ux")).alias("_kx"), zero(F.col("_uy")).alias("_ky"),
-                       zero(F.col("_ux") * F.col("ya") - F.col("_uy") * F.col("xa")).alias("_off"),
-                       F.least(along("xa", "ya"), along("xb", "yb")).alias("_lo"),
-                       F.greatest(along("xa", "ya"), along("xb", "yb")).alias("_hi"))
-    lined = materialize(lined.withColumn("_own", F.ceil(F.log2(F.col("_hi") - F.col("_lo"))).cast("int")))
-    levels = _levels(lined)
-    if not levels:
-        return lined.select(F.col(unit_id).alias("src"), F.col(unit_id).alias("dst"), F.lit(0.0).alias("shared_length"))
-    size = F.pow(F.lit(2.0), F.col("_at"))
+    Interiors lie left of a segment, so a neighbour runs along the same stretch the other way.  Two opposite segments
+    share the stretch over which the shorter one, measured from the longer one's own start, stays within ``tolerance``
+    of it; a stretch no longer than the tolerance does not count.  Corners may differ by up to half the tolerance, and
+    coordinates may be of any size, since all distances are taken near the segments.  By default the tolerance is
+    ten to the minus ``digits``, or 64 roundings of the largest coordinate if that is more.
 
-    def cells(df: DataFrame) -> DataFrame:
-        return df.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") / size).cast("bigint"), F.floor(F.col("_hi") / size).cast("bigint"))))
+    Segments meet on grids that fit their lengths: each has a grid of cells a quarter as wide as it is long, and two
+    segments meet in the cells along both on the grid of the longer one.  So no line, row or column of the map is one
+    key, a crowded place of short segments meets few long ones, and each pair counts in the cell of the middle of its
+    shared stretch only.
+    """
+    seg = ring_segments(units, unit_id, rings).withColumn("_len", F.hypot(F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya")))
+    seg = materialize(seg.where((F.col("_len") > 0) & (F.col("_len") < float("inf"))).withColumn("_own", F.ceil(F.log2("_len")).cast("int")))
+    largest, found = seg.agg(F.max(F.greatest(*[F.abs(F.col(c)) for c in ("xa", "ya", "xb", "yb")])), F.collect_set("_own")).first()
+    if not found:
+        return seg.select(F.col(unit_id).alias("src"), F.col(unit_id).alias("dst"), F.lit(0.0).alias("shared_length"))
+    reach = float(tolerance) if tolerance else max(10.0 ** -digits, 64 * 2.0 ** -52 * largest)
+    finest = math.ceil(math.log2(4 * PIECES * reach))       # no cell is narrower than four reaches
+    levels = sorted({max(v, finest) for v in found})        # binary exponents: a few dozen
+    seg = seg.where(F.col("_len") > reach).withColumn("_own", F.greatest("_own", F.lit(finest)))
 
     def side(df: DataFrame, p: str) -> DataFrame:
-        return df.select("_kx", "_ky", "_off", "_at", "_cell", *[F.col(c).alias(p + c) for c in (unit_id, "_way", "_lo", "_hi", "_own")])
-
-    # a segment meets the others on its own grid and on the coarser ones that are in use; the pair counts on the coarser grid of the two
-    every = lined.withColumn("_at", F.explode(F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v >= F.col("_own"))))
-    own = side(cells(lined.withColumn("_at", F.col("_own"))), "b")
-    low, high = F.greatest("a_lo", "b_lo"), F.least("a_hi", "b_hi")
-    pairs = (salted_join(side(cells(every), "a"), own, ["_kx", "_ky", "_off", "_at", "_cell"])
-             .where((F.col("a_way") != F.col("b_way")) & (F.col("a" + unit_id) != F.col("b" + unit_id)) & (low < high)
-                    & (F.floor(low / size) == F.col("_cell"))
-                    # equal grids: the pair comes from both sides, so it counts once
-                    & ((F.col("a_own") < F.col("b_own")) | (F.col("a" + unit_id) < F.col("b" + unit_id)))))
+        cells = _along_cells(df, reach)
+        return cells.select("_at", "_cx", "_cy", *[F.col(c).alias(p + c) for c in (unit_id, "xa", "ya", "xb", "yb", "_len", "_own")])
+
+    every = seg.withColumn("_at", F.explode(F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v >= F.col("_own"))))
+    pairs = salted_join(side(every, "a"), side(seg.withColumn("_at", F.col("_own")), "b"), ["_at", "_cx", "_cy"]).where(
+        (F.col("a" + unit_id) != F.col("b" + unit_id))
+        # equal grids: the pair comes from both sides, so it counts once
+        & ((F.col("a_own") < F.col("b_own")) | (F.col("a" + unit_id) < F.col("b" + unit_id))))
+    ux, uy = (F.col("bxb") - F.col("bxa")) / F.col("b_len"), (F.col("byb") - F.col("bya")) / F.col("b_len")
+    pairs = pairs.withColumns({"_ux": ux, "_uy": uy, **{f"_{c}{e}": F.col(f"a{c}{e}") - F.col(f"b{c}a") for c in "xy" for e in "ab"}})
+    along = lambda e: F.col("_ux") * F.col(f"_x{e}") + F.col("_uy") * F.col(f"_y{e}")
+    off = lambda e: F.col("_ux") * F.col(f"_y{e}") - F.col("_uy") * F.col(f"_x{e}")
+    pairs = pairs.withColumns({"_ta": along("a"), "_tb": along("b"), "_da": off("a"), "_db": off("b")}).where("_tb < _ta").withColumns(
+        {"_lo": F.greatest(F.col("_tb"), F.lit(0.0)), "_hi": F.least(F.col("_ta"), F.col("b_len"))}).where(F.col("_hi") - F.col("_lo") > reach)
+    apart = lambda t: F.abs(F.col("_da") + (F.col("_db") - F.col("_da")) * (F.col(t) - F.col("_ta")) / (F.col("_tb") - F.col("_ta")))
+    size, middle = F.pow(F.lit(2.0), F.col("_at")) / PIECES, (F.col("_lo") + F.col("_hi")) / 2
+    pairs = pairs.where((apart("_lo") <= reach) & (apart("_hi") <= reach)
+                        & (F.floor((F.col("bxa") + F.col("_ux") * middle) / size) == F.col("_cx"))
+                        & (F.floor((F.col("bya") + F.col("_uy") * middle) / size) == F.col("_cy")))
     return pairs.select(F.least("a" + unit_id, "b" + unit_id).alias("src"), F.greatest("a" + unit_id, "b" + unit_id).alias("dst"),
-                        (high - low).alias("_len")).where(F.col("_len") > 10.0 ** -digits).groupBy("src", "dst").agg(F.sum("_len").alias("shared_length"))
+                        (F.col("_hi") - F.col("_lo")).alias("_len")).groupBy("src", "dst").agg(F.sum("_len").alias("shared_length"))
 
 
 def cut_edges(edges: DataFrame, plan_map: DataFrame) -> DataFrame:
