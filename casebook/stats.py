@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from wardatlas.operators import clustering, inference, mixture, profile, regression, rollup
@@ -256,6 +257,29 @@ def m6(spark, d):
     return r6(clustering.k_search_summary(clustering.k_search(V.vectors(spark, d), "vec_id", range(2, 13), range(10))))
 
 
+def _round(i: int) -> str:
+    """One plain round: every vector to its nearest centre, the lower number of equal ones, and the new means."""
+    return f"""a{i} AS (SELECT vec_id, v, arg_min(c, {{'d': list_distance(v, m), 'c': c}}) AS c, min(pow(list_distance(v, m), 2)) AS d2 FROM x CROSS JOIN c{i} GROUP BY 1, 2),
+c{i + 1} AS (SELECT c, list(m ORDER BY i) AS m FROM (SELECT c, i, avg(e) AS m FROM (SELECT c, unnest(v) AS e, unnest(range(64)) AS i FROM a{i}) t GROUP BY 1, 2) u GROUP BY 1)"""
+
+
+@case("m5_kmeans_rounds_from_fixed_start", f"""
+WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS c, v AS m FROM x QUALIFY c < 10),
+{_round(0)}, {_round(1)}, {_round(2)}, {_round(3)}
+SELECT cast(c AS int) AS cluster, count(*) AS size, round(sum(d2),6) AS within FROM a3 GROUP BY 1""")
+def m5r(spark, d):
+    """Three rounds from the ten vectors of the lowest ids: sizes and squared distances of the clusters."""
+    v = V.vectors(spark, d)
+    start = np.array([r["features"] for r in v.orderBy("vec_id").limit(10).collect()])
+    centers, *_ = clustering.lloyd(v.select("features"), [start], max_iter=3, tol=0.0)[0]
+    far = F.lit(None).cast("double")
+    for i, c in enumerate(centers):
+        far = F.when(F.col("cluster") == i, clustering.squared_distance(F.col("features"), F.array(*[F.lit(float(x)) for x in c]))).otherwise(far)
+    found = clustering.predict(v, centers).withColumn("far", far)
+    return r6(found.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("far").alias("within")))
+
+
 def _apart(spark, d):
     """Vectors moved so far by label that the labels are the best clustering; the moves leave distances inside a label alone."""
     far = F.transform("features", lambda x, i: F.when(i == F.col("label"), x + F.lit(1e6)).otherwise(x))
@@ -426,6 +450,26 @@ def m13(spark, d):
     return r6(spark.createDataFrame([tuple(r.values()) for r in results], "candidate string, poly boolean, cv_mean double, cv_std double"))
 
 
+def _given_folds(spark, d):
+    f = V.features(spark, d).withColumns({"y": (F.col("dem_share") > 0.45).cast("int"), "fold": (F.col("district_id") % 5).cast("int")})
+    return regression.search(f, "district_id", "y", ["pct_black"], candidates=(regression.Spec("ols"),), fold="fold")
+
+
+@case("m13_given_folds", """
+WITH r AS (SELECT district_id % 5 AS f, pct_black AS x, CASE WHEN dem_share > 0.45e0 THEN 1 ELSE 0 END AS y FROM fx_features),
+fit AS (SELECT o.f, regr_slope(r.y, r.x) AS b, regr_intercept(r.y, r.x) AS a FROM (SELECT DISTINCT f FROM r) o JOIN r ON r.f <> o.f GROUP BY o.f),
+s AS (SELECT fit.f, r.f = fit.f AS held, y, least(greatest(a + b * x, 0e0), 1e0) AS score FROM fit JOIN r ON true),
+c AS (SELECT f, held, i, count(*) FILTER (y = 1 AND score >= i / 200e0) AS tp, count(*) FILTER (y = 0 AND score < i / 200e0) AS tn, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n
+      FROM s JOIN (SELECT unnest(range(201)) AS i) g ON true GROUP BY 1, 2, 3),
+b AS (SELECT f, held, i, (tp / cast(p AS double) + tn / cast(n AS double)) / 2 AS acc FROM c),
+best AS (SELECT f, arg_min(i, {'a': -round(acc, 12), 'i': i}) AS i FROM b WHERE NOT held GROUP BY 1)
+SELECT 'ols' AS candidate, round(avg(acc), 6) AS cv_mean, round(stddev_pop(acc), 6) AS cv_std FROM b JOIN best USING (f, i) WHERE held""", ("fx_features",))
+def m13g(spark, d):
+    """Least squares on one feature over folds by id: threshold from the training rows, accuracy on the others."""
+    results, _, _ = _given_folds(spark, d)
+    return r6(spark.createDataFrame([(r["candidate"], r["cv_balanced_accuracy_mean"], r["cv_balanced_accuracy_std"]) for r in results], "candidate string, cv_mean double, cv_std double"))
+
+
 THR = """
 WITH s AS (SELECT least(greatest(pct_white,0e0),1e0) AS score, CASE WHEN dem_share > 0.45e0 THEN 1 ELSE 0 END AS y FROM fx_features), g AS (SELECT i/200e0 AS threshold FROM (SELECT unnest(range(201)) AS i) t),
 c AS (SELECT threshold, count(*) FILTER (y = 1 AND score >= threshold) AS tp, count(*) FILTER (y = 0 AND score >= threshold) AS fp, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM g JOIN s ON true GROUP BY 1),
@@ -471,6 +515,15 @@ def m16(spark, d):
     return r6(regression.coefficient_table(rows, fit))
 
 
+@case("m16_coefficient_of_one_feature", """
+SELECT 'pct_black' AS feature, round(regr_slope(y, pct_black) * stddev_pop(pct_black), 6) AS coef
+FROM (SELECT pct_black, CASE WHEN dem_share > 0.45e0 THEN 1 ELSE 0 END AS y FROM fx_features) t""", ("fx_features",))
+def m16o(spark, d):
+    """The refitted model's coefficient, on the scaled feature."""
+    _, fit, _ = _given_folds(spark, d)
+    return r6(regression.coefficient_table(V.features(spark, d), fit))
+
+
 @case("m17_ols_summary", """
 SELECT 'pct_black' AS term, round(b,6) AS coef, round(sqrt(s2/sxx),6) AS std_error, round(b/sqrt(s2/sxx),4)+0e0 AS t_value FROM (SELECT regr_slope(dem_share,pct_black) AS b, regr_sxx(dem_share,pct_black) AS sxx,
  (regr_syy(dem_share,pct_black)-regr_slope(dem_share,pct_black)*regr_sxy(dem_share,pct_black))/(count(*)-2) AS s2 FROM fx_features) t""", ("fx_features",))

@@ -1,5 +1,7 @@
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from wardatlas.operators import clustering as C
@@ -52,6 +54,23 @@ def test_silhouettes_match_brute_force(spark, block):
         assert [got[(i, j)] for i in range(len(x))] == pytest.approx(brute_silhouette(x, l))
 
 
+def test_search_scores_by_distances(spark):
+    """The k that all distances prefer, as the library of the study scores it; far-off, equal and single rows."""
+    df, x, _ = blobs(spark)
+    fits = {(r["k"], r["random_state"]): r["silhouette"] for r in C.k_search(df, "id", [2, 4, 5], [0, 1], restarts=2).collect()}
+    rows, weights = C.seed_rows(df, 5)
+    for (k, seed), got in fits.items():
+        starts = [C.spread_centers(rows, weights, k, np.random.default_rng((seed, r))) for r in range(2)]
+        centers = min(C.lloyd(df, starts), key=lambda f: (not f[2], f[1]))[0]
+        lab = ((x[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+        assert got == pytest.approx(brute_silhouette(x, lab).mean(), abs=1e-9)
+    far = x + 1e6                                                        # distances of 1 between numbers of a million keep their digits
+    moved = spark.createDataFrame([(i, v.tolist(), [int(i % 3)]) for i, v in enumerate(far)], "id int, features array<double>, labels array<int>")
+    got = [r["silhouette"] for r in C.silhouettes(moved, "id", "labels", block_rows=16).orderBy("id").collect()]
+    assert got == pytest.approx(brute_silhouette(far, np.arange(len(far)) % 3), abs=1e-9)
+    assert C.silhouettes(moved.limit(0), "id", "labels").count() == 0
+
+
 def test_linear_silhouette_matches_brute_force(spark):
     df, x, lab = blobs(spark)
     got = [r["silhouette"] for r in C.linear_silhouette(df, "label", 3).orderBy("id").collect()]
@@ -91,6 +110,32 @@ def test_kmeans_and_search(spark):
         C.k_search(df, "id", [99], [0])
 
 
+def test_rounds_equal_plain_rounds_and_flags(spark):
+    """Many models of several sizes in one run, far from the origin: the same centres as one model after another."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 1.0, (150, 3)) for c in ((1000, 0, 0), (1006, 0, 0), (1000, 6, 3))])
+    df = C.as_features(spark.createDataFrame([tuple(map(float, v)) for v in x], "a double, b double, c double"), list("abc"))
+    starts = [x[rng.choice(len(x), k, replace=False)] for k in (4, 2, 3, 2, 5, 3)] + [np.vstack([x[:2], [[1e6, 0, 0]]])]
+    limit = 1e-4 * x.var(axis=0).mean()
+
+    def plain(c, rounds):
+        for r in range(rounds):
+            lab = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            new = np.array([x[lab == i].mean(axis=0) if (lab == i).any() else c[i] for i in range(len(c))])
+            moved, c = ((new - c) ** 2).sum(), new
+            if moved <= limit:
+                return c, True
+        return c, False
+
+    for rounds in (1, 50):
+        for s, (c, cost, rest) in zip(starts, C.lloyd(df, starts, max_iter=rounds)):
+            want, still = plain(s.copy(), rounds)
+            assert np.abs(c - want).max() < 1e-9 and rest == still
+            assert cost == pytest.approx(((x[:, None] - want[None]) ** 2).sum(axis=2).min(axis=1).sum())
+    fits = C.k_search(df.withColumn("id", F.monotonically_increasing_id()), "id", [2, 3], [0, 1], restarts=2, max_iter=1).collect()
+    assert len(fits) == 4 and not all(r["converged"] for r in fits)
+
+
 def test_pca_matches_eigenvectors(spark, table):
     df, x, *_ = table
     z = (x - x.mean(axis=0)) / x.std(axis=0)
@@ -107,6 +152,34 @@ def test_pca_matches_eigenvectors(spark, table):
     assert ix[0] == 0 and ix[1] == 1 and ix[2] > 0
 
 
+def test_sign_correction_and_missing_metrics(spark):
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=80)
+    rows = [(i, float(v), float(-v + 0.1 * w), float("nan") if i == 3 else float(-v)) for i, (v, w) in enumerate(zip(a, rng.normal(size=80)))]
+    df = spark.createDataFrame(rows, "id int, p double, q double, r double")
+    scores = {}
+    for by in ("p", "q"):
+        out, meta = C.compactness_pca(df, ["p", "q", "r"], sign_by=by)
+        assert meta["sign_correction"] in (1.0, -1.0) and np.isfinite(meta["pca_components"]).all()
+        scores[by] = meta
+        assert out.where(F.isnan("compactness_pca_score") | F.col("compactness_pca_score").isNull()).count() == 0
+    assert scores["p"]["sign_correction"] == -scores["q"]["sign_correction"]
+    turned = np.array(scores["p"]["pca_components"]) * scores["p"]["sign_correction"]
+    assert turned[np.abs(turned).argmax()] > 0
+
+
+def test_pearson_takes_nan_as_missing(spark):
+    import pandas as pd
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame(rng.normal(size=(50, 3)), columns=list("abc"))
+    pdf.loc[3, "a"] = pdf.loc[7, "b"] = np.nan
+    rows = [tuple(None if i == 9 and c == 2 else float(v) for c, v in enumerate(r)) for i, r in enumerate(pdf.to_numpy())]
+    pdf.loc[9, "c"] = np.nan
+    want = pdf.corr()
+    for r in profile.pearson(spark.createDataFrame(rows, "a double, b double, c double"), list("abc")).collect():
+        assert r["corr"] == pytest.approx(want.loc[r["col_a"], r["col_b"]])
+
+
 def test_spearman(spark):
     rng = np.random.default_rng(4)
     a, b = rng.integers(0, 5, 200), rng.normal(size=200).round(1)
@@ -118,15 +191,36 @@ def test_spearman(spark):
     assert profile.spearman(df, "id", ["a", "b"]).first()["corr"] == pytest.approx(np.corrcoef(rank(a), rank(b))[0, 1])
 
 
+def mllib_fit(df, cols, label, family, alpha, ratio=1.0):
+    """The same penalised fits with the library solver; penalties mapped to its scaling."""
+    rows = df.select(array_to_vector(F.array(*[F.col(c).cast("double") for c in cols])).alias("_v"),
+                     F.col(label).cast("double").alias("_y"))
+    n, sd = rows.agg(F.count(F.lit(1)), F.stddev_pop("_y")).first()
+    l1, l2 = {"ols": (0.0, 0.0), "ridge": (0.0, alpha * sd / n), "lasso": (alpha, 0.0),
+              "elasticnet": (alpha * ratio, alpha * (1 - ratio) * sd)}[family]
+    return LinearRegression(featuresCol="_v", labelCol="_y", standardization=False, regParam=l1 + l2,
+                            elasticNetParam=l1 / (l1 + l2) if l1 + l2 else 0.0, tol=1e-12, maxIter=1000,
+                            solver="normal" if l1 == 0 else "auto").fit(rows)
+
+
 def test_penalised_fits_match_the_library(table):
     df, *_ = table
     g = R.grams(df.withColumn("one", F.lit(1.0)), ["one", *"abcd", "y"])[0]
     for family, alpha, ratio in (("ols", 0, 1), ("ridge", 7.0, 1), ("lasso", 0.02, 1), ("elasticnet", 0.05, 0.5)):
-        m = R.mllib_fit(df, list("abcd"), "y", family, alpha, ratio)
+        m = mllib_fit(df, list("abcd"), "y", family, alpha, ratio)
         ours = R.penalised(g, family, alpha, ratio)
         assert ours == pytest.approx([m.intercept, *m.coefficients.toArray()], abs=2e-6)
 
 
+@pytest.mark.parametrize("n", [7, 28, 500])
+def test_folds_of_equal_size(spark, n):
+    df = spark.range(n).select((F.col("id") * 17 + 3).alias("k"))
+    sizes = [sorted(r["count"] for r in R.equal_folds(df, "k", 5, seed, "f").groupBy("f").count().collect()) for seed in (1, 2)]
+    assert all(len(s) == 5 and s[-1] - s[0] <= 1 and sum(s) == n for s in sizes)
+    a, b = ({r["k"]: r["f"] for r in R.equal_folds(d, "k", 5, 1, "f").collect()} for d in (df, df.repartition(3)))
+    assert a == b
+
+
 def test_design_from_cross_products_equals_direct_design(table):
     df, x, y, g = table
     basis = R.Basis(list("abcd"), "g", ["u", "v", "w"])

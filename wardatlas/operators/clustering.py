@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import nan_to_null
 from ..storage import materialize
-from .joins import sized_join, small_side
+from .joins import sized_join
 from .moments import covariance
 
 
@@ -121,67 +123,151 @@ def spread_centers(rows: np.ndarray, weights: np.ndarray, k: int, rng: np.random
     return np.array(picks)
 
 
+ROWS_AT_ONCE = 512                                       # Fixed value: rows that a task compares with all centres together
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """An Arrow column of equally long lists as a matrix, without a Python object per row."""
+    flat = np.asarray(column.flatten(), float)
+    if column.null_count or not np.isfinite(flat).all():
+        raise ValueError("a feature is NULL, NaN or infinite")
+    return flat.reshape(len(column), -1)
+
+
+def _slices(batches, column: str = "f"):
+    for batch in batches:
+        x = _matrix(batch.column(column))
+        for i in range(0, len(x), ROWS_AT_ONCE):
+            yield batch.slice(i, ROWS_AT_ONCE), x[i:i + ROWS_AT_ONCE]
+
+
+class _Stack:
+    """The centres of many models under one another, models of equal size side by side, for one matrix product a slice.
+
+    Rows are taken from the mean of all centres, which keeps the products small where data lie far from the origin.
+    """
+
+    def __init__(self, models: list[np.ndarray]):
+        order = sorted(range(len(models)), key=lambda m: len(models[m]))
+        self.order, self.sizes = order, [len(models[m]) for m in order]
+        self.origin = np.concatenate(models).mean(axis=0)
+        self.flat = np.concatenate([models[m] for m in order]) - self.origin
+        self.half = (self.flat ** 2).sum(axis=1) / 2
+        self.edges = np.cumsum([0, *self.sizes])
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """Number of the nearest centre, in ``flat``, of every row and model; the lower one of equal centres."""
+        far = self.half - (x - self.origin) @ self.flat.T
+        found, m = np.empty((len(x), len(self.sizes)), dtype=np.int64), 0
+        while m < len(self.sizes):
+            k, last = self.sizes[m], m
+            while last < len(self.sizes) and self.sizes[last] == k:
+                last += 1
+            part = far[:, self.edges[m]:self.edges[last]].reshape(len(x), last - m, k)
+            found[:, m:last] = part.argmin(axis=2) + self.edges[m:last]
+            m = last
+        return found
+
+    def members(self, found: np.ndarray) -> np.ndarray:
+        """Rows by centres, 1 where a row belongs to a centre."""
+        out = np.zeros((len(found), len(self.flat)))
+        out[np.arange(len(found))[:, None], found] = 1.0
+        return out
+
+    def split(self, flat: np.ndarray) -> list[np.ndarray]:
+        """Values of all centres, back in the models' own order."""
+        parts = np.split(flat, self.edges[1:-1])
+        return [part for _, part in sorted(zip(self.order, parts), key=lambda p: p[0])]
+
+
 def _nearest(x: np.ndarray, models: list[np.ndarray]):
     """Labels and squared distances of rows under each model."""
-    for c in models:
-        d = (x ** 2).sum(axis=1)[:, None] - 2 * x @ c.T + (c ** 2).sum(axis=1)[None]
-        lab = d.argmin(axis=1)
+    stack = _Stack(models)
+    found = stack.nearest(x)
+    where = {m: j for j, m in enumerate(stack.order)}
+    for m, c in enumerate(models):
+        lab = found[:, where[m]] - stack.edges[where[m]]
         yield lab, ((x - c[lab]) ** 2).sum(axis=1)
 
 
-def _cluster_sums(df: DataFrame, features: str, models: list[np.ndarray], means: list[np.ndarray] | None = None):
+SUMMED = 64                                              # Fixed value: centres whose sums travel as one value
+
+
+def _summed(df: DataFrame, partial, rows: int, columns: int) -> np.ndarray:
+    """Sum of the (rows, columns) matrices that the tasks of ``mapInArrow(partial)`` make; a matrix travels in bands of SUMMED rows.
+
+    Bands meet by number and are added one after another, so no task holds more than its bands and nothing but the sum
+    comes to the driver.
+    """
+    def bands(batches):
+        total = partial(batches)
+        at = list(range(0, rows, SUMMED))
+        yield pa.RecordBatch.from_pydict({"at": pa.array(at, type=pa.int32()), "v": pa.array([total[i:i + SUMMED].tobytes() for i in at], type=pa.binary())})
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, v in zip(batch.column("at").to_pylist(), batch.column("v").to_pylist()):
+                held[at] = held.get(at, 0.0) + np.frombuffer(v)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(list(held), type=pa.int32()), "v": pa.array([x.tobytes() for x in held.values()], type=pa.binary())})
+
+    dealt = min(-(-rows // SUMMED), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = np.zeros((rows, columns))
+    for r in df.mapInArrow(bands, "at int, v binary").repartition(dealt, "at").mapInArrow(add, "at int, v binary").collect():
+        out[r["at"]:r["at"] + SUMMED] = np.frombuffer(r["v"]).reshape(-1, columns)
+    return out
+
+
+def _cluster_sums(df: DataFrame, features: str, models: list[np.ndarray], means: list[np.ndarray] | None = None, costs: bool = True):
     """Per model: cluster sizes, vector sums, squared distances to the centres, distances to ``means``.
 
     One job serves all models.  A task adds its rows to one array that holds
-    these numbers for every cluster and hands over that alone.
+    these numbers for every cluster and hands over that alone.  Without
+    ``costs`` only sizes and sums are taken.
     """
-    held = df.sparkSession.sparkContext.broadcast((models, means))
-    dims, edges = models[0].shape[1], np.cumsum([0, *[len(c) for c in models]])
-    total = int(edges[-1])
+    stack = _Stack(models)
+    mean = None if means is None else np.concatenate([means[m] for m in stack.order])
+    held = df.sparkSession.sparkContext.broadcast((stack, mean))
+    dims, total = models[0].shape[1], len(stack.flat)
 
-    def partial(batches):
-        ms, mu = held.value
+    def partial(batches) -> np.ndarray:
+        st, mu = held.value
         acc = np.zeros((total, 3 + dims))
-        for pdf in batches:
-            x = np.array(pdf["f"].tolist(), float).reshape(len(pdf), -1)
-            if not np.isfinite(x).all():
-                raise ValueError("a feature is NULL, NaN or infinite")
-            for m, (lab, d2) in enumerate(_nearest(x, ms)):
-                k, part = len(ms[m]), acc[edges[m]:edges[m + 1]]
-                part[:, 0] += np.bincount(lab, minlength=k)
-                part[:, 1] += np.bincount(lab, d2, minlength=k)
+        for _, x in _slices(batches):
+            found = st.nearest(x)
+            member = st.members(found)
+            acc[:, 0] += member.sum(axis=0)
+            acc[:, 3:] += member.T @ x
+            for j in range(found.shape[1]) if costs else ():
+                at = found[:, j]
+                acc[:, 1] += np.bincount(at, ((x - st.origin - st.flat[at]) ** 2).sum(axis=1), minlength=total)
                 if mu is not None:
-                    part[:, 2] += np.bincount(lab, np.sqrt(((x - mu[m][lab]) ** 2).sum(axis=1)), minlength=k)
-                part[:, 3:] += np.eye(k)[lab].T @ x
-        yield pd.DataFrame({"at": np.arange(acc.size), "v": acc.ravel()})
-
-    got = df.select(F.col(features).alias("f")).mapInPandas(partial, "at int, v double").groupBy("at").agg(
-        F.sum("v").alias("v")).toPandas()                    # (3 + dims) numbers per centre
-    flat = np.zeros(total * (3 + dims))
-    flat[got["at"].to_numpy()] = got["v"].to_numpy()
-    per_model = np.split(flat.reshape(total, 3 + dims), edges[1:-1])
+                    acc[:, 2] += np.bincount(at, np.sqrt(((x - mu[at]) ** 2).sum(axis=1)), minlength=total)
+        return acc
+
+    sums = _summed(df.select(F.col(features).alias("f")), partial, total, 3 + dims)
+    per_model = stack.split(sums)
     return ([p[:, 0] for p in per_model], [p[:, 3:] for p in per_model],
             [p[:, 1] for p in per_model], [p[:, 2] for p in per_model])
 
 
 def lloyd(df: DataFrame, starts: list[np.ndarray], features: str = "features", max_iter: int = 300,
-          tol: float = 1e-4) -> list[tuple[np.ndarray, float]]:
-    """Run many k-means models together, one job per round; centres and inertia of each.
+          tol: float = 1e-4) -> list[tuple[np.ndarray, float, bool]]:
+    """Run many k-means models together, one job per round; centres, inertia and whether it came to rest, of each.
 
     A model leaves the rounds once its centres move less than ``tol`` times
-    the mean variance of the features.  An empty cluster keeps its centre.
-    Models that still move after ``max_iter`` rounds are an error.
+    the mean variance of the features, or after ``max_iter`` rounds.  An empty
+    cluster keeps its centre.
     """
     dims = starts[0].shape[1]
     spread = df.agg(*[F.var_pop(F.col(features)[i]) for i in range(dims)]).first()
     limit = tol * float(np.mean([v or 0.0 for v in spread]))
-    centers, inertia = [s.copy() for s in starts], [np.inf] * len(starts)
+    centers = [s.copy() for s in starts]
     active = list(range(len(starts)))
     for _ in range(max_iter):
-        size, sums, within, _ = _cluster_sums(df, features, [centers[i] for i in active])
+        size, sums, *_ = _cluster_sums(df, features, [centers[i] for i in active], costs=False)
         still = []
         for j, i in enumerate(active):
-            inertia[i] = float(within[j].sum())
             moved = np.where(size[j][:, None] > 0, sums[j] / np.maximum(size[j], 1)[:, None], centers[i])
             if ((moved - centers[i]) ** 2).sum() > limit:
                 still.append(i)
@@ -189,29 +275,37 @@ def lloyd(df: DataFrame, starts: list[np.ndarray], features: str = "features", m
         active = still
         if not active:
             break
-    if active:
-        raise ValueError(f"{len(active)} of {len(starts)} fits still move after {max_iter} rounds")
     final = _cluster_sums(df, features, centers)[2]
-    return [(c, float(w.sum())) for c, w in zip(centers, final)]
+    return [(c, float(w.sum()), i not in active) for i, (c, w) in enumerate(zip(centers, final))]
 
 
-def fit_grid(df: DataFrame, grid: list[tuple[int, int]], restarts: int = 10, features: str = "features") -> list[tuple[np.ndarray, float]]:
-    """Best of the restarts for every (k, seed) of a grid, all fitted together."""
+def fit_grid(df: DataFrame, grid: list[tuple[int, int]], restarts: int = 10, features: str = "features",
+             max_iter: int = 300) -> list[tuple[np.ndarray, float, bool]]:
+    """Best of the restarts for every (k, seed) of a grid, all fitted together; one that came to rest goes before one that did not."""
     _dims(df, features)
     rows, weights = seed_rows(df, max(k for k, _ in grid), features)
     starts = [spread_centers(rows, weights, k, np.random.default_rng((seed, r))) for k, seed in grid for r in range(restarts)]
-    fits = lloyd(df, starts, features)
-    return [min(fits[i * restarts:(i + 1) * restarts], key=lambda f: f[1]) for i in range(len(grid))]
+    fits = lloyd(df, starts, features, max_iter)
+    return [min(fits[i * restarts:(i + 1) * restarts], key=lambda f: (not f[2], f[1])) for i in range(len(grid))]
+
+
+def _dealt(df: DataFrame, features: str) -> DataFrame:
+    """The rows on at least as many tasks as run at once: few files would keep all rounds on few cores."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, F.xxhash64(features))
 
 
 def fit_kmeans(df: DataFrame, k: int, seed: int = 42, restarts: int = 10, features: str = "features") -> tuple[np.ndarray, float]:
     """Centres and inertia of the best restart."""
-    rows = df.select(features).persist()
+    rows = _dealt(df.select(features), features).persist()
     try:
         n = rows.count()
         if n <= k:
             raise ValueError(f"{n} rows are too few for k={k}")
-        return fit_grid(rows, [(k, seed)], restarts, features)[0]
+        centers, cost, rest = fit_grid(rows, [(k, seed)], restarts, features)[0]
+        if not rest:
+            raise ValueError(f"no fit for k={k} came to rest")
+        return centers, cost
     finally:
         rows.unpersist()
 
@@ -297,60 +391,103 @@ def model_scores(df: DataFrame, models: list[np.ndarray], features: str = "featu
     return out
 
 
-def distance_sums(df: DataFrame, key: str, labels: str, features: str = "features",
-                  block_rows: int = 2048) -> DataFrame:
-    """Sum of distances from each row to every cluster of each labeling.
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of two matrices, by one product; pairs whose digits it would lose are taken apart again."""
+    nx, ny = (x ** 2).sum(axis=1), (y ** 2).sum(axis=1)
+    d = nx[:, None] + ny[None] - 2 * x @ y.T
+    i, j = np.nonzero(d < 1e-4 * (nx[:, None] + ny[None]))
+    for at in range(0, len(i), 1 << 14):
+        p, q = i[at:at + (1 << 14)], j[at:at + (1 << 14)]
+        d[p, q] = ((x[p] - y[q]) ** 2).sum(axis=1)
+    return np.sqrt(np.maximum(d, 0.0))
+
+
+def silhouettes(df: DataFrame, key: str, labels: str, features: str = "features", block_rows: int = 4096) -> DataFrame:
+    """Euclidean silhouette of each row for each labeling; a singleton scores 0.
 
     ``labels`` is ``array<int>``, one entry per labeling, so one sweep serves a
-    whole grid of fits.  Rows are cut into blocks of bounded size by a hash of
-    the key; a task meets two blocks at a time, holds their distance matrix in
-    memory and passes on sums only, never pairs.
+    whole grid of fits.  All distances are needed.  Rows are cut into blocks
+    by a hash of the key.  A task holds one block and one sum per row and
+    cluster; all rows stream past it, and one matrix product a slice gives
+    distances, another the sums of every cluster of every labeling.  Neither
+    pairs nor partial sums leave the task.
     """
+    each = df.select(F.posexplode(labels).alias("labeling", "own"))
+    sizes = each.groupBy("labeling", "own").agg(F.count(F.lit(1)).alias("size")).orderBy("labeling", "own").collect()     # one row per cluster
+    if not sizes:
+        return df.select(F.col(key), F.lit(0).alias("labeling"), F.lit(0.0).alias("silhouette")).where("false")
+    size = np.array([r["size"] for r in sizes], float)
+    fits = max(r["labeling"] for r in sizes) + 1
+    bounds = np.searchsorted([r["labeling"] for r in sizes], np.arange(fits + 1))
+    names = np.split(np.array([r["own"] for r in sizes]), bounds[1:-1])
+    held = df.sparkSession.sparkContext.broadcast((names, size, bounds))
     n = df.count()
     blocks = max(1, -(-n // block_rows))
-    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    def side(own: str, other: str) -> DataFrame:           # own names on either side of the cogroup
-        return df.select(F.col(key).alias("key"), F.col(features).alias("f"), F.col(labels).alias("l"),
-                         block.alias(own), every.alias(other))
-
-    left = side("b", "o").groupBy("b", "o")
-    right = side("o", "b").groupBy("b", "o")
-
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"key": [], "labeling": [], "cluster": [], "total": []})
-        x, y = np.array(a["f"].tolist(), float), np.array(b["f"].tolist(), float)
-        lab = np.array(b["l"].tolist())
-        step, out = max(1, 4_000_000 // max(1, y.size)), []
-        dist = np.concatenate([np.sqrt(((x[i:i + step, None] - y[None]) ** 2).sum(axis=2))
-                               for i in range(0, len(x), step)])
-        for j in range(lab.shape[1]):
-            for c in np.unique(lab[:, j]):
-                out.append(pd.DataFrame({"key": a["key"].to_numpy(), "labeling": j, "cluster": int(c),
-                                         "total": dist[:, lab[:, j] == c].sum(axis=1)}))
-        return pd.concat(out)
-
-    kind = dict(df.dtypes)[key]
-    return left.cogroup(right).applyInPandas(
-        sums, f"key {kind}, labeling int, cluster int, total double"
-    ).groupBy("key", "labeling", "cluster").agg(F.sum("total").alias("total"))
-
-
-def silhouettes(df: DataFrame, key: str, labels: str, features: str = "features", block_rows: int = 2048) -> DataFrame:
-    """Euclidean silhouette of each row for each labeling; a singleton scores 0."""
-    each = df.select(F.col(key).alias("key"), F.posexplode(labels).alias("labeling", "own"))
-    size = each.groupBy("labeling", F.col("own").alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
-    sums = distance_sums(df, key, labels, features, block_rows).join(small_side(size), ["labeling", "cluster"])
-    same = F.col("cluster") == F.col("own")
-    s = sums.join(each, ["key", "labeling"]).groupBy("key", "labeling").agg(
-        F.max(F.when(same, F.col("size"))).alias("size"),
-        F.max(F.when(same & (F.col("size") > 1), F.col("total") / (F.col("size") - 1))).alias("a"),
-        F.min(F.when(~same, F.col("total") / F.col("size"))).alias("b"))
-    score = F.when(F.col("size") == 1, F.lit(0.0)).otherwise(
-        F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return s.select(F.col("key").alias(key), "labeling", score.alias("silhouette"))
+    kind = df.schema[key].dataType.simpleString()
+    own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    rows = df.select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("f"), F.col(labels).alias("l"), own.alias("own"))
+    once = rows.select("key", "f", "l", F.col("own").alias("block"), F.lit(False).alias("passing"))
+    each_block = rows.select(F.lit(None).cast(kind).alias("key"), "f", "l", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("passing"))
+    dealt = once.union(each_block).repartition(blocks, "block").sortWithinPartitions("block", "passing")
+
+    def score(batches):
+        names_of, n_of, cut = held.value
+        block, parts, sums, x = None, [], None, None
+
+        def places(lists: pa.Array) -> np.ndarray:                # the column of each row's cluster, by labeling
+            wide = np.asarray(lists.flatten()).reshape(len(lists), -1)
+            return np.column_stack([cut[j] + np.searchsorted(names_of[j], wide[:, j]) for j in range(wide.shape[1])])
+
+        def done():
+            at = np.concatenate([places(p.column("l")) for p in parts])
+            row = np.arange(len(at))
+            out = []
+            for j in range(len(cut) - 1):
+                mine = at[:, j] - cut[j]
+                total, counts = sums[:, cut[j]:cut[j + 1]], n_of[cut[j]:cut[j + 1]]
+                alone = counts[mine] == 1
+                a = total[row, mine] / np.maximum(counts[mine] - 1, 1)
+                mean = total / counts
+                mean[row, mine] = np.inf
+                b = mean.min(axis=1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s = (b - a) / np.maximum(a, b)
+                out.append(np.where(alone | ~np.isfinite(s), 0.0, s))
+            keys = pa.concat_arrays([p.column("key") for p in parts])
+            for j, s in enumerate(out):
+                yield pa.RecordBatch.from_pydict({"key": keys, "labeling": pa.array([j] * len(s), type=pa.int32()), "silhouette": pa.array(s)})
+
+        for batch in batches:
+            for piece in _runs_of(batch):
+                at, passing = piece.column("block")[0].as_py(), piece.column("passing")[0].as_py()
+                if at != block:
+                    if parts:
+                        yield from done()
+                    block, parts, sums = at, [], None
+                if not passing:
+                    parts.append(piece)
+                    continue
+                if not parts:                                    # a block without rows of its own
+                    continue
+                if sums is None:
+                    x = np.concatenate([_matrix(p.column("f")) for p in parts])
+                    sums = np.zeros((len(x), len(n_of)))
+                for other, y in _slices([piece]):
+                    member = np.zeros((len(y), len(n_of)))
+                    member[np.arange(len(y))[:, None], places(other.column("l"))] = 1.0
+                    for i in range(0, len(x), ROWS_AT_ONCE):
+                        sums[i:i + ROWS_AT_ONCE] += _distances(x[i:i + ROWS_AT_ONCE], y) @ member
+        if parts:
+            yield from done()
+
+    return dealt.mapInArrow(score, f"key {kind}, labeling int, silhouette double").withColumnRenamed("key", key)
+
+
+def _runs_of(batch: pa.RecordBatch):
+    """A sorted batch cut where the block or the role of its rows changes."""
+    code = np.asarray(batch.column("block")).astype(np.int64) * 2 + np.asarray(batch.column("passing").cast(pa.int8()))
+    ends = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)]
+    return [batch.slice(i, j - i) for i, j in zip(ends, ends[1:]) if j > i]
 
 
 def linear_silhouette(df: DataFrame, label: str, dims: int, features: str = "features") -> DataFrame:
@@ -431,22 +568,24 @@ def model_silhouettes(df: DataFrame, models: list[np.ndarray], features: str = "
 
 
 def k_search(df: DataFrame, key: str, k_grid, seeds, restarts: int = 10, features: str = "features",
-             silhouette: str = "squared") -> DataFrame:
-    """One row per (k, seed): inertia, silhouette, Calinski-Harabasz, Davies-Bouldin.
+             silhouette: str = "euclidean", max_iter: int = 300) -> DataFrame:
+    """One row per (k, seed): inertia, silhouette, Calinski-Harabasz, Davies-Bouldin, and whether the fit came to rest.
 
     The whole grid is fitted, scored and judged together: the number of jobs
-    is that of one fit.  ``silhouette="squared"`` scores by squared distances
-    in time linear in the rows; ``"euclidean"`` needs all distances.
+    is that of one fit.  The silhouette is that of distances, which needs all
+    of them; ``silhouette="squared"`` scores by squared distances in time
+    linear in the rows, and may prefer another k.
     """
     if silhouette not in ("squared", "euclidean"):
         raise ValueError("silhouette is 'squared' or 'euclidean'")
     grid = [(k, s) for k in k_grid for s in seeds]
-    rows = df.select(key, features).persist()
+    rows = _dealt(df.select(key, features), features).persist()
     try:
         n = rows.count()
         if n < max(k_grid):
             raise ValueError(f"{n} rows are fewer than the largest k {max(k_grid)}")
-        models = [c for c, _ in fit_grid(rows, grid, restarts, features)]
+        fits = fit_grid(rows, grid, restarts, features, max_iter)
+        models = [c for c, *_ in fits]
         scores = model_scores(rows, models, features)
         if silhouette == "squared":
             sil = dict(enumerate(model_silhouettes(rows, models, features)))
@@ -456,10 +595,10 @@ def k_search(df: DataFrame, key: str, k_grid, seeds, restarts: int = 10, feature
     finally:
         rows.unpersist()
     return df.sparkSession.createDataFrame(
-        [(k, s, sc["inertia"], sil.get(i), sc["calinski_harabasz"], sc["davies_bouldin"], n, models[i].shape[1])
+        [(k, s, sc["inertia"], sil.get(i), sc["calinski_harabasz"], sc["davies_bouldin"], n, models[i].shape[1], fits[i][2])
          for i, ((k, s), sc) in enumerate(zip(grid, scores))],
         "k int, random_state int, inertia double, silhouette double, calinski_harabasz double, "
-        "davies_bouldin double, n_samples bigint, n_features int")
+        "davies_bouldin double, n_samples bigint, n_features int, converged boolean")
 
 
 def k_search_summary(fits: DataFrame) -> DataFrame:
@@ -479,25 +618,28 @@ def best_k(summary: DataFrame) -> int:
 def compactness_pca(df: DataFrame, metrics: list[str], sign_by: str = "mean") -> tuple[DataFrame, dict]:
     """First principal component of the standardized metrics as ``compactness_pca_score``.
 
-    Missing metrics take the column mean.  The sign makes the score rise with
-    the mean metric, or with the metric named in ``sign_by``.  Both passes are
-    single aggregations; the sign follows from the covariance.
+    Missing metrics, NaN among them, take the column mean.  The sign makes the score rise with
+    the mean metric, or with the metric named in ``sign_by``; ``sign_correction`` tells whether
+    that turned the component whose largest loading is positive.  Both passes are single
+    aggregations; the sign follows from the covariance.
     """
-    fill = df.agg(*[F.avg(c).alias(c) for c in metrics]).first()
-    filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(fill[c])).alias(c) for c in metrics])
+    known = {c: nan_to_null(F.col(c).cast("double")) for c in metrics}
+    fill = df.agg(*[F.avg(known[c]).alias(c) for c in metrics]).first()
+    filled = df.select(*[F.coalesce(known[c], F.lit(fill[c])).alias(c) for c in metrics])
     mean, cov = covariance(filled, metrics)
     scale = np.where(np.diag(cov) > 0, np.sqrt(np.diag(cov)), 1.0)
     corr = cov / np.outer(scale, scale)
     values, vectors = np.linalg.eigh(corr)
-    first = vectors[:, -1]
+    first = vectors[:, -1] * (1.0 if vectors[np.abs(vectors[:, -1]).argmax(), -1] > 0 else -1.0)
     along = corr @ first
     toward = along.mean() if sign_by == "mean" else along[metrics.index(sign_by)]
-    first = -first if toward < 0 else first
+    sign = -1.0 if toward < 0 else 1.0
+    first = first * sign
     score = F.lit(0.0)
     for c, w, m, s in zip(metrics, first, mean, scale):
-        score = score + F.lit(float(w)) * (F.coalesce(F.col(c).cast("double"), F.lit(fill[c])) - F.lit(float(m))) / F.lit(float(s))
+        score = score + F.lit(float(w)) * (F.coalesce(known[c], F.lit(fill[c])) - F.lit(float(m))) / F.lit(float(s))
     meta = {"metrics": list(metrics), "scaler_mean": mean.tolist(), "scaler_scale": scale.tolist(),
-            "pca_components": first.tolist(), "explained_variance_ratio": float(values[-1] / values.sum())}
+            "pca_components": first.tolist(), "explained_variance_ratio": float(values[-1] / values.sum()), "sign_correction": sign}
     return df.withColumn("compactness_pca_score", score), meta
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import to_number
+from ..functions.scalars import nan_to_null, to_number
 from .joins import sized_join
 from .order_stats import distribution, ranked_values, uniform_hash
 
@@ -40,9 +40,10 @@ def schema_listing(df: DataFrame) -> DataFrame:
 
 
 def pearson(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Correlation of every column pair over the rows where both are present, in one aggregation."""
+    """Correlation of every column pair over the rows where both are present, in one aggregation; NaN counts as missing."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    known = lambda c: nan_to_null(F.col(c).cast("double"))
+    row = df.agg(*[F.corr(known(a), known(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     cells = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"{i}").alias("corr"))
              for i, (a, b) in enumerate(pairs)]
     return row.select(F.explode(F.array(*cells)).alias("c")).select("c.*")

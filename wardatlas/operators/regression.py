@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot
+from ..storage import materialize
 from .moments import grams
 from .order_stats import ranked_values, uniform_hash
 
@@ -43,6 +44,13 @@ def fold_of(key, folds: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("int")
 
 
+def equal_folds(df: DataFrame, key: str, folds: int, seed: int, name: str) -> DataFrame:
+    """Fold of every key: the rank of its hash modulo the folds, so that sizes differ by one at most, however few the rows."""
+    hashed = df.select(key, uniform_hash(F.col(key), F.lit(seed)).alias("_h")).withColumn("_o", F.struct("_h", key))
+    ranked = ranked_values(hashed, [], "_o", spread="hash", range_on="_h")
+    return ranked.select(F.col(f"_o.{key}").alias(key), (F.col("below") % folds).cast("int").alias(name))
+
+
 # ---- penalised fits on a small matrix of cross products ---------------------------------
 
 @dataclass
@@ -270,17 +278,19 @@ def category_levels(df: DataFrame, category: str) -> list:
 
 
 def search(df: DataFrame, key: str, label: str, numeric: list[str], category: str | None = None,
-           folds: int = 5, seed: int = 42, candidates=CANDIDATES) -> tuple[list[dict], Fit, dict]:
+           folds: int = 5, seed: int = 42, candidates=CANDIDATES, fold: str | None = None) -> tuple[list[dict], Fit, dict]:
     """Cross-validate the candidates and refit the first best one on all rows.
 
-    Returns the fold scores per candidate, the winning fit and its tuned
+    Folds are of equal size, shuffled by a hash of the key, or given by the
+    column ``fold`` (0 .. folds - 1).  Returns the fold scores per candidate, the winning fit and its tuned
     threshold.
     """
     levels = [] if category is None else category_levels(df, category)
     basis = Basis(list(numeric), category, levels)
     cols = basis.columns()
-    rows = df.select(*[e.alias(n) for n, e in cols.items()], F.col(label).cast("double").alias("_y"),
-                     fold_of(F.col(key), folds, seed).alias("_f"), fold_of(F.col(key), folds, seed + 1).alias("_i"))
+    placed = df.join(equal_folds(df, key, folds, seed + 1, "_i"), key)
+    placed = placed.withColumn("_f", F.col(fold)) if fold else placed.join(equal_folds(df, key, folds, seed, "_f"), key)
+    rows = materialize(placed.select(*[e.alias(n) for n, e in cols.items()], F.col(label).cast("double").alias("_y"), "_f", "_i"))
     names = [*cols, "_y"]
     parts = grams(rows.withColumn("_g", F.col("_f") * folds + F.col("_i")), names, "_g")
     pick = lambda keep: [sum(g for (f, i), g in cells if keep(f) and i == j)                     # noqa: E731
@@ -387,18 +397,6 @@ def ols_summary(df: DataFrame, cols: list[str], label: str) -> DataFrame:
         "term string, coef double, std_error double, t_value double, p_value double")
 
 
-def mllib_fit(df: DataFrame, cols: list[str], label: str, family: str, alpha: float, ratio: float = 1.0):
-    """The same penalised fits with the library solver; penalties mapped to its scaling."""
-    rows = df.select(array_to_vector(F.array(*[F.col(c).cast("double") for c in cols])).alias("_v"),
-                     F.col(label).cast("double").alias("_y"))
-    n, sd = rows.agg(F.count(F.lit(1)), F.stddev_pop("_y")).first()
-    l1, l2 = {"ols": (0.0, 0.0), "ridge": (0.0, alpha * sd / n), "lasso": (alpha, 0.0),
-              "elasticnet": (alpha * ratio, alpha * (1 - ratio) * sd)}[family]
-    return LinearRegression(featuresCol="_v", labelCol="_y", standardization=False, regParam=l1 + l2,
-                            elasticNetParam=l1 / (l1 + l2) if l1 + l2 else 0.0, tol=1e-12, maxIter=1000,
-                            solver="normal" if l1 == 0 else "auto").fit(rows)
-
-
 def variance_inflation(df: DataFrame, cols: list[str]) -> DataFrame:
     """Uncentred variance inflation factor per column (no constant in the design)."""
     g = grams(df, cols)[0]
