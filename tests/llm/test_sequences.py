@@ -156,16 +156,25 @@ def tokenizer():
     return public.path("word_bpe_49k.json")
 
 
+def plain_counts(path):
+    """Whole texts through the library, with nothing in between."""
+    from tokenizers import Tokenizer
+    whole = Tokenizer.from_file(path)
+    whole.no_truncation()
+    whole.no_padding()
+    return lambda texts: [len(e.ids) for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_counts_equal_the_library_and_the_cache_grows(spark, data, tokenizer, tmp_path):
     asked = spark.sparkContext.accumulator(0)
-    library = counts.library_encoder(tokenizer)
+    library = plain_counts(tokenizer)
 
     def encoder():
         encode = counts.library_encoder(tokenizer)
 
-        def counted(texts):
-            asked.add(len(texts))
-            return encode(texts)
+        def counted(text):
+            asked.add(len(text))
+            return encode(text)
         return counted
 
     odd = ["<|endoftext|>", "<|ENDOFTEXT|> a", "x<|startoftext|>y  Z", "H̱a ẖa", "é é É", "İI ıi", "a b c\x1cd", "don't DON'T 's", "ﬁ Ω 가각 가",
@@ -184,16 +193,22 @@ def test_counts_equal_the_library_and_the_cache_grows(spark, data, tokenizer, tm
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     assert {r[0]: r[2] for r in got(docs)} == dict(zip(texts, library(list(texts.values()))))
-    other = [r["n_tokens"] for r in counts.token_counts(df, cache, "another", lambda: lambda texts: [1] * len(texts)).collect()]
-    assert sorted(other) == sorted(len(WORD.findall((r["text"] or "").encode())) for r in df.collect())
-
-
-def test_words_held_are_bounded(monkeypatch):
-    monkeypatch.setattr(counts, "WORDS", 10)
-    words = counts.WordCounts(lambda texts: [len(t) for t in texts])
-    for i in range(50):
-        assert words.of([f"a{i} bb{i}", "c " * 3, "d" * 100]) == [len(f"a{i}bb{i}"), 3, 100]
-        assert len(words.held) <= 10
+    other = [r["n_tokens"] for r in counts.token_counts(df, cache, "another", lambda: lambda text: [0]).collect()]
+    assert sum(other) > 0 and asked.value > first and spark.read.parquet(cache).select("version").distinct().count() == 2
+
+
+def test_words_are_counted_as_in_whole_texts(monkeypatch, tokenizer):
+    """Marks, special strings, contractions and odd spaces, with small pieces and a small memory that forgets all the time."""
+    library = plain_counts(tokenizer)
+    rng = np.random.default_rng(8)
+    texts = ["", " ", "x" * 500, " lead and\t\ttrail \n", "<|endoftext|> a<|startoftext|>b", "\u0301 a \u0301b", "가 ᆨ각 İ I\u0307 H\u0331 ﬁ"]
+    texts += ["".join(rng.choice(list("abé \u0301\u00a0\u3000’'s\n\t<|é1İ½"), 400)) for _ in range(60)]
+    want = library(texts)
+    for size, held in ((1, 2), (7, 20), (64, 1 << 17)):
+        monkeypatch.setattr(counts, "PIECE", size)
+        monkeypatch.setattr(counts, "WORDS", held)
+        words = counts.WordCounts(counts.library_encoder(tokenizer))
+        assert [n for t in texts for n in words.of([t])] == want and words.of(texts) == want
 
 
 def test_new_queries_are_registered():

@@ -12,8 +12,9 @@ Normalising must not change a count. The tokenizer drops white space and never j
 become one space, and those at the ends go. It lower-cases; here that is done for ASCII texts without "<|" only, as upper and lower letters
 compose differently with marks, and special strings count by their exact letters. `normalise` takes another rule.
 
-A task counts a text as the sum over its words (split at the same white space), asking the library once for each distinct word that is
-still held; at most `WORDS` of up to `WORD_BYTES` bytes are held. Words of any length are encoded whole.
+A task counts a text as the sum over its words, split at the same white space, and asks the library for words it does not hold: some thousands in one
+string, each token going to the word in which its offset lies. Words of up to `WORD_BYTES` bytes are held in two halves of up to `WORDS`; when the
+newer is full the older is forgotten. Words of any length are encoded whole.
 
 Defined results: a null text counts as an empty one (0 bytes, 0 tokens); every row gives one row, so repeated rows give equal rows; null ids
 stay null; an empty table gives none and adds nothing to the cache; other columns are ignored, whatever their names. An append that is cut off
@@ -25,6 +26,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +35,11 @@ from wardatlas.operators.joins import salted_join
 
 from .frames import small_side, stored
 
-WORDS = 1 << 17
+WORDS = 1 << 17                 # words in each half of what a task holds
 WORD_BYTES = 64
+PIECE = 1 << 15                 # code points that the library gets in one string; a longer word alone
 HOT_ROWS = 50_000               # documents of one digest that one task joins
-_TEXTS = 64                     # texts split into words together
+_TEXTS = 64                     # texts whose words are looked up together
 _CACHE = "version string, digest binary, n_tokens bigint"
 
 
@@ -49,22 +52,46 @@ def normalised(text: Column) -> Column:
 
 
 class WordCounts:
-    """Counts of the tokens of whole texts by a library's `encode` (list of strings to list of counts)."""
-
-    def __init__(self, encode: Callable[[list[str]], list[int]]):
-        self.encode, self.held = encode, {}
+    """Counts of the tokens of whole texts. `encode` takes a string and gives, for each of its tokens, the code point where it begins."""
+
+    def __init__(self, encode: Callable[[str], list[int]]):
+        self.encode, self.new, self.old = encode, {}, {}
+
+    def _learnt(self, words: list[bytes]) -> dict[bytes, int]:
+        """Tokens of words that are not held: strings of about `PIECE` code points, words apart by one space."""
+        found: dict[bytes, int] = {}
+        part, starts, size = [], [], 0
+        for word in [*words, None]:
+            if part and (word is None or size > PIECE):
+                at = np.asarray(self.encode(" ".join(part)), dtype=np.int64)
+                n = np.bincount(np.searchsorted(starts, at, side="right") - 1, minlength=len(part)).tolist()
+                found.update(zip(words[len(found):], n))
+                part, starts, size = [], [], 0
+            if word is not None:
+                part.append(word.decode())
+                starts.append(size)
+                size += len(part[-1]) + 1
+        for word, n in found.items():
+            if len(word) <= WORD_BYTES:
+                self.new[word] = n
+        return found
 
     def of(self, texts: list[str]) -> list[int]:
-        words = [t.encode().split() for t in texts]
-        fresh = {w for ws in words for w in ws if w not in self.held}
-        if len(self.held) + len(fresh) > WORDS:
-            self.held.clear()
-            fresh = {w for ws in words for w in ws}
-        fresh = list(fresh)
-        counts = dict(zip(fresh, self.encode([w.decode() for w in fresh])))
-        self.held.update((w, n) for w, n in counts.items() if len(w) <= WORD_BYTES)
-        counts |= {w: self.held[w] for ws in words for w in ws if w not in counts}
-        return [sum(counts[w] for w in ws) for ws in words]
+        words = [t.encode().split() for t in texts]              # at 0x20 and 0x09-0x0D
+        counts, fresh = {}, []
+        for word in {w for ws in words for w in ws}:
+            n = self.new.get(word)
+            if n is None:
+                n = self.old.get(word)
+                if n is None:
+                    fresh.append(word)
+                    continue
+                self.new[word] = n
+            counts[word] = n
+        counts |= self._learnt(fresh)
+        if len(self.new) > WORDS:
+            self.old, self.new = self.new, {}
+        return [sum(map(counts.__getitem__, ws)) for ws in words]
 
 
 def file_version(path: str) -> str:
@@ -72,8 +99,8 @@ def file_version(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-def library_encoder(path: str) -> Callable[[list[str]], list[int]]:
-    """Counts as the tokenizers library gives them for its .json file; no begin, end or added special tokens, no truncation, no
+def library_encoder(path: str) -> Callable[[str], list[int]]:
+    """Where the tokens of a string begin, as the tokenizers library gives them for its .json file; no begin, end or added special tokens, no truncation, no
     padding; special strings in a text as the library handles them by default."""
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -81,7 +108,7 @@ def library_encoder(path: str) -> Callable[[list[str]], list[int]]:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return lambda texts: [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return lambda text: [begin for begin, _ in tokenizer.encode(text, add_special_tokens=False).offsets]
 
 
 def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
@@ -92,10 +119,10 @@ def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
     return rows.where(F.col("version") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
 
-def token_counts(docs: DataFrame, cache: str, version: str, encoder: Callable[[], Callable[[list[str]], list[int]]], id_col: str = "doc_id",
+def token_counts(docs: DataFrame, cache: str, version: str, encoder: Callable[[], Callable[[str], list[int]]], id_col: str = "doc_id",
                  text_col: str = "text", *, normalise: Callable[[Column], Column] = normalised) -> DataFrame:
     """(doc, n_bytes, n_tokens) of every row. `cache` is a folder that all share; `encoder` makes, inside a task, the function that
-    counts. It is asked for words, so the tokenizer must treat white space as a bound, as one that drops it does."""
+    encodes. It gets words, so the tokenizer must treat white space as a bound, as one that drops it does."""
     spark = docs.sparkSession
     digest = F.unhex(F.sha2(normalise(F.col(text_col)), 256)).alias("digest")
     rows = stored(docs.select(F.col(id_col).alias("doc"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("bigint").alias("n_bytes"),
