@@ -129,3 +129,20 @@ def test_search_in_awkward_rows(spark):
     assert decontaminate.drop_contaminated(df, bench).columns == df.columns
     assert decontaminate.drop_contaminated(df, bench).count() == df.count() - 1
     assert decontaminate.find_items(df, bench.limit(0)).count() == 0 and decontaminate.find_items(df.limit(0), bench).count() == 0
+
+
+def test_hot_suffixes_and_text_ids(spark, monkeypatch):
+    """Keys and contexts beyond a task's share are split; ids that are texts decide by their own order which copy stays."""
+    monkeypatch.setattr(suffixes, "HOT_ROWS", 16)
+    monkeypatch.setattr(suffixes, "GROUP", 32)
+    rng = np.random.default_rng(12)
+    shared = prose(rng, 40)
+    texts = [(f"k{chr(97 + i % 26)}{i:03d}", f"{prose(rng, 5)} {shared if i % 3 else prose(rng, 40)} {prose(rng, 5)}") for i in rng.permutation(150).tolist()]
+    texts += [("zz", shared), ("aa", shared), (None, shared)]
+    df = spark.createDataFrame(texts, "doc_id string, text string").repartition(6)
+    got = {r["doc"]: ([tuple(x) for x in r["repeats"]], [tuple(x) for x in r["surplus"]])
+           for r in suffixes.repeated_passages(df, min_words=20, gram=7).collect()}
+    ordered = sorted(((k is None, k or ""), t) for k, t in texts)
+    want = passages([(n, t) for n, (_, t) in enumerate(ordered)], 20)
+    assert got == {(None if ordered[n][0][0] else ordered[n][0][1]): v for n, v in want.items()}
+    assert got["aa"][1] == [] and got["zz"][1]

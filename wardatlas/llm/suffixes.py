@@ -15,7 +15,7 @@ suffix: a passage of `min_words` words always holds a retained one. About one po
 
 The result is exact: a word is in a span if and only if it lies in a window of `min_words` words that occurs at two places (in
 one document or two). `surplus` spans are the windows whose place is not the first by (id, row key, position): what a
-dedup removes so that one copy stays.
+dedup removes so that one copy stays. Ids are ordered as they are, numbers by value and texts by their bytes.
 
 Defined results: null, empty and short texts have no window and no row; null ids come last in the order and keep their
 row; rows that repeat id and text are one document; an empty table gives none; other columns are ignored. A text is held
@@ -31,11 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardatlas.operators.joins import salted_join
+
 from . import words
-from .frames import map_arrow, signed, stored, texts
+from .frames import map_arrow, signed, small_side, stored, texts
 
 GRAM = 16
 GROUP = 512                     # places of a suffix that are compared inside one task
+HOT_ROWS = 1 << 13              # places of a suffix, or of a context, that one task joins
 _ROWS = 1 << 14                 # suffixes whose windows are sorted together
 _LAST = (1 << 63) - 1
 
@@ -217,7 +220,19 @@ def _through_contexts(rows: DataFrame, length: int, schema: str) -> DataFrame:
         found = _runs(pa.Table.from_batches([batch]), row, pos, np.ones(len(row), dtype=bool), ~kept, length)
         yield {name: found.column(name) for name in found.schema.names}
 
-    return map_arrow(rows.select("context", "rid", "doc", "ord", "first").join(flags, "context"), spans, schema)
+    return map_arrow(salted_join(rows.select("context", "rid", "doc", "ord", "first"), flags, ["context"], HOT_ROWS), spans, schema)
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    """The rows with their place in the order of ids, `ord`: a number is its own place, other ids are numbered by range."""
+    kind = rows.schema["doc"].dataType.typeName()
+    if kind in ("byte", "short", "integer", "long"):
+        return rows.withColumn("ord", F.coalesce(F.col("doc").cast("bigint"), F.lit(_LAST)))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = rows.select("rid", "doc").dropDuplicates(["rid"])
+    by = [F.col("doc").asc_nulls_last(), F.col("rid")]
+    places = stored(ids.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("rid", F.monotonically_increasing_id().alias("ord")), "order of ids")
+    return rows.join(places, "rid")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 50, gram: int = GRAM) -> DataFrame:
@@ -229,10 +244,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     suffixes = map_arrow(rows.select("rid", "text"), _suffixes(min_words, gram), "key bigint, rid bigint, pos bigint")
     shared = (suffixes.groupBy("key").agg(F.count("*").alias("n"), F.min("rid").alias("r0"), F.max("rid").alias("r1"),
                                           F.min("pos").alias("p0"), F.max("pos").alias("p1"))
-              .where("n > 1 and (r0 <> r1 or p0 <> p1)").select("key", (F.col("n") > GROUP).alias("hot")))
-    asked = suffixes.join(shared, "key").groupBy("rid").agg(F.collect_set(F.struct("pos", "hot")).alias("asked"))
-    order = F.coalesce(F.expr("try_cast(doc as bigint)"), F.lit(_LAST))
-    members = rows.join(stored(asked, "asked"), "rid").select("rid", "doc", order.alias("ord"), "text", "asked")
+              .where("n > 1 and (r0 <> r1 or p0 <> p1)").select("key", "n"))
+    shared = stored(shared, "shared")
+    # a key with very many places is split: its places take one of several salts, the key is there once a salt
+    salts = F.expr(f"cast(1 + n div {HOT_ROWS} as int)")
+    hot = small_side(shared.where(F.col("n") > HOT_ROWS).select("key", salts.alias("salts")), 32)
+    salted = suffixes.join(hot, "key", "left").select("key", "rid", "pos", F.pmod(F.xxhash64("rid", "pos"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    each = shared.select("key", (F.col("n") > GROUP).alias("hot"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    asked = salted.join(each, ["key", "salt"]).groupBy("rid").agg(F.collect_set(F.struct("pos", "hot")).alias("asked"))
+    members = _ordered(rows.join(stored(asked, "asked"), "rid")).select("rid", "doc", "ord", "text", "asked")
     windows = stored(map_arrow(members, _windows(min_words, gram),
                                f"key bigint, rid bigint, doc {kind}, ord bigint, first bigint, hot boolean, windows array<bigint>"), "windows")
     schema = f"rid bigint, doc {kind}, start bigint, end bigint, surplus boolean"
