@@ -3,19 +3,21 @@
 The page streams through the standard library's parser. Text gathers in blocks, which end at tags that begin or end a block of
 layout; of each block the parser counts code points, tags, and those inside links. A block's text-to-tag ratio is its code points outside links over its tags
 (at least one). The ratios are smoothed along the page by a Gaussian. Blocks over a threshold, a share of the standard deviation of the smoothed
-ratios, form content regions if they are not mostly links, and so do all blocks between two of them, short ones and links too.
+ratios, form content regions if they are not mostly links, and so do all blocks between two of them, short ones and links too. A region
+grows at its ends over blocks that are not mostly links and stand in the same element as one of its blocks, or in an element of that one.
 
 Markup that names its role is followed first: text in navigation, headers, footers, asides, scripts, styles and the like, and hidden text
 never counts. Forms and elements whose class or id names an advert, menu, notice, sidebar or comment do not count either, unless they hold
 most of the page's text or the page's only article (see `Reader._needs`); compounds that speak of the layout, as no-sidebar or page-header,
-are no such names. The ratio decides on every page.
+are no such names, nor inside an article those of its subject, as legal-analysis. The ratio decides on every page.
 Marks of content (article, main, role=main) scale the smoothed ratios: those of marked blocks by the share of the page's text that is
 marked, the others by the rest. Where half of the text or more is marked, the threshold bounds the ratios of marked blocks from below, so
 that headings and short paragraphs of an article stay; a teaser or card that is marked beside plain text has no such bound. Regions are filled
 with blocks of the side, marked or not, that holds the most text: the others stand apart from it by the page's own word.
 
 Defined results: a null or empty page, or one without content, gives an empty text; broken and unclosed markup is read as the parser
-reads it; every row gives one row; a page is held by one task.
+reads it; every row gives one row, so repeated rows give equal rows; an empty table gives none; other columns pass unchanged, whatever their
+names, but a column named as the new one is an error; a page is held by one task.
 """
 
 from __future__ import annotations
@@ -56,29 +58,40 @@ NAMES_BESIDE = {"ad", "ads", "advert", "adverts", "advertisement", "adsense", "s
 _LAYOUT_BEFORE = {"no", "non", "has", "have", "with", "without"}
 _LAYOUT_AFTER = {"layout", "open", "closed", "enabled", "disabled"}
 _HEADED = {"page", "article", "post", "entry", "content", "story", "section"}
+#: Names that inside an article speak of its subject (legal-analysis, search-results, side-note) unless a part of a page follows.
+_SUBJECTS = {"side", "legal", "search"}
+_PARTS = {"bar", "box", "form", "panel", "field", "column", "col", "area", "block", "links", "info", "text", "line"}
+#: Words for what readers write, if one of the readers stands before: user-discussion.
+_TALK = {"discussion", "discussions", "opinions", "feedback", "reactions", "posts"}
+_READERS = {"user", "users", "reader", "readers", "community", "visitor", "visitors", "guest", "guests"}
 _UNMARKED, _SHUT = -1, 1 << 60
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("text", "tags", "linked", "marked")
+    __slots__ = ("text", "tags", "linked", "marked", "inside")
 
-    def __init__(self, text: str, tags: int, linked: int, marked: bool):
-        self.text, self.tags, self.linked, self.marked = text, tags, linked, marked
+    def __init__(self, text: str, tags: int, linked: int, marked: bool, inside: tuple[int, int] = (0, 0)):
+        self.text, self.tags, self.linked, self.marked, self.inside = text, tags, linked, marked, inside
 
     @property
     def ratio(self) -> float:
         return max(0, len(self.text) - self.linked) / max(1, self.tags)
 
 
-def _names(value: str) -> set[str]:
-    """Words of a class or id that name something other than the article, without those that speak of the layout."""
+def _names(value: str, inside_content: bool = False) -> set[str]:
+    """Words of a class or id that name something other than the article, without those that speak of the layout or, inside an
+    article, of its subject."""
     found = set()
     for token in value.split():
         words = _WORD.findall(token)
         for i, word in enumerate(words):
             before, after = words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""
+            if inside_content and word in _SUBJECTS and len(words) > 1 and after not in _PARTS:
+                continue
+            if word in _TALK and before in _READERS:
+                found.add("comments")
             if word in NAMES_APART and before not in _LAYOUT_BEFORE and after not in _LAYOUT_AFTER and not (word == "header" and before in _HEADED):
                 found.add(word)
     return found
@@ -101,7 +114,7 @@ def _apart(tag: str, attrs: list[tuple[str, str | None]], inside_content: bool)
             return True, False, False
         form = form or name == "role" and value == "form"
         if name in ("class", "id") and tag not in CONTENT and tag not in ("html", "body"):
-            names |= _names(value)
+            names |= _names(value, inside_content)
     return False, form or bool(names), bool(names & NAMES_BESIDE)
 
 
@@ -114,19 +127,21 @@ class Reader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, int]] = []        # (tag, inside something that never counts, zone, mark)
+        self.open: list[tuple[str, bool, int, int, int]] = []   # (tag, inside something that never counts, zone, mark, number)
+        self.elements = 0
         self.zones: list[tuple[int, int, bool, bool]] = [(0, 0, False, False)]      # (parent, depth, beside, inside marked content)
         self.marks: list[int] = []                              # zone of each mark
-        self.raw: list[tuple[list[tuple[str, bool, int, int]], int]] = []           # (pieces of text, tags) of each block
+        self.raw: list[tuple[list[tuple[str, bool, int, int]], int, tuple[int, int]]] = []  # (pieces of text, tags, elements around) of each block
+        self.around = (0, 0)                                    # of the block at hand: the elements around its own, nearest first
         self.parts: list[tuple[str, bool, int, int]] = []       # (text, inside a link, zone, mark)
         self.tags = self.links = 0
 
     def _state(self) -> tuple[bool, int, int]:
-        return self.open[-1][1:] if self.open else (False, 0, _UNMARKED)
+        return self.open[-1][1:4] if self.open else (False, 0, _UNMARKED)
 
     def _end_block(self) -> None:
         if any(not x[0].isspace() for x in self.parts):
-            self.raw.append((self.parts, self.tags))
+            self.raw.append((self.parts, self.tags, self.around))
             self.tags = 0
         self.parts = []
 
@@ -151,7 +166,8 @@ class Reader(HTMLParser):
             if tag in CONTENT or any(k == "role" and v == "main" or k == "itemprop" and v == "articleBody" for k, v in attrs):
                 self.marks.append(zone)
                 mark = len(self.marks) - 1
-        self.open.append((tag, never, zone, mark))
+        self.elements += 1
+        self.open.append((tag, never, zone, mark, self.elements if tag not in ("html", "body") else 0))
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -180,6 +196,9 @@ class Reader(HTMLParser):
     def handle_data(self, data: str) -> None:
         never, zone, mark = self._state()
         if not never:
+            if not self.parts or self.parts[-1][0].isspace():
+                blocks = [x[4] for x in self.open[-12:] if x[0] not in INLINE]
+                self.around = tuple((blocks[-2:-4:-1] + [0, 0])[:2])
             self.parts.append((data, self.links > 0, zone, mark))
 
     def _needs(self) -> list[int]:
@@ -193,7 +212,7 @@ class Reader(HTMLParser):
         n = len(self.zones)
         text, under, tops = [0] * n, [0] * n, [-1] * n           # code points; those with a mark from the zone; deepest mark of the zone's own
         holders: list[set[int]] = [set() for _ in range(n)]      # marks with text that stand in the zone itself
-        for parts, _ in self.raw:
+        for parts, *_ in self.raw:
             for data, linked, zone, mark in parts:
                 size = 0 if linked else len(data.strip())
                 text[zone] += size
@@ -229,12 +248,12 @@ class Reader(HTMLParser):
         self.close()
         self._end_block()
         need, blocks, tags = self._needs(), [], 0
-        for parts, own in self.raw:
+        for parts, own, around in self.raw:
             kept = [x for x in parts if (self.zones[self.marks[x[3]]][1] if x[3] != _UNMARKED else 0 if not need[x[2]] else -1) >= need[x[2]]]
             text = _SPACE.sub(" ", "".join(x[0] for x in kept)).strip()
             tags += own
             if text:
-                blocks.append(Block(text, tags, sum(len(x[0]) for x in kept if x[1]), any(x[3] != _UNMARKED for x in kept)))
+                blocks.append(Block(text, tags, sum(len(x[0]) for x in kept if x[1]), any(x[3] != _UNMARKED for x in kept), around))
                 tags = 0
         return blocks
 
@@ -268,7 +287,14 @@ def content(blocks: list[Block], sigma: float = 1.0, share: float = 0.5) -> list
         over |= marked                                          # the bound: never under the threshold
     found = np.flatnonzero(over & most)
     if len(found):
-        over[found[0]:found[-1]] |= most[found[0]:found[-1]]
+        first, last = int(found[0]), int(found[-1])
+        parents = {b.inside[0] for b, on in zip(blocks, over & most) if on} - {0}
+        beside = lambda i: most[i] and not parents.isdisjoint(blocks[i].inside) and blocks[i].linked * 2 <= len(blocks[i].text)
+        while first and beside(first - 1):
+            first -= 1
+        while last + 1 < len(blocks) and beside(last + 1):
+            last += 1
+        over[first:last + 1] |= most[first:last + 1]
     return [b.text for b, on in zip(blocks, over) if on]
 
 
