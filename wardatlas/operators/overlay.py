@@ -222,20 +222,24 @@ def ring_segments(units: DataFrame, unit_id: str, rings: str = "rings") -> DataF
     return seg.select(unit_id, "s.*")
 
 
-PIECES = 4                                               # Fixed value: pieces that a segment is cut into on its own grid
+PIECES = 2                                               # Fixed value: pieces that a segment is cut into on its own grid
 
 
-def _along_cells(seg: DataFrame, reach: float) -> DataFrame:
-    """Cells of the grid ``_at`` that lie within two reaches of a segment, each once.
+def _piece_centres(seg: DataFrame) -> DataFrame:
+    """A segment's pieces on the grid ``_at``, no longer than a cell (2^_at / PIECES), each in the cell of its middle."""
+    size = F.pow(F.lit(2.0), F.col("_at")) / PIECES
+    each = seg.withColumn("_n", F.ceil(F.col("_len") / size).cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    middle = lambda c: F.col(c + "a") + (F.col(c + "b") - F.col(c + "a")) * (F.col("_i") + 0.5) / F.col("_n")
+    return each.withColumns({"_cx": F.floor(middle("x") / size).cast("bigint"), "_cy": F.floor(middle("y") / size).cast("bigint")})
 
-    A cell is a quarter of 2^_at wide, and the segment is no longer than 2^_at: its pieces, one cell long at most,
-    have boxes of a few cells each, however the segment lies.
-    """
+
+def _cells_along(seg: DataFrame, reach: float) -> DataFrame:
+    """Cells of the grid ``_at`` in which a piece that comes within ``reach`` of the segment may have its middle, each once."""
     size = F.pow(F.lit(2.0), F.col("_at")) / PIECES
-    n = F.ceil(F.col("_len") / size).cast("int")
+    n, margin = F.ceil(F.col("_len") / size).cast("int"), size / 2 + 2 * reach
 
     def cells(low, high):
-        return F.sequence(F.floor((low - 2 * reach) / size).cast("bigint"), F.floor((high + 2 * reach) / size).cast("bigint"))
+        return F.sequence(F.floor((low - margin) / size).cast("bigint"), F.floor((high + margin) / size).cast("bigint"))
 
     def piece(i):
         at = lambda c, k: F.col(c + "a") + (F.col(c + "b") - F.col(c + "a")) * k / n
@@ -256,10 +260,10 @@ def adjacency(units: DataFrame, unit_id: str, rings: str = "rings", tolerance: f
     coordinates may be of any size, since all distances are taken near the segments.  By default the tolerance is
     ten to the minus ``digits``, or 64 roundings of the largest coordinate if that is more.
 
-    Segments meet on grids that fit their lengths: each has a grid of cells a quarter as wide as it is long, and two
-    segments meet in the cells along both on the grid of the longer one.  So no line, row or column of the map is one
-    key, a crowded place of short segments meets few long ones, and each pair counts in the cell of the middle of its
-    shared stretch only.
+    Segments meet on grids that fit their lengths: each has a grid of cells half as wide as it is long, and two
+    segments meet on the grid of the longer one, which is there in all cells along it, the shorter one once for each
+    of its pieces.  So no line, row or column of the map is one key, a crowded place of short segments meets few long
+    ones, and each pair counts with the piece in which its shared stretch begins only.
     """
     seg = ring_segments(units, unit_id, rings).withColumn("_len", F.hypot(F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya")))
     seg = materialize(seg.where((F.col("_len") > 0) & (F.col("_len") < float("inf"))).withColumn("_own", F.ceil(F.log2("_len")).cast("int")))
@@ -271,12 +275,12 @@ def adjacency(units: DataFrame, unit_id: str, rings: str = "rings", tolerance: f
     levels = sorted({max(v, finest) for v in found})        # binary exponents: a few dozen
     seg = seg.where(F.col("_len") > reach).withColumn("_own", F.greatest("_own", F.lit(finest)))
 
-    def side(df: DataFrame, p: str) -> DataFrame:
-        cells = _along_cells(df, reach)
-        return cells.select("_at", "_cx", "_cy", *[F.col(c).alias(p + c) for c in (unit_id, "xa", "ya", "xb", "yb", "_len", "_own")])
+    def side(df: DataFrame, p: str, *more: str) -> DataFrame:
+        return df.select("_at", "_cx", "_cy", *more, *[F.col(c).alias(p + c) for c in (unit_id, "xa", "ya", "xb", "yb", "_len", "_own")])
 
     every = seg.withColumn("_at", F.explode(F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v >= F.col("_own"))))
-    pairs = salted_join(side(every, "a"), side(seg.withColumn("_at", F.col("_own")), "b"), ["_at", "_cx", "_cy"]).where(
+    shorter, longer = side(_piece_centres(every), "a", "_i", "_n"), side(_cells_along(seg.withColumn("_at", F.col("_own")), reach), "b")
+    pairs = salted_join(shorter, longer, ["_at", "_cx", "_cy"]).where(
         (F.col("a" + unit_id) != F.col("b" + unit_id))
         # equal grids: the pair comes from both sides, so it counts once
         & ((F.col("a_own") < F.col("b_own")) | (F.col("a" + unit_id) < F.col("b" + unit_id))))
@@ -287,10 +291,8 @@ def adjacency(units: DataFrame, unit_id: str, rings: str = "rings", tolerance: f
     pairs = pairs.withColumns({"_ta": along("a"), "_tb": along("b"), "_da": off("a"), "_db": off("b")}).where("_tb < _ta").withColumns(
         {"_lo": F.greatest(F.col("_tb"), F.lit(0.0)), "_hi": F.least(F.col("_ta"), F.col("b_len"))}).where(F.col("_hi") - F.col("_lo") > reach)
     apart = lambda t: F.abs(F.col("_da") + (F.col("_db") - F.col("_da")) * (F.col(t) - F.col("_ta")) / (F.col("_tb") - F.col("_ta")))
-    size, middle = F.pow(F.lit(2.0), F.col("_at")) / PIECES, (F.col("_lo") + F.col("_hi")) / 2
-    pairs = pairs.where((apart("_lo") <= reach) & (apart("_hi") <= reach)
-                        & (F.floor((F.col("bxa") + F.col("_ux") * middle) / size) == F.col("_cx"))
-                        & (F.floor((F.col("bya") + F.col("_uy") * middle) / size) == F.col("_cy")))
+    begins = F.floor((F.col("_ta") - F.col("_hi")) / (F.col("_ta") - F.col("_tb")) * F.col("_n"))
+    pairs = pairs.where((apart("_lo") <= reach) & (apart("_hi") <= reach) & (F.least(F.greatest(begins, F.lit(0)), F.col("_n") - 1) == F.col("_i")))
     return pairs.select(F.least("a" + unit_id, "b" + unit_id).alias("src"), F.greatest("a" + unit_id, "b" + unit_id).alias("dst"),
                         (F.col("_hi") - F.col("_lo")).alias("_len")).groupBy("src", "dst").agg(F.sum("_len").alias("shared_length"))
 
