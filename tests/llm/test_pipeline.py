@@ -46,3 +46,26 @@ def test_stages(spark, data, kept):
 def test_run_ends_with_the_same_rows(spark, data, kept):
     import corpus_pipeline
     assert sorted(corpus_pipeline.run(spark, data).collect()) == sorted(kept[-1])
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_take_awkward_rows(spark, data, empty):
+    """Nulls in every column, empty, blank, long and repeated rows, and an empty table, through every stage."""
+    import corpus_pipeline
+    rows = [(None, "some words that nobody else has written in quite this way", "en", "a", 11), (1, None, None, None, None), (2, "", "en", None, 0),
+            (3, " \n\t ", None, "a", 4), (4, "One", "fr", "b", 3), (4, "One", "fr", "b", 3), (5, "word " * 3000, None, "b", None), (6, None, "en", "a", 7)]
+    schema = spark.read.parquet(f"{data}/documents.parquet").schema
+    docs = spark.createDataFrame([r for r in rows if not empty], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = docs.select(*[docs[f.name].cast(f.dataType) for f in schema.fields])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, data)
+        got = out.collect()
+        assert not empty or not got
+        if name == "byte-level BPE":
+            assert sorted((repr(r["doc_id"]), r["n_tokens"] > 0) for r in got) == sorted((repr(r[0]), bool(r[1])) for r in {r[:2] for r in rows} if not empty)
+            break
+        assert out.columns == schema.names
+        if name == "n-gram Jaccard join" and not empty:
+            assert len(got) == len(rows) - 1
+        if name != "quality classifier":                        # what the classifier makes of such rows is its own matter
+            docs = spark.createDataFrame(got, out.schema)

@@ -8,7 +8,8 @@ document's length. Each document is one pass over its shingles; those that meet
 whole sets. Nothing is shuffled: the items go to the tasks in blocks of at most about `BLOCK_SHINGLES`, one pass a block.
 
 Defined results: null or empty texts, and those of fewer words than the width, contain and match nothing; rows that
-repeat an item's id and text are one item; documents' rows each give their own matches; empty tables give none.
+repeat an item's id and text are one item; documents' rows each give their own matches; empty tables give none; other columns
+are ignored by the search and passed by the filter, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .frames import map_arrow, signed, texts
+from .frames import keep_where, map_arrow, signed, texts
 
 BLOCK_SHINGLES = 1 << 21        # 8 bytes each: 16 MB broadcast a block
 _FILTER_BITS = 22
@@ -127,13 +128,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     for _, sketches in sketch_blocks(items, item_col, item_text_col, width, num, den):
         held = docs.sparkSession.sparkContext.broadcast(sketches)
 
-        def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            matches = held.value.matcher(width)
-            for batch in batches:
-                keep = np.ones(batch.num_rows, dtype=bool)
-                for lo, _, hashes, bounds in words.word_slices(batch.column(text_col).cast(pa.string())):
-                    keep[[lo + t for t, _, _ in matches(hashes, bounds)]] = False
-                yield batch.filter(pa.array(keep))
+        def clean(column: pa.Array, held=held) -> np.ndarray:
+            matches, keep = held.value.matcher(width), np.ones(len(column), dtype=bool)
+            for lo, _, hashes, bounds in words.word_slices(column):
+                keep[[lo + t for t, _, _ in matches(hashes, bounds)]] = False
+            return keep
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = keep_where(docs, text_col, clean)
     return docs

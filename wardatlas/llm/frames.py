@@ -58,6 +58,25 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
     return df.mapInArrow(task, schema)
 
 
+#: What operators keep in a Python worker from task to task, and how to let go of it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def release() -> None:
+    """Let go of what other operators keep in this worker: a worker is used again by the next stage, with all its memory."""
+    for forget in HELD.values():
+        forget()
+
+
+def keep_where(df: DataFrame, text_col: str, test: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows, with all columns, whose text passes `test` (an Arrow string array to booleans). Only texts go to Python; the rows
+    stay where they are."""
+    def passes(column: pa.Array) -> pa.Array:
+        release()
+        return pa.array(test(column), type=pa.bool_())
+    return df.where(F.arrow_udf(passes, "boolean")(F.col(text_col).cast("string")))
+
+
 def signed(hashes: np.ndarray) -> np.ndarray:
     """64-bit hashes as Spark's bigint."""
     return np.ascontiguousarray(hashes).view(np.int64)

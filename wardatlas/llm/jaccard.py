@@ -40,7 +40,7 @@ from .frames import components, map_arrow, signed, small_side, stored, texts
 
 BLOCK = 64                      # classes in a column that are multiplied in full
 FREQUENT = 1 << 18              # entries in the broadcast list of frequent shingles (2 MB); only order, never results
-_KEY = "wardatlas row key"
+_KEY, _COUNT = "wardatlas row key", "wardatlas rows of group"
 _CHUNK = 1 << 20                # shingles counted together when frequent ones are looked for
 
 
@@ -288,8 +288,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     columns; documents without shingles all stay. Rows that repeat id and text are one document."""
     found = jaccard_components(docs, id_col, text_col, width=width, num=num, den=den)
     of = F.struct(F.col("root").isNull().alias("alone"), F.coalesce("root", "rid").alias("key"))
-    keep = (found.groupBy(of.alias("of"))
-            .agg(F.min(F.struct(F.col("doc").isNull().alias("no_id"), F.col("doc"), F.col("rid"))).alias("first"))
-            .select(F.col("first.rid").alias(_KEY)))
-    keyed = docs.withColumn(_KEY, F.xxhash64(F.col(id_col), F.col(text_col)))
-    return keyed.join(keep, _KEY, "left_semi").dropDuplicates([_KEY]).drop(_KEY)
+    keep = stored(found.groupBy(of.alias("of"))
+                  .agg(F.min(F.struct(F.col("doc").isNull().alias("no_id"), F.col("doc"), F.col("rid"))).alias("first"), F.count("*").alias("n"))
+                  .select(F.col("first.rid").alias(_KEY), F.col("n").alias(_COUNT)), "kept")
+    rows = docs.withColumn(_KEY, F.xxhash64(F.col(id_col), F.col(text_col)))
+    # a row can only be there twice in a group of two and more: single ones, and where the list of keys is small all others, stay where they are
+    once, more = keep.where(F.col(_COUNT) == 1).select(_KEY), keep.where(F.col(_COUNT) > 1).select(_KEY)
+    single = rows.join(small_side(once, 24), _KEY, "left_semi")
+    first = rows.join(small_side(more, 24), _KEY, "left_semi").dropDuplicates([_KEY])
+    return single.unionByName(first).drop(_KEY)

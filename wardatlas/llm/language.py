@@ -10,7 +10,9 @@ Learning is one pass with one partial sum per task and language; prediction one
 x `DIMENSION` numbers. A task works on `_CHARS` characters at a time and at most `_RUNS` different runs, whatever the texts.
 
 Defined results: a null text or one without a letter is "und" with score 0; texts without a label take no part in learning;
-with no labelled text at all everything is "und"; more than `LANGUAGES` different labels are an error; equal cosines go to the name that sorts first; every row gives one row.
+with no labelled text at all everything is "und"; more than `LANGUAGES` different labels are an error; equal cosines go to the name that sorts first; every row
+gives one row, so repeated rows give equal rows and count as often as they stand when learnt; an empty table learns nothing and gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ all pages is summed in many tasks. A host's boilerplate has at most (lines per p
 hosts is broadcast after its size is measured, and joined by shuffle, which can be split, beyond `BROADCAST_BYTES`.
 
 Defined results: a null text has no lines and stays null; a page may lose all its lines and then has an empty text; pages
-with a null host are one host of their own; every row gives one row; an empty table gives none; other columns pass.
+with a null host are one host of their own; every row gives one row, so repeated rows give equal rows; an empty table gives none; other columns
+pass, but for n_lines and n_dropped where counts are asked for, which the counts replace.
 """
 
 from __future__ import annotations
@@ -56,6 +57,7 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     touched = F.col(_HITS).isNotNull() & (F.size(_HITS) > 0)
     out = [F.when(touched, F.array_join(kept, "\n")).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in pages.columns]
     if counts:
+        out = [c for c, name in zip(out, pages.columns) if name not in ("n_lines", "n_dropped")]
         n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
         out += [n.cast("bigint").alias("n_lines"), F.when(touched, n - F.size(kept)).otherwise(0).cast("bigint").alias("n_dropped")]
     return hit.select(out)

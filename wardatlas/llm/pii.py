@@ -16,7 +16,7 @@ class is passed once: atomic repeats, and starts only at the beginning of a run
 what the plain forms match.
 
 Defined results: a null text is empty; every row gives one row, null ids too; repeated rows have equal results and count
-once in the graph; an empty table gives none.
+once in the graph; an empty table gives none; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,8 +10,8 @@ The ratios are counted over all labelled rows. The fit itself uses a bounded sam
 (a parameter), those with the smallest content hashes, in one task. The score is 1 / (1 + exp(-2 * margin)).
 
 Defined results: null and empty texts have no features and are scored by the bias alone; rows without a label of 0 or 1 take
-no part in learning; with one class only, every score is that class (0 or 1), and 0.5 without any labelled row; every row
-gives one row. A text is read in pieces, so memory does not follow its length.
+no part in learning; with one class only, every score is that class (0 or 1), and 0.5 without any labelled row, as for an empty table; every row
+gives one row, so repeated rows give equal rows, and count as often as they stand when learnt; other columns are ignored by scores and passed by the filter. A text is read in pieces, so memory does not follow its length.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .frames import map_arrow
+from .frames import keep_where, map_arrow
 
 BUCKETS = 1 << 16
 RUNS = (1, 2, 3, 4)
@@ -172,10 +172,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The documents, with all columns, whose score is at least `least`."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [held.value.score(x) >= least for x in _feature_sets(batch.column(text_col).cast(pa.string()))]
-            yield batch.filter(pa.array(found, type=pa.bool_()))
-
-    return docs.mapInArrow(good, docs.schema)
+    return keep_where(docs, text_col, lambda column: [held.value.score(x) >= least for x in _feature_sets(column)])
