@@ -266,12 +266,61 @@ def test_top_k_equals_all_products(spark, monkeypatch, spread):
     assert got == best({i: [int(np.floor(256 * x)) for x in v] for i, v in data}, 5)
 
 
+LONG = "A sentence of the article that goes on for quite a while, as the sentences of an article do, and then ends. "
+
+
+def test_names_inside_an_article():
+    """Class names that speak of the subject keep their text; those of comments, adverts, sharing and forms do not."""
+    for kept in ("<p class='side-note'>%s</p>", "<div class='legal-analysis'>%s</div>", "<section id='search-results'>%s</section>"):
+        assert html.main_text(f"<body><article><p>{LONG}</p>{kept % 'This belongs to it.'}<p>{LONG}</p></article></body>") == " ".join([LONG.strip(), "This belongs to it.", LONG.strip()])
+    for gone in ("<section class='user-discussion'>%s</section>", "<div class='reader-feedback'>%s</div>", "<div class='comments'>%s</div>", "<div class='ad-box'>%s</div>",
+                 "<div class='share'>%s</div>", "<form>%s</form>", "<div class='search-box'>%s</div>", "<div class='side-bar'>%s</div>", "<aside>%s</aside>"):
+        assert html.main_text(f"<body><article><p>{LONG}</p>{gone % 'Not of the article.'}<p>{LONG}</p></article></body>") == " ".join([LONG.strip()] * 2), gone
+
+
+def test_unmarked_list_page_is_whole():
+    items = [f"Item {i}." for i in range(6)]
+    body = f"<h1>A title</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><ul>{''.join(f'<li>{x}</li>' for x in items)}</ul><p>The last word.</p>"
+    page = f"<html><body><div class='top'><a href='/'>Home</a> <a href='/x'>More</a></div><div id='c'>{body}</div><div class='base'>All rights reserved.</div></body></html>"
+    assert html.main_text(page) == " ".join(["A title", *[LONG.strip()] * 3, *items, "The last word."])
+
+
+def test_long_pieces_stay_within_the_state_bound(monkeypatch):
+    """One unbroken piece of many different letters: the tables start anew inside it, and the tokens stay those of the library."""
+    import tiktoken
+    tokens, pattern = queries.vocabulary()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    monkeypatch.setattr(bpe, "STATES", 2000)
+    machine = bpe.Transducer(tokens)
+    rng = np.random.default_rng(1)
+    text = "".join(chr(97 + c) for c in rng.integers(0, 26, 60_000))
+    assert list(machine.encode(text.encode())) == library.encode_ordinary(text)
+    assert len(machine.states) <= 2002 and len(machine.arcs) <= 8002
+    assert list(machine.encode(b"hello")) == library.encode_ordinary("hello")
+
+
 def test_top_k_of_awkward_rows(spark):
     rows = [(0, [1.0, 2.0], 1), (0, [1.0, 2.0], 2), (1, [1.0], 1), (2, None, 1), (3, [1.0, None], 1), (4, [float("nan"), 1.0], 1), (None, [9.0, 9.0], 1), (6, [], 1),
             (7, [float("inf"), 0.0], 1), (8, [1.0, 2.0, 3.0], 1)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, score int")
     got = [tuple(r) for r in topk.top_k_of_table(df, "vec_id", "embedding", F.expr("id % 50 = 0"), k=5).orderBy("rank").collect()]
-    assert got == [(0, 1, 8, 5 * 65536), (0, 2, 1, 65536)]
+    assert got == [(0, 1, 8, 5 * 65536), (0, 2, 1, 65536), (0, 3, 6, 0)]
     assert topk.top_k_of_table(df.limit(0), "vec_id", "embedding", F.expr("true")).count() == 0
-    with pytest.raises(Exception, match="2\\^31"):
-        topk.top_k_of_table(spark.createDataFrame([(0, [1e300], 1)], df.schema), "vec_id", "embedding", F.expr("true")).count()
+    alone = topk.top_k_of_table(spark.createDataFrame([(0, [1e300], 1), (1, [1e306], 1)], df.schema), "vec_id", "embedding", F.expr("true"))
+    assert alone.count() == 0                                           # 256 * 1e306 is no finite number
+
+
+def test_top_k_of_large_components(spark, monkeypatch):
+    """Components far beyond 32 bits: ranked by the exact products, ties to the smaller id, scores as the nearest bigint."""
+    monkeypatch.setattr(topk, "BUCKET", 8)
+    rng = np.random.default_rng(6)
+    vecs = [[1e9, 1.0], [1e9, 1.0 + 1 / 256], [1e9, 1.0], [-1e9, 3.0], [1e300, -1e300], [1e-5, 0.5], [2.0 ** 40, 2.0 ** 40 + 1], [0.0, 0.0]]
+    vecs += [[float(x) for x in v] for v in rng.normal(size=(60, 2)) * 10.0 ** rng.integers(-2, 18, size=(60, 1))]
+    df = spark.createDataFrame(list(enumerate(vecs)), "vec_id bigint, embedding array<double>").repartition(4)
+    got = [tuple(r) for r in topk.top_k_of_table(df, "vec_id", "embedding", F.expr("id % 3 = 0"), k=5).orderBy("query_id", "rank").collect()]
+    whole = {i: [int(256 * x) if abs(x) > 2.0 ** 50 else int(np.floor(256 * x)) for x in v] for i, v in enumerate(vecs)}
+    want = []
+    for q in range(0, len(vecs), 3):
+        every = sorted((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in whole.items() if i != q)[:5]
+        want += [(q, r + 1, i, max(-topk._MOST, min(topk._MOST, -s))) for r, (s, i) in enumerate(every)]
+    assert got == want and any(abs(r[3]) == topk._MOST for r in got)

@@ -6,15 +6,16 @@ nondeterministic transducer with one accepting path for each input. It is determ
 of paths still possible, each with the trie node it is in, the token before, and the tokens not yet emitted; tokens on
 which all paths agree are emitted at once. The paths of a state start their last token at different bytes, so there are
 no more of them than bytes in the longest token, which bounds the lookahead. States and arcs are made when first met and
-kept up to `STATES`; beyond that the tables start anew, which costs time and changes nothing.
+kept up to `STATES`, and four times as many arcs; beyond that the tables start anew from the paths still open, in the middle of a piece
+too, which costs time and changes nothing.
 
 Merges enter by rank: the arc test merges the bytes of two tokens, lowest rank first, leftmost among equals.
 
 Decoding is streaming: tokens may cut a character, whose bytes wait in the state. Bytes that no character can go on with
 become U+FFFD, as in Python's "replace".
 
-Defined results: a null text is empty and has no tokens; any length of text is one pass; ids outside the vocabulary are an
-error; other columns pass unchanged.
+Defined results: a null text is empty and has no tokens; any length of text is one pass, an unbroken piece of any length too; ids outside
+the vocabulary are an error; every row gives one row, so repeated rows give equal rows; an empty table gives none; other columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from .frames import map_arrow, with_column
+from .frames import HELD, map_arrow, with_column
 
 STATES = 1 << 17
 PIECES = 1 << 18                # pieces of text in each of the two halves of a worker's memory
@@ -70,8 +71,8 @@ def two_parts(ranks: dict[bytes, int], token: bytes) -> tuple[bytes, bytes]:
 class Transducer:
     """Encodes one piece of text after another; `encode` walks the determinised table."""
 
-    def __init__(self, tokens: tuple[bytes, ...]):
-        self.tokens, self.ranks = tokens, {t: i for i, t in enumerate(tokens)}
+    def __init__(self, tokens: tuple[bytes, ...], share: int = 1):
+        self.tokens, self.ranks, self.share = tokens, {t: i for i, t in enumerate(tokens)}, share
         self.child: dict[int, int] = {}
         self.token_at: dict[int, int] = {}
         nodes = 1
@@ -129,7 +130,7 @@ class Transducer:
                     i += 1
                 else:
                     j += 1
-            if len(self.pairs) > 16 * STATES:
+            if len(self.pairs) > 16 * STATES // self.share:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
@@ -173,12 +174,16 @@ class Transducer:
         return arc
 
     def encode(self, text: bytes) -> tuple[int, ...]:
-        if len(self.states) > STATES:
-            self._reset()
         state, out = 0, []
         arcs = self.arcs
         for byte in text:
-            arc = arcs.get(state << 8 | byte) or self._step(state, byte)
+            arc = arcs.get(state << 8 | byte)
+            if arc is None:
+                if len(self.states) > STATES // self.share or len(arcs) > 4 * STATES // self.share:
+                    paths = self.states[state]              # the open paths are all that the text so far has left
+                    self._reset()
+                    state, arcs = self._state(paths), self.arcs
+                arc = self._step(state, byte)
             state = arc[0]
             if arc[1]:
                 out.extend(arc[1])
@@ -249,10 +254,10 @@ class Decoder:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary, with a memory of pieces already seen."""
+    """Encoder and decoder of one vocabulary, with a memory of pieces already seen; all that grows has 1 / `share` of its full bound."""
 
-    def __init__(self, tokens: tuple[bytes, ...], pattern: str):
-        self.split, self.transducer, self.decoder = regex.compile(pattern), Transducer(tokens), Decoder(tokens)
+    def __init__(self, tokens: tuple[bytes, ...], pattern: str, share: int = 1):
+        self.split, self.transducer, self.decoder, self.share = regex.compile(pattern), Transducer(tokens, share), Decoder(tokens), share
         self.seen: dict[str, tuple[int, ...]] = {}              # pieces met lately; `older` is its predecessor
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -277,7 +282,7 @@ class Codec:
             token = self.transducer.ranks.get(raw)
             ids = self.transducer.encode(raw) if token is None else (token,)
         if len(piece) <= 64:
-            if len(self.seen) >= PIECES:
+            if len(self.seen) >= PIECES // self.share:
                 self.older, self.seen = self.seen, {}
             self.seen[piece] = ids
         return ids
@@ -287,13 +292,16 @@ class Codec:
 
 
 @lru_cache(maxsize=4)
-def _codec(tokens: tuple[bytes, ...], pattern: str) -> Codec:
-    return Codec(tokens, pattern)
+def _codec(tokens: tuple[bytes, ...], pattern: str, share: int) -> Codec:
+    return Codec(tokens, pattern, share)
+
 
+HELD["bpe"] = _codec.cache_clear
 
-def _in_worker(held, pattern: str) -> Codec:
+
+def _in_worker(held, pattern: str, share: int = 1) -> Codec:
     """One codec per Python worker and vocabulary, kept from task to task."""
-    return _codec(held.value, pattern)
+    return _codec(held.value, pattern, share)
 
 
 def encode(docs: DataFrame, tokens: tuple[bytes, ...], pattern: str, text_col: str = "text", out_col: str = "tokens") -> DataFrame:
@@ -324,14 +332,15 @@ def decode(frame: DataFrame, tokens: tuple[bytes, ...], ids_col: str = "tokens",
     return frame.mapInArrow(task, schema)
 
 
-def round_trip(docs: DataFrame, tokens: tuple[bytes, ...], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, tokens: tuple[bytes, ...], pattern: str, id_col: str = "doc_id", text_col: str = "text", *,
+               share: int = 1) -> DataFrame:
     """(doc, n_tokens, ids_sha256, decoded_sha256): the ids of each whole text and what decoding them gives, as digests, so
-    that no task has to hand over the ids."""
+    that no task has to hand over the ids. A `share` above 1 cuts the worker's tables to that part; the results are the same."""
     held = docs.sparkSession.sparkContext.broadcast(tokens)
     digits = [str(i) for i in range(len(tokens))]
 
     def digests(batch: pa.RecordBatch) -> Iterator[dict]:
-        codec = _in_worker(held, pattern)
+        codec = _in_worker(held, pattern, share)
         counts, ids_sha, decoded_sha = [], [], []
         for value in batch.column("text"):
             ids = codec.encode(value.as_py() or "")
