@@ -422,13 +422,15 @@ def silhouettes(df: DataFrame, key: str, labels: str, features: str = "features"
     names = np.split(np.array([r["own"] for r in sizes]), bounds[1:-1])
     held = df.sparkSession.sparkContext.broadcast((names, size, bounds))
     n = df.count()
-    blocks = max(1, -(-n // block_rows))
+    spread = min(df.sparkSession.sparkContext.defaultParallelism, -(-n // 256))          # a small table still keeps the cores busy
+    blocks = max(1, spread, -(-n // block_rows))
+    parts = max(blocks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kind = df.schema[key].dataType.simpleString()
     own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     rows = df.select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("f"), F.col(labels).alias("l"), own.alias("own"))
     once = rows.select("key", "f", "l", F.col("own").alias("block"), F.lit(False).alias("passing"))
     each_block = rows.select(F.lit(None).cast(kind).alias("key"), "f", "l", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("passing"))
-    dealt = once.union(each_block).repartition(blocks, "block").sortWithinPartitions("block", "passing")
+    dealt = once.union(each_block).repartition(parts, "block").sortWithinPartitions("block", "passing")
 
     def score(batches):
         names_of, n_of, cut = held.value
