@@ -73,3 +73,14 @@ def test_small_side_checks_the_size(spark):
     df = spark.range(10)
     assert joins.small_side(df, 5) is df
     assert "hint" in joins.small_side(df, 10)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_unfolded_rows_are_counted_before_a_broadcast(spark, tmp_path, monkeypatch):
+    """A small file whose rows unfold is not held by its size on disk; text columns are measured."""
+    spark.range(10).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t")).select(F.explode(F.sequence(F.lit(1), F.lit(100))).alias("i"), F.col("id").cast("string").alias("k"))
+    assert joins.fits(df, 1000) and not joins.fits(df, 999)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 5000)
+    assert not joins.fits(df, 1000)
+    text = df.join(joins.dimension(df.withColumnRenamed("i", "j")), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text

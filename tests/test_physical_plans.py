@@ -45,3 +45,10 @@ def test_reading_one_ensemble_prunes_the_others(spark, data, tmp_path):
     path = writers.write_plan_map(rows, str(tmp_path / "pm"))
     text = plan_of(spark.read.parquet(path).where("ensemble_id = 'ENS_A'"))
     assert "PartitionFilters: [isnotnull(ensemble_id" in text
+
+
+def test_unfolded_sides_are_never_broadcast(spark, data):
+    """Spark takes the cells along a segment for no more than the file their outlines come from."""
+    from wardatlas.operators import overlay
+    text = plan_of(overlay.adjacency(V.with_rings(V.unit_box(spark, data)), "unit_idx"))
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text

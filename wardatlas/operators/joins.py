@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 
-# Rows and bytes of a dimension table that one executor holds with ease.
-BROADCAST_ROWS = 1_000_000
-BROADCAST_BYTES = 100_000_000
+# Rows and bytes of a dimension table that the driver and each executor hold with ease.
+BROADCAST_ROWS = 250_000
+BROADCAST_BYTES = 32_000_000
 
 
 def has_more_rows(df: DataFrame, limit: int) -> bool:
@@ -27,35 +27,39 @@ def _row_bytes(df: DataFrame) -> int | None:
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table may be broadcast: at most ``max_rows`` rows and BROADCAST_BYTES bytes.
+    """Whether a table may be broadcast: at most ``max_rows`` rows and BROADCAST_BYTES bytes, both counted.
 
-    Spark's own size estimate settles the clear cases (4 bytes per allowed
-    row, far below what the limits admit); otherwise the rows are counted up
-    to the limit.  Texts and arrays are measured on the counted rows.
+    Spark's own estimate is not asked: it starts from compressed files and takes an unfolded array for one row.
+    Fixed-width rows are counted up to the limit; texts and arrays are measured in the same pass that counts.
     """
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if estimate <= 4 * max_rows:
-        return True
     width = _row_bytes(df)
     if width is not None:
         return not has_more_rows(df, min(max_rows, BROADCAST_BYTES // width))
-    head = df.limit(max_rows + 1)
     text = F.coalesce(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))), F.lit(2))
-    n, size = head.agg(F.count(F.lit(1)), F.sum(text.cast("bigint"))).first()
+    n, size = df.agg(F.count(F.lit(1)), F.sum(text.cast("bigint"))).first()
     return n <= max_rows and (size or 0) <= BROADCAST_BYTES
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A join side of unknown size, which Spark must not broadcast on an estimate of its own."""
+    return df.hint("merge")
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a dimension table once its size is known to fit.
 
-    A larger one is returned as it is: Spark then takes a shuffled join, with
-    adaptive skew handling.
+    A larger one is returned as it is: Spark then chooses, by its own estimate.
     """
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
+def dimension(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The same, but a larger one takes part in a shuffled join, with adaptive skew handling, whatever Spark estimates."""
+    return F.broadcast(df) if fits(df, max_rows) else shuffled(df)
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], rows_per_task: int = 200_000,
-                how: str = "inner") -> DataFrame:
+                how: str = "inner", unfolded: bool = False) -> DataFrame:
     """Equi-join whose hot keys are spread over several tasks.
 
     Keys holding more than ``rows_per_task`` left rows are counted first, with
@@ -63,8 +67,11 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], rows_per_task:
     left rows of a hot key take one of several salts by a hash of their
     content, the right rows of that key are repeated once per salt, and all
     other keys keep salt 0.  The result equals the plain join, and without a
-    hot key it is the plain join.
+    hot key it is the plain join.  ``unfolded`` tells that a side holds
+    unfolded arrays: Spark takes it for far smaller than it is, so no side is
+    broadcast.
     """
+    side = shuffled if unfolded else lambda df: df
     if how not in ("inner", "left"):
         raise ValueError("salted_join does inner and left joins")
     hot = materialize(
@@ -73,7 +80,7 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], rows_per_task:
         .select(*on, F.ceil(F.col("_rows") / F.lit(rows_per_task)).cast("int").alias("_salts"))
     )
     if hot.isEmpty():
-        return left.join(right, on, how)
+        return left.join(side(right), on, how)
     hot = small_side(hot)
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     lefts = left.join(hot, on, "left").withColumn(
@@ -82,7 +89,7 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], rows_per_task:
     rights = right.join(hot, on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
     ).drop("_salts")
-    return lefts.join(rights, [*on, "_salt"], how).drop("_salt")
+    return lefts.join(side(rights), [*on, "_salt"], how).drop("_salt")
 
 
 def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.scalars import residual_count, to_number
 from ..storage import materialize
-from .joins import fits, salted_join, small_side
+from .joins import dimension, fits, salted_join, shuffled
 from .keyed import assert_unique
 
 # Pairs of one piece that a task fetches; points of a piece; pieces of a layer that may be broadcast.
@@ -68,7 +68,7 @@ def candidate_pairs(source: DataFrame, target: DataFrame, rows_per_task: int = 2
         reach = F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: (v > F.col("_own")) if strictly else (v >= F.col("_own")))
         left = _cells(small.withColumn("_at", F.explode(reach)), p)
         right = _cells(large.withColumn("_at", F.col("_own")), q)
-        return salted_join(left, right, ["_at", "_cx", "_cy"], rows_per_task).where(
+        return salted_join(left, right, ["_at", "_cx", "_cy"], rows_per_task, unfolded=True).where(
             (low_x < F.least("s_x1", "t_x1")) & (low_y < F.least("s_y1", "t_y1"))
             & (F.floor(low_x / size) == F.col("_cx")) & (F.floor(low_y / size) == F.col("_cy"))
         ).select(*source.columns, *target.columns)
@@ -153,7 +153,7 @@ def overlay_polygons(source: DataFrame, target: DataFrame, source_id: str, targe
     if fits(s, PIECES_HELD) and fits(t, PIECES_HELD):
         met = pairs.repartition(parts, *on_s, *on_t).join(F.broadcast(t), on_t).join(F.broadcast(s), on_s)
     else:
-        met = (salted_join(salted_join(pairs, t, on_t, PAIRS_PER_TASK), s, on_s, PAIRS_PER_TASK)
+        met = (salted_join(salted_join(pairs, t, on_t, PAIRS_PER_TASK, unfolded=True), s, on_s, PAIRS_PER_TASK, unfolded=True)
                .repartition(parts, *on_s, *on_t))
     shared = G.overlap_area.asNondeterministic()            # so that the filter stays above the even deal
     clipped = met.select(source_id, target_id, F.col("_sarea").alias("src_area"), shared("_sx", "_sy", "_sn", "_tx", "_ty", "_tn").alias("inter_area"))
@@ -266,6 +266,8 @@ def adjacency(units: DataFrame, unit_id: str, rings: str = "rings", tolerance: f
     ones, and each pair counts with the piece in which its shared stretch begins only.
     """
     seg = ring_segments(units, unit_id, rings).withColumn("_len", F.hypot(F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya")))
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))       # outlines unfold, so their files' tasks are too few
+    seg = seg.repartition(parts, F.xxhash64("xa", "ya", "xb", "yb"))
     seg = materialize(seg.where((F.col("_len") > 0) & (F.col("_len") < float("inf"))).withColumn("_own", F.ceil(F.log2("_len")).cast("int")))
     largest, found = seg.agg(F.max(F.greatest(*[F.abs(F.col(c)) for c in ("xa", "ya", "xb", "yb")])), F.collect_set("_own")).first()
     if not found:
@@ -280,7 +282,7 @@ def adjacency(units: DataFrame, unit_id: str, rings: str = "rings", tolerance: f
 
     every = seg.withColumn("_at", F.explode(F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v >= F.col("_own"))))
     shorter, longer = side(_piece_centres(every), "a", "_i", "_n"), side(_cells_along(seg.withColumn("_at", F.col("_own")), reach), "b")
-    pairs = salted_join(shorter, longer, ["_at", "_cx", "_cy"]).where(
+    pairs = salted_join(shorter, longer, ["_at", "_cx", "_cy"], unfolded=True).where(
         (F.col("a" + unit_id) != F.col("b" + unit_id))
         # equal grids: the pair comes from both sides, so it counts once
         & ((F.col("a_own") < F.col("b_own")) | (F.col("a" + unit_id) < F.col("b" + unit_id))))
@@ -307,7 +309,7 @@ def cut_edges(edges: DataFrame, plan_map: DataFrame) -> DataFrame:
     m = plan_map.select("plan_id", "vtd_geoid", "district_id")
     start = m.withColumnsRenamed({"vtd_geoid": "src", "district_id": "_from"})
     end = m.withColumnsRenamed({"vtd_geoid": "dst", "district_id": "_to"})
-    reached = start.join(small_side(edges.select("src", "dst")), "src").join(end, ["plan_id", "dst"])
+    reached = start.join(dimension(edges.select("src", "dst")), "src").join(shuffled(end), ["plan_id", "dst"])
     return reached.groupBy("plan_id").agg(
         F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("_from") != F.col("_to")).alias("n_cut_edges"))
 
