@@ -220,3 +220,13 @@ def test_party_labels_have_two_classes(spark, n):
     assert out == 0 and profile.party_labels(mixed, "id").agg(F.sum("party")).first()[0] == n // 2
     plain = mixed.withColumn("dem_share", F.when(F.col("id") == 0, 0.95).otherwise(F.col("dem_share")))
     assert profile.party_labels(plain, "id").agg(F.sum("party")).first()[0] == 1
+
+
+def test_missing_keys_shuffles_keys_and_not_rows(spark):
+    """Rows in which a key repeats are combined first and never broadcast, however small Spark takes them for."""
+    from wardatlas.operators import keyed
+    present = spark.range(3).select(F.explode(F.sequence(F.lit(0), F.lit(999))).alias("i"), F.col("id").alias("k"))
+    gone = keyed.missing_keys(spark.range(5).select(F.col("id").alias("k")), present, ["k"])
+    text = gone._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in text and text.count("HashAggregate(keys=[k") == 4
+    assert sorted(r["k"] for r in gone.collect()) == [3, 4]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import district_number
 from ..storage import materialize
-from .joins import small_side
+from .joins import dimension, shuffled
 
 
 def assert_none(df: DataFrame, condition: Column, message: str, show: list[str] | None = None) -> None:
@@ -44,7 +44,7 @@ def upsert(base: DataFrame | None, new: DataFrame, keys: list[str], check: bool
         assert_unique(new, keys, "upsert batch")
     if base is None:
         return new
-    kept = base.join(new.select(*keys), keys, "left_anti")
+    kept = base.join(shuffled(new.select(*keys)), keys, "left_anti")
     return kept.unionByName(new.select(*base.columns))
 
 
@@ -111,13 +111,13 @@ def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "l
 
 
 def missing_keys(expected: DataFrame, present: DataFrame, on: list[str]) -> DataFrame:
-    """Expected keys without a row in ``present``."""
-    return expected.select(*on).distinct().join(present.select(*on), on, "left_anti")
+    """Expected keys without a row in ``present``, whose rows are combined to keys before they are shuffled."""
+    return expected.select(*on).distinct().join(shuffled(present.select(*on).distinct()), on, "left_anti")
 
 
 def orphan_rows(assignments: DataFrame, units: DataFrame, on: str = "vtd_geoid") -> DataFrame:
     """Assignment rows whose unit is unknown."""
-    return assignments.join(small_side(units.select(on)), on, "left_anti")
+    return assignments.join(dimension(units.select(on)), on, "left_anti")
 
 
 def require_full_cover(nodes: DataFrame, plan_map: DataFrame, on: str = "vtd_geoid") -> None:
