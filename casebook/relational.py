@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wardatlas.functions import scalars as S
 from wardatlas.operators import chain, elections, ensemble, keyed, opportunity, profile, rollup
-from wardatlas.operators.joins import salted_join, small_side
+from wardatlas.operators.joins import dimension, salted_join
 from wardatlas.operators.order_stats import ecdf_positions, row_index
 from wardatlas.plans import build_inputs
 from wardatlas.sources import loaders, readers, writers
@@ -476,7 +476,7 @@ def a15(spark, d):
 
 @case("j3_map_with_demographics", "SELECT plan_id, vtd_geoid, district_id, vap_total FROM fx_plan_map JOIN fx_unit USING (vtd_geoid)", ("fx_plan_map",))
 def j3(spark, d):
-    return V.plan_map(spark, d).join(small_side(V.unit(spark, d).select("vtd_geoid", "vap_total")), "vtd_geoid")
+    return V.plan_map(spark, d).join(dimension(V.unit(spark, d).select("vtd_geoid", "vap_total")), "vtd_geoid")
 
 
 @case("j9_orphan_units", "SELECT vtd_geoid, plan_id, district_id FROM fx_plan_map WHERE vtd_geoid NOT IN (SELECT vtd_geoid FROM fx_unit WHERE vap_total >= 110)", ("fx_plan_map",))

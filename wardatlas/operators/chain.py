@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import share
 from ..tables import GROUP_VAP, VOTE_COLUMNS
-from .joins import small_side
+from .joins import dimension
 from .rollup import deviation_of
 
 RUN = ["vtd_geoid", "district_id", "first_plan", "last_plan"]
@@ -63,7 +63,7 @@ def roll_up(runs: DataFrame, values: DataFrame, columns: list[str], by: list[str
     kinds = dict(values.dtypes)
     if other := [c for c in columns if kinds[c] not in ("tinyint", "smallint", "int", "bigint") and not kinds[c].startswith("decimal(")]:
         raise ValueError(f"running differences want whole numbers: {other}")
-    met = runs.join(small_side(values), "vtd_geoid")
+    met = runs.join(dimension(values), "vtd_geoid")
     ends = F.explode(F.array(F.struct(F.col("first_plan").alias("at"), F.lit(1).alias("sign")), F.struct((F.col("last_plan") + 1).alias("at"), F.lit(-1).alias("sign"))))
     changes = met.select(*by, *columns, ends.alias("e")).groupBy(*by, F.col("e.at").alias("first_plan")).agg(
         F.sum("e.sign").alias("n_rows"), *[F.sum(F.col("e.sign") * F.coalesce(F.col(c), F.lit(0))).alias(c) for c in columns],

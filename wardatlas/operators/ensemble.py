@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .joins import salted_join, small_side
+from .joins import dimension, salted_join
 from .order_stats import distribution, ecdf_positions
 
 # Quantile columns of the distribution table.
@@ -62,7 +62,7 @@ def metric_values(metrics: DataFrame, plans: DataFrame, metric: str) -> DataFram
     info = plans.select("plan_id", "plan_type", "ensemble_id")
     return metrics.where(F.col(metric).isNotNull()).select(
         "plan_id", "opp_def_id", F.col(metric).cast("double").alias("metric_value")
-    ).join(small_side(info), "plan_id")
+    ).join(dimension(info), "plan_id")
 
 
 def ensemble_draws(metrics: DataFrame, plans: DataFrame, metric: str = "n_opportunity_districts",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clip, is_finite, normalize_row, timestamp_text
 from ..storage import materialize
 from ..tables import GROUP_VAP
-from .joins import has_more_rows, small_side
+from .joins import dimension, has_more_rows
 from .moments import require_finite
 from .order_stats import distribution, ranked_values
 
@@ -283,7 +283,7 @@ def project_ensemble(demo: DataFrame, plans: DataFrame, draws: DataFrame, ei_run
     """Projection on the districts of every plan of an ensemble."""
     split = options.pop("residual_split", False)
     ids = plans.where(F.col("ensemble_id") == ensemble_id).select("plan_id")
-    scope = demo.join(small_side(ids), "plan_id", "left_semi")
+    scope = demo.join(dimension(ids), "plan_id", "left_semi")
     if scope.isEmpty():
         raise ValueError(f"no districts for ensemble {ensemble_id!r}")
     out = project_draws(district_composition(scope, residual_split=split), draws, **options)

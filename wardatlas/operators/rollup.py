@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import share
 from ..tables import GROUP_VAP, VOTE_COLUMNS
-from .joins import small_side
+from .joins import dimension
 from .keyed import orphan_rows
 
 
@@ -20,7 +20,7 @@ def district_demo_vap(plan_map: DataFrame, units: DataFrame) -> DataFrame:
     """
     counts = ("vap_total", *GROUP_VAP)
     joined = plan_map.select("plan_id", "district_id", "vtd_geoid").join(
-        small_side(units.select("vtd_geoid", *counts)), "vtd_geoid")
+        dimension(units.select("vtd_geoid", *counts)), "vtd_geoid")
     out = joined.groupBy("plan_id", "district_id").agg(*[F.sum(c).alias(c) for c in counts])
     return out.withColumns({
         "share_white_vap": share("vap_nh_white", "vap_total"),
@@ -32,7 +32,7 @@ def district_demo_vap(plan_map: DataFrame, units: DataFrame) -> DataFrame:
 
 def _map_with_returns(plan_map: DataFrame, returns: DataFrame) -> DataFrame:
     reported = returns.where(F.col("election_id").isNotNull()).select("vtd_geoid", "election_id", *VOTE_COLUMNS)
-    return plan_map.select("plan_id", "district_id", "vtd_geoid").join(small_side(reported), "vtd_geoid")
+    return plan_map.select("plan_id", "district_id", "vtd_geoid").join(dimension(reported), "vtd_geoid")
 
 
 def district_returns(plan_map: DataFrame, returns: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def population_deviation(plan_map: DataFrame, units: DataFrame, pop: str = "vap_
     A plan beyond the asked tolerance relaxes it to its own deviation + 1e-6.
     """
     by_district = plan_map.select("plan_id", "district_id", "vtd_geoid").join(
-        small_side(units.select("vtd_geoid", pop)), "vtd_geoid"
+        dimension(units.select("vtd_geoid", pop)), "vtd_geoid"
     ).groupBy("plan_id", "district_id").agg(F.sum(pop).alias("pop"))
     return deviation_of(by_district, "plan_id", epsilon)
 
