@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wardatlas.functions.geometry import box_rings
 from wardatlas.functions.scalars import logistic, zfill
+from wardatlas.operators.joins import shuffled
 from wardatlas.operators.opportunity import definitions
 
 DEFS = (("BVAP", "BLACK", "share_black_vap", 0.185), ("HVAP", "HISP", "share_hisp_vap", 0.3),
@@ -53,6 +54,14 @@ def plan(spark, d) -> DataFrame:
         F.when(n % 2 == 0, "ENS_A").otherwise("ENS_B").alias("ensemble_id"))
 
 
+UNFOLDED_ROWS = 1_000_000                                # rows that a task unfolds a small file to
+
+
+def _tasks(df: DataFrame, each: int) -> int:
+    """Tasks over which rows are dealt that unfold to ``each`` rows apiece: files of one row group would be one task."""
+    return -(-df.count() * each // UNFOLDED_ROWS) or 1
+
+
 MAX_PLANS = 10_000                                       # plan numbers that fit into one literal array
 
 
@@ -72,11 +81,18 @@ CHAIN = 450                                              # plans of the chain
 
 def chain_map(spark, d) -> DataFrame:
     """A chain of plans, long: a unit moves on by seven districts in each plan that an order of its customer names."""
-    flips = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("vtdkey"), (F.col("o_orderkey") % CHAIN).alias("plan_no")).agg(F.count(F.lit(1)).alias("n"))
-    every = unit(spark, d).select("vtd_geoid", "vtdkey", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(CHAIN - 1).cast("bigint"))).alias("plan_no"))
-    so_far = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("vtdkey").orderBy("plan_no"))
-    return every.join(flips, ["vtdkey", "plan_no"], "left").select(
-        "vtd_geoid", "plan_no", (1 + (F.col("vtdkey") + 7 * so_far) % 37).cast("string").alias("district_id"))
+    u, key = unit(spark, d).select("vtd_geoid", "vtdkey"), F.col("o_custkey").alias("vtdkey")
+    tasks = _tasks(table(spark, d, "customer"), CHAIN)
+    u = u.repartition(tasks, "vtdkey")
+    flips = table(spark, d, "orders").select(key, (F.col("o_orderkey") % CHAIN).alias("plan_no"), F.lit(1).alias("n")).where("plan_no >= 0")
+    # the changes of a unit, and its first plan, each stand for the plans up to the next one: only they are shuffled
+    marks = flips.unionByName(u.select("vtdkey", F.lit(0).cast("bigint").alias("plan_no"), F.lit(0).alias("n")))
+    marks = marks.repartition(tasks, "vtdkey").groupBy("vtdkey", "plan_no").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("vtdkey").orderBy("plan_no")
+    stays = marks.select("vtdkey", F.sum("n").over(order).alias("so_far"), F.col("plan_no").alias("low"),
+                         (F.lead("plan_no", 1, CHAIN).over(order) - 1).alias("high"))
+    return stays.join(shuffled(u), "vtdkey").withColumn("plan_no", F.explode(F.sequence("low", "high"))).select(
+        "vtd_geoid", "plan_no", (1 + (F.col("vtdkey") + 7 * F.col("so_far")) % 37).cast("string").alias("district_id"))
 
 
 def opp_def(spark, d=None) -> DataFrame:

@@ -93,3 +93,24 @@ def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
         with pytest.raises(ValueError):
             keyed.upsert_buckets(path, bad)
     assert files(path) == after
+
+
+def test_runs_are_formed_from_masks(spark):
+    """Gaps, changes and ends on either side of a mask's 64 plans, numbers below zero, and a unit twice in a plan."""
+    rng = np.random.default_rng(4)
+    held = {(u, p): str((p // 37 + u) % 3) for u in range(6) for p in range(-70, 200) if u < 2 or rng.random() < (0.9 if u < 4 else 0.3)}
+    rows = [(f"u{u}", p, d) for (u, p), d in held.items()]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "vtd_geoid string, plan_no bigint, district_id string").repartition(3)
+    want = []
+    for u, p in sorted(held):
+        if want and want[-1][0] == f"u{u}" and want[-1][3] == p - 1 and want[-1][1] == held[u, p]:
+            want[-1][3] = p
+        else:
+            want.append([f"u{u}", held[u, p], p, p])
+    runs = chain.to_runs(df)
+    assert sorted(map(tuple, runs.collect())) == sorted(map(tuple, want))
+    text = runs._jdf.queryExecution().executedPlan().toString()
+    assert "partial_bit_or" in text[text.rindex("Exchange hashpartitioning"):]            # below the first exchange
+    for twice in (df.limit(1), df.limit(1).withColumn("district_id", F.lit("9"))):
+        with pytest.raises(Exception, match="twice"):
+            chain.to_runs(df.union(twice)).collect()

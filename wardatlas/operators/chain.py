@@ -20,16 +20,31 @@ RUN = ["vtd_geoid", "district_id", "first_plan", "last_plan"]
 
 
 def to_runs(plan_map: DataFrame, plan: str = "plan_no") -> DataFrame:
-    """Runs of a long plan map; a unit that stands twice in a plan is an error, rows without a district are left out."""
-    rows = plan_map.select("vtd_geoid", "district_id", F.col(plan).cast("bigint").alias("plan")).where("district_id is not null")
-    order = Window.partitionBy("vtd_geoid").orderBy("plan")
-    before = F.lag("plan").over(order)
+    """Runs of a long plan map; a unit that stands twice in a plan is an error, rows without a district or a plan are left out.
+
+    The plans of a unit in a district are combined to a bit mask per 64 plans before anything is shuffled, so what is shuffled
+    follows the runs and not units times plans.
+    """
+    rows = plan_map.select("vtd_geoid", "district_id", F.col(plan).cast("bigint").alias("plan")).where("district_id is not null and plan is not null")
+    masks = rows.groupBy("vtd_geoid", "district_id", F.expr("shiftright(plan, 6)").alias("_block")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(plan & 63 as int)))").alias("_mask"), F.count(F.lit(1)).alias("_n"),
+        F.min("plan").alias("first_plan"), F.max("plan").alias("last_plan"))
     twice = F.raise_error(F.concat(F.lit("unit twice in one plan: "), F.col("vtd_geoid").cast("string")))
-    fresh = F.when(before == F.col("plan"), twice.cast("int")).when(
-        (before == F.col("plan") - 1) & (F.lag("district_id").over(order) == F.col("district_id")), 0).otherwise(1)
-    numbered = rows.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(order))
+    held, start = F.expr("bit_count(_mask)"), F.expr("shiftleft(_block, 6)")
+    bits = lambda m: F.expr(f"filter(sequence(0L, 63L), i -> (shiftright({m}, cast(i as int)) & 1L) = 1L)")
+    pieces = F.zip_with(bits("(_mask & ~shiftleft(_mask, 1))"), bits("(_mask & ~shiftrightunsigned(_mask, 1))"),
+                        lambda a, b: F.struct((start + a).alias("first_plan"), (start + b).alias("last_plan")))
+    whole = F.array(F.struct("first_plan", "last_plan"))
+    each = masks.select("vtd_geoid", "district_id", F.explode(
+        F.when(F.col("_n") > held, twice.cast("array<struct<first_plan:bigint,last_plan:bigint>>"))
+        .when(F.col("last_plan") - F.col("first_plan") + 1 == held, whole).otherwise(pieces)).alias("p")).select("vtd_geoid", "district_id", "p.*")
+    order = Window.partitionBy("vtd_geoid").orderBy("first_plan")
+    before = F.lag("last_plan").over(order)
+    fresh = F.when(before >= F.col("first_plan"), twice.cast("int")).when(
+        (before == F.col("first_plan") - 1) & (F.lag("district_id").over(order) == F.col("district_id")), 0).otherwise(1)
+    numbered = each.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(order))
     return numbered.groupBy("vtd_geoid", "_run").agg(
-        F.first("district_id").alias("district_id"), F.min("plan").alias("first_plan"), F.max("plan").alias("last_plan")).select(*RUN)
+        F.first("district_id").alias("district_id"), F.min("first_plan").alias("first_plan"), F.max("last_plan").alias("last_plan")).select(*RUN)
 
 
 def each_plan(stretches: DataFrame, plan: str = "plan_no") -> DataFrame:
