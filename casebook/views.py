@@ -70,7 +70,10 @@ def plan_map(spark, d) -> DataFrame:
     plans = [r[0] for r in table(spark, d, "nation").select("n_nationkey").distinct().orderBy("n_nationkey").limit(MAX_PLANS + 1).collect()]
     if len(plans) > MAX_PLANS:
         raise ValueError(f"more than {MAX_PLANS} plans")
-    u = unit(spark, d).select("vtd_geoid", "vtdkey", "county_fips", F.explode(F.array(*[F.lit(n) for n in plans])).alias("plan_no"))
+    u, plain = unit(spark, d).select("vtd_geoid", "vtdkey", "county_fips"), table(spark, d, "customer")
+    if (tasks := _tasks(plain, len(plans))) > 1:
+        u = u.repartition(tasks, "vtdkey")
+    u = u.withColumn("plan_no", F.explode(F.array(*[F.lit(n) for n in plans])))
     district = 1 + ((F.col("vtdkey") % 97) * (F.col("plan_no") + 1) + F.col("county_fips").cast("int")) % 37
     return u.select(F.concat(F.lit("P"), zfill("plan_no", 3)).alias("plan_id"), "vtd_geoid",
                     district.cast("string").alias("district_id"))

@@ -52,3 +52,11 @@ def test_unfolded_sides_are_never_broadcast(spark, data):
     from wardatlas.operators import overlay
     text = plan_of(overlay.adjacency(V.with_rings(V.unit_box(spark, data)), "unit_idx"))
     assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+
+
+def test_unfolding_tables_are_dealt_out(spark, data, monkeypatch):
+    """The tasks of a plan map follow its rows, not the units' file, which may be one task."""
+    want = sorted(V.plan_map(spark, data).collect())
+    monkeypatch.setattr(V, "UNFOLDED_ROWS", len(want) // 5)
+    dealt = V.plan_map(spark, data)
+    assert dealt.rdd.getNumPartitions() == 5 and sorted(dealt.collect()) == want
