@@ -154,7 +154,7 @@ def features(spark, d) -> DataFrame:
     r = unit_returns(spark, d).select(
         "vtd_geoid", F.coalesce("dem_share", F.lit(0.5)).alias("dem_share"),
         F.coalesce(F.try_divide("votes_rep", "votes_total"), F.lit(0.5)).alias("rep_share"))
-    return u.select("vtd_geoid", "vtdkey", *pct).join(shape, "vtdkey").join(r, "vtd_geoid").select(
+    return u.select("vtd_geoid", "vtdkey", *pct).join(shuffled(shape), "vtdkey").join(shuffled(r), "vtd_geoid").select(
         F.col("vtdkey").alias("district_id"), *METRICS, *RACE, "dem_share", "rep_share")
 
 

@@ -60,3 +60,8 @@ def test_unfolding_tables_are_dealt_out(spark, data, monkeypatch):
     monkeypatch.setattr(V, "UNFOLDED_ROWS", len(want) // 5)
     dealt = V.plan_map(spark, data)
     assert dealt.rdd.getNumPartitions() == 5 and sorted(dealt.collect()) == want
+
+
+def test_features_are_joined_without_a_broadcast(spark, data):
+    """One row per unit on every side of the joins: none is a small one."""
+    assert "Broadcast" not in plan_of(V.features(spark, data))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import digits_only, normalize_cntyvtd, normalize_party, share, to_count, to_number
 from ..tables import ensure_columns, require_columns, standard_names
+from .joins import shuffled
 
 WIDE_VOTES = ("dem_votes", "rep_votes", "third_party_votes", "total_votes")
 
@@ -91,7 +92,7 @@ def sum_by_key(df: DataFrame, key: str = "vtdkey") -> DataFrame:
 
 def returns_by_unit(units: DataFrame, wide: DataFrame, election_id: str) -> DataFrame:
     """Returns on the whole unit universe; a unit that did not report keeps NULL votes."""
-    joined = units.select("vtd_geoid", "vtdkey").join(sum_by_key(wide), "vtdkey", "left")
+    joined = units.select("vtd_geoid", "vtdkey").join(shuffled(sum_by_key(wide)), "vtdkey", "left")
     return joined.select(
         F.lit(election_id).alias("election_id"), "vtd_geoid",
         to_count("total_votes").alias("votes_total"), to_count("dem_votes").alias("votes_dem"),
