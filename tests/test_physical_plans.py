@@ -65,3 +65,9 @@ def test_unfolding_tables_are_dealt_out(spark, data, monkeypatch):
 def test_features_are_joined_without_a_broadcast(spark, data):
     """One row per unit on every side of the joins: none is a small one."""
     assert "Broadcast" not in plan_of(V.features(spark, data))
+
+
+def test_outlines_are_dealt_out_before_their_hulls(spark, data):
+    from wardatlas.operators import overlay
+    text = plan_of(overlay.compactness(V.with_rings(V.block_box(spark, data)), "block_idx"))
+    assert "Exchange" in text[text.index("ArrowEvalPython"):]

@@ -315,8 +315,9 @@ def cut_edges(edges: DataFrame, plan_map: DataFrame) -> DataFrame:
 
 
 def compactness(units: DataFrame, unit_id: str, rings: str = "rings") -> DataFrame:
-    """Area, perimeter and the four compactness ratios per geometry."""
-    around = units.withColumn("_e", G.enclosing_areas(G.xs(rings), G.ys(rings)))
+    """Area, perimeter and the four compactness ratios per geometry, which are dealt out evenly before the hulls are sought."""
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    around = units.repartition(parts, F.xxhash64(G.xs(rings), G.ys(rings))).withColumn("_e", G.enclosing_areas(G.xs(rings), G.ys(rings)))
     a = G.area(rings)
     return around.select(
         unit_id, a.alias("area"), G.perimeter(rings).alias("perimeter"),
