@@ -266,3 +266,21 @@ def test_boxes_of_very_different_sizes(spark):
     want = sorted((p[0], q[0]) for p in a for q in b if max(p[1], q[1]) < min(p[3], q[3]) and max(p[2], q[2]) < min(p[4], q[4]))
     assert got == want and len(want) > 100
     assert overlay.candidate_pairs(s.where("false"), t).columns == [*s.columns, *t.columns]
+
+
+def test_memory_of_clipping_is_bounded():
+    """A batch of ten thousand pairs is clipped a slice at a time, and slices add up."""
+    import tracemalloc
+
+    import pandas as pd
+    n = 10_000
+    each = lambda v: pd.Series([np.array(v)] * n)
+    ring = np.array(CONCAVE[0] + CONCAVE[1], float)
+    other = np.array(OTHER[0], float)
+    args = (each(ring[:, 0]), each(ring[:, 1]), each([6, 5]), each(other[:, 0]), each(other[:, 1]), each([6]))
+    one = G.overlap_area.func(*[a[:1] for a in args])[0]
+    tracemalloc.start()
+    out = G.overlap_area.func(*args)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(out, one, rtol=1e-12) and peak < 40_000_000, peak

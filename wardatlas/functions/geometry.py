@@ -202,6 +202,9 @@ def enclosing_areas(px: pd.Series, py: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"hull_area": hull_area, "circle_area": circle_area})
 
 
+POINTS_AT_ONCE = 16_384                                  # Fixed value: points clipped together; three cuts make up to eight of each
+
+
 def _clipped_area(poly: np.ndarray, tri: np.ndarray) -> np.ndarray:
     """Signed area of each ring inside its own counter-clockwise triangle.
 
@@ -251,7 +254,7 @@ def overlap_area(ax: pd.Series, ay: pd.Series, an: pd.Series,
     """
     # a slice of rows at a time keeps the triangle table small for long outlines
     points = np.array([len(v) for v in bx])
-    part = np.cumsum(points) // 200_000
+    part = np.cumsum(points) // POINTS_AT_ONCE
     cols = (ax, ay, an, bx, by, bn)
     done = [_overlap_slice(*[c[part == k] for c in cols]) for k in np.unique(part)]
     return pd.Series(np.concatenate(done) if done else np.zeros(0))
@@ -286,7 +289,7 @@ def _overlap_slice(ax, ay, an, bx, by, bn) -> np.ndarray:
     padded = 1 << np.ceil(np.log2(asize[r])).astype(int) if len(r) else np.zeros(0, int)
     for width in np.unique(padded):
         ts, rs = t[padded == width], r[padded == width]
-        step = max(1, 250_000 // int(width))
+        step = max(1, POINTS_AT_ONCE // int(width))
         for k in range(0, len(ts), step):
             tk, rk = ts[k:k + step], rs[k:k + step]
             # short rings repeat their last point, which adds nothing to an area
