@@ -56,6 +56,30 @@ def test_components_equal_all_pairs(spark, monkeypatch, block):
     assert kept == sorted(set(low))
 
 
+def test_variants_that_do_not_link_are_not_compared_on_whole_sets(spark, monkeypatch):
+    """Variants of one text around the bound: of the pairs of a large column hardly more are compared than link."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rng, compared, compare = np.random.default_rng(5), [], jaccard._Join.compare
+
+    def counted(self, pairs, sets, name, *more, **named):
+        found = compare(self, pairs, sets, name, *more, **named)
+        compared.extend([found] if name == "compared" else [])
+        return found
+
+    monkeypatch.setattr(jaccard._Join, "compare", counted)
+    base, texts = prose(rng, 150).split(), []
+    for k in range(160):
+        w = list(base)
+        for i in rng.integers(0, len(w), 1 + k % 5):
+            w[i] = f"new{rng.integers(400)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = {r["doc"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()}
+    assert [got[i] for i in range(len(texts))] == components(texts, 5, 4, 5)[0]
+    links = sum(x.where("9 * both >= 4 * (na + nb)").count() for x in compared)
+    assert sum(x.count() for x in compared) <= 2 * links + 50
+
+
 def test_join_of_awkward_rows(spark):
     df = awkward(spark, [(9, "some words here", None, None, None)])
     got = sorted(((r["doc"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df).collect()), key=str)

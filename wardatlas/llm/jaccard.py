@@ -17,7 +17,9 @@ they share one of the first size - ceil(size * num / den) + 1 shingles of each (
    Then only pairs from different components are left, and of those one class is outside the column's largest component.
    Such outside classes are pivots in turn, a few of each column first, then many, against the classes of other
    components. Jaccard distance is a metric and both distances to the first pivot are known: where they differ by more
-   than the bound, a pair cannot link.
+   than the bound, a pair cannot link. Which of the first pivot's shingles a class has is known too, as bits: what two
+   classes share is what they both have of these, and at most the smaller number of their other shared shingles. So of
+   many variants of one text hardly more pairs are compared on whole sets than link.
 5. Components of the links give each document the smallest id it reaches. Every link that joins two components is found;
    links inside a component that is already known may stay uncompared.
 
@@ -117,14 +119,20 @@ def _prefixes(width: int, num: int, den: int, frequent):
     return incidence
 
 
-def _overlaps(width: int):
+def _overlaps(width: int, places: bool):
     def compare(batch: pa.RecordBatch) -> Iterator[dict]:
         sides = [_sets(batch.column(name), width) for name in ("left", "right")]
-        both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides)]
-        yield {name: batch.column(name) for name in ("a", "b", "na", "nb")} | {"both": pa.array(both, type=pa.int64())}
+        held = [np.isin(y, x, assume_unique=True) for x, y in zip(*sides)]
+        found = {name: batch.column(name) for name in ("a", "b", "na", "nb")} | {"both": pa.array([int(h.sum()) for h in held], type=pa.int64())}
+        yield found | ({"bits": pa.array([_packed(h) for h in held], type=pa.list_(pa.int64()))} if places else {})
     return compare
 
 
+def _packed(held: np.ndarray) -> np.ndarray:
+    """Booleans as bits of 64-bit numbers."""
+    return np.packbits(np.pad(held, (0, -len(held) % 64))).view(np.int64)
+
+
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     for _, _, hashes, bounds in words.word_slices(column):
         yield from words.shingles(hashes, bounds, width)
@@ -173,15 +181,16 @@ class _Join:
         more = F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
         return with_more.where(F.col("sum") + more + rest >= self.need("na", "nb")).select("a", "b", "na", "nb", "sum")
 
-    def compare(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-        """Exact overlap of each pair, from the two whole texts."""
+    def compare(self, pairs: DataFrame, sets: DataFrame, name: str, places: bool = False) -> DataFrame:
+        """Exact overlap of each pair, from the two whole texts; with `places` also which shingles of b, in their order, a has, as bits."""
         pairs = stored(pairs, "pairs")
         keys = stored(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct(), "keys")
         asked = sets.join(small_side(keys, 16), "c", "left_semi")
         left = asked.select(F.col("c").alias("a"), F.col("text").alias("left"))
         right = asked.select(F.col("c").alias("b"), F.col("text").alias("right"))
         full = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "left", "right")
-        return stored(map_arrow(full, _overlaps(self.width), "a bigint, b bigint, na bigint, nb bigint, both bigint"), name)
+        schema = "a bigint, b bigint, na bigint, nb bigint, both bigint" + (", bits array<bigint>" if places else "")
+        return stored(map_arrow(full, _overlaps(self.width, places), schema), name)
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         return pairs.where(F.col("both") >= self.need("na", "nb")).select("a", "b")
@@ -205,27 +214,32 @@ class _Join:
         column's pivot, `measured` the compared pairs (a, pivot)."""
         limit = 1 - self.num / self.den + 1e-9
         distance = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-        known = measured.select(F.col("a").alias("c"), F.col("b").alias("pivot"), distance.alias("d"))
+        known = measured.select(F.col("a").alias("c"), F.col("b").alias("pivot"), distance.alias("d"), F.col("both").alias("of"), "bits")
+        mine = F.col("c") == F.col("pivot")
         cells = stored(wide.join(known, ["c", "pivot"], "left")
-                       .select("g", "c", "n", "e", F.when(F.col("c") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d")), "wide")
+                       .select("g", "c", "n", "e", F.when(mine, 0.0).otherwise(F.col("d")).alias("d"), F.when(mine, F.col("n")).otherwise(F.col("of")).alias("of"),
+                               F.when(mine, 0).otherwise(F.col("e") - F.col("of")).alias("more"), "bits"), "wide")
         columns = stored(cells.groupBy("c").agg(F.sort_array(F.collect_list("g")).alias("gs")), "columns of classes")
         asked, per_column = columns.select("c").where("false"), 8
         while True:
             roots = components(links)
             placed = stored(cells.join(columns, "c").join(roots.withColumnRenamed("v", "c"), "c", "left")
-                            .select("g", "c", "n", "e", "d", "gs", F.coalesce("root", "c").alias("root")), "placed")
+                            .select("g", "c", "n", "e", "d", "of", "more", "bits", "gs", F.coalesce("root", "c").alias("root")), "placed")
             main = placed.groupBy("g", "root").agg(F.count("*").alias("size")).groupBy("g").agg(F.max(F.struct("size", "root")).alias("m"))
             outside = placed.select("g", "c", "root").join(main, "g").where("root <> m.root").join(asked, "c", "left_anti")
             slot = F.pmod(F.xxhash64("c"), F.lit(per_column))
             pivots = stored(outside.groupBy("g", slot).agg(F.min("c").alias("c")).select("c").distinct(), "pivots")
             if pivots.isEmpty():
                 return roots
-            b = placed.join(pivots, "c").withColumnsRenamed({"c": "b", "n": "nb", "e": "eb", "d": "db", "gs": "hs", "root": "rb"})
+            b = placed.join(pivots, "c").withColumnsRenamed({"c": "b", "n": "nb", "e": "eb", "d": "db", "of": "ofb", "more": "moreb", "bits": "bitsb", "gs": "hs",
+                                                             "root": "rb"})
             near = F.abs(F.coalesce("d", "db") - F.coalesce("db", "d")) <= limit       # an unknown distance rules nothing out
             once = F.col("g") == F.array_min(F.array_intersect("gs", "hs"))             # in the first column that both are in
+            both_have = F.aggregate(F.zip_with("bits", "bitsb", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, v: s + v)
+            share = F.coalesce(both_have, F.least("of", "ofb")) + F.least("more", "moreb")      # least skips what is unknown of one side
             pairs = (placed.withColumnsRenamed({"c": "a", "n": "na"}).join(b, "g")
                      .where((F.col("root") != F.col("rb")) & self.sized("na", "nb") & (F.least("e", "eb") >= self.need("na", "nb"))
-                            & F.coalesce(near, F.lit(True)) & once).select("a", "b", "na", "nb"))
+                            & F.coalesce(near, F.lit(True)) & once & F.coalesce(share >= self.need("na", "nb"), F.lit(True))).select("a", "b", "na", "nb"))
             found = self.linked(self.compare(pairs, sets, "compared"))
             links = stored(links.union(found), "links")
             asked = stored(asked.union(pivots), "asked")
@@ -259,7 +273,7 @@ class _Join:
         turn = turn.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"),
                            F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"))
         first = stored(turn.union(hubs).distinct(), "first")
-        measured = self.compare(first, sets, "measured")
+        measured = self.compare(first, sets, "measured", places=True)
         links = stored(self.linked(measured), "links")
         seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         rest = self.apart(pairs.drop("sum").join(seen, ["a", "b"], "left_anti"), components(links))
