@@ -71,6 +71,29 @@ def test_search_scores_by_distances(spark):
     assert C.silhouettes(moved.limit(0), "id", "labels").count() == 0
 
 
+def test_silhouettes_take_one_block_a_task(spark):
+    """Blocks that meet in a task by chance would make the longest one a multiple of a block."""
+    rng = np.random.default_rng(4)
+    x, l = rng.normal(size=(300, 3)), np.sort(rng.integers(0, 2, 300))
+    x[:, 0] += 1e6 * l                                      # long runs of equal labels, far apart
+    df = spark.createDataFrame([(i, x[i].tolist(), [int(l[i]), int(i % 3)]) for i in range(300)], "id bigint, features array<double>, labels array<int>")
+    found = C.silhouettes(df, "id", "labels", block_rows=16)
+    tasks = found.rdd.getNumPartitions()
+    assert tasks * 16 >= 300
+    rows = found.withColumn("task", F.spark_partition_id()).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(tasks))).collect()
+    assert all(r["task"] == r["block"] for r in rows)
+    got = {(r["id"], r["labeling"]): r["silhouette"] for r in rows}
+    for j, lab in enumerate((l, np.arange(300) % 3)):
+        assert [got[(i, j)] for i in range(300)] == pytest.approx(brute_silhouette(x, lab), abs=1e-9)
+
+
+def test_slices_of_equal_labels():
+    at = np.repeat([[0, 3], [1, 3], [0, 4], [1, 4]], [100, 3, 2, 1200], axis=0)
+    slices = list(C._labeled_slices(at))
+    assert [(i, j) for i, j, _ in slices] == [(0, 100), (100, 105), (105, 617), (617, 1129), (1129, 1305)]
+    assert [r.tolist() for *_, r in slices] == [[0], [0, 3], [0], [0], [0]]
+
+
 def test_linear_silhouette_matches_brute_force(spark):
     df, x, lab = blobs(spark)
     got = [r["silhouette"] for r in C.linear_silhouette(df, "label", 3).orderBy("id").collect()]
