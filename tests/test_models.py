@@ -94,6 +94,43 @@ def test_slices_of_equal_labels():
     assert [r.tolist() for *_, r in slices] == [[0], [0, 3], [0], [0], [0]]
 
 
+@pytest.mark.parametrize("shape", ["near", "apart", "far off", "copies", "huge", "tiny"])
+def test_rounds_place_rows_as_double_precision_does(shape):
+    """Rounds ask single precision first; what its digits cannot tell apart must not be told by it."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 16))
+    if shape == "near":
+        x[1:750] = x[0] + 1e-5 * x[1:750]
+    if shape == "apart":
+        x[np.arange(1500), np.arange(1500) % 5] += 1e6
+    x = {"far off": x + 1e9, "huge": x * 1e20, "tiny": x * 1e-30}.get(shape, x)
+    models = [x[rng.choice(1500, k, replace=False)] for k in (2, 3, 3, 7, 300) for _ in range(3)]
+    if shape == "copies":                                   # the lower one of equal centres takes the rows
+        models += [np.concatenate([c, c[:2], c]) for c in models[:9]] + [np.repeat(x[:1], 9, axis=0)]
+    stack = C._Stack(models)
+    found, add = np.zeros((len(stack.flat), 17)), stack.adder()
+    for i in range(0, 1500, 1024):
+        add(x[i:i + 1024], found)
+    member = stack.members(stack.nearest(x))
+    assert found[:, 16].tolist() == member.sum(axis=0).tolist()
+    assert found[:, :16] == pytest.approx(member.T @ x, rel=1e-12, abs=1e-9 * np.abs(x).max())
+    if shape == "copies":
+        assert stack.split(found[:, 16])[-1].tolist() == [1500, *[0] * 8]
+
+
+def test_search_labels_rows_once(spark, monkeypatch):
+    """The silhouette reads the labels four times; each reading would ask all models again."""
+    df, x, _ = blobs(spark)
+    read, kept = C.silhouettes, []
+    monkeypatch.setattr(C, "silhouettes", lambda rows, *a, **k: (kept.append(rows.storageLevel.useMemory), read(rows, *a, **k))[1])
+    got = C.k_search(df, "id", (2, 3), (0,), restarts=2).orderBy("k").collect()
+    assert kept == [True]
+    fits = C.fit_grid(df, [(2, 0), (3, 0)], 2)
+    for r, (centers, *_) in zip(got, fits):
+        lab = C._Stack([centers]).nearest(x)[:, 0]
+        assert r["silhouette"] == pytest.approx(brute_silhouette(x, lab).mean(), abs=1e-9)
+
+
 def test_linear_silhouette_matches_brute_force(spark):
     df, x, lab = blobs(spark)
     got = [r["silhouette"] for r in C.linear_silhouette(df, "label", 3).orderBy("id").collect()]
