@@ -284,3 +284,55 @@ def test_memory_of_clipping_is_bounded():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert np.allclose(out, one, rtol=1e-12) and peak < 40_000_000, peak
+
+
+def _plan_text(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cut_edges_send_an_edge_once_for_many_plans(spark):
+    """Rows that are there twice, units that some plans leave out, districts without a name, more plans than one row holds."""
+    rng = np.random.default_rng(6)
+    rows = [(f"p{p}", f"u{u}", None if (p + u) % 11 == 0 else str(int(rng.integers(0, 3)))) for p in range(150) for u in range(12) if (p * u) % 7 != 3]
+    rows += [("p1", "u2", "0"), ("p1", "u2", "1"), ("p1", "u3", "1"), ("p149", "u5", None), (None, "u1", "1"), ("p2", None, "1")]
+    edges = [(f"u{i}", f"u{j}", 1.0) for i in range(12) for j in range(i + 1, 12) if (i + j) % 3] + [("u1", "u99", 1.0)]
+    m = spark.createDataFrame(rows, "plan_id string, vtd_geoid string, district_id string")
+    found = overlay.cut_edges(spark.createDataFrame(edges, "src string, dst string, shared_length double"), m)
+    want = {}
+    for p, u, a in rows:
+        for q, v, b in rows:
+            if p is not None and p == q and any(u == s and v == t for s, t, _ in edges):
+                n = want.setdefault(p, [0, 0])
+                n[0] += 1
+                n[1] += a is not None and b is not None and a != b
+    assert {r["plan_id"]: [r["n_edges"], r["n_cut_edges"]] for r in found.collect()} == want
+    assert not [l for l in _plan_text(found).splitlines() if "Join" in l and "[plan_id" in l]
+
+
+def test_adjacency_measures_after_the_join(spark):
+    """Filters that are pushed into the join write every step out many times over: a method too long to be compiled."""
+    units = spark.createDataFrame([(i, float(i % 4), float(i // 4)) for i in range(16)], "id int, x0 double, y0 double").withColumns(
+        {"x1": F.col("x0") + 1, "y1": F.col("y0") + 1})
+    found = overlay.adjacency(units.withColumn("rings", G.box_rings("x0", "y0", "x1", "y1")), "id")
+    assert found.count() == 24
+    joins = [l for l in _plan_text(found).splitlines() if "SortMergeJoin" in l]
+    assert joins and not [l for l in joins if " / " in l]
+
+
+@pytest.mark.parametrize("reach", [1e-9, 0.3])
+def test_cells_along_a_segment_come_once(spark, reach):
+    rng = np.random.default_rng(7)
+    ends = [(i, *map(float, rng.normal(size=4) * 3), int(a)) for i, a in enumerate(rng.integers(-3, 3, 40))]
+    seg = spark.createDataFrame(ends, "id int, xa double, ya double, xb double, yb double, _at int").withColumn(
+        "_len", F.hypot(F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya")))
+    got = [(r["id"], r["_cx"], r["_cy"]) for r in overlay._cells_along(seg, reach).collect()]
+    assert len(got) == len(set(got))
+    want = set()
+    for i, xa, ya, xb, yb, at in ends:
+        size = 2.0 ** at / overlay.PIECES
+        n, margin = int(np.ceil(np.hypot(xb - xa, yb - ya) / size)), size / 2 + 2 * reach
+        for k in range(n):
+            span = [sorted((a + (b - a) * k / n, a + (b - a) * (k + 1) / n)) for a, b in ((xa, xb), (ya, yb))]
+            cells = [range(int(np.floor((l - margin) / size)), int(np.floor((h + margin) / size)) + 1) for l, h in span]
+            want |= {(i, cx, cy) for cx in cells[0] for cy in cells[1]}
+    assert set(got) == want

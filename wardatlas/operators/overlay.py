@@ -236,18 +236,18 @@ def _piece_centres(seg: DataFrame) -> DataFrame:
 def _cells_along(seg: DataFrame, reach: float) -> DataFrame:
     """Cells of the grid ``_at`` in which a piece that comes within ``reach`` of the segment may have its middle, each once."""
     size = F.pow(F.lit(2.0), F.col("_at")) / PIECES
-    n, margin = F.ceil(F.col("_len") / size).cast("int"), size / 2 + 2 * reach
-
-    def cells(low, high):
-        return F.sequence(F.floor((low - margin) / size).cast("bigint"), F.floor((high + margin) / size).cast("bigint"))
-
-    def piece(i):
-        at = lambda c, k: F.col(c + "a") + (F.col(c + "b") - F.col(c + "a")) * k / n
-        ends = [(F.least(at(c, i), at(c, i + 1)), F.greatest(at(c, i), at(c, i + 1))) for c in ("x", "y")]
-        return F.flatten(F.transform(cells(*ends[0]), lambda cx: F.transform(cells(*ends[1]), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
-
-    near = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), piece)))
-    return seg.withColumn("_c", F.explode(near)).withColumns({"_cx": F.col("_c.cx"), "_cy": F.col("_c.cy")}).drop("_c")
+    margin = size / 2 + 2 * reach
+    at = lambda c, k: F.col(c + "a") + (F.col(c + "b") - F.col(c + "a")) * k / F.col("_p")
+    # the cells of the pieces move one way only, so a cell is new to a piece if the piece before did not have it
+    each = seg.withColumn("_p", F.ceil(F.col("_len") / size).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)))
+    for c in ("x", "y"):
+        for name, k in (("", F.col("_j")), ("o", F.greatest(F.col("_j") - 1, F.lit(0)))):
+            ends = at(c, k), at(c, k + 1)
+            each = each.withColumns({f"_{c}l{name}": F.floor((F.least(*ends) - margin) / size).cast("bigint"),
+                                     f"_{c}h{name}": F.floor((F.greatest(*ends) + margin) / size).cast("bigint")})
+    cells = each.withColumn("_cx", F.explode(F.sequence("_xl", "_xh"))).withColumn("_cy", F.explode(F.sequence("_yl", "_yh")))
+    return cells.where((F.col("_j") == 0) | ~(F.col("_cx").between(F.col("_xlo"), F.col("_xho")) & F.col("_cy").between(F.col("_ylo"), F.col("_yho")))).select(
+        *seg.columns, "_cx", "_cy")
 
 
 def adjacency(units: DataFrame, unit_id: str, rings: str = "rings", tolerance: float | None = None,
@@ -278,19 +278,29 @@ def adjacency(units: DataFrame, unit_id: str, rings: str = "rings", tolerance: f
     seg = seg.where(F.col("_len") > reach).withColumn("_own", F.greatest("_own", F.lit(finest)))
 
     def side(df: DataFrame, p: str, *more: str) -> DataFrame:
-        return df.select("_at", "_cx", "_cy", *more, *[F.col(c).alias(p + c) for c in (unit_id, "xa", "ya", "xb", "yb", "_len", "_own")])
+        return df.select(F.xxhash64("_at", "_cx", "_cy").alias("_cell"), "_at", "_cx", "_cy", *more, *[F.col(c).alias(p + c) for c in (unit_id, "xa", "ya", "xb", "yb", "_len", "_own")])
 
     every = seg.withColumn("_at", F.explode(F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v >= F.col("_own"))))
     shorter, longer = side(_piece_centres(every), "a", "_i", "_n"), side(_cells_along(seg.withColumn("_at", F.col("_own")), reach), "b")
-    pairs = salted_join(shorter, longer, ["_at", "_cx", "_cy"], unfolded=True).where(
+    step = lambda p, c: F.col(f"{p}{c}b") - F.col(f"{p}{c}a")
+    turned = step("a", "x") * step("b", "x") + step("a", "y") * step("b", "y") < 0
+    low, high = (lambda p, c: F.least(f"{p}{c}a", f"{p}{c}b")), (lambda p, c: F.greatest(f"{p}{c}a", f"{p}{c}b"))
+    beside = lambda c: (low("a", c) - high("b", c) <= 2 * reach) & (low("b", c) - high("a", c) <= 2 * reach)
+    # sorts compare the first key by its prefix: a hash tells cells apart there, whatever the map's shape
+    pairs = salted_join(shorter, longer, ["_cell", "_at", "_cx", "_cy"], unfolded=True).where(
         (F.col("a" + unit_id) != F.col("b" + unit_id))
         # equal grids: the pair comes from both sides, so it counts once
-        & ((F.col("a_own") < F.col("b_own")) | (F.col("a" + unit_id) < F.col("b" + unit_id))))
+        & ((F.col("a_own") < F.col("b_own")) | (F.col("a" + unit_id) < F.col("b" + unit_id)))
+        # most of those that meet run the same way or across, or lie apart: a few comparisons tell, before anything is measured
+        & turned & beside("x") & beside("y"))
+    # numbered rows keep the steps of the measuring apart: filters pushed through them would write each step out many times
+    # over in the join's own condition, a method too long to be compiled
+    numbered = lambda df: df.withColumn("_pair", F.monotonically_increasing_id()).where("_pair >= 0")
     ux, uy = (F.col("bxb") - F.col("bxa")) / F.col("b_len"), (F.col("byb") - F.col("bya")) / F.col("b_len")
-    pairs = pairs.withColumns({"_ux": ux, "_uy": uy, **{f"_{c}{e}": F.col(f"a{c}{e}") - F.col(f"b{c}a") for c in "xy" for e in "ab"}})
+    pairs = numbered(pairs.withColumns({"_ux": ux, "_uy": uy, **{f"_{c}{e}": F.col(f"a{c}{e}") - F.col(f"b{c}a") for c in "xy" for e in "ab"}}))
     along = lambda e: F.col("_ux") * F.col(f"_x{e}") + F.col("_uy") * F.col(f"_y{e}")
     off = lambda e: F.col("_ux") * F.col(f"_y{e}") - F.col("_uy") * F.col(f"_x{e}")
-    pairs = pairs.withColumns({"_ta": along("a"), "_tb": along("b"), "_da": off("a"), "_db": off("b")}).where("_tb < _ta").withColumns(
+    pairs = numbered(pairs.withColumns({"_ta": along("a"), "_tb": along("b"), "_da": off("a"), "_db": off("b")})).where("_tb < _ta").withColumns(
         {"_lo": F.greatest(F.col("_tb"), F.lit(0.0)), "_hi": F.least(F.col("_ta"), F.col("b_len"))}).where(F.col("_hi") - F.col("_lo") > reach)
     apart = lambda t: F.abs(F.col("_da") + (F.col("_db") - F.col("_da")) * (F.col(t) - F.col("_ta")) / (F.col("_tb") - F.col("_ta")))
     begins = F.floor((F.col("_ta") - F.col("_hi")) / (F.col("_ta") - F.col("_tb")) * F.col("_n"))
@@ -299,19 +309,33 @@ def adjacency(units: DataFrame, unit_id: str, rings: str = "rings", tolerance: f
                         (F.col("_hi") - F.col("_lo")).alias("_len")).groupBy("src", "dst").agg(F.sum("_len").alias("shared_length"))
 
 
+PLANS_TOGETHER = 64                                      # Fixed value: plans whose districts of a unit are one row
+
+
 def cut_edges(edges: DataFrame, plan_map: DataFrame) -> DataFrame:
     """Edges whose two units lie in different districts, per plan.
 
-    An assignment row meets the edges that start at its unit (the edge list
-    is broadcast when its counted size allows) and then the row of the unit at
-    the other end, on plan and unit, so no key gathers a plan.
+    What a unit has in up to about PLANS_TOGETHER plans is one row, which meets the edges that start at the unit and then
+    the row of the unit at the other end.  So an edge is sent once for that many plans, and no key gathers a plan.
+    Rows that are there twice count for each, and a unit without a row in a plan has no edges in it.
     """
-    m = plan_map.select("plan_id", "vtd_geoid", "district_id")
-    start = m.withColumnsRenamed({"vtd_geoid": "src", "district_id": "_from"})
-    end = m.withColumnsRenamed({"vtd_geoid": "dst", "district_id": "_to"})
-    reached = start.join(dimension(edges.select("src", "dst")), "src").join(shuffled(end), ["plan_id", "dst"])
-    return reached.groupBy("plan_id").agg(
-        F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("_from") != F.col("_to")).alias("n_cut_edges"))
+    m = plan_map.select("plan_id", "vtd_geoid", "district_id").where("plan_id is not null and vtd_geoid is not null")
+    plans = m.agg(F.approx_count_distinct("plan_id")).first()[0]
+    m = m.withColumn("_set", F.pmod(F.xxhash64("plan_id"), F.lit(-(-plans // PLANS_TOGETHER) or 1)).cast("int"))
+    listed = F.sort_array(F.collect_list(F.struct("plan_id", "district_id")))
+    rows = m.repartition("vtd_geoid").groupBy("vtd_geoid", "_set").agg(listed.alias("_in")).select(
+        "vtd_geoid", "_set", F.col("_in.plan_id").alias("_plans"), F.col("_in.district_id").alias("_districts")).withColumn(
+        "_once", F.size(F.array_distinct("_plans")) == F.size("_plans"))
+    start = rows.withColumnsRenamed({"vtd_geoid": "src"})
+    end = rows.select(F.col("vtd_geoid").alias("dst"), "_set", F.col("_plans").alias("_plans_to"), F.col("_districts").alias("_to"))
+    reached = start.join(shuffled(edges.select("src", "dst")), "src").join(shuffled(end), ["dst", "_set"])
+    cut = lambda x, y: F.coalesce(x != y, F.lit(False))
+    named = lambda p, q, r: F.struct(p.alias("plan_id"), cut(q, r).alias("cut"))
+    one_by_one = F.flatten(F.transform(F.arrays_zip("_plans", "_districts"), lambda a: F.transform(
+        F.filter(F.arrays_zip("_plans_to", "_to"), lambda b: b["_plans_to"] == a["_plans"]), lambda b: named(a["_plans"], a["_districts"], b["_to"]))))
+    side_by_side = F.zip_with("_plans", F.zip_with("_districts", "_to", cut), lambda p, c: F.struct(p.alias("plan_id"), c.alias("cut")))
+    each = F.when(F.col("_once") & (F.col("_plans") == F.col("_plans_to")), side_by_side).otherwise(one_by_one)
+    return reached.select(F.inline(each)).groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_edges"), F.count_if("cut").alias("n_cut_edges"))
 
 
 def compactness(units: DataFrame, unit_id: str, rings: str = "rings") -> DataFrame:
