@@ -1,3 +1,6 @@
+import time
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
@@ -87,6 +90,47 @@ def test_silhouettes_take_one_block_a_task(spark):
         assert [got[(i, j)] for i in range(300)] == pytest.approx(brute_silhouette(x, lab), abs=1e-9)
 
 
+def shuffle_files(spark):
+    """Sizes of the shuffle files that lie on disk, by path."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f: f.stat().st_size for d in folders for f in Path(d.getPath()).rglob("shuffle_*") if f.exists()}
+
+
+def test_silhouettes_write_each_row_once(spark):
+    """All rows pass every block; a copy of them for each block fills the disk."""
+    rng = np.random.default_rng(5)
+    x, lab = rng.normal(size=(1000, 16)), rng.integers(0, 3, 1000)
+    df = spark.createDataFrame([(i, x[i].tolist(), [int(lab[i])]) for i in range(1000)], "id bigint, features array<double>, labels array<int>").persist()
+    df.count()
+    before = shuffle_files(spark)
+    found = C.silhouettes(df, "id", "labels", block_rows=16)
+    got = [r["silhouette"] for r in found.collect()]
+    wrote = sum(size for f, size in shuffle_files(spark).items() if f not in before)
+    assert wrote < 4 * x.nbytes
+    assert np.mean(got) == pytest.approx(brute_silhouette(x, lab).mean(), abs=1e-9) and len(got) == 1000
+    df.unpersist()
+
+
+def test_rounds_leave_nothing_on_disk(spark):
+    """Hundreds of rounds follow one another before the driver collects its garbage."""
+    df, x, _ = blobs(spark, 600)
+    rows, name = df.persist(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert rows.count() == len(x)
+    temporary, setting = Path(spark.sparkContext._temp_dir), spark.conf.get(name)
+    before, sent = shuffle_files(spark), set(temporary.iterdir())
+    assert len(C.lloyd(rows, [x[:200], x[:300]], max_iter=4, tol=0.0)) == 2
+
+    def left():                                             # the sums of 500 centres; what is smaller is the variance of the features
+        return [f for f, size in shuffle_files(spark).items() if f not in before and size > 4000] + sorted(set(temporary.iterdir()) - sent)
+
+    for _ in range(100):                                    # files go in the background
+        if not left():
+            break
+        time.sleep(0.1)
+    assert left() == [] and spark.conf.get(name) == setting
+    rows.unpersist()
+
+
 def test_slices_of_equal_labels():
     at = np.repeat([[0, 3], [1, 3], [0, 4], [1, 4]], [100, 3, 2, 1200], axis=0)
     slices = list(C._labeled_slices(at))
